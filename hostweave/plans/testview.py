@@ -14,10 +14,10 @@ TYPE_NAMES = {
     "click": "EVENT_READ", "view": "EVENT_WRITE", "purchase": "EVENT_SENDTO",
     "signup": "EVENT_EXECUTE", "error": "EVENT_CLOSE",
 }
-WINDOW_SECONDS = 3600
+HOUR, DAY = 3600, 86_400
 ATTACKS = [(datetime(2024, 1, 10, 0, 0, 0), datetime(2024, 1, 11, 23, 59, 59))]
-# Burst threshold in proportion to hour windows.
-BURST_RUN, BURST_WITHIN_US = 3, 1_200_000_000
+# Burst threshold in proportion to day windows.
+BURST_RUN, BURST_WITHIN_US = 3, 4 * 3600 * 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
