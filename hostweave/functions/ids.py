@@ -56,7 +56,7 @@ def clean_object_id(value, double_quoted: bool = True) -> Column:
 def bytes_literal(hex_id) -> Column:
     """Hex id to a bytes literal with every byte escaped."""
     hex_id = F.col(hex_id) if isinstance(hex_id, str) else hex_id
-    escaped = F.regexp_replace(hex_id, "([0-9a-f]{2})", r"\\\\x$1")
+    escaped = F.regexp_replace(hex_id, "([0-9a-f]{2})", r"\\x$1")
     return F.concat(F.lit("b'"), escaped, F.lit("'"))
 
 

@@ -10,18 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hostweave.functions.timefn import floor_div
+
 _SLOT, _CARRY = "__slot", "__carry"
 _FAN = 65_536
 
 
-def _slot(order: Column, width: int) -> Column:
-    return F.floor(order / F.lit(width)).cast("bigint")
-
-
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    return left.join(right, list(keys), how)
-
-
 def _fold_before(
     slots: DataFrame, keys: Sequence[str], value: str, fold, merge, levels: int
 ) -> DataFrame:
@@ -30,7 +24,7 @@ def _fold_before(
         Window.unboundedPreceding, -1)
     if levels == 0:
         return slots.select(*keys, _SLOT, fold(F.col(value)).over(before).alias(_CARRY))
-    parents = slots.withColumn("__parent", _slot(F.col(_SLOT), _FAN))
+    parents = slots.withColumn("__parent", floor_div(F.col(_SLOT), _FAN))
     inside = Window.partitionBy(*keys, "__parent").orderBy(_SLOT).rowsBetween(
         Window.unboundedPreceding, -1)
     near = parents.withColumn("__near", fold(F.col(value)).over(inside))
@@ -38,7 +32,7 @@ def _fold_before(
         fold(F.col(value)).alias(value))
     far = _fold_before(totals, keys, value, fold, merge, levels - 1).withColumnsRenamed(
         {_SLOT: "__parent", _CARRY: "__far"})
-    return _on(near, far, [*keys, "__parent"], "left").select(
+    return near.join(far, [*keys, "__parent"], "left").select(
         *keys, _SLOT, merge(F.col("__near"), F.col("__far")).alias(_CARRY))
 
 
@@ -59,15 +53,15 @@ def position_in_order(
 
     ``width`` is the range of ``order`` values one task sorts at a time.
     """
-    slotted = df.withColumn(_SLOT, _slot(F.col(order), width))
+    slotted = df.withColumn(_SLOT, floor_div(F.col(order), width))
     counts = slotted.groupBy(*keys, _SLOT).agg(F.count(F.lit(1)).alias("__n"))
     before = _fold_before(counts, keys, "__n", F.sum, _add, levels)
     inside = Window.partitionBy(*keys, _SLOT).orderBy(order, *ties)
     return (
-        _on(slotted.withColumn("__rank", F.row_number().over(inside)), before,
-            [*keys, _SLOT], "left")
-        .withColumn(out, (F.col("__rank") - 1 + F.coalesce(_CARRY, F.lit(0))).cast("bigint"))
-        .drop(_SLOT, _CARRY, "__rank"))
+        slotted.withColumn("__place", F.row_number().over(inside))
+        .join(before, [*keys, _SLOT], "left")
+        .withColumn(out, (F.col("__place") - 1 + F.coalesce(_CARRY, F.lit(0))).cast("bigint"))
+        .drop(_SLOT, _CARRY, "__place"))
 
 
 def latest_before(
@@ -85,13 +79,13 @@ def latest_before(
     With a ``value`` that never falls along ``order`` this is the value of the
     nearest earlier row that has one.
     """
-    slotted = df.withColumn(_SLOT, _slot(F.col(order), width)).withColumn("__value", value)
+    slotted = df.withColumn(_SLOT, floor_div(F.col(order), width)).withColumn("__value", value)
     tops = slotted.groupBy(*keys, _SLOT).agg(F.max("__value").alias("__value"))
     before = _fold_before(tops, keys, "__value", F.max, F.greatest, levels)
     inside = Window.partitionBy(*keys, _SLOT).orderBy(order, *ties).rowsBetween(
         Window.unboundedPreceding, -1)
     return (
-        _on(slotted.withColumn("__near", F.max("__value").over(inside)), before,
-            [*keys, _SLOT], "left")
+        slotted.withColumn("__near", F.max("__value").over(inside))
+        .join(before, [*keys, _SLOT], "left")
         .withColumn(out, F.coalesce("__near", _CARRY))
         .drop(_SLOT, _CARRY, "__near", "__value"))

@@ -13,6 +13,11 @@ def _epoch() -> Column:
     return F.expr("timestamp_ntz'1970-01-01 00:00:00'")
 
 
+def floor_div(value: Column, width: int) -> Column:
+    """Whole-number division rounding down, without a detour through doubles."""
+    return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
+
+
 def to_micros(ts) -> Column:
     """Microseconds since 1970-01-01 of a naive timestamp."""
     ts = F.col(ts) if isinstance(ts, str) else ts
@@ -34,9 +39,7 @@ def floor_to(ts, seconds: int) -> Column:
 def nanos_to_local(nanos, zone: str = "America/New_York") -> Column:
     """UTC nanoseconds to naive wall-clock time in ``zone``."""
     nanos = F.col(nanos) if isinstance(nanos, str) else nanos
-    # Floor division, so that instants before 1970 also truncate downwards.
-    micros = ((nanos - F.pmod(nanos, F.lit(1000))) / 1000).cast("bigint")
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), from_micros(micros))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), from_micros(floor_div(nanos, 1000)))
 
 
 def seconds_of_day(ts) -> Column:

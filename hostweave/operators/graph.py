@@ -29,13 +29,15 @@ def type_code(column: str, vocabulary: Sequence[str]) -> Column:
 
 
 def interactions(
-    events: DataFrame, vocabulary: Sequence[str] | None = GRAPH_EVENT_TYPES
+    events: DataFrame, vocabulary: Sequence[str] | None = GRAPH_EVENT_TYPES,
+    key: str = GRAPH_KEY,
 ) -> DataFrame:
     """Pairs of each window with the last event type and time between them.
 
     The last row in input order decides ``event`` and ``ts``. Subjects without
     an object keep a row with a null object. ``vocabulary=None`` accepts any
-    event type, at the price of a sort-based partial aggregation.
+    event type, at the price of a sort-based partial aggregation. ``key`` names
+    the window column; on a stream it is the watermarked window itself.
     """
     prepared = events.withColumn("__us", to_micros("ts"))
     if vocabulary is None:
@@ -43,7 +45,7 @@ def interactions(
     else:
         prepared = prepared.withColumn("__code", type_code("type", vocabulary))
         last_event = F.max_by("__code", "ordinal").alias("event_code")
-    pairs = prepared.groupBy(GRAPH_KEY, "subject", "object").agg(
+    pairs = prepared.groupBy(key, "subject", "object").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.min("ordinal").alias("first_ordinal"),
         F.max("ordinal").alias("last_ordinal"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.ids import short_id
 from hostweave.functions.ordered import latest_before
-from hostweave.functions.timefn import from_micros, to_micros
+from hostweave.functions.timefn import floor_div, from_micros, to_micros
 from hostweave.schemas import COMMON_PORTS
 
 
@@ -119,7 +119,7 @@ def long_gaps(events: DataFrame, seconds: int = 60, k: int | None = 5) -> DataFr
     """
     width = seconds * 1_000_000
     bins = events.select(to_micros("ts").alias("us")).groupBy(
-        F.floor(F.col("us") / F.lit(width)).cast("bigint").alias("bin")).agg(
+        floor_div(F.col("us"), width).alias("bin")).agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     gaps = latest_before(
         bins, [], "bin", F.col("last_us"), "before_us", width=65_536,

@@ -8,6 +8,7 @@ in slots (see ``functions.ordered``).
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions.ordered import latest_before
+from hostweave.functions.timefn import floor_div
 from hostweave.operators.graph import GRAPH_KEY
 
 _SECOND = 1_000_000
@@ -36,7 +37,7 @@ def gap_entropy(ticks: DataFrame) -> DataFrame:
 def bursts(ticks: DataFrame, run: int = 6, within_us: int = 200_000) -> DataFrame:
     """Nodes with ``run`` consecutive out-edges inside less than ``within_us``."""
     width = max(_SECOND, within_us)
-    slot = F.floor(F.col("ts_us") / F.lit(width)).cast("bigint")
+    slot = floor_div(F.col("ts_us"), width)
     # A run may cross into the next slot, so the head of a slot is shown to the
     # slot before it too. More than `run` edges at one instant change nothing.
     # A run of copies that lies wholly in the head is found in its own slot.

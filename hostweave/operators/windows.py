@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.ordered import position_in_order
-from hostweave.functions.timefn import from_micros, to_micros
+from hostweave.functions.timefn import floor_div, from_micros, to_micros
 
 _SECOND = 1_000_000
 
@@ -67,7 +67,7 @@ def with_anchored_window(events: DataFrame, seconds: int = 1) -> DataFrame:
     hi = to_micros(bounds.select("hi").scalar())
     step = seconds * _SECOND
     offset = to_micros("ts") - lo
-    number = F.floor(offset / F.lit(step)).cast("bigint")
+    number = floor_div(offset, step)
     return (
         events.withColumn("window_id", number)
         .filter(F.col("window_id") * step < hi - lo)

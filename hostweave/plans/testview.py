@@ -28,18 +28,29 @@ def _node(number: Column) -> Column:
     return F.concat(F.lit("n"), number.cast("string"))
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def as_events(raw: DataFrame) -> DataFrame:
     kind = None
     for name, event_type in TYPE_NAMES.items():
         match = F.col("event_type") == name
         kind = F.when(match, event_type) if kind is None else kind.when(match, event_type)
     k = F.regexp_extract("props", r"(\d+)", 1)
-    return table(spark, folder, "events").select(
+    return raw.select(
         F.col("event_id").alias("ordinal"), "ts", kind.alias("type"),
         _node(F.col("user_id")).alias("subject"),
         F.when(F.col("event_id") % 17 != 0, _node(k)).alias("object"))
 
 
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return as_events(table(spark, folder, "events"))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same event log as a stream over the file."""
+    schema = table(spark, folder, "events").schema
+    return as_events(
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))
+
+
 def subjects(spark: SparkSession, folder: str) -> DataFrame:
     """One process per acting user; process i was started by process i div 2."""
     user = F.col("user_id")

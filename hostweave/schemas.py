@@ -43,6 +43,9 @@ NULL_TOKENS = [
 ]
 
 
+# How times are written in CSV and JSON files.
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
 # Table schemas, as DDL texts.
 
 EVENTS = (

@@ -8,7 +8,7 @@ larger windows are refused rather than cut.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.operators.graph import GRAPH_KEY
-from hostweave.schemas import GRAPH_DOCUMENT
+from hostweave.schemas import GRAPH_DOCUMENT, TIMESTAMP_FORMAT
 
 ROW_LIMIT = 1_000_000
 
@@ -48,11 +48,12 @@ def graph_documents(nodes: DataFrame, edges: DataFrame, row_limit: int = ROW_LIM
 
 
 def write_graph_documents(documents: DataFrame, path: str) -> None:
-    documents.write.json(path)
+    documents.write.option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
 def read_graph_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GRAPH_DOCUMENT).json(path)
+    return spark.read.schema(GRAPH_DOCUMENT).option(
+        "timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
 def document_nodes(documents: DataFrame) -> DataFrame:

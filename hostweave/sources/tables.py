@@ -73,7 +73,8 @@ def registry_values(registry: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', nullValue="None")
+    df.write.mode(mode).option("timestampNTZFormat", schemas.TIMESTAMP_FORMAT).csv(
+        path, header=True, quote='"', escape='"', nullValue="None")
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str, mode: str = "errorifexists") -> None:
