@@ -21,6 +21,9 @@ class Batch:
         self.out = np.bincount(source, minlength=self.n)
         self.start = np.concatenate(([0], np.cumsum(self.out)[:-1])).astype(np.int64)
         self.node_size = self.size[node_window]
+        edges = np.bincount(node_window[source], minlength=self.windows)
+        # What one source node can touch: the cells and edges of its window.
+        self.node_cost = (self.size + edges)[node_window]
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -35,7 +38,7 @@ def path_sums(batch: Batch, sources: np.ndarray, cells: int = 4_000_000):
     dependency = np.zeros(batch.n)
     reached = np.zeros(batch.n, dtype=np.int64)
     distance = np.zeros(batch.n, dtype=np.int64)
-    room = np.cumsum(batch.node_size[sources])
+    room = np.cumsum(batch.node_cost[sources])
     cut = 0
     while cut < len(sources):
         used = room[cut - 1] if cut else 0

@@ -146,7 +146,7 @@ def wide_clustering(edge_rows: DataFrame) -> DataFrame:
 
 def wide_pagerank(
     node_rows: DataFrame, edge_rows: DataFrame,
-    damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, cut_every: int = 5,
+    damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, check_every: int = 5,
 ) -> DataFrame:
     """PageRank of all windows together by repeated joins; finished windows are left alone."""
     counts = node_rows.groupBy(GRAPH_KEY).agg(F.count(F.lit(1)).alias("n"))
@@ -168,18 +168,15 @@ def wide_pagerank(
             .withColumn("fresh", F.when(F.col("active"), damping * (
                 F.coalesce("spread", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
                 + (1 - damping) / F.col("n")).otherwise(F.col("rank"))))
-        moved = moved.select(*_NODE, "n", "out", "rank", "fresh", "active")
-        if turn % cut_every == 0 or turn == rounds:
-            moved = durable(moved)
+        # Read twice below, so cut here: the plan would double with every round.
+        moved = durable(moved.select(*_NODE, "n", "out", "rank", "fresh", "active"))
         change = moved.groupBy(GRAPH_KEY).agg(
             F.sum(F.abs(F.col("fresh") - F.col("rank"))).alias("change"))
         state = moved.join(change, GRAPH_KEY).select(
             *_NODE, "n", "out", F.col("fresh").alias("rank"),
             (F.col("active") & (F.col("change") >= F.col("n") * tolerance)).alias("active"))
-        if turn % cut_every == 0:
-            state = durable(state)
-            if state.filter("active").isEmpty():
-                break
+        if turn % check_every == 0 and state.filter("active").isEmpty():
+            break
     return state.select(*_NODE, F.col("rank").alias("pagerank"))
 
 

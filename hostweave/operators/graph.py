@@ -53,10 +53,41 @@ def interactions(
         F.max_by("__us", "ordinal").alias("ts_us"),
         F.min("__us").alias("first_us"),
         F.max("__us").alias("last_us"))
-    if vocabulary is not None:
-        names = F.array(*[F.lit(v) for v in vocabulary])
-        pairs = pairs.withColumn("event", F.get(names, F.col("event_code").cast("int")))
-    return pairs
+    return pairs if vocabulary is None else _with_event_name(pairs, vocabulary)
+
+
+def _with_event_name(pairs: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(v) for v in vocabulary])
+    return pairs.withColumn("event", F.get(names, F.col("event_code").cast("int")))
+
+
+def overlapping_interactions(
+    panes: DataFrame, seconds: int, step_seconds: int = 1,
+    vocabulary: Sequence[str] = GRAPH_EVENT_TYPES,
+) -> DataFrame:
+    """Pairs of the overlapping windows that start at every non-empty bin.
+
+    ``panes`` are the pairs of the bins themselves: events are merged per bin
+    first, so only pairs are copied to the windows that cover them, not events.
+    ``seconds`` must be a multiple of ``step_seconds``.
+    """
+    if seconds % step_seconds:
+        raise ValueError("the window length must be a multiple of the step")
+    back = F.explode(F.sequence(F.lit(0), F.lit(seconds // step_seconds - 1)))
+    bins, step_us = panes.select(GRAPH_KEY).distinct(), step_seconds * 1_000_000
+    spread = panes.withColumn("__back", back).withColumn(
+        GRAPH_KEY, from_micros(to_micros(GRAPH_KEY) - F.col("__back").cast("bigint") * step_us))
+    kind = [F.max_by("event_code", "last_ordinal").alias("event_code")] if (
+        "event_code" in panes.columns) else []
+    merged = spread.join(bins, GRAPH_KEY, "left_semi").groupBy(GRAPH_KEY, "subject", "object").agg(
+        F.sum("n_events").alias("n_events"),
+        F.min("first_ordinal").alias("first_ordinal"),
+        F.max_by("ts_us", "last_ordinal").alias("ts_us"),
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        *(kind or [F.max_by("event", "last_ordinal").alias("event")]),
+        F.max("last_ordinal").alias("last_ordinal"))
+    return _with_event_name(merged, vocabulary) if kind else merged
 
 
 def edges(pairs: DataFrame) -> DataFrame:

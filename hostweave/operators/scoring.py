@@ -32,7 +32,7 @@ def stratified_split(
         width = 2 ** 30
     ranked = position_in_order(ranked, [label], "__h", "__rank", width, ties=[key])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    return ranked.join(F.broadcast(sizes), label).withColumn(
+    return ranked.join(sizes, label).withColumn(
         "split", F.when(F.col("__rank") < F.floor(F.col("__n") * train_share), "train")
         .otherwise("test")).drop("__h", "__rank", "__n")
 

@@ -67,16 +67,11 @@ def stories(
 def top_nodes(importance: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most important nodes of each sequence over all of its steps.
 
-    Ranking first within (sequence, step, hash part) bounds what one task has
-    to order when a window is very large.
+    Spark turns the rank filter into a group limit before the shuffle, so each
+    task sends at most ``k`` rows per sequence.
     """
-    by_score = [F.desc("importance"), "step", "node_id"]
-    part = F.pmod(F.xxhash64("node_id"), F.lit(64))
-    local = Window.partitionBy("sequence_id", "step", "__part").orderBy(*by_score)
-    overall = Window.partitionBy("sequence_id").orderBy(*by_score)
-    few = importance.withColumn("__part", part).withColumn(
-        "__r", F.row_number().over(local)).filter(F.col("__r") <= k).drop("__part", "__r")
-    ranked = few.withColumn("rank", F.row_number().over(overall)).filter(F.col("rank") <= k)
+    best = Window.partitionBy("sequence_id").orderBy(F.desc("importance"), "step", "node_id")
+    ranked = importance.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.join(nodes.select("window_start", "node_id", "node_type"),
                        ["window_start", "node_id"]).select(
         "sequence_id", "rank", "step", "node_id", "node_type", "importance",

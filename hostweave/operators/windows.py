@@ -48,7 +48,7 @@ def with_overlapping_windows(
     bin_start = micros - F.pmod(micros, F.lit(step))
     steps_back = -(-length // step) - 1
     candidates = F.transform(
-        F.sequence(F.lit(0), F.lit(steps_back)), lambda k: bin_start - k * F.lit(step))
+        F.sequence(F.lit(0), F.lit(steps_back)), lambda k: bin_start - k.cast("bigint") * F.lit(step))
     covering = F.filter(candidates, lambda s: micros < s + F.lit(length))
     spread = events.withColumn("__start", F.explode(covering)).withColumns({
         "window_start": from_micros("__start"),

@@ -156,8 +156,8 @@ def record_profile(spark, folder):
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = durable(_pairs(spark, folder))
-    return graph_docs.graph_documents(graph.nodes(pairs), graph.edges(pairs))
+    edges, nodes = _indexed(spark, folder)
+    return graph_docs.graph_documents(nodes, edges)
 
 
 @query
@@ -382,9 +382,8 @@ def graph_edges(spark, folder):
 
 @query
 def overlapping_graph_edges(spark, folder):
-    spread = windows.with_overlapping_windows(
-        _graph_events(spark, folder), 3 * view.HOUR, view.HOUR)
-    return graph.edges(graph.interactions(spread)).select(
+    panes = _pairs(spark, folder, view.HOUR)
+    return graph.edges(graph.overlapping_interactions(panes, 3 * view.HOUR, view.HOUR)).select(
         "window_start", "source", "target", "event", "ts", "n_events")
 
 
@@ -484,6 +483,33 @@ def all_node_features(spark, folder):
 # --- sequences --------------------------------------------------------------
 
 
+class Scored:
+    """Tables of the linear score over hour windows, each computed once per query."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.nodes = durable(_nodes(spark, folder, view.HOUR))
+        labels = dataset.labelled_windows(self.nodes, view.HOUR, view.ATTACKS)
+        self.steps = durable(sequences.sequence_steps(durable(labels)))
+        self.embedding = propagation.graph_embedding(self.nodes, list(WEIGHTS))
+
+    def members(self) -> DataFrame:
+        return sequences.sequence_members(self.steps, self.embedding)
+
+    def attention(self) -> DataFrame:
+        return propagation.temporal_attention(self.members(), WEIGHTS, BIAS)
+
+    def rounded_attention(self) -> DataFrame:
+        """Weights rounded so that texts do not hang on the last bit."""
+        return durable(self.attention().withColumn("weight", _round("weight")))
+
+    def window_importance(self) -> DataFrame:
+        return scoring.node_importance(self.nodes, self.embedding, WEIGHTS).withColumn(
+            "importance", _round("importance"))
+
+    def importance(self) -> DataFrame:
+        return sequences.sequence_members(self.steps, self.window_importance())
+
+
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.sequence_steps(durable(_labels(spark, folder)))
 
@@ -501,8 +527,9 @@ def sequence_labels(spark, folder):
 
 @query
 def sequence_members(spark, folder):
-    nodes = _nodes(spark, folder, view.HOUR).select("window_start", "node_id", "degree")
-    return sequences.sequence_members(_steps(spark, folder), nodes).groupBy(
+    scored = Scored(spark, folder)
+    nodes = scored.nodes.select("window_start", "node_id", "degree")
+    return sequences.sequence_members(scored.steps, nodes).groupBy(
         "sequence_id", "step").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("degree"))
 
 
@@ -633,38 +660,29 @@ def neighbour_means(spark, folder):
         _round(c).alias(c) for c in out.columns if c.endswith(("_h1", "_h2"))])
 
 
-def _embedding(spark: SparkSession, folder: str) -> DataFrame:
-    return propagation.graph_embedding(_nodes(spark, folder, view.HOUR), list(WEIGHTS))
-
-
 @query
 def graph_embedding(spark, folder):
-    return _embedding(spark, folder).select(
+    nodes = _nodes(spark, folder, view.HOUR)
+    return propagation.graph_embedding(nodes, list(WEIGHTS)).select(
         "window_start", "n_nodes", *[_round(c).alias(c) for c in WEIGHTS])
 
 
-def _attention(spark: SparkSession, folder: str) -> DataFrame:
-    members = sequences.sequence_members(_steps(spark, folder), _embedding(spark, folder))
-    return propagation.temporal_attention(members, WEIGHTS, BIAS)
-
-
 @query
 def temporal_attention(spark, folder):
-    return _attention(spark, folder).select(
+    return Scored(spark, folder).attention().select(
         "sequence_id", "step", _round("score").alias("score"), _round("weight").alias("weight"))
 
 
 @query
 def attended_embedding(spark, folder):
-    return propagation.attended_embedding(_attention(spark, folder), list(WEIGHTS)).select(
+    return propagation.attended_embedding(Scored(spark, folder).attention(), list(WEIGHTS)).select(
         "sequence_id", "label", *[_round(c).alias(c) for c in WEIGHTS])
 
 
 @query
 def sequence_classifier(spark, folder):
     """Train on the training split, then score every sequence."""
-    members = sequences.sequence_members(_steps(spark, folder), _embedding(spark, folder))
-    rows = durable(propagation.step_matrix(members, list(WEIGHTS)))
+    rows = durable(propagation.step_matrix(Scored(spark, folder).members(), list(WEIGHTS)))
     parts = durable(scoring.stratified_split(rows, "sequence_id"))
     features = [c for c in rows.columns if c not in ("sequence_id", "label")]
     model = scoring.train_classifier(parts.filter("split = 'train'"), features)
@@ -699,33 +717,21 @@ def _predictions(attention: DataFrame) -> DataFrame:
 
 @query
 def evaluation(spark, folder):
-    return scoring.evaluation(_predictions(_attention(spark, folder))).select(
+    return scoring.evaluation(_predictions(Scored(spark, folder).attention())).select(
         "n_rows", *[_round(c).alias(c) for c in ("accuracy", "precision", "recall")])
 
 
-def _window_importance(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = durable(_nodes(spark, folder, view.HOUR))
-    return scoring.node_importance(
-        nodes, propagation.graph_embedding(nodes, list(WEIGHTS)), WEIGHTS)
-
-
 @query
 def node_importance(spark, folder):
-    return _window_importance(spark, folder).withColumn("importance", _round("importance"))
+    return Scored(spark, folder).window_importance()
 
 
 # --- stories ----------------------------------------------------------------
 
 
-def _importance(spark: SparkSession, folder: str) -> DataFrame:
-    """Importance per sequence step, rounded so that ranks do not hang on the last bit."""
-    rows = _window_importance(spark, folder).withColumn("importance", _round("importance"))
-    return sequences.sequence_members(_steps(spark, folder), rows)
-
-
 @query
 def severities(spark, folder):
-    attention = durable(_attention(spark, folder).withColumn("weight", _round("weight")))
+    attention = Scored(spark, folder).rounded_attention()
     weights = story.step_weights(attention)
     return _predictions(attention).join(weights, "sequence_id").select(
         "sequence_id", "prediction",
@@ -734,7 +740,7 @@ def severities(spark, folder):
 
 @query
 def flagged_steps(spark, folder):
-    return story.flagged_steps(_importance(spark, folder)).withColumn("step", _big("step"))
+    return story.flagged_steps(Scored(spark, folder).importance()).withColumn("step", _big("step"))
 
 
 @query
@@ -745,16 +751,15 @@ def event_techniques(spark, folder):
 
 @query
 def stories(spark, folder):
-    attention = durable(_attention(spark, folder).withColumn("weight", _round("weight")))
-    return story.stories(
-        _predictions(attention), attention, _importance(spark, folder)
-    ).select("sequence_id", "severity", F.size("techniques").cast("bigint").alias("n_techniques"), "story")
+    scored = Scored(spark, folder)
+    attention = scored.rounded_attention()
+    return story.stories(_predictions(attention), attention, scored.importance()).select("sequence_id", "severity", F.size("techniques").cast("bigint").alias("n_techniques"), "story")
 
 
 @query
 def top_nodes(spark, folder):
-    nodes = _nodes(spark, folder, view.HOUR)
-    return story.top_nodes(_importance(spark, folder), nodes, 5).select(
+    scored = Scored(spark, folder)
+    return story.top_nodes(scored.importance(), scored.nodes, 5).select(
         "sequence_id", _big("rank"), _big("step"), "node_id", "node_type", "importance",
         "score_text")
 
@@ -766,13 +771,13 @@ def edge_timeline(spark, folder):
 
 @query
 def step_weight_texts(spark, folder):
-    weights = story.step_weights(_attention(spark, folder).withColumn("weight", _round("weight")))
+    weights = story.step_weights(Scored(spark, folder).rounded_attention())
     return weights.select("sequence_id", text.step_weights_text("weights").alias("weights_text"))
 
 
 @query
 def hot_nodes(spark, folder):
-    scores = durable(_window_importance(spark, folder).withColumn("importance", _round("importance")))
+    scores = durable(Scored(spark, folder).window_importance())
     return story.hot_nodes(scores).withColumn("heat", _round("heat"))
 
 
@@ -800,10 +805,10 @@ def resolved_edges(spark, folder):
 
 
 def _explanations(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = durable(_pairs(spark, folder, view.HOUR))
-    attention = durable(_attention(spark, folder).withColumn("weight", _round("weight")))
-    index = graph.with_node_index(graph.nodes(pairs)).select("window_start", "node_id", "node_idx")
-    indexed = _importance(spark, folder).join(index, ["window_start", "node_id"])
+    scored = Scored(spark, folder)
+    attention = scored.rounded_attention()
+    index = graph.with_node_index(scored.nodes).select("window_start", "node_id", "node_idx")
+    indexed = scored.importance().join(index, ["window_start", "node_id"])
     return explanations.explanation_documents(_predictions(attention), attention, indexed)
 
 

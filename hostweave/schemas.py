@@ -70,10 +70,10 @@ LABELS = (
     " num_nodes BIGINT, num_edges BIGINT")
 
 EXPLANATIONS = (
-    "sequence_id BIGINT, prediction INT, temporal_attention ARRAY<DOUBLE>,"
+    "sequence_id BIGINT, part BIGINT, prediction INT, temporal_attention ARRAY<DOUBLE>,"
     " node_importance ARRAY<ARRAY<DOUBLE>>, edge_importance ARRAY<ARRAY<DOUBLE>>")
 
 GRAPH_DOCUMENT = (
-    "window_start TIMESTAMP_NTZ, directed BOOLEAN, multigraph BOOLEAN,"
+    "window_start TIMESTAMP_NTZ, part BIGINT, directed BOOLEAN, multigraph BOOLEAN,"
     " nodes ARRAY<STRUCT<id: STRING, node_type: STRING, in_degree: BIGINT, out_degree: BIGINT>>,"
     " edges ARRAY<STRUCT<source: STRING, target: STRING, event: STRING, ts: TIMESTAMP_NTZ>>")

@@ -2,29 +2,38 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hostweave.functions.timefn import floor_div
 from hostweave.operators.story import step_weights
 from hostweave.schemas import EXPLANATIONS
+from hostweave.sources.graph_docs import PART_ROWS
 
 
 def explanation_documents(
-    predictions: DataFrame, attention: DataFrame, indexed_importance: DataFrame
+    predictions: DataFrame, attention: DataFrame, indexed_importance: DataFrame,
+    length: int = 3, part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """One document per sequence; ``indexed_importance`` has step, node_idx, importance.
+    """Documents per sequence; ``indexed_importance`` has step, node_idx, importance.
 
-    A step's scores become one array, so the windows must fit a row.
+    A document holds one score array per step. Nodes beyond ``part_rows`` of a
+    step go to further numbered documents of the same sequence.
     """
-    per_step = indexed_importance.groupBy("sequence_id", "step").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("node_idx", "importance"))),
-        lambda s: s["importance"]).alias("scores"))
-    nested = per_step.groupBy("sequence_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("step", "scores"))),
-        lambda s: s["scores"]).alias("node_importance"))
-    empty = F.transform("node_importance", lambda _: F.array().cast("array<double>"))
+    key = ["sequence_id", "part"]
+    per_step = indexed_importance.withColumn(
+        "part", floor_div(F.col("node_idx"), part_rows)).groupBy(*key, "step").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("node_idx", "importance"))),
+            lambda s: s["importance"]).alias("scores"))
+    by_step = per_step.groupBy(*key).agg(F.map_from_entries(
+        F.collect_list(F.struct(F.col("step").cast("int"), "scores"))).alias("m"))
+    empty = F.array().cast("array<double>")
+    nested = by_step.select(*key, F.transform(
+        F.sequence(F.lit(0), F.lit(length - 1)),
+        lambda step: F.coalesce(F.col("m")[step], empty)).alias("node_importance"))
     return (
         predictions.select("sequence_id", "prediction")
         .join(step_weights(attention), "sequence_id").join(nested, "sequence_id")
-        .select("sequence_id", "prediction", F.col("weights").alias("temporal_attention"),
-                "node_importance", empty.alias("edge_importance")))
+        .select(*key, "prediction", F.col("weights").alias("temporal_attention"),
+                "node_importance",
+                F.transform("node_importance", lambda _: empty).alias("edge_importance")))
 
 
 def write_explanations(documents: DataFrame, path: str) -> None:
@@ -35,8 +44,11 @@ def read_explanations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPLANATIONS).json(path)
 
 
-def importance_rows(documents: DataFrame) -> DataFrame:
+def importance_rows(documents: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(sequence_id, step, node_idx, importance)."""
-    steps = documents.select("sequence_id", F.posexplode("node_importance").alias("step", "scores"))
+    steps = documents.select(
+        "sequence_id", "part", F.posexplode("node_importance").alias("step", "scores"))
     return steps.select(
-        "sequence_id", "step", F.posexplode("scores").alias("node_idx", "importance"))
+        "sequence_id", "part", "step", F.posexplode("scores").alias("pos", "importance"),
+    ).select("sequence_id", "step", (F.col("part") * part_rows + F.col("pos")).alias("node_idx"),
+             "importance")

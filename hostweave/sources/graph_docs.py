@@ -1,16 +1,18 @@
 """Window graphs as node-link documents.
 
-The two graph tables are the storage form. A document gathers one window's
-nodes and edges in one row, so it is an export view for windows that fit a row;
-larger windows are refused rather than cut.
+The two graph tables are the storage form. Documents gather nodes and edges in
+rows; a window with more than ``PART_ROWS`` of either becomes several numbered
+documents, so no row grows without bound.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hostweave.functions.ordered import position_in_order
+from hostweave.functions.timefn import floor_div
 from hostweave.operators.graph import GRAPH_KEY
 from hostweave.schemas import GRAPH_DOCUMENT, TIMESTAMP_FORMAT
 
-ROW_LIMIT = 1_000_000
+PART_ROWS = 100_000
 
 
 def write_graph_tables(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
@@ -24,27 +26,35 @@ def read_graph_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
 
 
-def graph_documents(nodes: DataFrame, edges: DataFrame, row_limit: int = ROW_LIMIT) -> DataFrame:
-    """One node-link document per window, in first-mention order.
+def graph_documents(
+    indexed_nodes: DataFrame, edges: DataFrame, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Node-link documents per window and part, nodes and edges in first-mention order.
 
-    Sizes are counted before anything is gathered.
+    ``indexed_nodes`` comes from ``with_node_index``.
     """
-    sizes = nodes.groupBy(GRAPH_KEY).agg((F.count(F.lit(1)) + F.sum("out_degree")).alias("size"))
-    largest = sizes.agg(F.max("size")).first()[0] or 0
-    if largest > row_limit:
-        raise ValueError(
-            f"a window has {largest} nodes and edges; use write_graph_tables for such windows")
-    node = F.struct("first_pos", F.struct(
+    key = [GRAPH_KEY, "part"]
+    node = F.struct("node_idx", F.struct(
         F.col("node_id").alias("id"), "node_type", "in_degree", "out_degree").alias("v"))
-    edge = F.struct("first_ordinal", "target", F.struct(
-        "source", "target", "event", "ts").alias("v"))
-    node_lists = nodes.groupBy(GRAPH_KEY).agg(F.transform(
-        F.array_sort(F.collect_list(node)), lambda s: s["v"]).alias("nodes"))
-    edge_lists = edges.groupBy(GRAPH_KEY).agg(F.transform(
-        F.array_sort(F.collect_list(edge)), lambda s: s["v"]).alias("edges"))
-    return node_lists.join(edge_lists, GRAPH_KEY, "left").select(
-        GRAPH_KEY, F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), "nodes",
-        F.coalesce("edges", F.array().cast(edge_lists.schema["edges"].dataType)).alias("edges"))
+    edge = F.struct("edge_idx", F.struct("source", "target", "event", "ts").alias("v"))
+    # Every edge begins with its own event, so first ordinals are distinct in a window.
+    placed = position_in_order(
+        edges, [GRAPH_KEY], "first_ordinal", "edge_idx", width=65_536, ties=["target"])
+
+    def gathered(rows: DataFrame, index: str, item: Column, name: str) -> DataFrame:
+        parts = rows.withColumn("part", floor_div(F.col(index), part_rows))
+        return parts.groupBy(*key).agg(F.transform(
+            F.array_sort(F.collect_list(item)), lambda s: s["v"]).alias(name))
+
+    node_lists = gathered(indexed_nodes, "node_idx", node, "nodes")
+    edge_lists = gathered(placed, "edge_idx", edge, "edges")
+
+    def filled(name: str, lists: DataFrame) -> Column:
+        return F.coalesce(name, F.array().cast(lists.schema[name].dataType)).alias(name)
+
+    return node_lists.join(edge_lists, key, "full_outer").select(
+        *key, F.lit(True).alias("directed"), F.lit(False).alias("multigraph"),
+        filled("nodes", node_lists), filled("edges", edge_lists))
 
 
 def write_graph_documents(documents: DataFrame, path: str) -> None:
@@ -56,9 +66,10 @@ def read_graph_documents(spark: SparkSession, path: str) -> DataFrame:
         "timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
-def document_nodes(documents: DataFrame) -> DataFrame:
-    return documents.select(GRAPH_KEY, F.posexplode("nodes").alias("node_idx", "n")).select(
-        GRAPH_KEY, "node_idx", F.col("n.id").alias("node_id"), "n.node_type", "n.in_degree",
+def document_nodes(documents: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    place = (F.col("part") * part_rows + F.col("pos")).alias("node_idx")
+    return documents.select(GRAPH_KEY, "part", F.posexplode("nodes").alias("pos", "n")).select(
+        GRAPH_KEY, place, F.col("n.id").alias("node_id"), "n.node_type", "n.in_degree",
         "n.out_degree")
 
 

@@ -6,14 +6,15 @@ from hostweave import schemas
 from hostweave.operators.clean import normalise_nulls, with_optional_column
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """All columns as text, by header name.
 
-    Identifiers contain backslashes, so the quote character is the only escape;
-    quoted fields may span lines.
+    Identifiers contain backslashes, so the quote character is the only escape.
+    ``multiline`` is for files with line breaks inside quoted fields; such a
+    file cannot be split, so it is read by one task.
     """
     return normalise_nulls(
-        spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True,
+        spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline,
                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
 
 
@@ -37,26 +38,26 @@ def _cast(name: str, data_type: str) -> Column:
     return F.col(name).try_cast(data_type)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Event log. ``ordinal`` must be a column of the file: Spark has no row order."""
-    return _typed(read_csv(spark, path), schemas.EVENTS,
+    return _typed(read_csv(spark, path, multiline), schemas.EVENTS,
                   {"timestamp": "ts", "predicate_object": "object"})
 
 
-def read_subjects(spark: SparkSession, path: str) -> DataFrame:
-    return _typed(read_csv(spark, path), schemas.SUBJECTS)
+def read_subjects(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return _typed(read_csv(spark, path, multiline), schemas.SUBJECTS)
 
 
-def read_network(spark: SparkSession, path: str) -> DataFrame:
-    return _typed(read_csv(spark, path), schemas.NETWORK)
+def read_network(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return _typed(read_csv(spark, path, multiline), schemas.NETWORK)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return _typed(read_csv(spark, path), schemas.FILES)
+def read_files(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return _typed(read_csv(spark, path, multiline), schemas.FILES)
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return _typed(read_csv(spark, path), schemas.REGISTRY)
+def read_registry(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return _typed(read_csv(spark, path, multiline), schemas.REGISTRY)
 
 
 def registry_values(registry: DataFrame) -> DataFrame:
