@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hostweave.functions.durable import durable
 from hostweave.operators.graph import GRAPH_KEY
 from hostweave.schemas import GRAPH_EVENT_TYPES
 
@@ -37,6 +38,9 @@ def neighbour_means(
             .groupBy(GRAPH_KEY, F.col("target").alias("node_id"))
             .agg(*[F.avg(c).alias(n) for c, n in zip(current, fresh, strict=True)]))
         out = out.join(means, _NODE, "left").fillna(0.0, fresh)
+        if hop < hops:
+            # The next hop reads this twice; without a cut the plan doubles per hop.
+            out = durable(out)
         current = fresh
     return out
 

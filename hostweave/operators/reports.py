@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hostweave.functions.durable import durable
 from hostweave.functions.ids import short_id
 from hostweave.functions.ordered import latest_before
 from hostweave.functions.timefn import floor_div, from_micros, to_micros
@@ -24,7 +25,10 @@ def top(counts: DataFrame, k: int, name: str, size: str = "n_events") -> DataFra
 
 
 def share_of_total(counts: DataFrame, size: str, digits: int = 1) -> Column:
-    """Percentage of the column total, as a scalar subquery on the aggregate."""
+    """Percentage of the column total, as a scalar subquery on the aggregate.
+
+    Both readings of ``counts`` share one shuffle when the plan is executed.
+    """
     total = counts.select(F.sum(size)).scalar()
     return F.round(F.col(size) * 100.0 / total, digits)
 
@@ -96,20 +100,41 @@ def global_summary(events: DataFrame, subjects: DataFrame, network: DataFrame) -
         span.scalar().alias("time_span_s"))
 
 
-def burst_minutes(events: DataFrame, factor: float = 2.0, seconds: int = 60) -> DataFrame:
-    """Minutes with more than ``factor`` times the mean of the non-empty minutes."""
-    minutes = events_per_minute(events, seconds)
+def activity(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """Counts and first times per (minute, type): the one pass that several reports share."""
+    return events.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "type").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts")).select(
+        F.col("w.start").alias("minute"), "type", "n_events", "first_ts")
+
+
+def _bursts(minutes: DataFrame, factor: float) -> DataFrame:
     mean = minutes.select(F.avg("n_events")).scalar()
     return minutes.withColumn("ratio", F.col("n_events") / mean).filter(
         F.col("n_events") > F.lit(factor) * mean)
 
 
-def rare_types(events: DataFrame, below: int = 10) -> DataFrame:
+def burst_minutes(events: DataFrame, factor: float = 2.0, seconds: int = 60) -> DataFrame:
+    """Minutes with more than ``factor`` times the mean of the non-empty minutes."""
+    return _bursts(events_per_minute(events, seconds), factor)
+
+
+def rare_types(events: DataFrame, below: float = 10) -> DataFrame:
     return events.groupBy("type").agg(
         F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts")).filter(
         F.col("n_events") < below)
 
 
+def _activity_parts(
+    events: DataFrame, seconds: int, rare_below: float
+) -> tuple[DataFrame, DataFrame]:
+    """(bursts, rare types) from one scan of the events."""
+    cells = durable(activity(events, seconds))
+    minutes = cells.groupBy("minute").agg(F.sum("n_events").alias("n_events"))
+    types = cells.groupBy("type").agg(
+        F.sum("n_events").alias("n_events"), F.min("first_ts").alias("first_ts"))
+    return _bursts(minutes, 2.0), types.filter(F.col("n_events") < rare_below)
+
+
 def long_gaps(events: DataFrame, seconds: int = 60, k: int | None = 5) -> DataFrame:
     """Silences longer than ``seconds``, longest first.
 
@@ -118,9 +143,9 @@ def long_gaps(events: DataFrame, seconds: int = 60, k: int | None = 5) -> DataFr
     time order slot by slot.
     """
     width = seconds * 1_000_000
-    bins = events.select(to_micros("ts").alias("us")).groupBy(
+    bins = durable(events.select(to_micros("ts").alias("us")).groupBy(
         floor_div(F.col("us"), width).alias("bin")).agg(
-        F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+        F.min("us").alias("first_us"), F.max("us").alias("last_us")))
     gaps = latest_before(
         bins, [], "bin", F.col("last_us"), "before_us", width=65_536,
     ).filter(F.col("first_us") - F.col("before_us") > width).select(
@@ -178,7 +203,7 @@ def unusual_ports(network: DataFrame, common: Sequence[int] = COMMON_PORTS, k: i
 
 
 def _ranked(section: str, rows: DataFrame, key: Column, value: Column, order: list) -> DataFrame:
-    """A ranked, already cut list as (section, rank, key, value)."""
+    """A short list (cut to a top-k, or one row per event type) as (section, rank, key, value)."""
     packed = rows.agg(F.array_sort(F.collect_list(F.struct(*order, key.alias("key"), value.alias("value")))).alias("l"))
     return packed.select(F.posexplode("l").alias("pos", "r")).select(
         F.lit(section).alias("section"), (F.col("pos") + 1).alias("rank"), "r.key", "r.value")
@@ -189,36 +214,39 @@ def _first(section: str, rows: DataFrame, key: Column) -> DataFrame:
 
 
 def investigation_targets(
-    events: DataFrame, subjects: DataFrame, seconds: int = 60, rare_below: int = 10
+    events: DataFrame, subjects: DataFrame, seconds: int = 60, rare_below: float = 10
 ) -> DataFrame:
     """Largest burst, most frequent rare type, most active subject if it is known."""
-    burst = burst_minutes(events, seconds=seconds).orderBy(F.desc("n_events"), "minute").limit(1)
-    rare = rare_types(events, rare_below).orderBy(F.desc("n_events"), "type").limit(1)
+    return _targets(events, subjects, *_activity_parts(events, seconds, rare_below))
+
+
+def _targets(
+    events: DataFrame, subjects: DataFrame, bursts: DataFrame, rare: DataFrame
+) -> DataFrame:
+    burst = bursts.orderBy(F.desc("n_events"), "minute").limit(1)
+    rarest = rare.orderBy(F.desc("n_events"), "type").limit(1)
     active = most_active_subjects(events, 1)
     known = first_per_id(subjects.join(
         F.broadcast(active.select(F.col("subject").alias("uuid"))), "uuid", "left_semi"))
     return (
         _first("burst", burst, F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
-        .unionByName(_first("rare_type", rare, F.col("type")))
+        .unionByName(_first("rare_type", rarest, F.col("type")))
         .unionByName(_first("active_subject", known, F.concat(F.lit("PID "), F.col("cid")))))
 
 
 def findings(
-    events: DataFrame, subjects: DataFrame, seconds: int = 60, rare_below: int = 10
+    events: DataFrame, subjects: DataFrame, seconds: int = 60, rare_below: float = 10
 ) -> DataFrame:
     """The findings report: top five bursts, rare types, targets."""
-    bursts = burst_minutes(events, seconds=seconds).orderBy(F.desc("n_events"), "minute").limit(5)
-    rare = rare_types(events, rare_below)
-    targets = investigation_targets(events, subjects, seconds, rare_below)
+    bursts, rare = _activity_parts(events, seconds, rare_below)
+    leading = bursts.orderBy(F.desc("n_events"), "minute").limit(5)
     size = F.col("n_events").cast("string")
     return (
-        _ranked("activity_bursts", bursts, F.date_format("minute", "yyyy-MM-dd HH:mm:ss"), size,
+        _ranked("activity_bursts", leading, F.date_format("minute", "yyyy-MM-dd HH:mm:ss"), size,
                 [(-F.col("n_events")).alias("o1"), F.col("minute").alias("o2")])
         .unionByName(_ranked("rare_events", rare, F.col("type"), size,
                              [(-F.col("n_events")).alias("o1"), F.col("type").alias("o2")]))
         .unionByName(_ranked(
-            "targets", targets, F.col("target"), F.col("value"),
+            "targets", _targets(events, subjects, bursts, rare), F.col("target"), F.col("value"),
             [F.when(F.col("target") == "burst", 1).when(F.col("target") == "rare_type", 2)
              .otherwise(3).alias("o1")])))
-
-

@@ -27,8 +27,9 @@ def gap_entropy(ticks: DataFrame) -> DataFrame:
     """
     spans = ticks.groupBy(*_NODE).agg(
         (F.max("ts_us") - F.min("ts_us")).alias("__span")).filter("__span > 0")
+    # Slots are seconds of one window, so their table needs no further level.
     gaps = latest_before(ticks.select(*_NODE, "ts_us"), _NODE, "ts_us", F.col("ts_us"),
-                         "__prev", _SECOND).filter(F.col("__prev").isNotNull())
+                         "__prev", _SECOND, levels=0).filter(F.col("__prev").isNotNull())
     share = (F.col("ts_us") - F.col("__prev")) / F.col("__span")
     return gaps.join(spans, _NODE).groupBy(*_NODE).agg(
         (-F.sum(share * F.log(share + F.lit(1e-9)))).alias("temporal_entropy"))

@@ -400,7 +400,7 @@ def node_index(spark, folder):
 
 def _indexed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     pairs = durable(_pairs(spark, folder))
-    return graph.edges(pairs), graph.with_node_index(graph.nodes(pairs))
+    return graph.edges(pairs), durable(graph.with_node_index(durable(graph.nodes(pairs))))
 
 
 @query
@@ -412,7 +412,8 @@ def edge_index(spark, folder):
 @query
 def edge_index_placeholder(spark, folder):
     pairs = durable(_pairs(spark, folder, 600))
-    edges, nodes = graph.edges(pairs), graph.with_node_index(graph.nodes(pairs))
+    edges = graph.edges(pairs)
+    nodes = durable(graph.with_node_index(durable(graph.nodes(pairs))))
     starts = pairs.select("window_start").distinct()
     return graph.edge_index_or_placeholder(graph.edge_index(edges, nodes), starts)
 
