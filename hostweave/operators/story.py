@@ -12,6 +12,12 @@ from hostweave.schemas import TECHNIQUES
 
 TOP_TECHNIQUE = TECHNIQUES["EXECUTE"]
 
+# The wording of a story.
+STORY = (
+    "Sequence %d is classified as %s.\n"
+    "Highest importance occurred at timestep with weight %.3f.\n"
+    "Severity Score: %.2f.\nPossible MITRE Techniques: %s.")
+
 
 def severity(weights: Column, prediction: Column) -> Column:
     """Weight of the last step, damped for benign sequences."""
@@ -56,10 +62,7 @@ def stories(
     named = F.when(F.size("techniques") > 0, F.array_join("techniques", ", ")).otherwise(
         "None detected")
     text = F.format_string(
-        "Sequence %d is classified as %s.\n"
-        "Highest importance occurred at timestep with weight %.3f.\n"
-        "Severity Score: %.2f.\nPossible MITRE Techniques: %s.",
-        F.col("sequence_id"), verdict("prediction"), F.array_max("weights"), F.col("severity"),
+        STORY, F.col("sequence_id"), verdict("prediction"), F.array_max("weights"), F.col("severity"),
         named)
     return rows.withColumn("story", text)
 

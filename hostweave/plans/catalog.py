@@ -9,9 +9,10 @@ from hostweave.functions import ids, text, timefn
 from hostweave.functions.durable import durable, new_path
 from hostweave.operators import (
     clean, graph, lineage, propagation, reports, scoring, sequences, story, temporal, windows)
-from hostweave.operators.centrality import centrality
+from hostweave.operators.centrality import centrality, wide_clustering
 from hostweave.operators.features import node_features
 from hostweave.plans import dataset, testview as view
+from hostweave.plans.explain import Explanation
 from hostweave.schemas import NODE_FEATURES
 from hostweave.sources import cdm, explanations, graph_docs, tables
 from hostweave.streaming import live
@@ -467,7 +468,6 @@ closeness, betweenness, pagerank, cluster_coeff = map(
 
 @query
 def cluster_coeff_by_joins(spark, folder):
-    from hostweave.operators.centrality import wide_clustering
     return wide_clustering(graph.edges(durable(_pairs(spark, folder)))).withColumn(
         "cluster_coeff", _round("cluster_coeff"))
 
@@ -484,31 +484,10 @@ def all_node_features(spark, folder):
 # --- sequences --------------------------------------------------------------
 
 
-class Scored:
-    """Tables of the linear score over hour windows, each computed once per query."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.nodes = durable(_nodes(spark, folder, view.HOUR))
-        labels = dataset.labelled_windows(self.nodes, view.HOUR, view.ATTACKS)
-        self.steps = durable(sequences.sequence_steps(durable(labels)))
-        self.embedding = propagation.graph_embedding(self.nodes, list(WEIGHTS))
-
-    def members(self) -> DataFrame:
-        return sequences.sequence_members(self.steps, self.embedding)
-
-    def attention(self) -> DataFrame:
-        return propagation.temporal_attention(self.members(), WEIGHTS, BIAS)
-
-    def rounded_attention(self) -> DataFrame:
-        """Weights rounded so that texts do not hang on the last bit."""
-        return durable(self.attention().withColumn("weight", _round("weight")))
-
-    def window_importance(self) -> DataFrame:
-        return scoring.node_importance(self.nodes, self.embedding, WEIGHTS).withColumn(
-            "importance", _round("importance"))
-
-    def importance(self) -> DataFrame:
-        return sequences.sequence_members(self.steps, self.window_importance())
+def _scored(spark: SparkSession, folder: str) -> Explanation:
+    nodes = durable(_nodes(spark, folder, view.HOUR))
+    labels = durable(dataset.labelled_windows(nodes, view.HOUR, view.ATTACKS))
+    return Explanation(nodes, labels, WEIGHTS, BIAS, CUTOFF)
 
 
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
@@ -528,7 +507,7 @@ def sequence_labels(spark, folder):
 
 @query
 def sequence_members(spark, folder):
-    scored = Scored(spark, folder)
+    scored = _scored(spark, folder)
     nodes = scored.nodes.select("window_start", "node_id", "degree")
     return sequences.sequence_members(scored.steps, nodes).groupBy(
         "sequence_id", "step").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("degree"))
@@ -670,20 +649,20 @@ def graph_embedding(spark, folder):
 
 @query
 def temporal_attention(spark, folder):
-    return Scored(spark, folder).attention().select(
+    return _scored(spark, folder).attention().select(
         "sequence_id", "step", _round("score").alias("score"), _round("weight").alias("weight"))
 
 
 @query
 def attended_embedding(spark, folder):
-    return propagation.attended_embedding(Scored(spark, folder).attention(), list(WEIGHTS)).select(
+    return propagation.attended_embedding(_scored(spark, folder).attention(), list(WEIGHTS)).select(
         "sequence_id", "label", *[_round(c).alias(c) for c in WEIGHTS])
 
 
 @query
 def sequence_classifier(spark, folder):
     """Train on the training split, then score every sequence."""
-    rows = durable(propagation.step_matrix(Scored(spark, folder).members(), list(WEIGHTS)))
+    rows = durable(propagation.step_matrix(_scored(spark, folder).members(), list(WEIGHTS)))
     parts = durable(scoring.stratified_split(rows, "sequence_id"))
     features = [c for c in rows.columns if c not in ("sequence_id", "label")]
     model = scoring.train_classifier(parts.filter("split = 'train'"), features)
@@ -709,22 +688,16 @@ def class_weights(spark, folder):
     return scoring.with_class_weight(labels, "toxic").select("doc_id", "class_weight")
 
 
-def _predictions(attention: DataFrame) -> DataFrame:
-    score = propagation.linear_score(WEIGHTS, BIAS)
-    return propagation.attended_embedding(attention, list(WEIGHTS)).withColumn(
-        "prediction", (F.round(score, 6) > CUTOFF).cast("int")).select(
-        "sequence_id", "label", "prediction")
-
-
 @query
 def evaluation(spark, folder):
-    return scoring.evaluation(_predictions(Scored(spark, folder).attention())).select(
+    scored = _scored(spark, folder)
+    return scoring.evaluation(scored.predictions(scored.attention())).select(
         "n_rows", *[_round(c).alias(c) for c in ("accuracy", "precision", "recall")])
 
 
 @query
 def node_importance(spark, folder):
-    return Scored(spark, folder).window_importance()
+    return _scored(spark, folder).window_importance()
 
 
 # --- stories ----------------------------------------------------------------
@@ -732,16 +705,17 @@ def node_importance(spark, folder):
 
 @query
 def severities(spark, folder):
-    attention = Scored(spark, folder).rounded_attention()
+    scored = _scored(spark, folder)
+    attention = durable(scored.rounded_attention())
     weights = story.step_weights(attention)
-    return _predictions(attention).join(weights, "sequence_id").select(
+    return scored.predictions(attention).join(weights, "sequence_id").select(
         "sequence_id", "prediction",
         story.severity(F.col("weights"), F.col("prediction")).alias("severity"))
 
 
 @query
 def flagged_steps(spark, folder):
-    return story.flagged_steps(Scored(spark, folder).importance()).withColumn("step", _big("step"))
+    return story.flagged_steps(_scored(spark, folder).importance()).withColumn("step", _big("step"))
 
 
 @query
@@ -752,14 +726,12 @@ def event_techniques(spark, folder):
 
 @query
 def stories(spark, folder):
-    scored = Scored(spark, folder)
-    attention = scored.rounded_attention()
-    return story.stories(_predictions(attention), attention, scored.importance()).select("sequence_id", "severity", F.size("techniques").cast("bigint").alias("n_techniques"), "story")
+    return _scored(spark, folder).stories().select("sequence_id", "severity", F.size("techniques").cast("bigint").alias("n_techniques"), "story")
 
 
 @query
 def top_nodes(spark, folder):
-    scored = Scored(spark, folder)
+    scored = _scored(spark, folder)
     return story.top_nodes(scored.importance(), scored.nodes, 5).select(
         "sequence_id", _big("rank"), _big("step"), "node_id", "node_type", "importance",
         "score_text")
@@ -772,13 +744,13 @@ def edge_timeline(spark, folder):
 
 @query
 def step_weight_texts(spark, folder):
-    weights = story.step_weights(Scored(spark, folder).rounded_attention())
+    weights = story.step_weights(durable(_scored(spark, folder).rounded_attention()))
     return weights.select("sequence_id", text.step_weights_text("weights").alias("weights_text"))
 
 
 @query
 def hot_nodes(spark, folder):
-    scores = durable(Scored(spark, folder).window_importance())
+    scores = durable(_scored(spark, folder).window_importance())
     return story.hot_nodes(scores).withColumn("heat", _round("heat"))
 
 
@@ -806,11 +778,12 @@ def resolved_edges(spark, folder):
 
 
 def _explanations(spark: SparkSession, folder: str) -> DataFrame:
-    scored = Scored(spark, folder)
-    attention = scored.rounded_attention()
+    scored = _scored(spark, folder)
+    attention = durable(scored.rounded_attention())
     index = graph.with_node_index(scored.nodes).select("window_start", "node_id", "node_idx")
     indexed = scored.importance().join(index, ["window_start", "node_id"])
-    return explanations.explanation_documents(_predictions(attention), attention, indexed)
+    return explanations.explanation_documents(
+        scored.predictions(attention), attention, indexed)
 
 
 @query

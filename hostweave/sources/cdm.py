@@ -7,6 +7,7 @@ fields; recursive members are kept as JSON text.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hostweave.functions.durable import durable
 from hostweave.functions.ids import clean_id
 from hostweave.functions.timefn import nanos_to_local
 
@@ -88,23 +89,31 @@ def record_table(records: DataFrame, table: str, zone: str = "America/New_York")
 
 
 def write_record_tables(records: DataFrame, folder: str, zone: str = "America/New_York") -> None:
-    """Every record type to its own Parquet table below ``folder``."""
+    """Every record type to its own Parquet table below ``folder``.
+
+    The source is parsed once, into ``folder/records`` partitioned by record
+    type; each table then reads its own partition only.
+    """
+    staged = f"{folder}/records"
+    records.write.partitionBy("type").parquet(staged)
+    parts = records.sparkSession.read.parquet(staged)
     for table in RECORD_TYPES:
-        record_table(records, table, zone).write.parquet(f"{folder}/{table}")
+        record_table(parts, table, zone).write.parquet(f"{folder}/{table}")
 
 
 def record_profile(records: DataFrame) -> DataFrame:
     """(item, n_records, share) for record types and for the presence of every field.
 
-    One pass: type counts are an aggregation over few types, field counts a
-    single global aggregation.
+    The records are read once, into one row of counts per record type.
     """
     fields = records.select("datum.*").columns
-    total = records.select(F.count(F.lit(1))).scalar()
-    types = records.groupBy(F.concat(F.lit("record.type="), "type").alias("item")).agg(
-        F.count(F.lit(1)).alias("n_records"))
-    present = records.agg(*[F.count(F.col(f"datum.{f}")).alias(f) for f in fields])
+    counts = durable(records.groupBy(F.col("type").alias("__type")).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"datum.{f}")).alias(f) for f in fields]))
+    types = counts.select(
+        F.concat(F.lit("record.type="), "__type").alias("item"), F.col("__n").alias("n_records"))
+    present = counts.agg(*[F.sum(f).alias(f) for f in fields])
     long = present.unpivot([], list(fields), "item", "n_records").filter("n_records > 0")
+    total = counts.select(F.sum("__n")).scalar()
     return types.unionByName(long).withColumn(
         "share", F.round(F.col("n_records") * 100.0 / total, 1))
 
