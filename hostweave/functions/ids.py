@@ -44,7 +44,10 @@ def clean_id(value, double_quoted: bool = True) -> Column:
         well_formed = well_formed | _well_formed(value, '"', _DOUBLE_PLAIN)
     body = F.substring(value, F.lit(3), F.length(value) - 3)
     tokens = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(1))
-    return F.when(well_formed, F.array_join(F.transform(tokens, _token_hex), "")).otherwise(value)
+    decoded = F.when(
+        well_formed, F.array_join(F.transform(tokens, _token_hex), "")).otherwise(value)
+    # The outer test keeps plain ids away from the text functions altogether.
+    return F.when(value.startswith("b"), decoded).otherwise(value)
 
 
 def clean_object_id(value, double_quoted: bool = True) -> Column:

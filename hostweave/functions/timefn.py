@@ -21,8 +21,11 @@ def floor_div(value: Column, width: int) -> Column:
 def to_micros(ts) -> Column:
     """Microseconds since 1970-01-01 of a naive timestamp."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    seconds = (ts - _epoch()).cast("decimal(18,6)")
-    return (seconds * 1_000_000).cast("bigint")
+    since = ts - _epoch()
+    whole = since.cast("bigint")
+    # Whole seconds and the rest separately: both stay exact without wide decimals.
+    rest = (since - whole * F.expr("interval '1' second")).cast("decimal(18,6)").cast("double")
+    return whole * 1_000_000 + F.rint(rest * 1_000_000).cast("bigint")
 
 
 def from_micros(micros) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hostweave.functions import kernels
 from hostweave.functions.durable import durable
-from hostweave.operators.graph import GRAPH_KEY, edges, undirected
+from hostweave.operators.graph import GRAPH_KEY, undirected
 
 # Pair rows of one window that a single task may hold.
 TASK_PAIRS = 200_000
@@ -241,9 +241,9 @@ def _path_sums_by_level(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _by_joins(pairs: DataFrame, block_rows: int) -> DataFrame:
-    pairs = durable(pairs.select(GRAPH_KEY, "subject", "object", "event", "ts_us",
-                                 "n_events", "first_us", "last_us", "first_ordinal"))
-    edge_rows = edges(pairs)
+    pairs = durable(pairs.select(GRAPH_KEY, "subject", "object"))
+    edge_rows = pairs.filter("object IS NOT NULL").select(
+        GRAPH_KEY, F.col("subject").alias("source"), F.col("object").alias("target"))
     node_rows = durable(pairs.select(
         GRAPH_KEY, F.explode(F.array("subject", "object")).alias("node_id"),
     ).filter("node_id IS NOT NULL").distinct())

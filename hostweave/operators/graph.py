@@ -39,20 +39,20 @@ def interactions(
     event type, at the price of a sort-based partial aggregation. ``key`` names
     the window column; on a stream it is the watermarked window itself.
     """
-    prepared = events.withColumn("__us", to_micros("ts"))
+    prepared = events
     if vocabulary is None:
         last_event = F.max_by("type", "ordinal").alias("event")
     else:
-        prepared = prepared.withColumn("__code", type_code("type", vocabulary))
+        prepared = events.withColumn("__code", type_code("type", vocabulary))
         last_event = F.max_by("__code", "ordinal").alias("event_code")
     pairs = prepared.groupBy(key, "subject", "object").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.min("ordinal").alias("first_ordinal"),
         F.max("ordinal").alias("last_ordinal"),
         last_event,
-        F.max_by("__us", "ordinal").alias("ts_us"),
-        F.min("__us").alias("first_us"),
-        F.max("__us").alias("last_us"))
+        F.max_by("ts", "ordinal").alias("ts"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"))
     return pairs if vocabulary is None else _with_event_name(pairs, vocabulary)
 
 
@@ -82,9 +82,9 @@ def overlapping_interactions(
     merged = spread.join(bins, GRAPH_KEY, "left_semi").groupBy(GRAPH_KEY, "subject", "object").agg(
         F.sum("n_events").alias("n_events"),
         F.min("first_ordinal").alias("first_ordinal"),
-        F.max_by("ts_us", "last_ordinal").alias("ts_us"),
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
+        F.max_by("ts", "last_ordinal").alias("ts"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
         *(kind or [F.max_by("event", "last_ordinal").alias("event")]),
         F.max("last_ordinal").alias("last_ordinal"))
     return _with_event_name(merged, vocabulary) if kind else merged
@@ -95,9 +95,7 @@ def edges(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("object").isNotNull()).select(
         GRAPH_KEY, F.col("subject").alias("source"), F.col("object").alias("target"),
         *[c for c in ("event", "event_code") if c in pairs.columns],
-        from_micros("ts_us").alias("ts"), "ts_us", "n_events",
-        from_micros("first_us").alias("first_ts"), from_micros("last_us").alias("last_ts"),
-        "first_ordinal")
+        "ts", "n_events", "first_ts", "last_ts", "first_ordinal")
 
 
 def nodes(pairs: DataFrame) -> DataFrame:
@@ -117,7 +115,7 @@ def nodes(pairs: DataFrame) -> DataFrame:
         (F.col("last_ordinal") * 2).alias("last_pos"),
         has_object.cast("int").alias("is_out"),
         F.lit(0).alias("is_in"),
-        F.when(has_object, F.col("ts_us")).alias("out_us"),
+        F.when(has_object, F.col("ts")).alias("out_ts"),
         F.when(has_object, F.col(kind)).alias("out_type"))
     as_object = F.struct(
         F.col("object").alias("node_id"),
@@ -125,14 +123,14 @@ def nodes(pairs: DataFrame) -> DataFrame:
         (F.col("last_ordinal") * 2 + 1).alias("last_pos"),
         F.lit(0).alias("is_out"),
         F.lit(1).alias("is_in"),
-        F.lit(None).cast("bigint").alias("out_us"),
+        F.lit(None).cast("timestamp_ntz").alias("out_ts"),
         F.lit(None).cast(pairs.schema[kind].dataType).alias("out_type"))
     mentions = pairs.select(
         GRAPH_KEY,
         F.explode(F.when(has_object, F.array(as_subject, as_object))
                   .otherwise(F.array(as_subject))).alias("m"),
     ).select(GRAPH_KEY, "m.*")
-    offset = (F.col("out_us") - to_micros(GRAPH_KEY)) / 1_000_000.0
+    offset = (F.col("out_ts") - F.col(GRAPH_KEY)).cast("decimal(18,6)").cast("double")
     # One bit per event type (a vocabulary has at most 64) counts types without a set.
     type_count = (
         F.bit_count(F.coalesce(F.bit_or(F.expr("shiftleft(1L, cast(out_type AS int))")),
@@ -145,21 +143,22 @@ def nodes(pairs: DataFrame) -> DataFrame:
         F.sum("is_out").alias("out_degree"),
         type_count.alias("event_type_count"),
         F.var_pop("__offset").alias("__var"),
-        F.min("out_us").alias("first_out_us"),
-        F.max("out_us").alias("last_out_us"),
+        F.min("out_ts").alias("first_out"),
+        F.max("out_ts").alias("last_out"),
     ).select(
         GRAPH_KEY, "node_id",
         F.when(F.col("last_pos") % 2 == 0, "subject").otherwise("object").alias("node_type"),
         "first_pos", "in_degree", "out_degree", "event_type_count",
         F.when(F.col("out_degree") > 1, F.col("__var")).otherwise(0.0).alias("ts_var"),
-        "first_out_us", "last_out_us")
+        "first_out", "last_out")
 
 
 def basic_features(node_rows: DataFrame) -> DataFrame:
     """Features that need no further shuffle once ``nodes`` exists."""
-    out, span = F.col("out_degree"), (F.col("last_out_us") - F.col("first_out_us")) / 1_000_000.0
+    out = F.col("out_degree")
+    span = (F.col("last_out") - F.col("first_out")).cast("decimal(18,6)").cast("double")
     degree = F.col("in_degree") + out
-    angle = 2 * F.pi() * seconds_of_day(from_micros("first_out_us")) / 86_400
+    angle = 2 * F.pi() * seconds_of_day("first_out") / 86_400
     return node_rows.withColumns({
         "node_type_flag": (F.col("node_type") == "subject").cast("int"),
         "degree": degree,

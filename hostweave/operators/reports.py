@@ -143,9 +143,11 @@ def long_gaps(events: DataFrame, seconds: int = 60, k: int | None = 5) -> DataFr
     time order slot by slot.
     """
     width = seconds * 1_000_000
-    bins = durable(events.select(to_micros("ts").alias("us")).groupBy(
-        floor_div(F.col("us"), width).alias("bin")).agg(
-        F.min("us").alias("first_us"), F.max("us").alias("last_us")))
+    merged = events.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    bins = durable(merged.select(
+        floor_div(to_micros("w.start"), width).alias("bin"),
+        to_micros("first_ts").alias("first_us"), to_micros("last_ts").alias("last_us")))
     gaps = latest_before(
         bins, [], "bin", F.col("last_us"), "before_us", width=65_536,
     ).filter(F.col("first_us") - F.col("before_us") > width).select(

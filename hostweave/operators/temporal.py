@@ -8,7 +8,7 @@ in slots (see ``functions.ordered``).
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions.ordered import latest_before
-from hostweave.functions.timefn import floor_div
+from hostweave.functions.timefn import floor_div, to_micros
 from hostweave.operators.graph import GRAPH_KEY
 
 _SECOND = 1_000_000
@@ -17,7 +17,8 @@ _NODE = [GRAPH_KEY, "source"]
 
 def out_ticks(edge_rows: DataFrame) -> DataFrame:
     """Distinct out-edge times per node with the number of edges at each."""
-    return edge_rows.groupBy(*_NODE, "ts_us").agg(F.count(F.lit(1)).alias("n_edges"))
+    return edge_rows.groupBy(*_NODE, to_micros("ts").alias("ts_us")).agg(
+        F.count(F.lit(1)).alias("n_edges"))
 
 
 def gap_entropy(ticks: DataFrame) -> DataFrame:

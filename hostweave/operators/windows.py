@@ -17,11 +17,9 @@ def in_range(ts: str, start, end) -> Column:
 
 
 def with_tumbling_window(events: DataFrame, seconds: int = 1) -> DataFrame:
-    """Add ``window_start`` and ``window_end``; only windows with events exist."""
-    micros = to_micros("ts")
-    start = micros - F.pmod(micros, F.lit(seconds * _SECOND))
-    return events.withColumns(
-        {"window_start": from_micros(start), "window_end": from_micros(start + seconds * _SECOND)})
+    """Add ``window_start`` and ``window_end``; events without a time are in no window."""
+    return events.withColumn("__w", F.window("ts", f"{seconds} seconds")).withColumns(
+        {"window_start": F.col("__w.start"), "window_end": F.col("__w.end")}).drop("__w")
 
 
 def tumbling_windows(events: DataFrame, seconds: int = 1) -> DataFrame:
