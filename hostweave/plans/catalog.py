@@ -457,7 +457,7 @@ def temporal_entropy(spark, folder):
 def _measure(name: str) -> Query:
     def run(spark, folder):
         return centrality(durable(_pairs(spark, folder))).select(
-            "window_start", "node_id", _round(name).alias(name))
+            "window_start", "node_id", _round(name, 9).alias(name))
     run.__name__ = name
     return query(run)
 
@@ -469,16 +469,17 @@ closeness, betweenness, pagerank, cluster_coeff = map(
 @query
 def cluster_coeff_by_joins(spark, folder):
     return wide_clustering(graph.edges(durable(_pairs(spark, folder)))).withColumn(
-        "cluster_coeff", _round("cluster_coeff"))
+        "cluster_coeff", _round("cluster_coeff", 9))
 
 
 @query
 def all_node_features(spark, folder):
-    digits = {"ts_var": 2, "avg_ts_gap": 9, "last_seen_delta": 6}
+    # Ratios of small numbers get many digits, so that none lies on a rounding edge.
+    digits = {"ts_var": 2, "time_sin": 6, "time_cos": 6, "temporal_entropy": 6}
     features = node_features(_pairs(spark, folder), view.BURST_RUN, view.BURST_WITHIN_US)
     return features.select(
         "window_start", "node_id", *[
-            _round(F.col(c).cast("double"), digits.get(c, 4)).alias(c) for c in NODE_FEATURES])
+            _round(F.col(c).cast("double"), digits.get(c, 9)).alias(c) for c in NODE_FEATURES])
 
 
 # --- sequences --------------------------------------------------------------
@@ -900,7 +901,7 @@ def live_node_features(spark, folder):
         out, burst_run=view.BURST_RUN, burst_within_us=view.BURST_WITHIN_US))
     return spark.read.parquet(out).select(
         "window_start", "node_id", "in_degree", "out_degree", "event_type_count",
-        _round("pagerank").alias("pagerank"), _round("closeness").alias("closeness"))
+        _round("pagerank", 9).alias("pagerank"), _round("closeness", 9).alias("closeness"))
 
 
 @query

@@ -468,28 +468,28 @@ _BODIES = {
     "burst_flags": "SELECT window_start, source, CAST(1 AS INTEGER) AS burst_flag FROM bursty",
     "temporal_entropy": """
         SELECT window_start, source, round(temporal_entropy, 6) + 0.0 AS temporal_entropy FROM entropy""",
-    "closeness": "SELECT window_start, node_id, round(closeness, 6) AS closeness FROM close",
-    "betweenness": "SELECT window_start, node_id, round(betweenness, 6) AS betweenness FROM between",
-    "pagerank": "SELECT window_start, node_id, round(pagerank, 6) AS pagerank FROM pr",
+    "closeness": "SELECT window_start, node_id, round(closeness, 9) AS closeness FROM close",
+    "betweenness": "SELECT window_start, node_id, round(betweenness, 9) AS betweenness FROM between",
+    "pagerank": "SELECT window_start, node_id, round(pagerank, 9) AS pagerank FROM pr",
     "cluster_coeff": """
-        SELECT window_start, node_id, round(coalesce(cluster_coeff, 0), 6) AS cluster_coeff
+        SELECT window_start, node_id, round(coalesce(cluster_coeff, 0), 9) AS cluster_coeff
         FROM day_nodes LEFT JOIN clus USING (window_start, node_id)""",
     "cluster_coeff_by_joins": """
-        SELECT window_start, node_id, round(cluster_coeff, 6) AS cluster_coeff FROM clus""",
+        SELECT window_start, node_id, round(cluster_coeff, 9) AS cluster_coeff FROM clus""",
     "all_node_features": """
         SELECT x.window_start, x.node_id, node_type_flag::DOUBLE AS node_type_flag, degree::DOUBLE AS degree,
                in_degree::DOUBLE AS in_degree, out_degree::DOUBLE AS out_degree,
                degree::DOUBLE AS event_count, event_type_count::DOUBLE AS event_type_count,
-               round(ts_var, 2) AS ts_var, round(closeness, 4) AS closeness,
-               round(betweenness, 4) AS betweenness, round(pagerank, 4) AS pagerank,
-               round(coalesce(cluster_coeff, 0), 4) AS cluster_coeff,
+               round(ts_var, 2) AS ts_var, round(closeness, 9) AS closeness,
+               round(betweenness, 9) AS betweenness, round(pagerank, 9) AS pagerank,
+               round(coalesce(cluster_coeff, 0), 9) AS cluster_coeff,
                CASE WHEN out_degree > 1 THEN round(span / (out_degree - 1), 9) ELSE 0 END AS avg_ts_gap,
-               round(coalesce(span, 0), 6) AS last_seen_delta,
+               round(coalesce(span, 0), 9) AS last_seen_delta,
                CASE WHEN b.source IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS burst_flag,
                degree::DOUBLE AS activity_rate,
-               round(coalesce(temporal_entropy, 0), 4) + 0.0 AS temporal_entropy,
-               round(coalesce(sin(2 * pi() * tod / 86400), 0), 4) + 0.0 AS time_sin,
-               round(coalesce(cos(2 * pi() * tod / 86400), 0), 4) + 0.0 AS time_cos
+               round(coalesce(temporal_entropy, 0), 6) + 0.0 AS temporal_entropy,
+               round(coalesce(sin(2 * pi() * tod / 86400), 0), 6) + 0.0 AS time_sin,
+               round(coalesce(cos(2 * pi() * tod / 86400), 0), 6) + 0.0 AS time_cos
         FROM (SELECT *, epoch_us(last_out - first_out) / 1e6 AS span,
                      hour(first_out) * 3600 + minute(first_out) * 60 + second(first_out) AS tod
               FROM day_nodes) x
@@ -671,7 +671,7 @@ _BODIES = {
                AS burst FROM closedhour""",
     "live_node_features": """
         SELECT window_start, node_id, in_degree, out_degree, event_type_count,
-               round(pagerank, 6) AS pagerank, round(closeness, 6) AS closeness
+               round(pagerank, 9) AS pagerank, round(closeness, 9) AS closeness
         FROM day_nodes JOIN pr USING (window_start, node_id) JOIN close USING (window_start, node_id)
         WHERE window_start + INTERVAL 1 DAY
               <= date_trunc('milliseconds', (SELECT max(ts) FROM ev)) - INTERVAL 2 HOUR""",
