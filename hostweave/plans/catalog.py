@@ -431,7 +431,7 @@ def undirected_pairs(spark, folder):
 def basic_node_features(spark, folder):
     return _nodes(spark, folder).select(
         "window_start", "node_id", "node_type_flag", "degree", "in_degree", "out_degree",
-        "event_count", "event_type_count", _round("ts_var", 3).alias("ts_var"), "activity_rate")
+        "event_count", "event_type_count", _round("ts_var", 2).alias("ts_var"), "activity_rate")
 
 
 @query
@@ -638,7 +638,7 @@ def neighbour_means(spark, folder):
     out = propagation.neighbour_means(
         nodes, graph.edges(pairs), ["in_degree", "event_type_count"], hops=2)
     return out.select("window_start", "node_id", *[
-        _round(c).alias(c) for c in out.columns if c.endswith(("_h1", "_h2"))])
+        _round(c, 9).alias(c) for c in out.columns if c.endswith(("_h1", "_h2"))])
 
 
 @query

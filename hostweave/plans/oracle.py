@@ -455,7 +455,7 @@ _BODIES = {
     # node features
     "basic_node_features": """
         SELECT window_start, node_id, node_type_flag, degree, in_degree, out_degree, degree AS event_count,
-               event_type_count, round(ts_var, 3) AS ts_var, degree AS activity_rate FROM day_nodes""",
+               event_type_count, round(ts_var, 2) AS ts_var, degree AS activity_rate FROM day_nodes""",
     "time_node_features": """
         SELECT window_start, node_id,
                CASE WHEN out_degree > 1 THEN round(span / (out_degree - 1), 9) ELSE 0 END AS avg_ts_gap,
@@ -564,9 +564,9 @@ _BODIES = {
     # propagation and scoring
     "edge_type_counts": f"SELECT window_start, source AS node_id, {_TYPE_COLUMNS} FROM day_edges GROUP BY 1, 2",
     "neighbour_means": """
-        SELECT x.window_start, x.node_id, round(coalesce(i1, 0), 6) AS in_degree_h1,
-               round(coalesce(t1, 0), 6) AS event_type_count_h1, round(coalesce(i2, 0), 6) AS in_degree_h2,
-               round(coalesce(t2, 0), 6) AS event_type_count_h2
+        SELECT x.window_start, x.node_id, round(coalesce(i1, 0), 9) AS in_degree_h1,
+               round(coalesce(t1, 0), 9) AS event_type_count_h1, round(coalesce(i2, 0), 9) AS in_degree_h2,
+               round(coalesce(t2, 0), 9) AS event_type_count_h2
         FROM day_nodes x LEFT JOIN hop1 USING (window_start, node_id)
         LEFT JOIN hop2 USING (window_start, node_id)""",
     "graph_embedding": """
