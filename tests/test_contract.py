@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from hostweave.plans import catalog, oracle
 from tools.compare import TABLES, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,11 +26,11 @@ def test_entry(spark):
 
 
 def test_every_query_but_training_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"sequence_classifier"}
+    assert set(catalog.QUERIES) - set(oracle.oracle_sql()) == {"sequence_classifier"}
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     ours = contract.queries()[name](spark, FOLDER).toPandas()
     assert difference(ours, con.execute(contract.oracle_sql()[name]).df()) == ""
