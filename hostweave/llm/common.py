@@ -2,7 +2,9 @@
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from hostweave.functions.durable import new_path
@@ -23,23 +25,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_chunks(
-    batches: Iterator[pa.RecordBatch], columns: Sequence[str], text: str, max_bytes: int = 1 << 22
-) -> Iterator[tuple[list[list], list[bytes]]]:
+    batches: Iterator[pa.RecordBatch], columns: Sequence[str], text: str, max_bytes: int = 1 << 20
+) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
     """Rows of Arrow batches in chunks of about ``max_bytes`` of text.
 
-    Yields the named columns as lists and the texts as UTF-8 (null: empty). A
-    chunk holds at least one row, however long its text.
+    Yields the named columns and the texts as UTF-8 (null: empty). A chunk holds
+    at least one row, however long its text; rows are never cut or left out.
     """
     for batch in batches:
-        table_ = pa.table(batch)
-        sizes = [0 if t is None else len(t) for t in table_[text].to_pylist()] if len(table_) else []
+        if not batch.num_rows:
+            continue
+        texts = batch.column(text).cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
         start = 0
-        while start < len(sizes):
-            end, total = start, 0
-            while end < len(sizes) and (end == start or total + sizes[end] <= max_bytes):
-                total += sizes[end]
-                end += 1
-            part = table_.slice(start, end - start)
-            texts = [b"" if t is None else t.encode() for t in part[text].to_pylist()]
-            yield [part[c].to_pylist() for c in columns], texts
+        while start < batch.num_rows:
+            limit = (ends[start - 1] if start else 0) + max_bytes
+            end = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
+            part = [b"" if t is None else t for t in texts.slice(start, end - start).to_pylist()]
+            yield [batch.column(c).slice(start, end - start) for c in columns], part
             start = end

@@ -117,7 +117,7 @@ def pieces(
         encode = encoder(tokenizer).encode
         for (ids,), texts in text_chunks(batches, ["doc_id"], "text", 1 << 21):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, data in zip(ids, encode([t.decode() for t in texts])):
+            for doc_id, data in zip(ids.to_pylist(), encode([t.decode() for t in texts])):
                 data += end
                 for piece, at in enumerate(range(0, len(data), 4 * limit)):
                     part = data[at:at + 4 * limit]

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import packing
+from hostweave.llm import jaccard, packing
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,8 @@ def query(function: Query) -> Query:
 @query
 def op1_best_fit_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op4_jaccard_join(spark, folder):
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
