@@ -6,6 +6,7 @@ within one length; a document's piece finds its slot by its own rank.
 """
 
 import functools
+import gc
 import math
 import re
 import zlib
@@ -37,7 +38,7 @@ class WordEncoder:
     tokenizer as a whole. ``encode`` equals the tokenizer's own ids.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -73,24 +74,36 @@ class WordEncoder:
                 at = cut
 
     def _learn(self, words: set[str]) -> None:
-        runs = {w: _RUN.findall(w.lower()) for w in words}
         if len(self.runs) > self.keep:
             self.runs = {}
-        self._learn_runs(list(set().union(*runs.values()) - self.runs.keys()))
-        of = self.runs.__getitem__
-        self.words.update((w, b"".join(map(of, r))) for w, r in runs.items())
+        runs, get, found, rest = self.runs, self.runs.get, self.words, []
+        for word in words:
+            text = word.lower()
+            ids = get(text)
+            if ids is None and text[-1] in ",." and text[-2:-1].isalpha():
+                head, tail = get(text[:-1]), get(text[-1])
+                ids = head + tail if head is not None and tail is not None else None
+            if ids is None:
+                rest.append((word, _RUN.findall(text)))
+            else:
+                found[word] = ids
+        self._learn_runs([r for r in {r for _, own in rest for r in own} if r not in runs])
+        for word, own in rest:
+            found[word] = runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [None if _OTHER.search(t) else t.split() for t in texts]
         if len(self.words) > self.keep:
             self.words = {}
-        new = set().union(*(w for w in words if w is not None)) - self.words.keys()
-        if new:
-            self._learn(new)
-        of = self.words.__getitem__
-        return [self._ids(t) if w is None else b"".join(map(of, w))
-                for t, w in zip(texts, words)]
+        words = [[] if _OTHER.search(t) else t.split() for t in texts]
+        coded = [list(map(self.words.get, w)) for w in words]
+        new = [[i for i, ids in enumerate(c) if ids is None] for c in coded]
+        self._learn({w[i] for w, places in zip(words, new) for i in places})
+        for w, c, places in zip(words, coded, new):
+            for i in places:
+                c[i] = self.words[w[i]]
+        return [b"".join(c) if w or not _OTHER.search(t) else self._ids(t)
+                for t, w, c in zip(texts, words, coded)]
 
 
 @functools.cache
@@ -115,6 +128,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
+        gc.disable()  # the tables hold millions of strings and no cycles
         for (ids,), texts in text_chunks(batches, ["doc_id"], "text", 1 << 21):
             out: list[list] = [[], [], [], [], []]
             for doc_id, data in zip(ids.to_pylist(), encode([t.decode() for t in texts])):
@@ -128,6 +142,7 @@ def pieces(
                 [pa.array(out[0], type=kind), pa.array(out[1], pa.int32())]
                 + [pa.array(c, pa.int64()) for c in out[2:]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        gc.enable()
 
     kind = pa.string() if key == "string" else pa.int32() if key == "int" else pa.int64()
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(key=key))
@@ -184,7 +199,7 @@ def plan(counts: dict[int, int], limit: int = 2048) -> list[tuple[int, int, int,
     return slots
 
 
-def pack(cut: DataFrame, limit: int = 2048, rows_per_bucket: int = 20_000) -> DataFrame:
+def pack(cut: DataFrame, limit: int = 2048, rows_per_bucket: int = 2_000) -> DataFrame:
     """Give every piece of ``cut`` a sequence and a place in it.
 
     ``cut`` is read several times and should be staged. Ranks within a length are
@@ -197,8 +212,12 @@ def pack(cut: DataFrame, limit: int = 2048, rows_per_bucket: int = 20_000) -> Da
         plan(counts, limit) or [(0, 0, 0, 0, 1, 0)],
         "length bigint, rank_from bigint, ranks bigint, first_sequence bigint, each bigint,"
         " used bigint")
-    buckets = max(1, math.ceil(max(counts.values(), default=1) / rows_per_bucket))
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # both tables depend on the sequence length only in their size, so they may be broadcast
+    buckets = spark.createDataFrame(
+        [(n, math.ceil(k / rows_per_bucket)) for n, k in counts.items()] or [(0, 1)],
+        "length bigint, buckets bigint")
+    keyed = cut.join(F.broadcast(buckets), "length").withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
     before = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
         "length", "bucket",
         (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
@@ -206,7 +225,6 @@ def pack(cut: DataFrame, limit: int = 2048, rows_per_bucket: int = 20_000) -> Da
     ranked = keyed.withColumn("place", F.row_number().over(inside)).join(
         before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place") - 1)
     at = F.col("rank") - F.col("rank_from")
-    # the plan's size depends on the sequence length only, so it may be broadcast
     return ranked.join(
         F.broadcast(slots),
         (ranked["length"] == slots["length"]) & (at >= 0) & (at < F.col("ranks"))
