@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import jaccard, packing
+from hostweave.llm import decontaminate, jaccard, packing, pii
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,14 @@ def op1_best_fit_packing(spark, folder):
 @query
 def op4_jaccard_join(spark, folder):
     return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query
+def op8_pii(spark, folder):
+    return pii.found_spans(table(spark, folder, "documents"))
+
+
+@query
+def op9_decontamination(spark, folder):
+    return decontaminate.contained_items(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
