@@ -28,8 +28,8 @@ from hostweave.llm.components import components
 
 #: Share of the hash range, in sixteenths, that the first count looks at.
 FIRST_PART = 6
-TOKENS_PER_FRAGMENT = 1_000_000
-FRAGMENTS = 8  # of the order among shared n-grams: df 2, 3-4, 5-8, ... , over 128
+TOKENS_PER_FRAGMENT = 2_000_000
+FRAGMENTS = 4  # of the order among shared n-grams: df 2-4, 5-16, 17-64, over 64
 
 _PARTS = ["fragment", "tokens", "keys", "counts", "known", "times"]
 _CUT = np.uint64(FIRST_PART << 60)
@@ -143,8 +143,9 @@ def _may_link(n_a: Column, n_b: Column, overlap: Column, percent: int) -> Column
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The sets of ``wanted`` (doc_id, text_hash, key), each once: key, n, tokens."""
+    # texts go through a shuffle however few sets are wanted, so cost grows evenly
     texts = _with_hash(docs).join(
-        wanted.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}),
+        wanted.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}).hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash"))
     ).dropDuplicates(["id", "hash"])
 
@@ -186,7 +187,7 @@ def _entries(nodes: DataFrame, percent: int) -> DataFrame:
 def _segments(nodes: DataFrame) -> DataFrame:
     """Each set cut along the global order: (key, fragment, tokens)."""
     part = lambda x: F.least(
-        F.ceil(F.log2(x["df"])).cast("int"), F.lit(FRAGMENTS)) - 1
+        F.ceil(F.log2(x["df"]) / 2).cast("int"), F.lit(FRAGMENTS)) - 1
     cut = F.transform(
         F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)),
         lambda f: F.struct(f.alias("fragment"), F.transform(
@@ -227,28 +228,26 @@ def spanning_links(sets: DataFrame, percent: int = 75) -> DataFrame:
         _may_link(F.col("n_a"), F.col("n_b"), bound, percent))), segments), "jaccard-led")
     found = tested.where(_may_link(F.col("n_a"), F.col("n_b"), F.col("overlap"), percent)).select("a", "b")
 
-    # other pairs of an n-gram, unless they are in one component or have no room for a link:
-    # what both share with the leader, and what both may share besides, bounds the overlap
+    # other pairs with the same leader, unless they are in one component or have no room for a
+    # link: what both share with the leader, and what both may share besides, bounds the overlap
     label = components(found, "jaccard-led")
     known = (
-        led.join(tested.select("a", "b", "overlap"), ["a", "b"], "left")
-        .join(label.withColumnRenamed("node", "b"), "b", "left")
-        .select("token", F.col("b").alias("key"), F.col("n_b").alias("n"), F.col("c_b").alias("c"),
-                F.col("overlap").alias("x"), F.coalesce("component", "b").alias("comp"),
-                F.col("a").alias("leader")))
-    known = staged(known.join(
-        label.withColumnsRenamed({"node": "leader", "component": "lead_comp"}), "leader", "left")
-        .withColumn("main", F.col("comp") == F.coalesce("lead_comp", "leader"))
-        .drop("leader", "lead_comp"), "jaccard-known")
-    left = known.where(~F.col("main"))
-    mixed = left.select("token").distinct()
-    one = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "c", "x", "comp")])
-    other = known.join(mixed, "token", "left_semi").select(
-        "token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "c", "x", "comp", "main")])
+        led.groupBy("a", "b").agg(F.first("n_b").alias("n"), F.first("c_b").alias("c"))
+        .join(tested.select("a", "b", F.col("overlap").alias("x")), ["a", "b"], "left")
+        .join(label.withColumnsRenamed({"node": "b", "component": "comp"}), "b", "left")
+        .join(label.withColumnsRenamed({"node": "a", "component": "lead"}), "a", "left")
+        .select(F.col("a").alias("leader"), F.col("b").alias("key"), "n", "c", "x",
+                F.coalesce("comp", "b").alias("comp"),
+                (F.coalesce("comp", "b") == F.coalesce("lead", "a")).alias("main")))
+    known = staged(known, "jaccard-known")
+    one = known.where(~F.col("main")).select(
+        "leader", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "c", "x", "comp")])
+    other = known.select(
+        "leader", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "c", "x", "comp", "main")])
     room = F.when(
         F.col("x_a").isNull() | F.col("x_b").isNull(), F.least("c_a", "c_b")).otherwise(
         F.least("x_a", "x_b") + F.least(F.col("c_a") - F.col("x_a"), F.col("c_b") - F.col("x_b")))
-    crossing = one.join(other, "token").where(
+    crossing = one.join(other, "leader").where(
         (F.col("comp_a") != F.col("comp_b")) & (F.col("main_b") | (F.col("key_a") < F.col("key_b")))
         & _may_link(F.col("n_a"), F.col("n_b"), room, percent))
     rest = _overlaps(_pairs(crossing.select(
@@ -281,7 +280,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     ).select("one.doc_id", "one.text_hash", "key"), "jaccard-wanted")
     # a key comes twice only where one id has several texts with the same set
     links = spanning_links(staged(
-        _sets(docs, wanted, k), "jaccard-sets").dropDuplicates(["key"]), percent)
+        _sets(docs, wanted, k).dropDuplicates(["key"]), "jaccard-sets"), percent)
     label = components(links, "jaccard")
     smallest = by_key.select("key", F.col("one.doc_id").alias("doc_id")).join(
         label.withColumnRenamed("node", "key"), "key", "left").withColumn(
