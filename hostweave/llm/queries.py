@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import decontaminate, jaccard, packing, pii
+from hostweave.llm import decontaminate, jaccard, packing, pii, quality_rules
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op1_best_fit_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op2_quality_rules(spark, folder):
+    return quality_rules.quality_rules(table(spark, folder, "documents"))
+
+
 @query
 def op4_jaccard_join(spark, folder):
     return jaccard.jaccard_components(table(spark, folder, "documents"))
