@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hostweave.llm.common import staged
+
 # Frequent words of each language, as written inside a sentence.
 COMMON_WORDS = {
     "en": "the of and to in a is that it for on with as was by are be this or from".split(),
@@ -172,7 +174,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     all distances are 0. Repeated rows and null ids give rows of their own; other
     columns are ignored.
     """
-    counts = described(docs)
+    counts = staged(described(docs), "quality-counts")
     return judged(counts, references(counts)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "class_distance", "word_distance")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import decontaminate, jaccard, packing, pii, quality_rules
+from hostweave.llm import decontaminate, jaccard, licenses, packing, pii, quality_rules, token_counts
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,11 +33,25 @@ def op2_quality_rules(spark, folder):
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
+@query
+def op3_license_scan(spark, folder):
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
 @query
 def op4_jaccard_join(spark, folder):
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
 
+@query
+def op5_token_counts(spark, folder):
+    import public_tokenizers
+
+    return token_counts.section_tokens(
+        table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 @query
 def op8_pii(spark, folder):
     return pii.found_spans(table(spark, folder, "documents"))
