@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import decontaminate, jaccard, licenses, packing, pii, quality_rules, token_counts
+from hostweave.llm import (
+    decontaminate, jaccard, language_id, licenses, packing, pii, quality_rules, token_counts)
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,11 @@ def op5_token_counts(spark, folder):
         public_tokenizers.PATTERN)
 
 
+@query
+def op7_language_id(spark, folder):
+    return language_id.identified(table(spark, folder, "documents"))
+
+
 @query
 def op8_pii(spark, folder):
     return pii.found_spans(table(spark, folder, "documents"))
