@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hostweave.llm import (
-    decontaminate, jaccard, language_id, licenses, packing, pii, quality_rules, token_counts)
+    decontaminate, jaccard, language_id, licenses, packing, pii, quality_model, quality_rules,
+    token_counts)
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,11 @@ def op5_token_counts(spark, folder):
         public_tokenizers.PATTERN)
 
 
+@query
+def op6_quality_model(spark, folder):
+    return quality_model.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op7_language_id(spark, folder):
     return language_id.identified(table(spark, folder, "documents"))
