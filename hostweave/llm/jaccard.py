@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.llm import shingles
 from hostweave.llm.common import staged, text_chunks
@@ -268,12 +268,43 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     unless all are null. Several rows with one doc_id are several documents.
     Columns beyond doc_id and text are ignored.
     """
+    own, sets = _components(docs, percent, k)
+    ids = sets.select("key", F.col("least.doc_id").alias("component_id"))
+    return own.join(ids, "key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with all columns.
+
+    It is the row with the smallest doc_id (null last, then by the text's hash);
+    exact copies of that row count as one. Rows without words all stay.
+    """
+    own, sets = _components(docs, percent, k)
+    empty = own.where("key is null").select("doc_id", "text_hash").distinct()
+    chosen = staged(sets.select("least.doc_id", "least.text_hash").distinct().withColumn("once", F.lit(True))
+                    .union(empty.withColumn("once", F.lit(False))), "jaccard-chosen")
+    picked = chosen.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "once": "__once"})
+    rows = docs.withColumn("__text", F.xxhash64("text")).join(
+        picked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
+    return _once(rows).select(*docs.columns)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each chosen (id, text); rows without words are all kept."""
+    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
+    return rows.withColumn("__place", place).where((F.col("__place") == 1) | ~F.col("__once"))
+
+
+def _components(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Facts of each document, and for each set key the least document of its component."""
     own = staged(facts(docs, k), "jaccard-facts")
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(1, math.ceil(letters / 6 * FIRST_PART / 16 / TOKENS_PER_FRAGMENT))
     shared = _shared_in_part(docs, fragments, k)
     by_key = own.where("key is not null").groupBy("key").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"),
         F.first("n").alias("n"), F.first("low").alias("low"))
     wanted = staged(by_key.join(shared, "key", "left").where(
         F.col("low") - F.coalesce("shared", F.lit(0)) <= _own_allowed(F.col("n"), percent)
@@ -282,11 +313,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     links = spanning_links(staged(
         _sets(docs, wanted, k).dropDuplicates(["key"]), "jaccard-sets"), percent)
     label = components(links, "jaccard")
-    smallest = by_key.select("key", F.col("one.doc_id").alias("doc_id")).join(
+    marked = by_key.select("key", "one").join(
         label.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
-    least = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = smallest.join(least, "component").select("key", "component_id")
-    return own.join(ids, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = marked.groupBy("component").agg(F.min("one").alias("least"))
+    return own, marked.join(least, "component").select("key", "least")

@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hostweave.llm import (
-    decontaminate, jaccard, language_id, licenses, packing, pii, quality_model, quality_rules,
-    token_counts)
+    decontaminate, html_text, jaccard, language_id, licenses, packing, pii,
+    quality_model, quality_rules, token_counts)
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op8_pii(spark, folder):
 def op9_decontamination(spark, folder):
     return decontaminate.contained_items(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_main_text(spark, folder):
+    return html_text.extracted(table(spark, folder, "pages"))
