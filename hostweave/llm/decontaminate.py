@@ -134,5 +134,5 @@ def _search(shipped, percent, k, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """The documents in which no item was found. Rows with a null doc_id go only with another such row."""
-    bad = contained_items(docs, items, percent, k).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    bad = contained_items(docs, items, percent, k).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")

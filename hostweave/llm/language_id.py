@@ -136,7 +136,7 @@ def train(docs: DataFrame) -> Network | None:
     ``TRAIN_WINDOWS`` windows of each.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
-    labelled = docs.where("lang is not null and text is not null and length(text) > 0")
+    labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and length(text) > 0")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     picked = (labelled.select("doc_id", "lang").withColumn("place", place)
               .where(F.col("place") <= TRAIN_DOCS).orderBy("place", "lang").limit(TRAIN_DOCS)

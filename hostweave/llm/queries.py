@@ -32,7 +32,8 @@ def op1_best_fit_packing(spark, folder):
 
 @query
 def op2_quality_rules(spark, folder):
-    return quality_rules.quality_rules(table(spark, folder, "documents"))
+    return quality_rules.quality_rules(table(spark, folder, "documents")).drop(
+        "class_distance", "word_distance")
 
 
 @query

@@ -1,3 +1,140 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-SQL: dict[str, str] = {}
+Packing, both classifiers, page extraction, offsets of tokens and the positions of
+personal data are tested against brute force instead.
+"""
+
+from hostweave.llm import licenses, quality_rules as rules
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _quality_rules() -> str:
+    listed = sorted({w for words in rules.COMMON_WORDS.values() for w in words})
+    classes = ["n_lower", "n_upper", "n_digit", "n_symbols", "n_other"]
+
+    def kept(characters: str) -> str:
+        return f"length(regexp_replace(solid, '[^{characters}]+', '', 'g'))"
+
+    def side(p: str, q: str) -> str:
+        return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
+
+    def distance(pairs: list[tuple[str, str]], whole: str) -> str:
+        total = " + ".join(f"{side(p, q)} + {side(q, p)}" for p, q in pairs)
+        return f"CASE WHEN {whole} > 0 THEN sqrt(greatest(({total}) / 2, 0.0)) ELSE 1.0 END"
+
+    sums = ", ".join([f"sum({c})::DOUBLE AS {c}" for c in classes] + ["sum(n_words)::DOUBLE AS n_words"] + [
+        f"sum(t{i})::DOUBLE AS t{i}" for i in range(len(listed))])
+    known = ", ".join(
+        f"r_{name} AS (SELECT {sums} FROM counts WHERE lang = '{name}')" for name in rules.COMMON_WORDS)
+    by_class, by_word = [], []
+    for name, words in rules.COMMON_WORDS.items():
+        chars = " + ".join(f"r_{name}.{c}" for c in classes)
+        by_class.append(distance(
+            [(f"(c.{c}::DOUBLE / c.word_chars)", f"(r_{name}.{c} / ({chars}))") for c in classes], "c.word_chars"))
+        own = [f"t{listed.index(w)}" for w in words]
+        rest = lambda t: f"({t}.n_words - " + " - ".join(f"{t}.{o}" for o in own) + ")"
+        by_word.append(distance(
+            [(f"(c.{o}::DOUBLE / c.n_words)", f"(r_{name}.{o} / r_{name}.n_words)") for o in own]
+            + [(f"({rest('c')}::DOUBLE / c.n_words)", f"({rest('r_' + name)} / r_{name}.n_words)")], "c.n_words"))
+    times = ", ".join(f"len([x FOR x IN words IF x = {_quoted(w)}]) AS t{i}" for i, w in enumerate(listed))
+    return rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT *, {_WORDS.format('text')} AS words,
+    [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM base),
+windows AS (
+  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS k FROM windows) WHERE k > 1),
+repeated AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
+solid AS (
+  SELECT s.rid, doc_id, lang, words, len(words) AS n_words, array_to_string(words, '') AS solid,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM split s LEFT JOIN repeated r ON s.rid = r.rid),
+classed AS (
+  SELECT doc_id, lang, n_words, n_dup_lines, n_repeat_words, length(solid) AS word_chars,
+    {kept(rules.CLASSES['lower'])} AS n_lower, {kept(rules.CLASSES['upper'])} AS n_upper,
+    {kept(rules.CLASSES['digit'])} AS n_digit, {kept(rules.CLASSES['symbol'])} AS n_symbols, {times} FROM solid),
+counts AS (
+  SELECT *, word_chars - n_lower - n_upper - n_digit - n_symbols AS n_other FROM classed),
+{known},
+judged AS (
+  SELECT c.*, coalesce(least({', '.join(by_class)}), 0) AS class_distance,
+    coalesce(least({', '.join(by_word)}), 0) AS word_distance,
+    c.n_words < {rules.MIN_WORDS} OR 100 * c.n_repeat_words > {rules.MAX_REPEATED} * c.n_words AS base_failed
+  FROM counts c, {', '.join(f'r_{n}' for n in rules.COMMON_WORDS)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+  AND NOT (word_chars >= {rules.CLASS_MIN_CHARS} AND class_distance > {rules.MAX_CLASS_DISTANCE})
+  AND NOT (n_words >= {rules.WORDS_MIN} AND word_distance > {rules.MAX_WORD_DISTANCE}) AS kept
+FROM judged"""
+
+
+def _shingled(k: int) -> str:
+    """The distinct k-word shingles of ``words``; the whole sequence if it is shorter, none if empty."""
+    parts = " || ' ' || ".join(f"words[i + {j}]" for j in range(k))
+    return (f"CASE WHEN len(words) >= {k} THEN list_distinct([{parts} FOR i IN range(1, len(words) - {k - 2})])"
+            " WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END")
+
+
+_LICENSES = rf"""
+WITH templates(license, template) AS (VALUES {', '.join(f'({_quoted(n)}, {_quoted(t)})' for n, t in licenses.TEMPLATES)}),
+wanted AS (
+  SELECT license, template, {_shingled(licenses.K)} AS own
+  FROM (SELECT *, regexp_extract_all(lower(template), '[\p{{L}}\p{{N}}]+') AS words FROM templates)),
+texts AS (
+  SELECT doc_id, {_shingled(licenses.K)} AS own
+  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS words FROM documents)
+  WHERE len(words) >= {licenses.K}),
+rows AS (
+  SELECT doc_id, license, template, len(w.own) AS n_template, len(list_intersect(w.own, t.own)) AS n_shared
+  FROM texts t, wanted w)
+SELECT * FROM rows WHERE 100 * n_shared >= {licenses.PERCENT} * n_template"""
+
+_JACCARD = f"""
+WITH RECURSIVE sets AS MATERIALIZED (
+  SELECT doc_id, {_shingled(5)} AS own
+  FROM (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')")} AS words
+        FROM documents)),
+tokens AS MATERIALIZED (SELECT doc_id, unnest(own) AS t FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sets x ON a = x.doc_id JOIN sets y ON b = y.doc_id
+  WHERE 100 * k >= 75 * (len(x.own) + len(y.own) - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM both_ways
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT doc_id, len(own) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM sets LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
+
+_ITEM_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),"
+               r" '[0-9a-z\x{80}-\x{10FFFF}]+')")
+_DECONTAMINATION = f"""
+WITH items AS (
+  SELECT item_id, {_shingled(5)} AS own FROM (SELECT item_id, {_ITEM_WORDS} AS words FROM benchmark)),
+texts AS (
+  SELECT doc_id, {_shingled(5)} AS own FROM (SELECT doc_id, {_ITEM_WORDS} AS words FROM documents)),
+wanted AS (SELECT item_id, len(own) AS n_item, unnest(own) AS t FROM items),
+held AS (SELECT doc_id, unnest(own) AS t FROM texts)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared
+FROM held JOIN wanted USING (t) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item"""
+
+SQL: dict[str, str] = {
+    "op2_quality_rules": _quality_rules(),
+    "op3_license_scan": _LICENSES,
+    "op4_jaccard_join": _JACCARD,
+    "op9_decontamination": _DECONTAMINATION,
+}
