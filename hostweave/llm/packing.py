@@ -32,13 +32,14 @@ class WordEncoder:
     """Ids of a lower-casing word BPE with word ends, word by word.
 
     No token crosses white space or the border of a run of letters, and words
-    repeat. So the ids of each word, and of each run in it, are kept as
-    little-endian bytes in tables of at most ``keep`` entries, which start anew
-    when they are full. Texts with characters outside Latin-1 go through the
-    tokenizer as a whole. ``encode`` equals the tokenizer's own ids.
+    repeat. So the ids of words and of runs are kept as little-endian bytes: words
+    for the length of a task, at most ``keep`` of them before the table starts
+    anew; the first ``keep_runs`` runs for as long as the Python worker lives.
+    Texts with characters outside Latin-1 go through the tokenizer as a whole.
+    ``encode`` equals the tokenizer's own ids.
     """
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 900_000, keep_runs: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -52,13 +53,14 @@ class WordEncoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(" ", "removed"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.keep, self.words, self.runs = keep, {}, {}
+        self.keep, self.keep_runs, self.words, self.runs = keep, keep_runs, {}, {}
 
     def _ids(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn_runs(self, runs: list[str]) -> None:
+    def _coded(self, runs: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         parts = [runs[i:i + 500] for i in range(0, len(runs), 500)]
         coded = self.plain.encode_batch_fast(
             [" ".join(p) for p in parts], add_special_tokens=False)
@@ -66,17 +68,16 @@ class WordEncoder:
             ids = np.array(code.ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # every run has one end
             if len(ends) != len(part):
-                self.runs.update((r, self._ids(r)) for r in part)
+                found.update((r, self._ids(r)) for r in part)
                 continue
             data, at = ids.tobytes(), 0
             for run, cut in zip(part, ends.tolist()):
-                self.runs[run] = data[at:cut]
+                found[run] = data[at:cut]
                 at = cut
+        return found
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.runs) > self.keep:
-            self.runs = {}
-        runs, get, found, rest = self.runs, self.runs.get, self.words, []
+        get, known, rest = self.runs.get, self.words, []
         for word in words:
             text = word.lower()
             ids = get(text)
@@ -86,10 +87,12 @@ class WordEncoder:
             if ids is None:
                 rest.append((word, _RUN.findall(text)))
             else:
-                found[word] = ids
-        self._learn_runs([r for r in {r for _, own in rest for r in own} if r not in runs])
+                known[word] = ids
+        new = self._coded([r for r in {r for _, own in rest for r in own} if r not in self.runs])
+        if len(self.runs) < self.keep_runs:
+            self.runs.update(new)
         for word, own in rest:
-            found[word] = runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])
+            known[word] = b"".join([new[r] if r in new else self.runs[r] for r in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -127,11 +130,11 @@ def pieces(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        gc.disable()  # the tables hold millions of strings and no cycles
+        known = encoder(tokenizer)
+        gc.disable()  # the tables hold many strings and no cycles
         for (ids,), texts in text_chunks(batches, ["doc_id"], "text", 1 << 21):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, data in zip(ids.to_pylist(), encode([t.decode() for t in texts])):
+            for doc_id, data in zip(ids.to_pylist(), known.encode([t.decode() for t in texts])):
                 data += end
                 for piece, at in enumerate(range(0, len(data), 4 * limit)):
                     part = data[at:at + 4 * limit]
@@ -142,6 +145,7 @@ def pieces(
                 [pa.array(out[0], type=kind), pa.array(out[1], pa.int32())]
                 + [pa.array(c, pa.int64()) for c in out[2:]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        known.words = {}
         gc.enable()
 
     kind = pa.string() if key == "string" else pa.int32() if key == "int" else pa.int64()
