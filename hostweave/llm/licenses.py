@@ -96,6 +96,9 @@ def _literals(values: list[str] | list[int], kind: str) -> Column:
 def _scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     known = _bands(docs.sparkSession, templates)
     bands = [(h, r["i"], 1 << max(0, (len(r["shingles"]) - 1).bit_length())) for r in known for h in r["bands"]]
+    if not bands:  # no template has five words
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema).selectExpr(
+            "doc_id", "'' AS license", "'' AS template", "0L AS n_template", "0L AS n_shared")
     keys = sorted({h for h, _, _ in bands})
     listed = F.array(*[F.struct(
         F.lit(h).cast("bigint").alias("h"), F.lit(i).alias("template"), F.lit(s).alias("stride"))
@@ -160,4 +163,4 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     """
     templates = TEMPLATES if templates is None else templates
     blocks = [templates[i:i + TEMPLATES_PER_BLOCK] for i in range(0, len(templates), TEMPLATES_PER_BLOCK)]
-    return reduce(DataFrame.union, [_scan(docs, b) for b in blocks or [[("none", "")]]])
+    return reduce(DataFrame.union, [_scan(docs, b) for b in blocks or [[("", "")]]])
