@@ -101,6 +101,8 @@ def pagerank(batch: Batch, damping: float = 0.85, tolerance: float = 1e-6, round
     dangling = batch.out == 0
     out = np.where(dangling, 1, batch.out)
     active = np.ones(batch.windows, dtype=bool)
+    if not batch.n:
+        return rank
     for _ in range(rounds):
         spread = np.bincount(
             batch.target, weights=(rank / out)[batch.source], minlength=batch.n)
@@ -112,8 +114,8 @@ def pagerank(batch: Batch, damping: float = 0.85, tolerance: float = 1e-6, round
         rank = np.where(active[batch.window], fresh, rank)
         active &= change >= batch.size * tolerance
         if not active.any():
-            break
-    return rank
+            return rank
+    raise ArithmeticError(f"PageRank has not converged after {rounds} rounds")
 
 
 def clustering(batch: Batch, chunk: int = 4_000_000):

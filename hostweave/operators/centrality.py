@@ -175,9 +175,9 @@ def wide_pagerank(
         state = moved.join(change, GRAPH_KEY).select(
             *_NODE, "n", "out", F.col("fresh").alias("rank"),
             (F.col("active") & (F.col("change") >= F.col("n") * tolerance)).alias("active"))
-        if turn % check_every == 0 and state.filter("active").isEmpty():
-            break
-    return state.select(*_NODE, F.col("rank").alias("pagerank"))
+        if (turn % check_every == 0 or turn == rounds) and state.filter("active").isEmpty():
+            return state.select(*_NODE, F.col("rank").alias("pagerank"))
+    raise ArithmeticError(f"PageRank has not converged after {rounds} rounds")
 
 
 def wide_path_sums(node_rows: DataFrame, edge_rows: DataFrame, blocks: int) -> DataFrame:

@@ -16,12 +16,13 @@ from hostweave.functions.timefn import from_micros, seconds_of_day, to_micros
 from hostweave.schemas import GRAPH_EVENT_TYPES
 
 GRAPH_KEY = "window_start"
+MOST_CODES = 64  # event types that travel as codes
 
 
 def type_code(column: str, vocabulary: Sequence[str]) -> Column:
     """Position of an event type in the vocabulary; an unknown type is an error."""
-    if len(vocabulary) > 64:
-        raise ValueError("a vocabulary has at most 64 event types")
+    if len(vocabulary) > MOST_CODES:
+        raise ValueError(f"a vocabulary has at most {MOST_CODES} event types")
     names = F.array(*[F.lit(v) for v in vocabulary])
     code = F.array_position(names, F.col(column)) - 1
     return F.when(code >= 0, code).otherwise(

@@ -7,6 +7,8 @@ step's nodes are always resolved in the graph of that step.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hostweave.functions.ordered import position_in_order
+from hostweave.functions.timefn import to_micros
 from hostweave.functions.text import clock, percent, verdict
 from hostweave.schemas import TECHNIQUES
 
@@ -16,13 +18,13 @@ TOP_TECHNIQUE = TECHNIQUES["EXECUTE"]
 STORY = (
     "Sequence %d is classified as %s.\n"
     "Highest importance occurred at timestep with weight %.3f.\n"
-    "Severity Score: %.2f.\nPossible MITRE Techniques: %s.")
+    "Severity Score: %s.\nPossible MITRE Techniques: %s.")
 
 
 def severity(weights: Column, prediction: Column) -> Column:
     """Weight of the last step, damped for benign sequences."""
     factor = F.when(prediction == 1, 1.0).otherwise(0.3)
-    return F.round(F.element_at(weights, -1) * factor, 2)
+    return F.bround(F.element_at(weights, -1) * factor, 2)
 
 
 def step_weights(attention: DataFrame) -> DataFrame:
@@ -62,8 +64,8 @@ def stories(
     named = F.when(F.size("techniques") > 0, F.array_join("techniques", ", ")).otherwise(
         "None detected")
     text = F.format_string(
-        STORY, F.col("sequence_id"), verdict("prediction"), F.array_max("weights"), F.col("severity"),
-        named)
+        STORY, F.col("sequence_id"), verdict("prediction"), F.array_max("weights"),
+        F.col("severity").cast("string"), named)
     return rows.withColumn("story", text)
 
 
@@ -82,9 +84,12 @@ def top_nodes(importance: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
 
 
 def timeline(edges: DataFrame) -> DataFrame:
-    """One line of text per edge with its time; order by ``ts`` within a window for display."""
+    """One line of text per edge with its place in its window, by time and first mention."""
     line = F.concat(clock("ts"), F.lit(" → "), F.concat_ws(" ", "source", "event", "target"))
-    return edges.select("window_start", "ts", "first_ordinal", line.alias("line"))
+    placed = position_in_order(
+        edges.withColumn("__us", to_micros("ts")), ["window_start"], "__us", "position",
+        width=3_600_000_000, ties=["first_ordinal", "target"])
+    return placed.select("window_start", "position", "ts", line.alias("line"))
 
 
 def hot_nodes(importance: DataFrame, above: float = 0.6, key: str = "window_start") -> DataFrame:

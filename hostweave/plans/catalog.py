@@ -166,7 +166,7 @@ def graph_documents(spark, folder):
     edge = lambda e: F.concat_ws(" ", e["source"], e["event"], e["target"])
     node = lambda n: F.concat_ws(":", n["id"], n["node_type"])
     return _documents(spark, folder).select(
-        "window_start", F.array_join(F.transform("nodes", node), ",").alias("nodes_text"),
+        "window_start", "part", F.array_join(F.transform("nodes", node), ",").alias("nodes_text"),
         F.array_join(F.transform("edges", edge), ",").alias("edges_text"))
 
 
@@ -210,7 +210,7 @@ def summary_report(spark, folder):
 
 @query
 def findings_report(spark, folder):
-    rare = reports.count_by(view.events(spark, folder), "type").select(F.avg("n_events")).first()[0]
+    rare = reports.count_by(view.events(spark, folder), "type").select(F.avg("n_events")).scalar()
     return reports.findings(
         view.events(spark, folder), view.subjects(spark, folder), seconds=view.HOUR,
         rare_below=rare).withColumn("rank", _big("rank"))
@@ -388,6 +388,22 @@ def overlapping_graph_edges(spark, folder):
         "window_start", "source", "target", "event", "ts", "n_events")
 
 
+@query
+def all_types_graph(spark, folder):
+    """Without an allow-list every event type makes edges."""
+    pairs = dataset.window_pairs(view.events(spark, folder), view.DAY, allowed=None)
+    return graph.edges(pairs).select("window_start", "source", "target", "event", "ts", "n_events")
+
+
+@query
+def nan_subject_graph(spark, folder):
+    """Events without a subject under a node of their own."""
+    events = view.events(spark, folder).withColumn(
+        "subject", F.when(F.col("ordinal") % 23 != 0, F.col("subject")))
+    pairs = dataset.window_pairs(events, view.DAY, null_subject="nan")
+    return graph.edges(pairs).select("window_start", "source", "target", "event", "ts", "n_events")
+
+
 @query
 def isolated_nodes(spark, folder):
     return _nodes(spark, folder).filter("degree = 0").select("window_start", "node_id", "node_type")
@@ -545,10 +561,8 @@ def most_active_subjects(spark, folder):
 
 @query
 def described_subjects(spark, folder):
-    """Half of the processes are unknown, so both kinds of description occur."""
-    known = view.subjects(spark, folder).filter("type = 'SUBJECT_PROCESS'")
     return reports.described_subjects(
-        reports.most_active_subjects(view.events(spark, folder), 10), known)
+        reports.most_active_subjects(view.events(spark, folder), 10), view.subjects(spark, folder))
 
 
 @query
@@ -581,7 +595,7 @@ def burst_minutes(spark, folder):
 def rare_types(spark, folder):
     """Rare against the mean count, so that the cut falls inside the carrier's types."""
     events = view.events(spark, folder)
-    mean = reports.count_by(events, "type").select(F.avg("n_events")).first()[0]
+    mean = reports.count_by(events, "type").select(F.avg("n_events")).scalar()
     return reports.rare_types(events, mean)
 
 
@@ -619,7 +633,7 @@ def all_long_gaps(spark, folder):
 @query
 def investigation_targets(spark, folder):
     events = view.events(spark, folder)
-    mean = reports.count_by(events, "type").select(F.avg("n_events")).first()[0]
+    mean = reports.count_by(events, "type").select(F.avg("n_events")).scalar()
     return reports.investigation_targets(events, view.subjects(spark, folder), view.HOUR, mean)
 
 
@@ -716,7 +730,7 @@ def severities(spark, folder):
 
 @query
 def flagged_steps(spark, folder):
-    return story.flagged_steps(_scored(spark, folder).importance()).withColumn("step", _big("step"))
+    return story.flagged_steps(_scored(spark, folder).largest()).withColumn("step", _big("step"))
 
 
 @query
@@ -733,14 +747,14 @@ def stories(spark, folder):
 @query
 def top_nodes(spark, folder):
     scored = _scored(spark, folder)
-    return story.top_nodes(scored.importance(), scored.nodes, 5).select(
+    return story.top_nodes(scored.foremost(5), scored.nodes, 5).select(
         "sequence_id", _big("rank"), _big("step"), "node_id", "node_type", "importance",
         "score_text")
 
 
 @query
 def edge_timeline(spark, folder):
-    return story.timeline(graph.edges(_pairs(spark, folder))).select("window_start", "ts", "line")
+    return story.timeline(graph.edges(_pairs(spark, folder)))
 
 
 @query
@@ -816,8 +830,7 @@ def events_in_attack(spark, folder):
 
 @query
 def trigger_events(spark, folder):
-    known = view.subjects(spark, folder).filter("type = 'SUBJECT_PROCESS'")
-    return lineage.trigger_events(view.events(spark, folder), known).select(
+    return lineage.trigger_events(view.events(spark, folder), view.subjects(spark, folder)).select(
         "ordinal", "ts", "subject", _real("cid"), "subject_type", "parent_subject")
 
 
@@ -906,10 +919,12 @@ def live_node_features(spark, folder):
 
 @query
 def live_sequences(spark, folder):
-    closed = live.live_window_counts(view.event_stream(spark, folder), view.HOUR, "2 hours")
+    host = F.concat(F.lit("h"), F.pmod(F.substring("subject", 2, 20).cast("bigint"), F.lit(8)))
+    closed = live.live_window_counts(
+        view.event_stream(spark, folder).withColumn("host_id", host), view.HOUR, "2 hours", ["host_id"])
     windows_table = live.run_to_end(closed, "closed-windows")
     labelled = windows.label_windows(windows_table, view.ATTACKS).select(
-        F.lit("h1").alias("host_id"), "window_start", "label")
+        "host_id", "window_start", "label")
     path = new_path(spark, "closed-windows-labelled")
     labelled.write.parquet(path)
     stream = spark.readStream.schema(labelled.schema).parquet(path)
@@ -921,4 +936,5 @@ def live_sequences(spark, folder):
 @query
 def live_deduplicated(spark, folder):
     feed = view.event_stream(spark, folder).withColumn("uuid", F.concat(F.lit("e"), F.col("ordinal")))
+    feed = feed.unionByName(feed.filter("type = 'EVENT_WRITE'"))  # copies, as a feed may send
     return live.run_to_end(live.deduplicated(feed, "2 hours"), "live-dedup")

@@ -9,6 +9,7 @@ from hostweave.functions.durable import durable
 from hostweave.functions.timefn import from_micros, to_micros
 from hostweave.operators import clean, graph, sequences, windows
 from hostweave.operators.features import node_features
+from hostweave.schemas import GRAPH_EVENT_TYPES
 from hostweave.sources.tables import write_table
 
 
@@ -25,18 +26,27 @@ def labelled_windows(
         "window_id", "window_start", "window_end", "label", "num_nodes", "num_edges")
 
 
-def window_pairs(events: DataFrame, seconds: int, **cleaning) -> DataFrame:
-    """Cleaned events to per-window pairs."""
+def window_pairs(
+    events: DataFrame, seconds: int, allowed: Sequence[str] | None = GRAPH_EVENT_TYPES,
+    null_subject: str | None = None,
+) -> DataFrame:
+    """Cleaned events to per-window pairs; ``allowed=None`` keeps every event type.
+
+    A list of event types is also the code book of the pairs; without a list, or
+    with one too long for codes, types travel as texts.
+    """
+    codes = allowed if allowed is not None and len(allowed) <= graph.MOST_CODES else None
     return graph.interactions(windows.with_tumbling_window(
-        clean.graph_events(events, **cleaning), seconds))
+        clean.graph_events(events, allowed, null_subject), seconds), codes)
 
 
 def build(
     events: DataFrame, folder: str, seconds: int = 1,
     attacks: Sequence[tuple[datetime, datetime]] | DataFrame = (), length: int = 3,
+    allowed: Sequence[str] | None = GRAPH_EVENT_TYPES, null_subject: str | None = None,
 ) -> None:
     """Write the node, edge, label and sequence tables below ``folder``."""
-    pairs = durable(window_pairs(events, seconds))
+    pairs = durable(window_pairs(events, seconds, allowed, null_subject))
     features = node_features(pairs, cut=False)
     day = F.col("window_start").cast("date")
     write_table(features.withColumn("day", day), f"{folder}/nodes", "day")

@@ -1,6 +1,6 @@
 """From stored node tables to scored, explained and told sequences."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions.durable import durable
 from hostweave.operators import propagation, scoring, sequences, story
@@ -51,4 +51,17 @@ class Explanation:
     def stories(self, threshold: float = 0.05) -> DataFrame:
         attention = durable(self.rounded_attention())
         return story.stories(
-            self.predictions(attention), attention, self.importance(), threshold)
+            self.predictions(attention), attention, self.largest(), threshold)
+
+    def largest(self) -> DataFrame:
+        """The largest node score of every step: taken per window, then joined to the steps."""
+        top = self.window_importance().groupBy("window_start").agg(
+            F.max("importance").alias("importance"))
+        return sequences.sequence_members(self.steps, top)
+
+    def foremost(self, k: int) -> DataFrame:
+        """The ``k`` largest node scores of every step's window, joined to the steps."""
+        best = Window.partitionBy("window_start").orderBy(F.desc("importance"), "node_id")
+        top = self.window_importance().withColumn("__rank", F.row_number().over(best)).filter(
+            F.col("__rank") <= k).drop("__rank")
+        return sequences.sequence_members(self.steps, top)

@@ -165,7 +165,7 @@ CTES = {
         FROM seqimp GROUP BY 1, 2 HAVING max(importance) > 0.05""",
     "severe": """
         SELECT sequence_id, prediction, w0, w1, w2,
-               round(w2 * CASE WHEN prediction = 1 THEN 1.0 ELSE 0.3 END, 2) AS severity
+               round_even(w2 * CASE WHEN prediction = 1 THEN 1.0 ELSE 0.3 END, 2) AS severity
         FROM predicted6 JOIN seqweights USING (sequence_id)""",
     "hourcount": """
         SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_events
@@ -296,7 +296,7 @@ _SEQ_TEXT = """
     || CASE WHEN prediction = 1 THEN 'MALICIOUS' ELSE 'BENIGN' END
     || '.' || chr(10) || 'Highest importance occurred at timestep with weight '
     || printf('%.3f', greatest(w0, w1, w2)) || '.' || chr(10) || 'Severity Score: '
-    || printf('%.2f', severity) || '.' || chr(10) || 'Possible MITRE Techniques: '
+    || severity::DOUBLE || '.' || chr(10) || 'Possible MITRE Techniques: '
     || CASE WHEN coalesce(k, 0) = 0 THEN 'None detected'
             ELSE 'T1059 Command Execution' || repeat(', T1059 Command Execution', CAST(k - 1 AS INTEGER)) END
     || '.'"""
@@ -333,8 +333,17 @@ _BODIES = {
         + _PROFILE + ") GROUP BY 1 UNION ALL "
         + " UNION ALL ".join(f"SELECT '{f}', count({x}) FROM ({_PROFILE})" for f, x in _FIELDS.items())
         + ")",
+    "all_types_graph": """
+        SELECT date_trunc('day', ts) AS window_start, subject AS source, object AS target,
+               arg_max(type, ordinal) AS event, arg_max(ts, ordinal) AS ts, count(*) AS n_events
+        FROM prov WHERE object IS NOT NULL GROUP BY 1, 2, 3""",
+    "nan_subject_graph": """
+        SELECT date_trunc('day', ts) AS window_start,
+               CASE WHEN ordinal % 23 = 0 THEN 'nan' ELSE subject END AS source, object AS target,
+               arg_max(type, ordinal) AS event, arg_max(ts, ordinal) AS ts, count(*) AS n_events
+        FROM ev WHERE object IS NOT NULL GROUP BY 1, 2, 3""",
     "graph_documents": """
-        SELECT window_start, nodes_text, coalesce(edges_text, '') AS edges_text
+        SELECT window_start, CAST(0 AS BIGINT) AS part, nodes_text, coalesce(edges_text, '') AS edges_text
         FROM (SELECT window_start, string_agg(node_id || ':' || node_type, ',' ORDER BY first_pos) AS nodes_text
               FROM day_roles GROUP BY 1)
         LEFT JOIN (SELECT window_start, string_agg(source || ' ' || event || ' ' || target, ','
@@ -520,7 +529,7 @@ _BODIES = {
         SELECT a.subject, a.n_events,
                coalesce('PID ' || s.cid || ' (' || s.type || ')', substr(a.subject, 1, 20) || '...') AS description
         FROM (SELECT subject, count(*) AS n_events FROM prov GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) a
-        LEFT JOIN (SELECT * FROM subj WHERE type = 'SUBJECT_PROCESS') s ON s.uuid = a.subject""",
+        LEFT JOIN subj s ON s.uuid = a.subject""",
     "top_types_over_time": """
         SELECT date_trunc('minute', ts) AS minute, type, count(*) AS n_events FROM prov
         WHERE type IN (SELECT type FROM prov GROUP BY 1 ORDER BY count(*) DESC, type LIMIT 3) GROUP BY 1, 2""",
@@ -609,7 +618,8 @@ _BODIES = {
                      ORDER BY importance DESC, step, node_id) AS rank FROM seqimp)
         JOIN hour_roles USING (window_start, node_id) WHERE rank <= 5""",
     "edge_timeline": """
-        SELECT window_start, ts, strftime(ts, '%H:%M:%S') || ' → ' || source || ' ' || event || ' ' || target AS line
+        SELECT window_start, row_number() OVER (PARTITION BY window_start ORDER BY ts, first_ordinal, target) - 1
+               AS position, ts, strftime(ts, '%H:%M:%S') || ' → ' || source || ' ' || event || ' ' || target AS line
         FROM day_edges""",
     "step_weight_texts": """
         SELECT sequence_id, printf('T1: %.1f%% | T2: %.1f%% | T3: %.1f%%', w0 * 100, w1 * 100, w2 * 100)
@@ -637,7 +647,7 @@ _BODIES = {
         SELECT * FROM prov WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-11 23:59:59'""",
     "trigger_events": """
         SELECT p.ordinal, p.ts, p.subject, s.cid::DOUBLE AS cid, s.type AS subject_type, s.parent_subject
-        FROM prov p LEFT JOIN (SELECT * FROM subj WHERE type = 'SUBJECT_PROCESS') s ON s.uuid = p.subject
+        FROM prov p LEFT JOIN subj s ON s.uuid = p.subject
         WHERE p.type = 'EVENT_EXECUTE'""",
     "subject_actions": """
         SELECT subject, type, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
@@ -677,12 +687,14 @@ _BODIES = {
               <= date_trunc('milliseconds', (SELECT max(ts) FROM ev)) - INTERVAL 2 HOUR""",
     "live_sequences": f"""
         SELECT host_id, first_start, last_start, label FROM (
-            SELECT 'h1' AS host_id, window_start AS first_start,
-                   lead(window_start, 2) OVER (ORDER BY window_start) AS last_start,
-                   CAST(greatest(l, lead(l) OVER (ORDER BY window_start),
-                        lead(l, 2) OVER (ORDER BY window_start)) AS INTEGER) AS label
-            FROM (SELECT window_start, CASE WHEN {_ATTACK} THEN 1 ELSE 0 END AS l
-                  FROM (SELECT *, window_start + INTERVAL 1 HOUR AS window_end FROM closedhour)))
+            SELECT host_id, window_start AS first_start,
+                   lead(window_start, 2) OVER w AS last_start,
+                   CAST(greatest(l, lead(l) OVER w, lead(l, 2) OVER w) AS INTEGER) AS label
+            FROM (SELECT host_id, window_start, CASE WHEN {_ATTACK} THEN 1 ELSE 0 END AS l
+                  FROM (SELECT DISTINCT 'h' || CAST(substr(subject, 2) AS BIGINT) % 8 AS host_id,
+                               c.window_start, c.window_start + INTERVAL 1 HOUR AS window_end
+                        FROM closedhour c JOIN prov ON date_trunc('hour', ts) = c.window_start))
+            WINDOW w AS (PARTITION BY host_id ORDER BY window_start))
         WHERE last_start IS NOT NULL""",
     "live_deduplicated": "SELECT *, 'e' || ordinal AS uuid FROM prov",
 }

@@ -12,16 +12,12 @@ GRAPH_EVENT_TYPES = [
 ]
 
 # Node features, in vector order.
-STRUCTURAL_FEATURES = [
+NODE_FEATURES = [
     "node_type_flag", "degree", "in_degree", "out_degree", "event_count",
     "event_type_count", "ts_var", "closeness", "betweenness", "pagerank",
-    "cluster_coeff",
+    "cluster_coeff", "avg_ts_gap", "last_seen_delta", "burst_flag",
+    "activity_rate", "temporal_entropy", "time_sin", "time_cos",
 ]
-TEMPORAL_FEATURES = [
-    "avg_ts_gap", "last_seen_delta", "burst_flag", "activity_rate",
-    "temporal_entropy", "time_sin", "time_cos",
-]
-NODE_FEATURES = STRUCTURAL_FEATURES + TEMPORAL_FEATURES
 
 # Ports regarded as common services.
 COMMON_PORTS = [80, 443, 53, 22, 21, 25, 110, 143, 3389]

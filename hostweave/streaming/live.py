@@ -5,13 +5,13 @@ in a UTC session: ``event_time`` is then the naive value itself. Results leave
 in append mode, once a window can no longer change.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hostweave.functions.durable import new_path
+from hostweave.functions.durable import durable, new_path
 from hostweave.operators.features import node_features
 from hostweave.operators.graph import interactions
 from hostweave.operators.reports import events_per_minute
@@ -28,13 +28,15 @@ def with_event_time(events: DataFrame, delay: str) -> DataFrame:
         "event_time", delay)
 
 
-def live_window_counts(events: DataFrame, seconds: int, delay: str) -> DataFrame:
-    """Events per closed window."""
+def live_window_counts(
+    events: DataFrame, seconds: int, delay: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Events per closed window, and per value of the columns ``by``."""
     return (
         with_event_time(events, delay)
-        .groupBy(F.window("event_time", f"{seconds} seconds").alias("w"))
+        .groupBy(F.window("event_time", f"{seconds} seconds").alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("n_events"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        .select(*by, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                 F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_events"))
 
 
@@ -75,9 +77,10 @@ def feature_writer(folder: str, **options) -> Callable[[DataFrame, int], None]:
     The batch number names the output partition, so a repeated batch overwrites itself.
     """
     def write(pairs: DataFrame, batch_id: int) -> None:
-        if pairs.isEmpty():
+        closed = durable(pairs)  # the stateful batch must not run once for each reader
+        if closed.isEmpty():
             return
-        node_features(pairs, **options).write.mode("overwrite").parquet(
+        node_features(closed, **{"cut": False, **options}).write.mode("overwrite").parquet(
             f"{folder}/batch_id={batch_id}")
     return write
 
@@ -86,7 +89,9 @@ def live_sequences(windows: DataFrame, length: int = 3) -> DataFrame:
     """The last ``length`` non-empty windows of each host whenever a window closes.
 
     ``windows`` has host_id, window_start and label, one row per closed window.
-    The state of a host is its last ``length - 1`` windows.
+    Windows close in time order, so a batch continues the host's state, its last
+    ``length - 1`` windows; a window older than the state is an error, since
+    sequences over it have left already.
     """
     def roll(
         key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
@@ -94,13 +99,17 @@ def live_sequences(windows: DataFrame, length: int = 3) -> DataFrame:
         starts, labels = ([], []) if not state.exists else (
             list(state.get[0]), list(state.get[1]))
         fresh = pd.concat(list(chunks)).sort_values("window_start")
+        first = int(pd.to_datetime(fresh["window_start"]).iloc[0].value // 1000)
+        if starts and first <= starts[-1]:
+            raise ValueError(f"host {key[0]}: a window at {first} us after one at {starts[-1]} us")
         starts += [int(v.value // 1000) for v in pd.to_datetime(fresh["window_start"])]
         labels += [int(v) for v in fresh["label"]]
         rows = [
             (key[0], starts[i], starts[i + length - 1], max(labels[i:i + length]))
-            for i in range(len(starts) - length + 1)]
-        keep = length - 1
-        state.update((starts[-keep:], labels[-keep:]) if keep else ([], []))
+            for i in range(len(starts) - length + 1)
+            if length > 1 or i >= len(starts) - len(fresh)]
+        keep = max(1, length - 1)  # the newest window also tells what comes too late
+        state.update((starts[-keep:], labels[-keep:]))
         yield pd.DataFrame(rows, columns=["host_id", "first_us", "last_us", "label"])
 
     return windows.groupBy("host_id").applyInPandasWithState(

@@ -117,7 +117,7 @@ def test_stories(spark):
     assert got[0].story == (
         "Sequence 0 is classified as MALICIOUS.\n"
         "Highest importance occurred at timestep with weight 0.500.\n"
-        "Severity Score: 0.50.\nPossible MITRE Techniques: T1059 Command Execution.")
+        "Severity Score: 0.5.\nPossible MITRE Techniques: T1059 Command Execution.")
     assert got[1].story.endswith("Possible MITRE Techniques: None detected.")
 
 
