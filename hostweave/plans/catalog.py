@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hostweave import schemas
 from hostweave.functions import ids, text, timefn
 from hostweave.functions.durable import durable, new_path
 from hostweave.operators import (
@@ -80,11 +81,66 @@ def event_csv(spark, folder):
         "ordinal", "ts", "type", "subject", "object")
 
 
+def _named_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events under the column names of a file."""
+    return view.events(spark, folder).withColumnsRenamed(
+        {"ts": "timestamp", "object": "predicate_object"})
+
+
+@query
+def event_csv_without_ordinal(spark, folder):
+    """Files without order numbers: the order of files and lines decides the last event."""
+    path = new_path(spark, "plain-csv")
+    tables.write_csv(
+        _named_events(spark, folder).repartitionByRange(5, "ordinal").sortWithinPartitions("ordinal")
+        .drop("ordinal"), path)
+    pairs = dataset.window_pairs(tables.read_events(spark, path), view.DAY)
+    return graph.nodes(pairs).select("window_start", "node_id", "node_type", "in_degree", "out_degree")
+
+
+@query
+def event_csv_mixed_headers(spark, folder):
+    """Two sets of files with their columns in different order."""
+    path, events = new_path(spark, "mixed-csv"), _named_events(spark, folder)
+    even = F.col("ordinal") % 2 == 0
+    tables.write_csv(events.filter(even), f"{path}/a")
+    tables.write_csv(events.filter(~even).select(*reversed(events.columns)), f"{path}/b")
+    return tables.read_events(spark, f"{path}/*")
+
+
+def _spoiled_csv(spark: SparkSession, folder: str) -> str:
+    """Event files in which every fiftieth time is written in another form."""
+    path = new_path(spark, "spoiled-csv")
+    other = F.date_format("timestamp", "dd/MM/yyyy HH:mm")
+    form = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    tables.write_csv(_named_events(spark, folder).withColumn(
+        "timestamp", F.when(F.col("ordinal") % 50 == 0, other).otherwise(form)), path)
+    return path
+
+
+@query
+def rejected_rows(spark, folder):
+    return tables.rejected_events(spark, _spoiled_csv(spark, folder)).select(
+        F.col("ordinal").cast("bigint").alias("ordinal"), F.col("ts").alias("time_text"), "type", "subject")
+
+
+@query
+def readable_rows(spark, folder):
+    return tables.read_events(spark, _spoiled_csv(spark, folder), reject=True)
+
+
+def _with_all_columns(df: DataFrame, schema: str) -> DataFrame:
+    """Columns of a file that the carrier tables do not have, empty."""
+    for part in schema.split(","):
+        df = clean.with_optional_column(df, part.split()[0])
+    return df
+
+
 @query
 def network_csv(spark, folder):
     path = new_path(spark, "network-csv")
     flows = view.network(spark, folder).withColumn("remote_port", F.col("remote_port").cast("double"))
-    tables.write_csv(flows, path)
+    tables.write_csv(_with_all_columns(flows, schemas.NETWORK), path)
     return tables.read_network(spark, path).select(
         "uuid", "local_address", "local_port", "remote_address", _real("remote_port"))
 
@@ -92,7 +148,7 @@ def network_csv(spark, folder):
 @query
 def subject_csv(spark, folder):
     path = new_path(spark, "subjects-csv")
-    tables.write_csv(view.subjects(spark, folder), path)
+    tables.write_csv(_with_all_columns(view.subjects(spark, folder), schemas.SUBJECTS), path)
     return tables.read_subjects(spark, path).select(
         "uuid", "type", "cid", "parent_subject", "start_timestamp")
 

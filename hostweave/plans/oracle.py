@@ -318,6 +318,13 @@ _SPLIT = """
 _BODIES = {
     # sources and sinks
     "event_csv": "SELECT ordinal, ts, type, md5(subject) AS subject, md5(object) AS object FROM prov",
+    "event_csv_without_ordinal": """
+        SELECT window_start, node_id, node_type, in_degree, out_degree FROM day_nodes""",
+    "event_csv_mixed_headers": "SELECT ordinal, ts, type, subject, object FROM prov",
+    "rejected_rows": """
+        SELECT ordinal, strftime(ts, '%d/%m/%Y %H:%M') AS time_text, type, subject
+        FROM prov WHERE ordinal % 50 = 0""",
+    "readable_rows": "SELECT ordinal, ts, type, subject, object FROM prov WHERE ordinal % 50 <> 0",
     "network_csv": "SELECT * REPLACE (remote_port::DOUBLE AS remote_port) FROM net",
     "subject_csv": "SELECT * FROM subj",
     "null_tokens": """

@@ -74,3 +74,10 @@ def test_triggers_connections_actions_and_run_keys(spark, log):
 def test_duplicate_records(spark):
     feed = spark.createDataFrame([("e1", 1), ("e1", 1), ("e2", 2)], "uuid string, n int")
     assert rows(clean.drop_duplicate_records(feed)) == [("e1", 1), ("e2", 2)]
+
+
+def test_long_process_chain(spark):
+    """A chain is followed to its end, however long it is."""
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(30)], "uuid string, parent_subject string")
+    start = spark.createDataFrame([("p0",)], "uuid string")
+    assert lineage.ancestry(chain, start).count() == 30

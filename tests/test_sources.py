@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from hostweave.functions.durable import durable
@@ -22,11 +23,43 @@ def test_event_csv(spark, tmp_path):
         "0,2019-05-07 11:10:41.912,EVENT_READ,b'\\xf0\\n\\\\',\"b\"\"it's,\\t\"\"\",36\n"
         "1,2019-05-07 11:10:42,EVENT_OPEN,None,,\n"
         "2,not a time,EVENT_OPEN,plain,None,\n"))
-    got = tables.read_events(spark, path).orderBy("ordinal").collect()
+    with pytest.raises(Exception, match="ts is not a TIMESTAMP_NTZ: not a time"):
+        tables.read_events(spark, path).collect()
+    got = tables.read_events(spark, path, reject=True).orderBy("ordinal").collect()
     assert [tuple(r) for r in got] == [
         (0, datetime(2019, 5, 7, 11, 10, 41, 912000), "EVENT_READ", r"b'\xf0\n\\'", "b\"it's,\\t\""),
-        (1, datetime(2019, 5, 7, 11, 10, 42), "EVENT_OPEN", None, None),
-        (2, None, "EVENT_OPEN", "plain", None)]
+        (1, datetime(2019, 5, 7, 11, 10, 42), "EVENT_OPEN", None, None)]
+    assert rows(tables.rejected_events(spark, path), "ordinal", "ts") == [("2", "not a time")]
+
+
+def test_missing_columns_are_errors(spark, tmp_path):
+    path = write(tmp_path, "e.csv", "ordinal,when,type,subject\n0,2019-05-07 11:10:42,EVENT_OPEN,a\n")
+    with pytest.raises(ValueError, match="missing columns: ts"):
+        tables.read_events(spark, path)
+    path = write(tmp_path, "s.csv", "type,cid\nSUBJECT_PROCESS,1\n")
+    with pytest.raises(ValueError, match="missing columns: uuid"):
+        tables.read_subjects(spark, path)
+
+
+def test_header_order_of_each_file(spark, tmp_path):
+    write(tmp_path, "a.csv", "ordinal,timestamp,type,subject,predicate_object\n0,2019-05-07 11:10:42,EVENT_OPEN,a,b\n")
+    write(tmp_path, "b.csv", "predicate_object,subject,type,timestamp,ordinal\nd,c,EVENT_READ,2019-05-07 11:10:43,1\n")
+    assert rows(tables.read_events(spark, str(tmp_path)), "ordinal", "type", "subject", "object") == [
+        (0, "EVENT_OPEN", "a", "b"), (1, "EVENT_READ", "c", "d")]
+
+
+def test_order_of_files_and_lines(spark, tmp_path):
+    """Without order numbers rows are numbered by file name and line, over all blocks."""
+    lines = [f"2019-05-07 11:10:42,EVENT_OPEN,s{i},o{i}" for i in range(3000)]
+    for n, part in enumerate((lines[:10], lines[10:2500], lines[2500:])):
+        write(tmp_path, f"part-{n}.csv", "\n".join(["timestamp,type,subject,predicate_object", *part]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = rows(tables.read_events(spark, str(tmp_path)), "ordinal", "subject")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, f"s{i}") for i in range(3000)]
 
 
 def test_missing_object_column(spark, tmp_path):
@@ -52,7 +85,10 @@ def test_registry_values(spark):
             " 'name': '673', 'runtimeDataType': None, 'valueBytes': b'\\x00', 'provenance': None}")
     df = spark.createDataFrame([("r1", "k", text, "S")], "uuid string, key string, value_name string, source string")
     assert rows(tables.registry_values(df)) == [
-        ("r1", "k", -1, "VALUE_TYPE_SRC", "VALUE_DATA_TYPE_INT", False, "673")]
+        ("r1", "k", -1, "VALUE_TYPE_SRC", "VALUE_DATA_TYPE_INT", False, "673", "\\x00")]
+    text = "{'size': 3, 'isNull': True, 'name': \"it's, x\", 'valueBytes': None}"
+    df = spark.createDataFrame([("r2", "k", text, "S")], "uuid string, key string, value_name string, source string")
+    assert tables.registry_values(df).first()[2:] == (3, None, None, True, "it's, x", None)
 
 
 def record(kind, **datum):

@@ -78,6 +78,15 @@ def test_sequences_per_host_across_batches(spark, tmp_path):
         ("g", 0, 6, 1), ("h", 0, 9, 1), ("h", 2, 20, 0), ("h", 9, 30, 0)]
 
 
+def test_a_window_older_than_the_state_is_an_error(spark, tmp_path):
+    def closed(*seconds):
+        return spark.createDataFrame(
+            [("h", T0 + timedelta(seconds=s), 0) for s in seconds], "host_id string, window_start timestamp_ntz, label int")
+    source = stream(spark, str(tmp_path), closed(5, 7, 6), closed(1, 2))
+    with pytest.raises(Exception, match="a window at"):
+        live.run_to_end(live.live_sequences(source), "t")
+
+
 def test_duplicates_within_the_watermark(spark, log, tmp_path):
     feed = log((0, "READ", "a", "x"), (1, "READ", "a", "x")).withColumn("uuid", F.lit("e1"))
     source = stream(spark, str(tmp_path), feed.filter("ordinal = 0"), feed.filter("ordinal = 1"))
