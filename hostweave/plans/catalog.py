@@ -1,5 +1,6 @@
 """Registered queries: every operator over the driver's tables, whole."""
 
+import functools
 from collections.abc import Callable
 from datetime import datetime
 
@@ -200,6 +201,60 @@ def record_subjects(spark, folder):
         "uuid", "type", "cid", "parent_subject")
 
 
+def _object_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Flows, files, registry keys, memory, principals and time markers as envelopes."""
+    def envelope(rows: DataFrame, kind: str, **fields: Column) -> DataFrame:
+        return rows.select(
+            F.lit(f"RECORD_{kind}").alias("type"), F.to_json(F.struct(
+                *[c.alias(n) for n, c in fields.items()])).alias("datum"))
+
+    number = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    part, supplier = view.table(spark, folder, "part"), view.table(spark, folder, "supplier")
+    rows = [
+        envelope(supplier, "NET_FLOW_OBJECT", uuid=number(F.col("s_suppkey")), localAddress=F.lit("::"),
+                 remoteAddress=F.concat(F.lit("10.3.0."), F.col("s_nationkey")), remotePort=F.col("s_nationkey").cast("int")),
+        envelope(part, "FILE_OBJECT", uuid=number(F.col("p_partkey")), type=F.col("p_brand"), epoch=F.col("p_size").cast("int")),
+        envelope(part, "REGISTRY_KEY_OBJECT", uuid=number(F.col("p_partkey")), key=F.col("p_name")),
+        envelope(part, "MEMORY_OBJECT", uuid=number(F.col("p_partkey")), memoryAddress=F.col("p_partkey"), size=F.col("p_size").cast("bigint")),
+        envelope(view.table(spark, folder, "customer"), "PRINCIPAL", uuid=number(F.col("c_custkey")),
+                 userId=F.col("c_name"), groupIds=F.array(F.col("c_mktsegment"))),
+        envelope(view.events(spark, folder), "TIME_MARKER", tsNanos=timefn.to_micros("ts") * 1000)]
+    path = new_path(spark, "objects-json")
+    functools.reduce(DataFrame.unionByName, rows).select(F.concat(
+        F.lit('{"type":"'), "type", F.lit('","hostId":"h1","sessionNumber":4,"source":"S","datum":'), "datum",
+        F.lit("}"))).write.text(path)
+    return cdm.read_records(spark, path)
+
+
+@query
+def object_records(spark, folder):
+    """Every object table, written from one reading of the records, as (table, id, value)."""
+    path = new_path(spark, "record-tables")
+    cdm.write_record_tables(_object_records(spark, folder), path)
+    values = {
+        "network": ("uuid", F.concat_ws(" ", "remote_address", "remote_port")),
+        "files": ("uuid", F.concat_ws(" ", "file_type", "epoch")), "registry": ("uuid", F.col("key")),
+        "memory": ("uuid", F.concat_ws(" ", "memory_address", "size")),
+        "principals": ("uuid", F.concat_ws(" ", "user_id", F.element_at("group_ids", 1))),
+        "time_markers": ("timestamp_nanos", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))}
+    return functools.reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{path}/{name}").select(
+            F.lit(name).alias("table_name"), F.col(key).cast("string").alias("id"), value.alias("value"),
+            "session_number") for name, (key, value) in values.items()])
+
+
+@query
+def member_records(spark, folder):
+    """Records whose union came as one struct per member, with ids as bytes."""
+    event = F.struct(
+        F.unhex(F.md5("subject")).alias("subject"), F.unhex(F.md5(F.col("ordinal").cast("string"))).alias("uuid"),
+        "type", F.unhex(F.md5("object")).alias("predicateObject"), (timefn.to_micros("ts") * 1000).alias("timestampNanos"))
+    records = view.events(spark, folder).select(
+        F.struct(event.alias("member12")).alias("datum"), F.lit("RECORD_EVENT").alias("type"),
+        F.lit("h1").alias("hostId"), F.lit(1).alias("sessionNumber"), F.lit("S").alias("source"))
+    return cdm.record_table(records, "events").select("uuid", "subject", "object", "type", "ts")
+
+
 @query
 def nanos_to_local(spark, folder):
     nanos = timefn.to_micros("ts") * 1000

@@ -334,6 +334,18 @@ _BODIES = {
         SELECT 'e' || ordinal AS uuid, ordinal AS sequence, ts - INTERVAL 5 HOUR AS ts, type,
                subject, object, 'h1' AS host_id FROM prov""",
     "record_subjects": "SELECT uuid, type, cid, parent_subject FROM subj",
+    "object_records": """
+        SELECT *, CAST(4 AS INTEGER) AS session_number FROM (
+        SELECT 'network' AS table_name, 'n' || s_suppkey AS id, '10.3.0.' || s_nationkey || ' ' || s_nationkey AS value FROM supplier
+        UNION ALL SELECT 'files', 'n' || p_partkey, p_brand || ' ' || p_size FROM part
+        UNION ALL SELECT 'registry', 'n' || p_partkey, p_name FROM part
+        UNION ALL SELECT 'memory', 'n' || p_partkey, p_partkey || ' ' || p_size FROM part
+        UNION ALL SELECT 'principals', 'n' || c_custkey, c_name || ' ' || c_mktsegment FROM customer
+        UNION ALL SELECT 'time_markers', (epoch_us(ts) * 1000)::VARCHAR,
+                         strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') FROM prov)""",
+    "member_records": """
+        SELECT md5(ordinal::VARCHAR) AS uuid, md5(subject) AS subject, md5(object) AS object, type,
+               ts - INTERVAL 5 HOUR AS ts FROM prov""",
     "nanos_to_local": "SELECT event_id, ts - INTERVAL 5 HOUR AS local_ts FROM events",
     "record_profile": "SELECT item, n_records, round(n_records * 100.0 / (SELECT count(*) FROM ("
         + _PROFILE + ")), 1) AS share FROM (SELECT 'record.type=' || kind AS item, count(*) AS n_records FROM ("

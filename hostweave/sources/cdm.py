@@ -5,17 +5,21 @@ package is installed. ``datum`` is a struct with the union of the members'
 fields; recursive members are kept as JSON text.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hostweave.functions.durable import durable
 from hostweave.functions.ids import clean_id
 from hostweave.functions.timefn import nanos_to_local
 
-# Record type by table.
+# Record type by table, in the order of the members of a record's union.
 RECORD_TYPES = {
-    "events": "RECORD_EVENT", "subjects": "RECORD_SUBJECT",
-    "network": "RECORD_NET_FLOW_OBJECT", "files": "RECORD_FILE_OBJECT",
-    "memory": "RECORD_MEMORY_OBJECT", "registry": "RECORD_REGISTRY_KEY_OBJECT",
+    "hosts": "RECORD_HOST", "principals": "RECORD_PRINCIPAL",
+    "tag_nodes": "RECORD_PROVENANCE_TAG_NODE", "unknown_nodes": "RECORD_UNKNOWN_PROVENANCE_NODE",
+    "subjects": "RECORD_SUBJECT", "files": "RECORD_FILE_OBJECT", "ipc": "RECORD_IPC_OBJECT",
+    "registry": "RECORD_REGISTRY_KEY_OBJECT", "packet_sockets": "RECORD_PACKET_SOCKET_OBJECT",
+    "network": "RECORD_NET_FLOW_OBJECT", "memory": "RECORD_MEMORY_OBJECT",
+    "sources_and_sinks": "RECORD_SRC_SINK_OBJECT", "events": "RECORD_EVENT",
+    "unit_dependencies": "RECORD_UNIT_DEPENDENCY", "time_markers": "RECORD_TIME_MARKER",
     "end_markers": "RECORD_END_MARKER",
 }
 
@@ -30,10 +34,16 @@ ENVELOPE = (
     " remoteAddress: STRING, remotePort: INT, ipProtocol: INT, fileDescriptor: INT,"
     " permission: STRING, epoch: INT, key: STRING, value: STRING, memoryAddress: BIGINT,"
     " pageNumber: BIGINT, pageOffset: BIGINT, sessionNumber: INT,"
-    " recordCounts: MAP<STRING, STRING>>,"
+    " recordCounts: MAP<STRING, STRING>, hostName: STRING, ta1Version: STRING,"
+    " hostIdentifiers: STRING, osDetails: STRING, hostType: STRING, interfaces: STRING,"
+    " userId: STRING, username: STRING, groupIds: ARRAY<STRING>, tagId: STRING,"
+    " flowObject: STRING, systemCall: STRING, prevTagId: STRING, opcode: STRING,"
+    " tagIds: ARRAY<STRING>, itag: STRING, ctag: STRING, upnTagId: STRING, uuid1: STRING,"
+    " uuid2: STRING, fd1: INT, fd2: INT, proto: INT, ifIndex: INT, haType: INT,"
+    " pktType: INT, addr: STRING, unit: STRING, dependentUnit: STRING, tsNanos: BIGINT>,"
     " CDMVersion STRING, type STRING, hostId STRING, sessionNumber INT, source STRING")
 
-_ID, _TIME = "id", "time"
+_ID, _IDS, _TIME = "id", "ids", "time"
 # Output column: (member field, treatment).
 COLUMNS = {
     "events": {
@@ -41,7 +51,9 @@ COLUMNS = {
         "ts": ("timestampNanos", _TIME), "timestamp_nanos": ("timestampNanos", None),
         "type": ("type", None), "subject": ("subject", _ID),
         "object": ("predicateObject", _ID), "object2": ("predicateObject2", _ID),
-        "object_path": ("predicateObjectPath", None), "thread_id": ("threadId", None),
+        "object_path": ("predicateObjectPath", None), "object2_path": ("predicateObject2Path", None),
+        "thread_id": ("threadId", None), "names": ("names", None), "parameters": ("parameters", None),
+        "location": ("location", None), "program_point": ("programPoint", None),
         "size": ("size", None), "properties": ("properties", None)},
     "subjects": {
         "uuid": ("uuid", _ID), "type": ("type", None), "cid": ("cid", None),
@@ -61,8 +73,33 @@ COLUMNS = {
         "page_number": ("pageNumber", None), "page_offset": ("pageOffset", None),
         "size": ("size", None)},
     "registry": {"uuid": ("uuid", _ID), "key": ("key", None), "value_name": ("value", None)},
+    "hosts": {
+        "uuid": ("uuid", _ID), "host_name": ("hostName", None), "ta1_version": ("ta1Version", None),
+        "host_identifiers": ("hostIdentifiers", None), "os_details": ("osDetails", None),
+        "host_type": ("hostType", None), "interfaces": ("interfaces", None)},
+    "principals": {
+        "uuid": ("uuid", _ID), "type": ("type", None), "user_id": ("userId", None),
+        "username": ("username", None), "group_ids": ("groupIds", None), "properties": ("properties", None)},
+    "tag_nodes": {
+        "tag_id": ("tagId", _ID), "flow_object": ("flowObject", _ID), "subject": ("subject", _ID),
+        "system_call": ("systemCall", None), "program_point": ("programPoint", None),
+        "prev_tag_id": ("prevTagId", _ID), "opcode": ("opcode", None), "tag_ids": ("tagIds", _IDS),
+        "itag": ("itag", None), "ctag": ("ctag", None), "properties": ("properties", None)},
+    "unknown_nodes": {
+        "tag_id": ("upnTagId", _ID), "subject": ("subject", _ID), "program_point": ("programPoint", None),
+        "properties": ("properties", None)},
+    "ipc": {
+        "uuid": ("uuid", _ID), "type": ("type", None), "uuid1": ("uuid1", _ID), "uuid2": ("uuid2", _ID),
+        "fd1": ("fd1", None), "fd2": ("fd2", None)},
+    "packet_sockets": {
+        "uuid": ("uuid", _ID), "proto": ("proto", None), "if_index": ("ifIndex", None),
+        "ha_type": ("haType", None), "pkt_type": ("pktType", None), "addr": ("addr", None)},
+    "sources_and_sinks": {
+        "uuid": ("uuid", _ID), "type": ("type", None), "file_descriptor": ("fileDescriptor", None)},
+    "unit_dependencies": {"unit": ("unit", _ID), "dependent_unit": ("dependentUnit", _ID)},
+    "time_markers": {"ts": ("tsNanos", _TIME), "timestamp_nanos": ("tsNanos", None)},
     "end_markers": {
-        "session_number": ("sessionNumber", None), "record_counts": ("recordCounts", None)},
+        "end_of_session": ("sessionNumber", None), "record_counts": ("recordCounts", None)},
 }
 
 
@@ -71,21 +108,52 @@ def read_records(spark: SparkSession, path: str, source_format: str = "json") ->
     return (reader if source_format == "avro" else reader.schema(ENVELOPE)).load(path)
 
 
+def _member(records: DataFrame, table: str) -> tuple[str, T.StructType]:
+    """Where the fields of a record type are: in ``datum`` itself, or in its member of a union."""
+    datum = records.schema["datum"].dataType
+    if not isinstance(datum, T.StructType):
+        raise ValueError(f"datum is a {datum.simpleString()}, not a struct")
+    name = f"member{list(RECORD_TYPES).index(table)}"
+    if name in datum.names:
+        return f"datum.{name}", datum[name].dataType
+    return "datum", datum
+
+
+def _id_text(value: Column, kind: T.DataType) -> Column:
+    """An id as text: bytes in hexadecimal, a bytes literal decoded."""
+    return F.lower(F.hex(value)) if isinstance(kind, T.BinaryType) else clean_id(value.cast("string"))
+
+
 def record_table(records: DataFrame, table: str, zone: str = "America/New_York") -> DataFrame:
-    """One record type as a flat table with the host and source it came from."""
-    fields = set(records.select("datum.*").columns)
+    """One record type as a flat table with the host, session and source it came from.
+
+    ``datum`` holds the fields of all types, or one struct per member of the union
+    (``member0``, ...), as data sources without unions give it. Ids may be bytes.
+    A field the shape lacks is null, but the first one, the key, must be there.
+    """
+    place, shape = _member(records, table)
+    key = next(iter(COLUMNS[table].values()))[0]
+    if key not in shape.names:
+        raise ValueError(f"no field {key} in {place} for {table}")
 
     def column(name: str, field: str, treatment: str | None) -> Column:
-        value = F.col(f"datum.{field}") if field in fields else F.lit(None)
+        if field not in shape.names:
+            kind = {_TIME: "timestamp_ntz", _IDS: "array<string>"}.get(treatment, "string")
+            return F.lit(None).cast(kind).alias(name)
+        value, kind = F.col(f"{place}.{field}"), shape[field].dataType
         if treatment == _ID:
-            value = clean_id(value.cast("string"))
+            value = _id_text(value, kind)
+        elif treatment == _IDS:
+            value = F.transform(value, lambda v: _id_text(v, kind.elementType))
         elif treatment == _TIME:
             value = nanos_to_local(value.cast("bigint"), zone)
         return value.alias(name)
 
+    session = F.col("sessionNumber") if "sessionNumber" in records.columns else F.lit(None).cast("int")
+    host = _id_text(F.col("hostId"), records.schema["hostId"].dataType)
     return records.filter(F.col("type") == RECORD_TYPES[table]).select(
         *[column(name, *spec) for name, spec in COLUMNS[table].items()],
-        F.col("hostId").alias("host_id"), "source")
+        host.alias("host_id"), session.alias("session_number"), "source")
 
 
 def write_record_tables(records: DataFrame, folder: str, zone: str = "America/New_York") -> None:

@@ -162,3 +162,15 @@ def test_csv_round_trip(spark, log, tmp_path):
     path = str(tmp_path / "out")
     tables.write_csv(df, path)
     assert rows(tables.read_events(spark, path)) == rows(df)
+
+
+def test_record_shapes(spark):
+    """An unknown shape is an error, a missing optional field is null."""
+    odd = spark.createDataFrame([(("x",), "RECORD_EVENT", "h", "S")], "datum struct<other: string>, type string, hostId string, source string")
+    with pytest.raises(ValueError, match="no field uuid"):
+        cdm.record_table(odd, "events")
+    plain = spark.createDataFrame([("x", "RECORD_EVENT", "h", "S")], "datum string, type string, hostId string, source string")
+    with pytest.raises(ValueError, match="not a struct"):
+        cdm.record_table(plain, "events")
+    bare = spark.createDataFrame([(("u",), "RECORD_IPC_OBJECT", "h", "S")], "datum struct<uuid: string>, type string, hostId string, source string")
+    assert cdm.record_table(bare, "ipc").first().fd1 is None
