@@ -37,6 +37,19 @@ def stratified_split(
         .otherwise("test")).drop("__h", "__rank", "__n")
 
 
+def boundary_split(
+    df: DataFrame, key: str = "sequence_id", train_share: float = 0.8, length: int = 3
+) -> DataFrame:
+    """Add ``split``: sequences before one boundary in time train, later ones test.
+
+    Sequence numbers are dense and overlap by ``length - 1`` windows, so as many
+    sequences at the boundary, marked ``gap``, belong to neither side.
+    """
+    first = F.floor(df.select(F.count(F.lit(1))).scalar() * train_share)
+    return df.withColumn(
+        "split", F.when(F.col(key) < first, "train").when(F.col(key) < first + (length - 1), "gap").otherwise("test"))
+
+
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     weight = F.when(F.col(label) == 1, CLASS_WEIGHTS[1]).otherwise(CLASS_WEIGHTS[0])
     return df.withColumn("class_weight", weight)

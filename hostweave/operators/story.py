@@ -105,6 +105,18 @@ def by_role(nodes: DataFrame, role: str) -> DataFrame:
     return nodes.filter(F.col("node_type_flag") == (1 if role == "subject" else 0))
 
 
+def write_by_sequence(table: DataFrame, path: str, buckets: int = 64) -> None:
+    """Rows with a ``sequence_id`` as Parquet, partitioned by a part of the id."""
+    table.withColumn("bucket", F.pmod(F.col("sequence_id"), F.lit(buckets)).cast("int")).write.partitionBy(
+        "bucket").parquet(path)
+
+
+def lookup_sequence(table: DataFrame, sequence_id: int, buckets: int = 64) -> DataFrame:
+    """Rows of one sequence; only the files of its partition are read."""
+    return table.filter(
+        (F.col("bucket") == sequence_id % buckets) & (F.col("sequence_id") == sequence_id)).drop("bucket")
+
+
 def lookup(table: DataFrame, column: str, value) -> DataFrame:
     """Rows of a stored table by id; on a partition column only that partition is read."""
     return table.filter(F.col(column) == F.lit(value))

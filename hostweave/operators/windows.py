@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hostweave.functions.ordered import position_in_order
+from hostweave.functions.ordered import latest_before, position_in_order
 from hostweave.functions.timefn import floor_div, from_micros, to_micros
 
 _SECOND = 1_000_000
@@ -91,7 +91,7 @@ def label_windows(
     """``label`` 1 where the window touches an attack interval, both ends inclusive.
 
     ``attacks`` is a short list of intervals, or a table ``(start, end)`` of any
-    size, which is matched day by day instead of being broadcast.
+    size, which is matched by one ordered look-up per window.
     """
     if not isinstance(attacks, DataFrame):
         hit = F.lit(False)
@@ -99,18 +99,20 @@ def label_windows(
             hit = hit | _overlaps(F.lit(start), F.lit(end))
         return windows.withColumn("label", hit.cast("int"))
 
-    def days(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(
-            F.unix_date(F.col(lo).cast("date")), F.unix_date(F.col(hi).cast("date"))))
-
-    by_day = attacks.select("start", "end").distinct().withColumn("__day", days("start", "end"))
+    # some interval that starts by the window's end lasts to its start or beyond exactly if
+    # the latest end among those intervals does
     spans = windows.select("window_start", "window_end").distinct()
-    hits = (
-        spans.withColumn("__day", days("window_start", "window_end"))
-        .join(by_day.withColumnRenamed("__day", "__attack_day"),
-              (F.col("__day") == F.col("__attack_day"))
-              & _overlaps(F.col("start"), F.col("end")), "left_semi")
-        .select("window_start", "window_end").distinct().withColumn("label", F.lit(1)))
+    none = F.lit(None).cast("timestamp_ntz")
+    order = attacks.select(
+        to_micros("start").alias("__us"), F.lit(0).alias("__kind"), to_micros("end").alias("__until"),
+        none.alias("window_start"), none.alias("window_end")).unionByName(spans.select(
+            to_micros("window_end").alias("__us"), F.lit(1).alias("__kind"),
+            F.lit(None).cast("bigint").alias("__until"), "window_start", "window_end"))
+    reached = latest_before(
+        order, [], "__us", F.col("__until"), "__latest", width=3600 * _SECOND, ties=["__kind"])
+    hits = reached.filter(
+        (F.col("__kind") == 1) & (F.col("__latest") >= to_micros("window_start"))).select(
+        "window_start", "window_end", F.lit(1).alias("label"))
     return windows.join(hits, ["window_start", "window_end"], "left").fillna(0, ["label"])
 
 

@@ -789,12 +789,24 @@ def attended_embedding(spark, folder):
 def sequence_classifier(spark, folder):
     """Train on the training split, then score every sequence."""
     rows = durable(propagation.step_matrix(_scored(spark, folder).members(), list(WEIGHTS)))
-    parts = durable(scoring.stratified_split(rows, "sequence_id"))
+    parts = durable(scoring.boundary_split(rows))
     features = [c for c in rows.columns if c not in ("sequence_id", "label")]
     model = scoring.train_classifier(parts.filter("split = 'train'"), features)
     return scoring.score_sequences(model, rows)
 
 
+@query
+def separable_classifier(spark, folder):
+    """Train on labels that a line separates: sequences that begin busier or quieter than the mean."""
+    rows = durable(propagation.step_matrix(_scored(spark, folder).members(), list(WEIGHTS)))
+    above = F.col("in_degree_t0") - rows.select(F.avg("in_degree_t0")).scalar()
+    marked = durable(rows.withColumn("label", (above > 0).cast("int")).filter(F.abs(above) > 0.01))
+    features = [c for c in rows.columns if c not in ("sequence_id", "label")]
+    model = scoring.train_classifier(marked, features)
+    return scoring.score_sequences(model, marked).groupBy("label", "prediction").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def stratified_split(spark, folder):
     return scoring.stratified_split(
@@ -808,6 +820,12 @@ def ordered_split(spark, folder):
         time_order=True)
 
 
+@query
+def boundary_split(spark, folder):
+    rows = sequences.sequences(_steps(spark, folder)).select("sequence_id", "label")
+    return scoring.boundary_split(rows)
+
+
 @query
 def class_weights(spark, folder):
     labels = view.table(spark, folder, "labels")
@@ -931,6 +949,38 @@ def window_lookup(spark, folder):
     return story.lookup(edges, "day", day).select("window_start", "source", "target", "event", "ts")
 
 
+def _stored_by_sequence(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
+    path = new_path(spark, name)
+    story.write_by_sequence(table, path)
+    return spark.read.parquet(path)
+
+
+@query
+def story_lookup(spark, folder):
+    told = _scored(spark, folder).stories().select("sequence_id", "severity", "story")
+    return story.lookup_sequence(_stored_by_sequence(spark, told, "stories"), 5)
+
+
+@query
+def explanation_lookup(spark, folder):
+    documents = _stored_by_sequence(spark, _explanations(spark, folder), "explanations")
+    return explanations.importance_rows(story.lookup_sequence(documents, 5)).withColumns(
+        {"step": _big("step"), "node_idx": _big("node_idx")})
+
+
+@query
+def graph_lookup(spark, folder):
+    """The graph of a sequence's centre window, from the edge table of that day."""
+    pairs = durable(_pairs(spark, folder, view.HOUR))
+    path = new_path(spark, "graph")
+    graph_docs.write_graph_tables(graph.nodes(pairs), graph.edges(pairs), path)
+    _, edges = graph_docs.read_graph_tables(spark, path)
+    steps = _stored_by_sequence(spark, _steps(spark, folder), "steps")
+    centre = story.lookup_sequence(steps, 5).filter("step = 1").select("window_start").scalar()
+    return edges.filter((F.col("day") == centre.cast("date")) & (F.col("window_start") == centre)).select(
+        "window_start", "source", "target", "event", "ts")
+
+
 # --- investigations ---------------------------------------------------------
 
 

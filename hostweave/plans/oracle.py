@@ -661,6 +661,26 @@ _BODIES = {
     "window_lookup": """
         SELECT window_start, source, target, event, ts FROM day_edges
         WHERE window_start = TIMESTAMP '2024-01-15'""",
+    "separable_classifier": """
+        SELECT CAST(above > 0 AS INTEGER) AS label, CAST(above > 0 AS INTEGER) AS prediction, count(*) AS n_rows
+        FROM (SELECT in_degree - avg(in_degree) OVER () AS above
+              FROM steps JOIN embed USING (window_start) WHERE step = 0)
+        WHERE abs(above) > 0.01 GROUP BY 1, 2""",
+    "boundary_split": """
+        SELECT sequence_id, CAST(max(label) AS INTEGER) AS label,
+               CASE WHEN sequence_id < floor(n * 0.8) THEN 'train'
+                    WHEN sequence_id < floor(n * 0.8) + 2 THEN 'gap' ELSE 'test' END AS split
+        FROM steps, (SELECT count(DISTINCT sequence_id) AS n FROM steps) GROUP BY sequence_id, n""",
+    "story_lookup": f"""
+        SELECT sequence_id, severity, {_SEQ_TEXT} AS story
+        FROM severe LEFT JOIN (SELECT sequence_id, count(*) AS k FROM flagged GROUP BY 1) USING (sequence_id)
+        WHERE sequence_id = 5""",
+    "explanation_lookup": """
+        SELECT sequence_id, CAST(step AS BIGINT) AS step, node_idx, importance
+        FROM seqimp JOIN hour_index USING (window_start, node_id) WHERE sequence_id = 5""",
+    "graph_lookup": """
+        SELECT window_start, source, target, event, ts FROM hour_edges
+        WHERE window_start = (SELECT window_start FROM steps WHERE sequence_id = 5 AND step = 1)""",
     # investigations
     "events_in_attack": """
         SELECT * FROM prov WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-11 23:59:59'""",
