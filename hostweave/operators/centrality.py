@@ -7,7 +7,8 @@ A larger window runs as joins over all of its rows, a block of source nodes at
 a time. Both give the same values.
 """
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,9 @@ TASK_WORK = 200_000_000
 # Pair rows gathered into one numpy batch.
 BATCH_PAIRS = 50_000
 
+MEASURES = ("closeness", "betweenness", "pagerank", "cluster_coeff")
+_BY_PATHS = {"closeness", "betweenness"}
+
 _NODE = [GRAPH_KEY, "node_id"]
 _PARTIAL_SCHEMA = (
     "window_start timestamp_ntz, node_id string, n bigint, dependency double,"
@@ -38,8 +42,8 @@ def window_sizes(pairs: DataFrame) -> DataFrame:
 # --- windows that fit a task ----------------------------------------------
 
 
-def _measure(rows: pd.DataFrame) -> pd.DataFrame:
-    """Partial measures of the windows in ``rows`` (complete windows, sorted)."""
+def _measure(rows: pd.DataFrame, measures: frozenset[str]) -> pd.DataFrame:
+    """Partial measures of the windows in ``rows`` (complete windows, sorted); others are 0."""
     starts = rows["window_start"].to_numpy()
     part = rows["slice"].to_numpy()
     opens = np.ones(len(rows), dtype=bool)
@@ -59,7 +63,9 @@ def _measure(rows: pd.DataFrame) -> pd.DataFrame:
     parts = rows["slices"].to_numpy()[first]
     local = np.arange(batch.n) - batch.base[batch.window]
     mine = np.flatnonzero(local % parts[batch.window] == part[batch.window])
-    dependency, reached, distance = kernels.path_sums(batch, mine)
+    nothing = np.zeros(batch.n)
+    dependency, reached, distance = kernels.path_sums(batch, mine) if measures & _BY_PATHS else (
+        nothing, nothing.astype("int64"), nothing.astype("int64"))
     # Measures that are not sums over source nodes come from the first slice alone.
     lead = part[batch.window] == 0
     return pd.DataFrame({
@@ -67,17 +73,21 @@ def _measure(rows: pd.DataFrame) -> pd.DataFrame:
         "node_id": np.asarray(labels)[node % len(labels)],
         "n": batch.node_size.astype("int64"),
         "dependency": dependency, "reached": reached, "distance": distance,
-        "pagerank": np.where(lead, kernels.pagerank(batch), 0.0) if lead.any() else 0.0,
-        "cluster_coeff": np.where(lead, kernels.clustering(batch), 0.0) if lead.any() else 0.0})
+        "pagerank": np.where(lead, kernels.pagerank(batch), 0.0)
+        if lead.any() and "pagerank" in measures else 0.0,
+        "cluster_coeff": np.where(lead, kernels.clustering(batch), 0.0)
+        if lead.any() and "cluster_coeff" in measures else 0.0})
 
 
-def _measure_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure_partition(
+    measures: frozenset[str], batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
     """Cut a sorted partition into batches of complete windows."""
     held: list[pd.DataFrame] = []
     count = 0
 
     def flush(rows: pd.DataFrame) -> pa.RecordBatch:
-        out = _measure(rows)
+        out = _measure(rows, measures)
         return pa.RecordBatch.from_pandas(out, schema=_ARROW, preserve_index=False)
 
     for batch in batches:
@@ -105,14 +115,14 @@ _ARROW = pa.schema([
     ("pagerank", pa.float64()), ("cluster_coeff", pa.float64())])
 
 
-def _in_tasks(pairs: DataFrame) -> DataFrame:
+def _in_tasks(pairs: DataFrame, measures: frozenset[str]) -> DataFrame:
     """``pairs`` carries ``slices``, the number of tasks each window is spread over."""
     spread = pairs.select(GRAPH_KEY, "subject", "object", "slices").withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     return (
         spread.repartition(GRAPH_KEY, "slice")
         .sortWithinPartitions(GRAPH_KEY, "slice")
-        .mapInArrow(_measure_partition, _PARTIAL_SCHEMA))
+        .mapInArrow(functools.partial(_measure_partition, measures), _PARTIAL_SCHEMA))
 
 
 # --- windows of any size --------------------------------------------------
@@ -240,7 +250,7 @@ def _path_sums_by_level(roots: DataFrame, links: DataFrame) -> DataFrame:
         F.sum("distance").alias("distance")))
 
 
-def _by_joins(pairs: DataFrame, block_rows: int) -> DataFrame:
+def _by_joins(pairs: DataFrame, block_rows: int, measures: frozenset[str]) -> DataFrame:
     pairs = durable(pairs.select(GRAPH_KEY, "subject", "object"))
     edge_rows = pairs.filter("object IS NOT NULL").select(
         GRAPH_KEY, F.col("subject").alias("source"), F.col("object").alias("target"))
@@ -248,14 +258,24 @@ def _by_joins(pairs: DataFrame, block_rows: int) -> DataFrame:
         GRAPH_KEY, F.explode(F.array("subject", "object")).alias("node_id"),
     ).filter("node_id IS NOT NULL").distinct())
     counts = node_rows.groupBy(GRAPH_KEY).agg(F.count(F.lit(1)).alias("n"))
-    cells = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-    sums = wide_path_sums(node_rows, edge_rows, max(1, -int(-cells // block_rows)))
+    out = node_rows.join(counts, GRAPH_KEY)
+    if measures & _BY_PATHS:
+        cells = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        out = out.join(
+            wide_path_sums(node_rows, edge_rows, max(1, -int(-cells // block_rows))), _NODE)
+    else:
+        out = out.withColumns({
+            "dependency": F.lit(0.0), "reached": F.lit(0).cast("bigint"), "distance": F.lit(0).cast("bigint")})
+    if "pagerank" in measures:
+        out = out.join(wide_pagerank(node_rows, edge_rows), _NODE)
+    else:
+        out = out.withColumn("pagerank", F.lit(0.0))
+    if "cluster_coeff" in measures:
+        out = out.join(wide_clustering(edge_rows), _NODE, "left").fillna(0.0, ["cluster_coeff"])
+    else:
+        out = out.withColumn("cluster_coeff", F.lit(0.0))
     return (
-        node_rows.join(counts, GRAPH_KEY).join(sums, _NODE)
-        .join(wide_pagerank(node_rows, edge_rows), _NODE)
-        .join(wide_clustering(edge_rows), _NODE, "left")
-        .fillna(0.0, ["cluster_coeff"])
-        .select(*_NODE, "n", "dependency", "reached", "distance", "pagerank", "cluster_coeff"))
+        out.select(*_NODE, "n", "dependency", "reached", "distance", "pagerank", "cluster_coeff"))
 
 
 # --- entry point ----------------------------------------------------------
@@ -263,28 +283,31 @@ def _by_joins(pairs: DataFrame, block_rows: int) -> DataFrame:
 
 def centrality(
     pairs: DataFrame, task_pairs: int = TASK_PAIRS, task_work: int = TASK_WORK,
-    block_rows: int = 2_000_000_000,
+    block_rows: int = 2_000_000_000, measures: Sequence[str] = MEASURES,
 ) -> DataFrame:
-    """The four measures for every node of every window in ``pairs``.
+    """The chosen ``measures`` for every node of every window in ``pairs``.
 
     ``pairs`` is read more than once, so pass a materialised table. Closeness
     uses incoming distances scaled by the reachable share; betweenness is
     directed and normalised, without end points.
     """
+    wanted = frozenset(measures)
+    if not wanted <= set(MEASURES):
+        raise ValueError(f"unknown measures: {sorted(wanted - set(MEASURES))}")
     sizes = window_sizes(pairs)
     largest = sizes.agg(F.max("n_pairs")).first()[0] or 0
     # A window of p pairs has at most 2p nodes, hence the work bound 2·p·p.
     if 2 * largest * largest <= task_work and largest <= task_pairs:
-        partial = _in_tasks(pairs.withColumn("slices", F.lit(1)))
+        partial = _in_tasks(pairs.withColumn("slices", F.lit(1)), wanted)
     else:
         sized = pairs.join(sizes, GRAPH_KEY)
         work = 2 * F.col("n_pairs") * F.col("n_pairs")
         slices = F.ceil(work / F.lit(task_work)).cast("int")
         partial = _in_tasks(
-            sized.filter(F.col("n_pairs") <= task_pairs).withColumn("slices", slices))
+            sized.filter(F.col("n_pairs") <= task_pairs).withColumn("slices", slices), wanted)
         if largest > task_pairs:
             partial = partial.unionByName(
-                _by_joins(sized.filter(F.col("n_pairs") > task_pairs), block_rows))
+                _by_joins(sized.filter(F.col("n_pairs") > task_pairs), block_rows, wanted))
     n, r = F.col("n"), F.col("reached")
     return partial.groupBy(*_NODE).agg(
         F.max("n").alias("n"), F.sum("dependency").alias("dependency"),
@@ -296,4 +319,4 @@ def centrality(
         .otherwise(0.0).alias("closeness"),
         F.when(n > 2, F.col("dependency") / ((n - 1) * (n - 2)))
         .otherwise(F.lit(0.0)).alias("betweenness"),
-        "pagerank", "cluster_coeff")
+        "pagerank", "cluster_coeff").select(*_NODE, *[m for m in MEASURES if m in wanted])

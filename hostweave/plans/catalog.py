@@ -11,7 +11,7 @@ from hostweave.functions import ids, text, timefn
 from hostweave.functions.durable import durable, new_path
 from hostweave.operators import (
     clean, graph, lineage, propagation, reports, scoring, sequences, story, temporal, windows)
-from hostweave.operators.centrality import centrality, wide_clustering
+from hostweave.operators.centrality import MEASURES, centrality, wide_clustering
 from hostweave.operators.features import node_features
 from hostweave.plans import dataset, testview as view
 from hostweave.plans.explain import Explanation
@@ -583,7 +583,7 @@ def temporal_entropy(spark, folder):
 
 def _measure(name: str) -> Query:
     def run(spark, folder):
-        return centrality(durable(_pairs(spark, folder))).select(
+        return centrality(durable(_pairs(spark, folder)), measures=[name]).select(
             "window_start", "node_id", _round(name, 9).alias(name))
     run.__name__ = name
     return query(run)
@@ -593,6 +593,13 @@ closeness, betweenness, pagerank, cluster_coeff = map(
     _measure, ["closeness", "betweenness", "pagerank", "cluster_coeff"])
 
 
+@query
+def centrality_by_joins(spark, folder):
+    """The way for windows beyond a task, taken by every window."""
+    return centrality(durable(_pairs(spark, folder)), task_pairs=0).select(
+        "window_start", "node_id", *[_round(m, 9).alias(m) for m in MEASURES])
+
+
 @query
 def cluster_coeff_by_joins(spark, folder):
     return wide_clustering(graph.edges(durable(_pairs(spark, folder)))).withColumn(

@@ -499,6 +499,11 @@ _BODIES = {
     "closeness": "SELECT window_start, node_id, round(closeness, 9) AS closeness FROM close",
     "betweenness": "SELECT window_start, node_id, round(betweenness, 9) AS betweenness FROM between",
     "pagerank": "SELECT window_start, node_id, round(pagerank, 9) AS pagerank FROM pr",
+    "centrality_by_joins": """
+        SELECT window_start, node_id, round(closeness, 9) AS closeness, round(betweenness, 9) AS betweenness,
+               round(pagerank, 9) AS pagerank, round(coalesce(cluster_coeff, 0), 9) AS cluster_coeff
+        FROM close JOIN between USING (window_start, node_id) JOIN pr USING (window_start, node_id)
+        LEFT JOIN clus USING (window_start, node_id)""",
     "cluster_coeff": """
         SELECT window_start, node_id, round(coalesce(cluster_coeff, 0), 9) AS cluster_coeff
         FROM day_nodes LEFT JOIN clus USING (window_start, node_id)""",
