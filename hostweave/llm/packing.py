@@ -39,7 +39,7 @@ class WordEncoder:
     ``encode`` equals the tokenizer's own ids.
     """
 
-    def __init__(self, path: str, keep: int = 900_000, keep_runs: int = 200_000):
+    def __init__(self, path: str, keep: int = 900_000, keep_runs: int = 60_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
