@@ -1,11 +1,12 @@
 """Attack-interval queries, process lineage, connections and reachability."""
 
+import functools
 import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hostweave.functions.durable import durable
+from hostweave.functions.durable import durable, new_path
 from hostweave.functions.ordered import latest_before
 from hostweave.functions.timefn import to_micros
 from hostweave.operators.reports import first_per_id
@@ -126,25 +127,33 @@ def forward_reach(events: DataFrame, start: str) -> DataFrame:
     ``reached_us`` is the earliest time; ``hops`` the rounds until it was known.
     Every round lowers a node's time or ends the search.
     """
-    links = durable(events.filter("object IS NOT NULL AND subject <> object").select(
-        F.col("subject").alias("node"), F.col("object").alias("next"), to_micros("ts").alias("us")))
-    reached = durable(links.sparkSession.range(1).select(
+    spark = events.sparkSession
+    path = new_path(spark, "links")
+    events.filter("object IS NOT NULL AND subject <> object").select(
+        F.col("subject").alias("node"), F.col("object").alias("next"), to_micros("ts").alias("us")
+    ).write.parquet(path)
+    links = spark.read.parquet(path)
+    front = durable(spark.range(1).select(
         F.lit(start).alias("node"), F.lit(-(2 ** 62)).cast("bigint").alias("reached_us"),
         F.lit(0).alias("hops")))
-    front = reached
+    found = [front]  # improvements only; the last one of a node is its smallest time
     for hop in itertools.count(1):
+        # the scan skips what happened before anything in the front was reached
+        earliest = front.agg(F.min("reached_us")).first()[0]
         arrivals = (
-            links.join(front, "node").filter("us >= reached_us")
+            links.filter(F.col("us") >= earliest).join(front, "node").filter("us >= reached_us")
             .groupBy(F.col("next").alias("node")).agg(F.min("us").alias("at")))
-        better = durable(
-            arrivals.join(reached, "node", "left")
+        known = functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(
+            F.min("reached_us").alias("reached_us"))
+        front = durable(
+            arrivals.join(known, "node", "left")
             .filter("reached_us IS NULL OR at < reached_us")
             .select("node", F.col("at").alias("reached_us"), F.lit(hop).alias("hops")))
-        if better.isEmpty():
-            return reached.filter("hops > 0")
-        reached = durable(
-            reached.join(better.select("node"), "node", "left_anti").unionByName(better))
-        front = better
+        if front.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(
+                F.min("reached_us").alias("reached_us"), F.min_by("hops", "reached_us").alias("hops")
+            ).filter("hops > 0")
+        found.append(front)
 
 
 def run_key_writes(
