@@ -35,7 +35,7 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,8}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9])")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(
-    r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)\s{0,4}[=:]\s{0,4}\"?([^\s\"]{8,256})\"?")
+    r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)\s{0,4}[=:]\s{0,4}\"?([^\s\"]{8,})\"?")
 
 # Words that speak for a kind, in lower case.
 _SPEAKS = {
@@ -141,13 +141,31 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     kept, used = [], _merged((a, b) for _, a, b in taken)
     for kind, start, end, own in sorted(proposed, key=lambda s: (ADDED.index(s[0]), s[1])):
         score = _score(kind, text, start, end, own)
+        if score < MIN_SCORE:
+            continue
         at = bisect.bisect_left(used, (end,))  # the last span that starts before the end
-        if score >= MIN_SCORE and (at == 0 or used[at - 1][1] <= start):
+        if at == 0 or used[at - 1][1] <= start:
             kept.append((kind, start, end, score))
             used.insert(at, (start, end))
+        elif kind == "secret":  # what other spans leave of it is still part of the secret
+            for a, b in _between(used, start, end):
+                if any(c.isalnum() for c in text[a:b]):
+                    kept.append((kind, a, b, score))
+                    bisect.insort(used, (a, b))
     return kept
 
 
+def _between(used: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a span that no span of ``used`` covers."""
+    first = max(0, bisect.bisect_left(used, (start,)) - 1)
+    found = []
+    for a, b in used[first:bisect.bisect_left(used, (end,))]:
+        if start < a:
+            found.append((start, a))
+        start = max(start, b)
+    return [*found, (start, end)] if start < end else found
+
+
 def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping spans joined, in order."""
     out: list[tuple[int, int]] = []

@@ -89,3 +89,16 @@ def test_redaction(documents):
     for t in KNOWN:
         assert brute(pii.redacted(t)) == []
     assert pii.redact(documents()).collect() == []
+
+
+def test_long_secrets_are_taken_whole(documents):
+    r = random.Random(5)
+    value = "".join(r.choice("abcdefgXYZ0189_") for _ in range(2000))
+    text = f'x token="{value}" y'
+    assert pii.added_spans(text, pii.base_spans(text))[0][:3] == ("secret", 9, 2009)
+    docs = documents((1, text), (2, f"api_key={value}"), (3, f"api_key={value},a.b@c.example;{value} end"))
+    spans = {r.doc_id: r.spans for r in pii.found_spans(docs).collect()}
+    assert spans[1] == "secret:9:2009" and spans[2] == "secret:8:2008"
+    marked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert marked[1] == 'x token="[SECRET]" y' and marked[2] == "api_key=[SECRET]"
+    assert "@" not in marked[3] and value[-20:] not in marked[3] and marked[3].endswith("[SECRET] end")
