@@ -38,6 +38,11 @@ CLOSES_P = frozenset(
     " h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
                "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+# Start tags that end an svg element, and elements of svg that hold HTML again.
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu"
+    " meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_IN_SVG = frozenset("foreignobject desc title".split())
 
 BUCKETS = 1 << 12
 DEPTH = 32  # outermost and innermost open elements that describe a block
@@ -101,6 +106,29 @@ _SCOPE = frozenset("table td th button object caption ul ol dl".split())
 _NO_SCOPE: frozenset[str] = frozenset()
 
 
+def _after_svg(page: str, at: int) -> int:
+    """Where an svg element whose content starts at ``at`` ends, nested ones counted.
+
+    Start tags of HTML end it too, as in browsers. If more are opened than closed,
+    the last end tag ends it; without one, the page does.
+    """
+    depth, inner, last = 1, 0, len(page)
+    for m in _TOKEN.finditer(page, at):
+        tag, opens = (m.group(2) or "").lower(), not m.group(1)
+        if opens and tag in ENDS_SVG and not inner:
+            return m.start()
+        if opens and (m.group(3) or "").rstrip().endswith("/"):
+            continue
+        if tag in HTML_IN_SVG:
+            inner = max(0, inner + (1 if opens else -1))
+        elif tag == "svg":
+            depth += 1 if opens else -1
+            last = last if opens else m.end()
+            if not depth:
+                break
+    return last
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks of a page in order; markup that is not closed or nested well is taken as browsers do."""
     b, at, size = _Builder(), 0, len(page)
@@ -127,8 +155,11 @@ def leaf_blocks(page: str) -> list[Block]:
             b.close({tag}, _NO_SCOPE)
         elif tag in RAW:
             b.flush()
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if tag == "svg":
+                at = at if m.group(3).rstrip().endswith("/") else _after_svg(page, at)
+            else:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else size
         else:
             if tag not in INLINE:
                 b.flush()

@@ -24,6 +24,17 @@ def test_leaf_blocks(page, blocks):
     assert texts(page) == blocks
 
 
+@pytest.mark.parametrize("page, blocks", [
+    ('<svg class="icon"/><article><p>a</article>', ["a"]), ("<p>a<svg />b<p>c<svg><text>t</text></svg>d", ["a", "b", "c", "d"]),
+    ("<svg><svg><text>t</text></svg><text>u</text></SVG >x", ["x"]), ("<svg><svg x='/'/><text>t</text></svg>x", ["x"]),
+    ("<svg><!-- </svg> --><text>t</text></svg>x", ["x"]), ("<svg><svg><text>t</text></svg><p>x", ["x"]),
+    ("a<svg><text>never closed", ["a"]), ("<svg><svg></svg><p>x<svg></svg>y", ["x", "y"]),
+    ("<svg><foreignObject><p>t</p></foreignObject></svg>x", ["x"]),
+])
+def test_leaf_blocks_beside_svg(page, blocks):
+    assert texts(page) == blocks
+
+
 def test_marginals_and_viterbi_against_all_sequences():
     r = np.random.default_rng(0)
     model = html_text.Field()
