@@ -104,7 +104,16 @@ def contained_items(
     give repeated rows, null ids are kept. The items are read in blocks of about
     ``items_per_block``, each against all documents; other columns are ignored.
     """
-    fields = dict(docs.dtypes) | {"item_id": dict(items.dtypes)["item_id"]}
+    return _found(docs, ["doc_id"], items, percent, k, items_per_block)
+
+
+def _found(
+    docs: DataFrame, carried: list[str], items: DataFrame, percent: int, k: int,
+    items_per_block: int = ITEMS_PER_BLOCK,
+) -> DataFrame:
+    """``contained_items`` with the columns ``carried`` of the documents."""
+    fields = dict(docs.dtypes)
+    schema = "".join(f"{c} {fields[c]}, " for c in carried) + f"item_id {dict(items.dtypes)['item_id']}"
     spark = docs.sparkSession
     wanted = items.where("text is not null").select("item_id", "text").distinct()
     blocks = max(1, math.ceil(wanted.count() / items_per_block))
@@ -113,26 +122,33 @@ def contained_items(
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shipped = spark.sparkContext.broadcast(
             ([r["item_id"] for r in rows], [r["text"].encode() for r in rows]))
-        found.append(docs.select("doc_id", "text").mapInArrow(
-            functools.partial(_search, shipped, percent, k),
-            f"doc_id {fields['doc_id']}, item_id {fields['item_id']}, n_item bigint, n_shared bigint"))
+        found.append(docs.select(*carried, "text").mapInArrow(
+            functools.partial(_search, shipped, carried, percent, k),
+            f"{schema}, n_item bigint, n_shared bigint"))
     return functools.reduce(DataFrame.union, found)
 
 
-def _search(shipped, percent, k, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(shipped, carried, percent, k, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, texts = shipped.value
     index = ItemIndex(texts, percent, k)
     item_type = pa.string() if any(isinstance(i, str) for i in ids) else pa.int64()
     names = pa.array(ids, item_type)
-    for (docs,), chunk in text_chunks(batches, ["doc_id"], "text"):
+    for docs, chunk in text_chunks(batches, carried, "text"):
         rows = list(index.search(chunk))
         text, item, size, shared = (pa.array([r[i] for r in rows], pa.int64()) for i in range(4))
         yield pa.RecordBatch.from_arrays(
-            [docs.take(text), names.take(item), size, shared],
-            names=["doc_id", "item_id", "n_item", "n_shared"])
+            [*(c.take(text) for c in docs), names.take(item), size, shared],
+            names=[*carried, "item_id", "n_item", "n_shared"])
 
 
 def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """The documents in which no item was found. Rows with a null doc_id go only with another such row."""
-    bad = contained_items(docs, items, percent, k).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents in which no item was found, each row by its own text.
+
+    Rows are told apart by doc_id and a 64-bit hash of the text, so a null or
+    repeated doc_id takes no row without an item along.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
+    bad = _found(keyed, ["doc_id", "__hash"], items, percent, k).select(
+        F.col("doc_id").alias("__bad"), F.col("__hash").alias("__bad_hash")).distinct()
+    return docs.join(
+        bad, F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__bad_hash")), "left_anti")

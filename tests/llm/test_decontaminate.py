@@ -77,3 +77,12 @@ def test_without_items(documents, spark):
     bad = {r[0] for r in brute(rows, items)}
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in bad)
+
+
+def test_rows_are_judged_by_their_own_text(documents, spark):
+    item = "one two three four five six seven eight"
+    table = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    clean = [(None, "a clean text without an id"), (None, None), (7, "another clean text of a repeated id"), (8, "clean")]
+    rows = [*clean, (None, f"x {item} y"), (7, f"z {item}"), (7, f"z {item}"), (9, item)]
+    got = decontaminate.without_items(documents(*rows, extra=True), table)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(clean)
