@@ -3,13 +3,15 @@
 A document is described by two histograms: of its characters by class and of the
 common words of a language. Both are compared, by Jensen-Shannon distance, with
 references summed over all documents of each language; the nearest language
-counts. A short text says little about its distribution, so each comparison has
+counts. The languages of ``COMMON_WORDS`` have fixed words. Every other language
+of the table takes its most frequent words from the table, and its documents are
+compared with its own reference as well. A short text says little about its distribution, so each comparison has
 a minimum length below which it passes.
 """
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.llm.common import staged
 
@@ -20,6 +22,7 @@ COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al".split(),
 }
+OWN_WORDS = 20  # words of a language without fixed ones
 SPACE = r"[\x20\x09-\x0D]"
 #: Classes of characters in words; every other character is in a class of its own.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": "0-9", "symbol": "#*$%&|<>"}
@@ -90,18 +93,38 @@ def _kept_length(text: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("bigint")
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
+
+
+def with_own_words(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text and own_words, the most frequent words of a language without fixed ones."""
+    rows, none = docs.select("doc_id", "lang", "text"), F.lit(None).cast("array<string>").alias("own_words")
+    other = F.coalesce(~F.col("lang").isin(list(COMMON_WORDS)), F.lit(False))
+    if rows.where(other).select("lang").isEmpty():
+        return rows.select("*", none)
+    counts = rows.where(other).select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy(
+        "lang", "word").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    own = counts.withColumn("place", place).where(F.col("place") <= OWN_WORDS).groupBy("lang").agg(
+        F.sort_array(F.collect_list("word")).alias("own_words"))
+    return rows.where(~other).select("*", none).unionByName(rows.where(other).join(own, "lang", "left"))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """Per document: base counts, characters by class and counts of common words."""
+    """Per row of ``with_own_words``: base counts, characters by class and counts of common words."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]"))
     listed = sorted({w for words in COMMON_WORDS.values() for w in words})
     words = docs.select(
-        "doc_id", "lang", F.array_remove(F.split(text, f"{SPACE}+"), "").alias("words"),
+        "doc_id", "lang", "own_words", _words(text).alias("words"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"))
     counted = words.select(
         "doc_id", "lang", "n_dup_lines", F.size("words").cast("bigint").alias("n_words"),
         repeated_words(F.col("words")).cast("bigint").alias("n_repeat_words"),
         F.array_join("words", "").alias("solid"),
+        _let(F.filter("words", lambda w: F.array_contains("own_words", w)), lambda hits: F.transform(
+            "own_words", lambda o: F.size(F.filter(hits, lambda w: w == o)).cast("bigint"))).alias("own_times"),
         F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: w.isin(listed)), "  "), F.lit(" ")).alias("hits"))
 
     def times(word: str) -> Column:
@@ -112,7 +135,7 @@ def described(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "n_words", "n_dup_lines", "n_repeat_words",
         F.length("solid").cast("bigint").alias("word_chars"),
         *[_kept_length(F.col("solid"), c).alias(f"n_{name}") for name, c in CLASSES.items()],
-        F.array(*[times(w) for w in listed]).alias("times"))
+        F.array(*[times(w) for w in listed]).alias("times"), "own_times")
     return classed.withColumnRenamed("n_symbol", "n_symbols").withColumn(
         "n_other", F.col("word_chars") - F.col("n_lower") - F.col("n_upper") - F.col("n_digit") - F.col("n_symbols"))
 
@@ -139,14 +162,40 @@ def references(counts: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     return found
 
 
+def with_own_references(counts: DataFrame) -> DataFrame:
+    """``counts`` with own_classes and own_shares, the references of languages without fixed words."""
+    none = [F.lit(None).cast("array<double>").alias(c) for c in ("own_classes", "own_shares")]
+    if counts.where("own_times is not null").isEmpty():
+        return counts.select("*", *none)
+    sums = counts.where("own_times is not null").groupBy("lang").agg(
+        F.sum("n_words").alias("words"), F.sum("word_chars").alias("chars"),
+        F.array(*[F.sum(c) for c in _CLASS_COUNTS]).alias("classes"),
+        F.array(*[F.sum(F.get("own_times", F.lit(i))) for i in range(OWN_WORDS)]).alias("own")).where("chars > 0")
+    # a language of fewer words has fewer shares
+    own = F.transform(F.filter("own", lambda n: n.isNotNull()), lambda n: n / F.col("words"))
+    known = sums.select(
+        "lang", F.transform("classes", lambda n: n / F.col("chars")).alias("own_classes"),
+        _let(own, lambda s: F.concat(s, F.array(1 - _total(s)))).alias("own_shares"))
+    return counts.where("own_times is null").select("*", *none).unionByName(
+        counts.where("own_times is not null").join(known, "lang", "left"))
+
+
 def judged(counts: DataFrame, known: list[tuple[str, list[float], list[float]]]) -> DataFrame:
+    """``counts`` of ``with_own_references`` with distances and verdicts.
+
+    A document whose language has no reference has distances of 0.
+    """
     listed = sorted({w for words in COMMON_WORDS.values() for w in words})
 
     def shares(values: list[Column], whole: str) -> Column:
         return F.array(*[F.when(F.col(whole) > 0, v / F.col(whole)).otherwise(0.0) for v in values])
 
-    def nearest(distances: list[Column]) -> Column:
-        return reduce(F.least, distances) if distances else F.lit(0.0)
+    def nearest(distances: list[Column], own: Column, reference: str) -> Column:
+        """Over the fixed languages and, where it has a reference, the document's own."""
+        fixed = F.least(*distances) if len(distances) > 1 else distances[0] if distances else F.lit(0.0)
+        with_own = F.least(*distances, own) if distances else own
+        return F.when(F.col("lang").isin([name for name, *_ in known]), fixed).when(
+            F.col(reference).isNotNull(), with_own).otherwise(0.0)
 
     classes = shares([F.col(c) for c in _CLASS_COUNTS], "word_chars")
 
@@ -154,10 +203,17 @@ def judged(counts: DataFrame, known: list[tuple[str, list[float], list[float]]])
         own = [F.get("times", F.lit(listed.index(w))) for w in COMMON_WORDS[language]]
         return shares([*own, F.col("n_words") - reduce(lambda a, b: a + b, own)], "n_words")
 
+    rest = F.col("n_words") - F.aggregate("own_times", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    own_shares = F.transform(F.concat("own_times", F.array(rest)), lambda n: F.when(
+        F.col("n_words") > 0, n / F.col("n_words")).otherwise(0.0))
     literal = lambda values: F.array(*[F.lit(float(v)) for v in values])
     return counts.withColumns({
-        "class_distance": nearest([js_distance(classes, literal(c)) for _, c, _ in known]),
-        "word_distance": nearest([js_distance(words(name), literal(w)) for name, _, w in known]),
+        "class_distance": nearest(
+            [js_distance(classes, literal(c)) for _, c, _ in known],
+            js_distance(classes, F.col("own_classes")), "own_classes"),
+        "word_distance": nearest(
+            [js_distance(words(name), literal(w)) for name, _, w in known],
+            js_distance(own_shares, F.col("own_shares")), "own_shares"),
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
     }).withColumn("kept", ~F.col("base_failed") & ~(
@@ -169,12 +225,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Per document its base counts, its distances and the verdict ``kept``.
 
     Words are runs of anything but ASCII white space. Null and empty texts have no
-    words and fail the base rules. A document without a known ``lang`` takes no
-    part in the references and is compared like any other; without any reference
-    all distances are 0. Repeated rows and null ids give rows of their own; other
+    words and fail the base rules. A document without a ``lang``, or of one without
+    a reference, has distances of 0 and is left to the base rules. Repeated rows and null ids give rows of their own; other
     columns are ignored.
     """
-    counts = staged(described(docs), "quality-counts")
-    return judged(counts, references(counts)).select(
+    counts = staged(described(with_own_words(docs)), "quality-counts")
+    return judged(with_own_references(counts), references(counts)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "class_distance", "word_distance")

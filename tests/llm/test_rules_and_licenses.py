@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -40,6 +41,25 @@ def test_odd_distributions_go(documents):
     assert rules.quality_rules(documents(*good, short)).where("doc_id = 52").first().kept
 
 
+def test_languages_without_fixed_words(documents):
+    r = random.Random(4)
+    common = "и в не на я что он с как это по но они мы".split()
+
+    def text():
+        return " ".join(r.choice(common) if r.random() < 0.4 else
+                        "".join(r.choice("абвгдежзклмнопрсту") for _ in range(r.randint(3, 9))) for _ in range(160))
+
+    clean = [(i, text(), "ru") for i in range(30)]
+    english = [(100 + i, PROSE * 2 + " ".join(f"w{i}{j}x" for j in range(90)), "en") for i in range(5)]
+    table = (50, " | ".join(f"cell{'abcdefghij'[i % 10]}{i}" for i in range(150)), "ru")
+    unknown = [(60, clean[0][1], None), (61, "мы " * 90, None)]
+    got = {x.doc_id: x for x in rules.quality_rules(documents(*clean, *english, table, *unknown, extra=True)).collect()}
+    assert len(got) == 38
+    assert all(got[i].kept and 0 < got[i].word_distance < 0.285 for i, *_ in clean)
+    assert not got[50].kept and not got[50].base_failed
+    assert got[60].kept and got[60].class_distance == got[60].word_distance == 0 and not got[61].kept
+
+
 def test_without_references(documents):
     row = rules.quality_rules(documents((1, PROSE * 2 + " x", None))).first()
     assert row.class_distance == 0 and row.word_distance == 0
