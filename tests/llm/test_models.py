@@ -76,6 +76,19 @@ def test_stage_keeps_texts_with_letters(documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([i for i, _, _ in corpus()] + [902])
 
 
+@pytest.mark.parametrize("languages", [1, 4])
+def test_stage_rejects_noise_whatever_the_number_of_languages(documents, languages):
+    rows = corpus()
+    names = sorted({r[2] for r in rows})[:languages]
+    rows = [r for r in rows if r[2] in names]
+    r = random.Random(6)
+    noise = [(900 + i, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(3, 9)))
+                                for _ in range(200)), None) for i in range(5)]
+    mixed = " ".join(text for name in names for text in [x[1] for x in rows if x[2] == name][:3])
+    got = {x.doc_id for x in language_id.in_language(documents(*rows, *noise, (950, mixed, None), extra=True)).collect()}
+    assert got == {x[0] for x in rows} | {950}
+
+
 def labelled(n=300, seed=2):
     r = random.Random(seed)
     docs, labels = [], []
