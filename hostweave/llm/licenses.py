@@ -52,6 +52,49 @@ TEMPLATES = [
      " https://mozilla.org/MPL/2.0/."),
 ]
 
+#: Shingles without which a template names the wrong version or variant, by licence.
+REQUIRED = {
+    "GPL-2.0": ["terms of the gnu general", "either version 2 of the"],
+    "LGPL-2.1": ["terms of the gnu lesser", "either version 2 1 of"],
+    "LGPL-3.0": ["terms of the gnu lesser", "either version 3 of the"],
+    "AGPL-3.0": ["terms of the gnu affero", "either version 3 of the"],
+    "BSD-2-Clause": ["with the distribution this software"],
+    "BSD-3-Clause": ["to endorse or promote products"],
+}
+_GNU = ("you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free"
+        " Software Foundation, either version {} of the License, or (at your option) any later version.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+        " the following conditions are met: Redistributions of source code must retain the above copyright notice, this"
+        " list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above"
+        " copyright notice, this list of conditions and the following disclaimer in the documentation and/or other"
+        " materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND"
+        " CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED"
+        " WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+       "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+       "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+#: Further notices: (license, template, whether its licence's ``REQUIRED`` shingles hold). A
+#: licence that ``TEMPLATES`` find in a text is not named again.
+FURTHER = [
+    *[(n, _GNU.format(kind, v), True) for n, kind, v in [
+        ("GPL-2.0", "General Public", "2"), ("LGPL-2.1", "Lesser General Public", "2.1"),
+        ("LGPL-3.0", "Lesser General Public", "3"), ("AGPL-3.0", "Affero General Public", "3")]],
+    *[(n, t, False) for n, kind, v in [
+        ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "Affero General Public License", "3")]
+      for t in (f"GNU {kind}, version {v}", f"GNU {kind} v{v}")],
+    ("BSD-2-Clause", _BSD.format(""), True),
+    ("BSD-3-Clause", _BSD.format(
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission. "), True),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+     " granted, provided that the above copyright notice and this permission notice appear in all copies.", False),
+    *[(f"CC-{c}-{v}", t, False) for v in ("1.0", "2.0", "2.5", "3.0", "4.0") for c, name in _CC.items()
+      for t in ([f"Creative Commons {name} {v}"] + (
+          [f"under CC BY {v}", f"license CC BY {v}"] if c == "BY" else [f"CC {c} {v}"]))],
+]
+
 
 def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -93,7 +136,10 @@ def _literals(values: list[str] | list[int], kind: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
 
-def _scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+def _scan(
+    docs: DataFrame, templates: list[tuple[str, str]], required: list[list[str]] | None = None, chosen=lambda found: found
+) -> DataFrame:
+    """Rows of the templates found; ``required`` shingles by template, ``chosen`` of a text's matches stay."""
     known = _bands(docs.sparkSession, templates)
     bands = [(h, r["i"], 1 << max(0, (len(r["shingles"]) - 1).bit_length())) for r in known for h in r["bands"]]
     if not bands:  # no template has five words
@@ -105,6 +151,8 @@ def _scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
         for h, i, s in bands])
     shingles = F.array(*[_literals(r["shingles"], "string") for r in known])
 
+    needed = F.array(*[_literals(r, "string") for r in required or []])
+
     def hits(hashes: Column) -> Column:
         """Places of the templates' smallest shingles, one entry for each band there."""
         places = F.filter(
@@ -130,9 +178,15 @@ def _scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
             F.filter(hits(hashes), lambda x: collides(hashes, x)), lambda x: x["template"]))
 
     def verified(words: Column, found: Column) -> Column:
-        return _let(_texts(words), lambda own: F.transform(found, lambda t: F.struct(
-            t.alias("template"), F.size(F.get(shingles, t)).alias("n_template"),
-            F.size(F.array_intersect(F.get(shingles, t), own)).alias("n_shared"))))
+        def matches(own: Column) -> Column:
+            kept = found if required is None else F.filter(
+                found, lambda t: F.size(F.array_except(F.get(needed, t), own)) == 0)
+            return F.filter(F.transform(kept, lambda t: F.struct(
+                t.alias("template"), F.size(F.get(shingles, t)).alias("n_template"),
+                F.size(F.array_intersect(F.get(shingles, t), own)).alias("n_shared"))),
+                lambda x: 100 * x["n_shared"] >= PERCENT * x["n_template"])
+
+        return _let(_let(_texts(words), matches), chosen)
 
     # one expression, whose parts are computed once each and only where they are needed
     def searched(words: Column) -> Column:
@@ -145,22 +199,46 @@ def _scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     def of(values: list[str]) -> Column:
         return F.get(_literals(values, "string"), F.col("r.template"))
 
-    return rows.where(100 * F.col("r.n_shared") >= PERCENT * F.col("r.n_template")).select(
+    return rows.where("r is not null").select(
         "doc_id", of([n for n, _ in templates]).alias("license"),
         of([t for _, t in templates]).alias("template"),
         F.col("r.n_template").cast("bigint").alias("n_template"),
         F.col("r.n_shared").cast("bigint").alias("n_shared"))
 
 
+def _known_licenses(docs: DataFrame) -> DataFrame:
+    """``TEMPLATES`` and ``FURTHER`` in one search, each with the shingles of its version."""
+    gpl3 = ["general public license version 3"], ["terms of the gnu general", "either version 3 of the"]
+    required = [gpl3["either version" in t] if n == "GPL-3.0" else [] for n, t in TEMPLATES]
+    required += [REQUIRED[n] if strict else [] for n, _, strict in FURTHER]
+    templates = TEMPLATES + [(n, t) for n, t, _ in FURTHER]
+    names, first = _literals([n for n, _ in templates], "string"), len(TEMPLATES)
+    clause = next(i for i, (n, _) in enumerate(TEMPLATES) if n == "BSD-3-Clause")
+
+    def name(x: Column) -> Column:
+        return F.get(names, x["template"])
+
+    def chosen(found: Column) -> Column:
+        """No licence again that ``TEMPLATES`` name; the clause both BSD licences share is not a second one."""
+        shared = F.exists(found, lambda y: name(y) == "BSD-2-Clause")
+        own = F.filter(found, lambda x: (x["template"] < first) & ~((x["template"] == clause) & shared))
+        return F.concat(own, F.filter(found, lambda x: (x["template"] >= first) & ~F.exists(
+            own, lambda y: name(y) == name(x))))
+
+    return _scan(docs, templates, required, chosen)
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows (doc_id, license, template, n_template, n_shared) for every notice found.
 
     Words are runs of letters and digits in lower case. A template is found where
     a document has at least 75 % of its distinct five-word shingles; templates and
     texts of fewer than five words, null and empty texts match nothing. Templates
-    are searched in blocks of ``TEMPLATES_PER_BLOCK``. Repeated rows and null ids
+    are searched in blocks of ``TEMPLATES_PER_BLOCK``. Without ``templates`` those of
+    ``TEMPLATES`` and ``FURTHER`` are searched, told apart by version and variant. Repeated rows and null ids
     give rows of their own; other columns are ignored.
     """
-    templates = TEMPLATES if templates is None else templates
+    if templates is None:
+        return _known_licenses(docs)
     blocks = [templates[i:i + TEMPLATES_PER_BLOCK] for i in range(0, len(templates), TEMPLATES_PER_BLOCK)]
     return reduce(DataFrame.union, [_scan(docs, b) for b in blocks or [[("", "")]]])

@@ -112,3 +112,20 @@ def test_license_blocks_and_empty_inputs(documents, monkeypatch):
     assert got == brute_licenses(rows, licenses.TEMPLATES)
     assert licenses.license_scan(documents()).collect() == []
     assert licenses.license_scan(documents(*rows), [("short", "two words")]).collect() == []
+
+
+def test_versions_and_variants_of_licenses(documents):
+    gnu = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as"
+           " published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    further = {n: t for n, t, strict in licenses.FURTHER if strict}
+    rows = {
+        1: ("Licensed under CC BY 4.0.", "CC-BY-4.0"), 2: ("see CC BY-NC-SA 4.0 here", "CC-BY-NC-SA-4.0"),
+        3: (gnu.format("General Public", "2"), "GPL-2.0"), 4: (gnu.format("General Public", "3"), "GPL-3.0"),
+        5: (gnu.format("Lesser General Public", "2.1"), "LGPL-2.1"), 6: (gnu.format("Affero General Public", "3"), "AGPL-3.0"),
+        7: ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        8: (further["BSD-2-Clause"], "BSD-2-Clause"), 9: (further["BSD-3-Clause"], "BSD-3-Clause"),
+        10: ("under a Creative Commons Attribution-NonCommercial 3.0 Unported License", "CC-BY-NC-3.0"),
+        11: (next(t for n, t, _ in licenses.FURTHER if n == "ISC"), "ISC"), 12: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    }
+    got = licenses.license_scan(documents(*[(i, f"before it {t} after it") for i, (t, _) in rows.items()])).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(i, n) for i, (_, n) in rows.items()}
