@@ -2,11 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.llm import (
-    decontaminate, html_text, jaccard, language_id, licenses, packing, pii,
-    quality_model, quality_rules, token_counts)
+    decontaminate, divergence, html_text, jaccard, language_id, licenses, merkle, packing,
+    piece_coding, pii, quality_model, quality_rules, token_counts)
 from hostweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,23 @@ def op9_decontamination(spark, folder):
 @query
 def op10_main_text(spark, folder):
     return html_text.extracted(table(spark, folder, "pages"))
+
+
+@query
+def op11_piece_coding(spark, folder):
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = piece_coding.with_decoded(
+        piece_coding.encoded(table(spark, folder, "documents"), model), model)
+    return coded.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_source_divergence(spark, folder):
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    return merkle.audited(table(spark, folder, "documents"))

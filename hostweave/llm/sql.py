@@ -4,7 +4,7 @@ Packing, both classifiers, page extraction, offsets of tokens and the positions
 personal data are tested against brute force instead.
 """
 
-from hostweave.llm import licenses, quality_rules as rules
+from hostweave.llm import divergence, licenses, merkle, quality_rules as rules
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -132,9 +132,122 @@ held AS (SELECT doc_id, unnest(own) AS t FROM texts)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared
 FROM held JOIN wanted USING (t) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item"""
 
+_PRICE = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+_SHARE = f"1 + ({divergence.SCALE}::HUGEINT * ({{n}} + 2)) // ({{total}} + 2 * {{terms}})"
+_DIVERGENCE = f"""
+WITH base AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS text FROM documents),
+words AS MATERIALIZED (
+  SELECT lang, source, rid,
+    unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM base),
+kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term
+  HAVING count(DISTINCT rid) >= {divergence.LEAST_DOCS}),
+langs AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM kept GROUP BY lang),
+members AS (SELECT DISTINCT lang, source FROM base),
+counts AS MATERIALIZED (
+  SELECT w.lang, source, term, count(*) AS n FROM words w JOIN kept k USING (lang, term) GROUP BY ALL),
+sizes AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM members LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+dense AS MATERIALIZED (
+  SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n,
+    {_SHARE.format(n='coalesce(c.n, 0)', total='s.total', terms='l.terms')} AS p,
+    {_SHARE.format(n='k.n', total='l.total', terms='l.terms')} AS q
+  FROM members m JOIN kept k USING (lang) JOIN langs l USING (lang) JOIN sizes s USING (lang, source)
+  LEFT JOIN counts c USING (lang, source, term)),
+both_p AS (
+  SELECT a.lang, a.source, b.source AS item, sum({_PRICE.format(p='a.p', q='b.p')}) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM members a JOIN members b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN both_p v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, {_PRICE.format(p='p', q='q')} FROM dense WHERE n > 0 AND p > q),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ordered WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+
+def _leaf(text: str) -> str:
+    values = [text if c == "text" else f"{c}::VARCHAR" for c in merkle.LEAF_COLUMNS]
+    return "sha256(" + " || ".join(map(_field, values)) + ")"
+
+
+#: crc32 of a decimal text, byte by byte and bit by bit (fixed polynomial of the checksum).
+_CRC32 = ("xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], "
+          "list_transform(range(1, len({0}) + 1), lambda i: ord({0}[i])::BIGINT)), "
+          "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))")
+
+
+def _tree(name: str, nodes: str) -> str:
+    """All nodes (grp, level, idx, n, hash) above ``nodes`` (grp, idx, n, hash), level by level."""
+    return f"""{name} AS (
+  SELECT grp, 0 AS level, idx, n, hash FROM {nodes}
+  UNION ALL
+  SELECT grp, level + 1, idx // {merkle.FAN}, (max(n) + {merkle.FAN - 1}) // {merkle.FAN},
+    sha256(string_agg(hash, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY grp, level, idx // {merkle.FAN})"""
+
+
+def _steps(name: str, tree: str, shift: str) -> str:
+    """What stands left and right of every node below the top of its group."""
+    own = f"PARTITION BY t.grp, t.level, t.idx // {merkle.FAN} ORDER BY t.idx ROWS BETWEEN"
+    return f"""{name} AS (
+  SELECT t.grp, t.level AS level, {shift} AS at, t.idx,
+    coalesce(string_agg(hash, '') OVER ({own} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(hash, '') OVER ({own} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {tree} t WHERE n > 1)"""
+
+
+_MERKLE = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source AS grp, {_leaf('text')} AS hash,
+    CASE WHEN {_CRC32.format('(doc_id::VARCHAR)')} % 5 = 0
+      THEN {_leaf(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} ELSE {_leaf('text')} END AS copied
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, hash, rid) - 1 AS idx,
+    count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+{_tree('own', 'placed')},
+subroots AS MATERIALIZED (SELECT grp AS source, hash FROM own WHERE n = 1),
+listed AS MATERIALIZED (
+  SELECT 0 AS grp, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n, hash
+  FROM subroots),
+{_tree('whole', 'listed')},
+root AS (SELECT hash AS root FROM whole WHERE n = 1),
+heights AS (SELECT grp, max(level) AS height FROM own GROUP BY grp),
+{_steps('own_steps', 'own', 't.level')},
+{_steps('whole_steps', 'whole', 't.level')},
+path AS MATERIALIZED (
+  SELECT p.rid, s.level AS level, s.l, s.r FROM placed p JOIN own_steps s
+    ON p.grp IS NOT DISTINCT FROM s.grp AND p.idx // ({merkle.FAN} ** s.level)::BIGINT = s.idx
+  UNION ALL
+  SELECT p.rid, h.height + s.level, s.l, s.r
+  FROM placed p JOIN heights h ON p.grp IS NOT DISTINCT FROM h.grp
+  JOIN listed x ON p.grp IS NOT DISTINCT FROM x.source
+  JOIN whole_steps s ON x.idx // ({merkle.FAN} ** s.level)::BIGINT = s.idx),
+proofs AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY level)) AS proof FROM path GROUP BY rid),
+fold AS (
+  SELECT rid, 0 AS level, copied AS hash FROM placed
+  UNION ALL
+  SELECT f.rid, f.level + 1, sha256(l || hash || r) FROM fold f JOIN path p ON f.rid = p.rid AND f.level = p.level),
+ends AS (SELECT rid, arg_max(hash, level) AS folded_root FROM fold GROUP BY rid)
+SELECT doc_id, p.hash AS leaf, s.hash AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM placed p JOIN ends USING (rid) LEFT JOIN proofs USING (rid) CROSS JOIN root
+JOIN subroots s ON p.grp IS NOT DISTINCT FROM s.source"""
+
 SQL: dict[str, str] = {
     "op2_quality_rules": _quality_rules(),
     "op3_license_scan": _LICENSES,
     "op4_jaccard_join": _JACCARD,
     "op9_decontamination": _DECONTAMINATION,
+    "op12_source_divergence": _DIVERGENCE,
+    "op13_merkle_manifest": _MERKLE,
 }
