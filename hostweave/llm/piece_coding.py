@@ -141,9 +141,11 @@ def piece_coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
-def encoded(docs: DataFrame, model: str, ends: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, model: str, ends: bool = True, decode: bool = False) -> DataFrame:
     """Rows (doc_id, ids): the ids of every whole text as little-endian unsigned 32-bit integers.
 
+    ``decode`` adds ``decoded``, the text that these ids stand for, from the same worker.
+
     Null and empty texts have only the begin and end ids (or none). Repeated rows
     and null ids give rows of their own; other columns are ignored. Texts of any
     length are encoded whole; a task holds about a megabyte of texts at a time.
@@ -153,10 +155,14 @@ def encoded(docs: DataFrame, model: str, ends: bool = True) -> DataFrame:
         gc.disable()  # the table holds many small objects and no cycles
         for (ids,), texts in text_chunks(batches, ["doc_id"], "text"):
             coded = coder.encode(texts, ends)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(coded, pa.binary())], names=["doc_id", "ids"])
+            columns = {"doc_id": ids, "ids": pa.array(coded, pa.binary())}
+            if decode:
+                columns["decoded"] = pa.array(map(coder.decode, coded), pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
         gc.enable()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary" + ", decoded string" * decode)
 
 
 def with_decoded(coded: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -83,10 +83,9 @@ def op10_main_text(spark, folder):
 
 @query
 def op11_piece_coding(spark, folder):
-    model = tokenizer_path("piece_bpe_32k.model")
-    coded = piece_coding.with_decoded(
-        piece_coding.encoded(table(spark, folder, "documents"), model), model)
-    return coded.select(
+    return piece_coding.encoded(
+        table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"), decode=True
+    ).select(
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
