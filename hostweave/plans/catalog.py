@@ -201,40 +201,82 @@ def record_subjects(spark, folder):
         "uuid", "type", "cid", "parent_subject")
 
 
-def _object_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Flows, files, registry keys, memory, principals and time markers as envelopes."""
-    def envelope(rows: DataFrame, kind: str, **fields: Column) -> DataFrame:
-        return rows.select(
-            F.lit(f"RECORD_{kind}").alias("type"), F.to_json(F.struct(
-                *[c.alias(n) for n, c in fields.items()])).alias("datum"))
-
-    number = lambda c: F.concat(F.lit("n"), c.cast("string"))
-    part, supplier = view.table(spark, folder, "part"), view.table(spark, folder, "supplier")
-    rows = [
-        envelope(supplier, "NET_FLOW_OBJECT", uuid=number(F.col("s_suppkey")), localAddress=F.lit("::"),
-                 remoteAddress=F.concat(F.lit("10.3.0."), F.col("s_nationkey")), remotePort=F.col("s_nationkey").cast("int")),
-        envelope(part, "FILE_OBJECT", uuid=number(F.col("p_partkey")), type=F.col("p_brand"), epoch=F.col("p_size").cast("int")),
-        envelope(part, "REGISTRY_KEY_OBJECT", uuid=number(F.col("p_partkey")), key=F.col("p_name")),
-        envelope(part, "MEMORY_OBJECT", uuid=number(F.col("p_partkey")), memoryAddress=F.col("p_partkey"), size=F.col("p_size").cast("bigint")),
-        envelope(view.table(spark, folder, "customer"), "PRINCIPAL", uuid=number(F.col("c_custkey")),
-                 userId=F.col("c_name"), groupIds=F.array(F.col("c_mktsegment"))),
-        envelope(view.events(spark, folder), "TIME_MARKER", tsNanos=timefn.to_micros("ts") * 1000)]
-    path = new_path(spark, "objects-json")
+def _written_records(rows: list[DataFrame]) -> DataFrame:
+    """(type, datum as JSON) of several kinds, written as records of one session and read back."""
+    spark = rows[0].sparkSession
+    path = new_path(spark, "records-json")
     functools.reduce(DataFrame.unionByName, rows).select(F.concat(
         F.lit('{"type":"'), "type", F.lit('","hostId":"h1","sessionNumber":4,"source":"S","datum":'), "datum",
         F.lit("}"))).write.text(path)
     return cdm.read_records(spark, path)
 
 
+def _record(rows: DataFrame, kind: str, **fields: Column) -> DataFrame:
+    """Rows as records of one type; nulls are written, as in recorded data."""
+    return rows.select(
+        F.lit(f"RECORD_{kind}").alias("type"), F.to_json(F.struct(
+            *[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"}).alias("datum"))
+
+
+def _number(column: str) -> Column:
+    return F.concat(F.lit("n"), F.col(column).cast("string"))
+
+
+def _base(epoch: str) -> Column:
+    """The part that all object records share."""
+    return F.struct(
+        F.concat(F.lit("b'\\x01"), F.col(epoch) % 8, F.lit("'")).alias("permission"),
+        F.col(epoch).cast("int").alias("epoch"), F.create_map(F.lit("size"), F.col(epoch).cast("string")).alias("properties"))
+
+
+def _value(name: Column, components: Column | None = None, **more: Column) -> Column:
+    return F.struct(
+        F.lit(-1).alias("size"), F.lit("VALUE_TYPE_SRC").alias("type"), F.lit("VALUE_DATA_TYPE_CHAR").alias("valueDataType"),
+        F.lit(False).alias("isNull"), name.alias("name"), *[c.alias(n) for n, c in more.items()],
+        (F.lit(None).cast("string") if components is None else components).alias("components"))
+
+
+def _part_value() -> Column:
+    """A value in three levels: the part, then brand and type, then the brand's maker; small parts have no components."""
+    maker = F.array(_value(F.concat(F.lit("m"), F.col("p_size")), valueBytes=F.lit("b'\\x00A'")))
+    return _value(
+        F.col("p_name"), F.when(F.col("p_size") >= 5, F.array(
+            _value(F.col("p_brand"), maker), _value(F.col("p_type"), F.when(F.lit(False), maker)))),
+        provenance=F.when(F.col("p_size") < 9, F.array(F.struct(
+            _number("p_size").alias("asserter"), F.array(_number("p_partkey"), F.lit("b'A'")).alias("sources"),
+            F.array(F.struct(F.lit("n0").alias("asserter"))).alias("provenance")))))
+
+
+def _object_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Flows, files, registry keys, memory, principals and time markers, nested as recorded."""
+    part, supplier = view.table(spark, folder, "part"), view.table(spark, folder, "supplier")
+    return _written_records([
+        _record(supplier, "NET_FLOW_OBJECT", uuid=_number("s_suppkey"), baseObject=_base("s_nationkey"), localAddress=F.lit("::"),
+                remoteAddress=F.concat(F.lit("10.3.0."), F.col("s_nationkey")), remotePort=F.col("s_nationkey").cast("int"),
+                initTcpSeqNum=F.col("s_suppkey").cast("int")),
+        _record(part, "FILE_OBJECT", uuid=_number("p_partkey"), baseObject=_base("p_size"), type=F.col("p_brand"),
+                size=F.col("p_size").cast("bigint"), hashes=F.when(F.col("p_size") > 10, F.array(F.struct(
+                    F.lit("MD5").alias("type"), F.md5("p_name").alias("hash")), F.struct(
+                    F.lit("SHA256").alias("type"), F.sha2("p_name", 256).alias("hash"))))),
+        _record(part, "REGISTRY_KEY_OBJECT", uuid=_number("p_partkey"), baseObject=_base("p_size"), key=F.col("p_name")),
+        _record(part, "MEMORY_OBJECT", uuid=_number("p_partkey"), baseObject=_base("p_size"),
+                memoryAddress=F.col("p_partkey"), size=F.col("p_size").cast("bigint")),
+        _record(view.table(spark, folder, "customer"), "PRINCIPAL", uuid=_number("c_custkey"),
+                userId=F.col("c_name"), groupIds=F.array(F.col("c_mktsegment"))),
+        _record(view.events(spark, folder), "TIME_MARKER", tsNanos=timefn.to_micros("ts") * 1000)])
+
+
 @query
 def object_records(spark, folder):
     """Every object table, written from one reading of the records, as (table, id, value)."""
     path = new_path(spark, "record-tables")
     cdm.write_record_tables(_object_records(spark, folder), path)
+    base = ("permission", "epoch", F.element_at("properties", "size"))
     values = {
-        "network": ("uuid", F.concat_ws(" ", "remote_address", "remote_port")),
-        "files": ("uuid", F.concat_ws(" ", "file_type", "epoch")), "registry": ("uuid", F.col("key")),
-        "memory": ("uuid", F.concat_ws(" ", "memory_address", "size")),
+        "network": ("uuid", F.concat_ws(" ", "remote_address", "remote_port", "initial_sequence", *base)),
+        "files": ("uuid", F.concat_ws(" ", "file_type", "size", F.col("hashes")[0]["type"], F.col("hashes")[1]["hash"], *base)),
+        "registry": ("uuid", F.concat_ws(" ", "key", *base)),
+        "memory": ("uuid", F.concat_ws(" ", "memory_address", "size", *base)),
         "principals": ("uuid", F.concat_ws(" ", "user_id", F.element_at("group_ids", 1))),
         "time_markers": ("timestamp_nanos", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))}
     return functools.reduce(DataFrame.unionByName, [
@@ -243,6 +285,80 @@ def object_records(spark, folder):
             "session_number") for name, (key, value) in values.items()])
 
 
+def _registry_records(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _record(
+        view.table(spark, folder, "part"), "REGISTRY_KEY_OBJECT", uuid=_number("p_partkey"), baseObject=_base("p_size"),
+        key=F.col("p_name"), value=_part_value())
+    return cdm.record_table(_written_records([rows]), "registry")
+
+
+@query
+def value_components(spark, folder):
+    """The recursive values of registry keys, a row for every component at any depth."""
+    return cdm.value_components(_registry_records(spark, folder), ["uuid"], "value").select(
+        "uuid", "path", "depth", "value_name", "value_bytes", "n_components")
+
+
+@query
+def value_assertions(spark, folder):
+    """Who asserts the provenance of values, and who asserts that, as (uuid, path, asserter, sources)."""
+    return cdm.value_assertions(_registry_records(spark, folder), ["uuid"], "value").select(
+        "uuid", "path", "assertion", "depth", "asserter", F.concat_ws(",", "sources").alias("sources"))
+
+
+def _session_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts, tags, sockets, units and the end of a session."""
+    nation, part = view.table(spark, folder, "nation"), view.table(spark, folder, "part")
+    supplier, customer = view.table(spark, folder, "supplier"), view.table(spark, folder, "customer")
+    return _written_records([
+        _record(nation, "HOST", uuid=_number("n_nationkey"), hostName=F.col("n_name"), ta1Version=F.lit("v"), hostType=F.lit("HOST_DESKTOP"),
+                hostIdentifiers=F.array(F.struct(F.lit("serial").alias("idType"), _number("n_regionkey").alias("idValue"))),
+                interfaces=F.array(F.struct(F.lit("eth0").alias("name"), F.lit("0:1").alias("macAddress"), F.array(
+                    F.lit("::"), F.concat(F.lit("10.0.0."), F.col("n_nationkey"))).alias("ipAddresses")))),
+        _record(part, "PROVENANCE_TAG_NODE", tagId=_number("p_partkey"), subject=_number("p_size"), prevTagId=_number("p_size"),
+                opcode=F.lit("TAG_OP_UNION"), tagIds=F.array(_number("p_size"), F.lit("b'A'")), itag=F.col("p_brand")),
+        _record(supplier, "UNKNOWN_PROVENANCE_NODE", upnTagId=_number("s_suppkey"), subject=_number("s_nationkey"),
+                properties=F.create_map(F.lit("name"), F.col("s_name"))),
+        _record(supplier, "IPC_OBJECT", uuid=_number("s_suppkey"), baseObject=_base("s_nationkey"), type=F.lit("IPC_OBJECT_PIPE_UNNAMED"),
+                uuid1=_number("s_nationkey"), fd1=F.lit(3), fd2=F.col("s_nationkey").cast("int")),
+        _record(supplier, "PACKET_SOCKET_OBJECT", uuid=_number("s_suppkey"), baseObject=_base("s_nationkey"), proto=F.lit("b'\\x08\\x00'"),
+                ifIndex=F.col("s_nationkey").cast("int"), haType=F.lit("b'\\x00\\x01'"), pktType=F.lit("b'\\x04'"), addr=F.lit("b'AB'")),
+        _record(customer, "SRC_SINK_OBJECT", uuid=_number("c_custkey"), baseObject=_base("c_nationkey"), type=F.col("c_mktsegment"),
+                fileDescriptor=F.col("c_nationkey").cast("int")),
+        _record(customer, "UNIT_DEPENDENCY", unit=_number("c_custkey"), dependentUnit=_number("c_nationkey")),
+        _record(nation, "END_MARKER", sessionNumber=F.col("n_nationkey").cast("int"), recordCounts=F.create_map(
+            F.col("n_name"), F.col("n_regionkey").cast("string")))])
+
+
+@query
+def session_records(spark, folder):
+    """The record types that describe hosts, tags, sockets and sessions, as (table, id, value)."""
+    path = new_path(spark, "record-tables")
+    cdm.write_record_tables(_session_records(spark, folder), path)
+    base = ("permission", "epoch", F.element_at("properties", "size"))
+    host = F.col("interfaces")[0]
+    values = {
+        "hosts": ("uuid", F.concat_ws(" ", "host_name", "host_type", F.col("host_identifiers")[0]["idValue"], host["name"],
+                                      host["ipAddresses"][1])),
+        "tag_nodes": ("tag_id", F.concat_ws(" ", "subject", "prev_tag_id", "opcode", F.concat_ws(",", "tag_ids"), "itag")),
+        "unknown_nodes": ("tag_id", F.concat_ws(" ", "subject", F.element_at("properties", "name"))),
+        "ipc": ("uuid", F.concat_ws(" ", "type", "uuid1", "uuid2", "fd1", "fd2", *base)),
+        "packet_sockets": ("uuid", F.concat_ws(" ", "proto", "if_index", "ha_type", "pkt_type", "addr", *base)),
+        "sources_and_sinks": ("uuid", F.concat_ws(" ", "type", "file_descriptor", *base)),
+        "unit_dependencies": ("unit", F.col("dependent_unit")),
+        "end_markers": ("end_of_session", F.concat_ws(" ", F.map_keys("record_counts")[0], F.map_values("record_counts")[0]))}
+    return functools.reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{path}/{name}").select(
+            F.lit(name).alias("table_name"), F.col(key).cast("string").alias("id"), value.alias("value"))
+        for name, (key, value) in values.items()])
+
+
+@query
+def record_presence(spark, folder):
+    """The profile of records as they were written: a field counts where a record names it."""
+    return cdm.record_profile(_session_records(spark, folder))
+
+
 @query
 def member_records(spark, folder):
     """Records whose union came as one struct per member, with ids as bytes."""

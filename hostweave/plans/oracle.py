@@ -315,6 +315,31 @@ _SPLIT = """
     FROM (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n,
                  row_number() OVER (PARTITION BY quality ORDER BY {order}) - 1 AS r FROM labels)"""
 
+
+
+def _base(epoch: str) -> str:
+    """What an object's base adds to its value: permission in hexadecimal, epoch, the one property."""
+    return f"(' 013' || {epoch} % 8 || ' ' || {epoch} || ' ' || {epoch})"
+
+
+def _presence() -> str:
+    """Records and named fields of each kind, from the sizes of the tables."""
+    kinds = {
+        "HOST": ("nation", "uuid hostName ta1Version hostType hostIdentifiers interfaces"),
+        "PROVENANCE_TAG_NODE": ("part", "tagId subject prevTagId opcode tagIds itag"),
+        "UNKNOWN_PROVENANCE_NODE": ("supplier", "upnTagId subject properties"),
+        "IPC_OBJECT": ("supplier", "uuid baseObject type uuid1 fd1 fd2"),
+        "PACKET_SOCKET_OBJECT": ("supplier", "uuid baseObject proto ifIndex haType pktType addr"),
+        "SRC_SINK_OBJECT": ("customer", "uuid baseObject type fileDescriptor"),
+        "UNIT_DEPENDENCY": ("customer", "unit dependentUnit"),
+        "END_MARKER": ("nation", "sessionNumber recordCounts")}
+    rows = [f"SELECT '{item}' AS item, count(*) AS n FROM {table}" for kind, (table, fields) in kinds.items()
+            for item in (f"record.type=RECORD_{kind}", *fields.split())]
+    items = f"SELECT item, sum(n)::BIGINT AS n_records FROM ({' UNION ALL '.join(rows)}) GROUP BY item"
+    return (f"WITH items AS ({items}) SELECT item, n_records, round(n_records * 100.0 / (SELECT sum(n_records) "
+            "FROM items WHERE item LIKE 'record.type=%'), 1) AS share FROM items")
+
+
 _BODIES = {
     # sources and sinks
     "event_csv": "SELECT ordinal, ts, type, md5(subject) AS subject, md5(object) AS object FROM prov",
@@ -334,15 +359,44 @@ _BODIES = {
         SELECT 'e' || ordinal AS uuid, ordinal AS sequence, ts - INTERVAL 5 HOUR AS ts, type,
                subject, object, 'h1' AS host_id FROM prov""",
     "record_subjects": "SELECT uuid, type, cid, parent_subject FROM subj",
-    "object_records": """
+    "object_records": f"""
         SELECT *, CAST(4 AS INTEGER) AS session_number FROM (
-        SELECT 'network' AS table_name, 'n' || s_suppkey AS id, '10.3.0.' || s_nationkey || ' ' || s_nationkey AS value FROM supplier
-        UNION ALL SELECT 'files', 'n' || p_partkey, p_brand || ' ' || p_size FROM part
-        UNION ALL SELECT 'registry', 'n' || p_partkey, p_name FROM part
-        UNION ALL SELECT 'memory', 'n' || p_partkey, p_partkey || ' ' || p_size FROM part
+        SELECT 'network' AS table_name, 'n' || s_suppkey AS id,
+               '10.3.0.' || s_nationkey || ' ' || s_nationkey || ' ' || s_suppkey || {_base('s_nationkey')} AS value FROM supplier
+        UNION ALL SELECT 'files', 'n' || p_partkey, p_brand || ' ' || p_size
+            || CASE WHEN p_size > 10 THEN ' MD5 ' || sha256(p_name) ELSE '' END || {_base('p_size')} FROM part
+        UNION ALL SELECT 'registry', 'n' || p_partkey, p_name || {_base('p_size')} FROM part
+        UNION ALL SELECT 'memory', 'n' || p_partkey, p_partkey || ' ' || p_size || {_base('p_size')} FROM part
         UNION ALL SELECT 'principals', 'n' || c_custkey, c_name || ' ' || c_mktsegment FROM customer
         UNION ALL SELECT 'time_markers', (epoch_us(ts) * 1000)::VARCHAR,
                          strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') FROM prov)""",
+    "value_components": """
+        SELECT uuid, path, CAST(depth AS INTEGER) AS depth, value_name, value_bytes, CAST(n AS INTEGER) AS n_components FROM (
+        SELECT 'n' || p_partkey AS uuid, '0' AS path, 0 AS depth, p_name AS value_name, NULL AS value_bytes,
+               CASE WHEN p_size >= 5 THEN 2 ELSE 0 END AS n FROM part
+        UNION ALL SELECT 'n' || p_partkey, '0.0', 1, p_brand, NULL, 1 FROM part WHERE p_size >= 5
+        UNION ALL SELECT 'n' || p_partkey, '0.1', 1, p_type, NULL, 0 FROM part WHERE p_size >= 5
+        UNION ALL SELECT 'n' || p_partkey, '0.0.0', 2, 'm' || p_size, '0041', 0 FROM part WHERE p_size >= 5)""",
+    "value_assertions": """
+        SELECT uuid, '0' AS path, assertion, CAST(depth AS INTEGER) AS depth, asserter, sources FROM (
+        SELECT 'n' || p_partkey AS uuid, '0' AS assertion, 0 AS depth, 'n' || p_size AS asserter,
+               'n' || p_partkey || ',41' AS sources FROM part WHERE p_size < 9
+        UNION ALL SELECT 'n' || p_partkey, '0.0', 1, 'n0', '' FROM part WHERE p_size < 9)""",
+    "session_records": f"""
+        SELECT 'hosts' AS table_name, 'n' || n_nationkey AS id,
+               n_name || ' HOST_DESKTOP n' || n_regionkey || ' eth0 10.0.0.' || n_nationkey AS value FROM nation
+        UNION ALL SELECT 'tag_nodes', 'n' || p_partkey,
+               'n' || p_size || ' n' || p_size || ' TAG_OP_UNION n' || p_size || ',41 ' || p_brand FROM part
+        UNION ALL SELECT 'unknown_nodes', 'n' || s_suppkey, 'n' || s_nationkey || ' ' || s_name FROM supplier
+        UNION ALL SELECT 'ipc', 'n' || s_suppkey, 'IPC_OBJECT_PIPE_UNNAMED n' || s_nationkey || ' 3 ' || s_nationkey
+               || {_base('s_nationkey')} FROM supplier
+        UNION ALL SELECT 'packet_sockets', 'n' || s_suppkey, '0800 ' || s_nationkey || ' 0001 04 4142'
+               || {_base('s_nationkey')} FROM supplier
+        UNION ALL SELECT 'sources_and_sinks', 'n' || c_custkey, c_mktsegment || ' ' || c_nationkey
+               || {_base('c_nationkey')} FROM customer
+        UNION ALL SELECT 'unit_dependencies', 'n' || c_custkey, 'n' || c_nationkey FROM customer
+        UNION ALL SELECT 'end_markers', n_nationkey::VARCHAR, n_name || ' ' || n_regionkey FROM nation""",
+    "record_presence": _presence(),
     "member_records": """
         SELECT md5(ordinal::VARCHAR) AS uuid, md5(subject) AS subject, md5(object) AS object, type,
                ts - INTERVAL 5 HOUR AS ts FROM prov""",
