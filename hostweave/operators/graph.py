@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.ordered import position_in_order
-from hostweave.functions.timefn import from_micros, seconds_of_day, to_micros
+from hostweave.functions.timefn import seconds_of_day
+from hostweave.operators.sliding import sliding
 from hostweave.schemas import GRAPH_EVENT_TYPES
 
 GRAPH_KEY = "window_start"
@@ -68,27 +69,16 @@ def overlapping_interactions(
 ) -> DataFrame:
     """Pairs of the overlapping windows that start at every non-empty bin.
 
-    ``panes`` are the pairs of the bins themselves: events are merged per bin
-    first, so only pairs are copied to the windows that cover them, not events.
+    ``panes`` are the pairs of the bins themselves; ``sliding`` merges them, so
+    neither events nor pairs are copied to all the windows that cover them.
     ``seconds`` must be a multiple of ``step_seconds``.
     """
-    if seconds % step_seconds:
-        raise ValueError("the window length must be a multiple of the step")
-    back = F.explode(F.sequence(F.lit(0), F.lit(seconds // step_seconds - 1)))
-    bins, step_us = panes.select(GRAPH_KEY).distinct(), step_seconds * 1_000_000
-    spread = panes.withColumn("__back", back).withColumn(
-        GRAPH_KEY, from_micros(to_micros(GRAPH_KEY) - F.col("__back").cast("bigint") * step_us))
-    kind = [F.max_by("event_code", "last_ordinal").alias("event_code")] if (
-        "event_code" in panes.columns) else []
-    merged = spread.join(bins, GRAPH_KEY, "left_semi").groupBy(GRAPH_KEY, "subject", "object").agg(
-        F.sum("n_events").alias("n_events"),
-        F.min("first_ordinal").alias("first_ordinal"),
-        F.max_by("ts", "last_ordinal").alias("ts"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        *(kind or [F.max_by("event", "last_ordinal").alias("event")]),
-        F.max("last_ordinal").alias("last_ordinal"))
-    return _with_event_name(merged, vocabulary) if kind else merged
+    kind = "event_code" if "event_code" in panes.columns else "event"
+    merged = sliding(
+        panes.withColumn("__last", F.struct("last_ordinal", kind, "ts")), ["subject", "object"],
+        {"n_events": "sum", "first_ordinal": "min", "first_ts": "min", "last_ts": "max", "__last": "max"},
+        seconds, step_seconds, GRAPH_KEY).select("*", "__last.*").drop("__last")
+    return _with_event_name(merged, vocabulary) if kind == "event_code" else merged
 
 
 def edges(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.ordered import latest_before, position_in_order
 from hostweave.functions.timefn import floor_div, from_micros, to_micros
+from hostweave.operators.sliding import sliding
 
 _SECOND = 1_000_000
 
@@ -39,7 +40,8 @@ def with_overlapping_windows(
     """Windows of ``seconds`` anchored at every non-empty ``step_seconds`` bin.
 
     An event belongs to each window that starts in a non-empty bin at most
-    ``seconds`` before it.
+    ``seconds`` before it, and has a row for each. Aggregates per window need no
+    such copies: see ``overlapping_statistics`` and ``graph.overlapping_interactions``.
     """
     micros = to_micros("ts")
     step, length = step_seconds * _SECOND, seconds * _SECOND
@@ -54,6 +56,19 @@ def with_overlapping_windows(
     return spread.join(window_starts(events, step_seconds), "window_start", "left_semi")
 
 
+def overlapping_statistics(events: DataFrame, seconds: int, step_seconds: int = 1) -> DataFrame:
+    """Count, first and last input position per window of ``with_overlapping_windows``, without copies of events.
+
+    ``seconds`` must be a multiple of ``step_seconds``.
+    """
+    panes = with_tumbling_window(events, step_seconds).groupBy("window_start").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("ordinal").alias("first_ordinal"),
+        F.max("ordinal").alias("last_ordinal"))
+    merged = sliding(
+        panes, [], {"n_events": "sum", "first_ordinal": "min", "last_ordinal": "max"}, seconds, step_seconds)
+    return merged.withColumn("window_end", from_micros(to_micros("window_start") + seconds * _SECOND))
+
+
 def with_anchored_window(events: DataFrame, seconds: int = 1) -> DataFrame:
     """Windows counted from the first event; the number has gaps where no event falls.
 

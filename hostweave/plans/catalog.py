@@ -543,11 +543,20 @@ def tumbling_windows(spark, folder):
 
 @query
 def overlapping_windows(spark, folder):
-    spread = windows.with_overlapping_windows(
-        _graph_events(spark, folder), 3 * view.HOUR, view.HOUR)
-    return spread.groupBy("window_start", "window_end").agg(
-        F.count(F.lit(1)).alias("n_events"), F.min("ordinal").alias("first_ordinal"),
-        F.max("ordinal").alias("last_ordinal"))
+    return windows.overlapping_statistics(_graph_events(spark, folder), 3 * view.HOUR, view.HOUR)
+
+
+@query
+def overlapping_event_windows(spark, folder):
+    """Every event with each window that it falls into."""
+    return windows.with_overlapping_windows(
+        _graph_events(spark, folder), 90 * 60, view.HOUR).select("window_start", "window_end", "ordinal")
+
+
+@query
+def long_overlapping_windows(spark, folder):
+    """Windows of two days from every non-empty minute: 2,880 panes each."""
+    return windows.overlapping_statistics(_graph_events(spark, folder), 2 * view.DAY, 60)
 
 
 @query

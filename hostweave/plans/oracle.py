@@ -485,6 +485,16 @@ _BODIES = {
                min(e.ordinal) AS first_ordinal, max(e.ordinal) AS last_ordinal
         FROM (SELECT DISTINCT window_start FROM hour_ev) s
         JOIN ev e ON e.ts >= s.window_start AND e.ts < s.window_start + INTERVAL 3 HOUR GROUP BY 1, 2""",
+    "overlapping_event_windows": """
+        SELECT s.window_start, s.window_start + INTERVAL 90 MINUTE AS window_end, e.ordinal
+        FROM (SELECT DISTINCT window_start FROM hour_ev) s
+        JOIN ev e ON e.ts >= s.window_start AND e.ts < s.window_start + INTERVAL 90 MINUTE""",
+    "long_overlapping_windows": """
+        SELECT m AS window_start, m + INTERVAL 2 DAY AS window_end, CAST(sum(n) OVER w AS BIGINT) AS n_events,
+               min(a) OVER w AS first_ordinal, max(b) OVER w AS last_ordinal
+        FROM (SELECT date_trunc('minute', ts) AS m, count(*) AS n, min(ordinal) AS a, max(ordinal) AS b
+              FROM ev GROUP BY 1)
+        WINDOW w AS (ORDER BY m RANGE BETWEEN CURRENT ROW AND INTERVAL '2879' MINUTE FOLLOWING)""",
     "anchored_windows": """
         SELECT window_id, lo + to_hours(CAST(window_id AS INTEGER)) AS window_start,
                lo + to_hours(CAST(window_id + 1 AS INTEGER)) AS window_end, count(*) AS n_events
