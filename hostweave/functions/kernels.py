@@ -21,9 +21,6 @@ class Batch:
         self.out = np.bincount(source, minlength=self.n)
         self.start = np.concatenate(([0], np.cumsum(self.out)[:-1])).astype(np.int64)
         self.node_size = self.size[node_window]
-        edges = np.bincount(node_window[source], minlength=self.windows)
-        # What one source node can touch: the cells and edges of its window.
-        self.node_cost = (self.size + edges)[node_window]
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -33,46 +30,143 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - shift + np.repeat(starts, lengths)
 
 
+class Twins:
+    """Nodes with the same neighbours on the side they have any, found exactly.
+
+    Lists are compared by length and a sum of mixed numbers first, then with the list
+    of the first node of each candidate group, so equal sums alone merge nothing.
+    """
+
+    def __init__(self, nodes: np.ndarray, start: np.ndarray, degree: np.ndarray, neighbour: np.ndarray, size: int):
+        self.first = np.arange(size)
+        self.times = np.ones(size, dtype=np.int64)
+        if not len(nodes):
+            return
+        at = _ranges(start[nodes], degree[nodes])
+        heads = np.cumsum(degree[nodes]) - degree[nodes]
+        mixed = (neighbour[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        _, group = np.unique(
+            np.stack([np.add.reduceat(mixed, heads), degree[nodes].astype(np.uint64)]), axis=1, return_inverse=True)
+        lead = np.full(group.max() + 1, len(nodes))
+        np.minimum.at(lead, group, np.arange(len(nodes)))
+        first = nodes[lead[group]]
+        same = np.logical_and.reduceat(neighbour[at] == neighbour[_ranges(start[first], degree[nodes])], heads)
+        self.first[nodes[same]] = first[same]
+        self.times = np.bincount(self.first, minlength=size)
+
+
+class Reduced:
+    """A batch without what cannot lie on a path between others.
+
+    Pairs of a node with itself are left out. A sink with one predecessor becomes a
+    number at it (``leaves``), a source with one successor a number at that
+    (``tails``). Sinks with the same predecessors, and sources with the same
+    successors, become one with a weight (``times``). Only nodes that something
+    reaches get a column in the search.
+    """
+
+    def __init__(self, batch: Batch):
+        n = batch.n
+        loop = batch.source == batch.target
+        source, target = batch.source[~loop], batch.target[~loop]
+        out, into = np.bincount(source, minlength=n), np.bincount(target, minlength=n)
+        leaf_edge = (out[target] == 0) & (into[target] == 1)
+        tail_edge = (into[source] == 0) & (out[source] == 1) & ~leaf_edge
+        self.leaf, self.leaf_of = target[leaf_edge], source[leaf_edge]
+        self.leaves = np.bincount(self.leaf_of, minlength=n)
+        self.tails = np.bincount(target[tail_edge], minlength=n)
+
+        def sides(key, other, degree):
+            order = np.argsort(key * np.int64(n) + other, kind="stable")
+            return np.cumsum(degree) - degree, other[order]
+
+        self.sinks = Twins(np.flatnonzero((out == 0) & (into > 1)), *_swap(sides(target, source, into), into), n)
+        sources = Twins(np.flatnonzero((into == 0) & (out > 1)), *_swap(sides(source, target, out), out), n)
+        own = np.arange(n)
+        kept = ~leaf_edge & ~tail_edge & (self.sinks.first[target] == target) & (sources.first[source] == source)
+        source, target = source[kept], target[kept]
+        order = np.argsort(source, kind="stable")
+        self.out = np.bincount(source, minlength=n)
+        self.start = np.cumsum(self.out) - self.out
+        column = (into > 0) & (self.sinks.first == own)
+        column[self.leaf] = False
+        self.number = np.cumsum(column) - 1
+        self.column = column
+        self.node = np.flatnonzero(column)
+        self.target = self.number[target[order]]
+        windows = batch.window[self.node]
+        self.width = np.bincount(windows, minlength=batch.windows)
+        self.base = np.cumsum(self.width) - self.width
+        self.weight = self.sinks.times[self.node]
+        self.root = (sources.first == own) & ((self.out > 0) | (self.tails > 0) | (self.leaves > 0))
+        self.root_times = sources.times
+
+
+def _swap(sides, degree):
+    start, neighbour = sides
+    return start, degree, neighbour
+
+
 def path_sums(batch: Batch, sources: np.ndarray, cells: int = 4_000_000):
-    """Per node: pair dependencies, number of sources reaching it, sum of their distances."""
-    dependency = np.zeros(batch.n)
-    reached = np.zeros(batch.n, dtype=np.int64)
-    distance = np.zeros(batch.n, dtype=np.int64)
-    room = np.cumsum(batch.node_cost[sources])
+    """Per node: pair dependencies, number of sources reaching it, sum of their distances.
+
+    Sums over ``sources`` only; a source that stands for its twins and tails counts
+    for all of them. All sources together, in any split, give the whole graph's sums.
+    """
+    small = Reduced(batch)
+    sums = (np.zeros(batch.n), np.zeros(batch.n, dtype=np.int64), np.zeros(batch.n, dtype=np.int64))
+    dependency, reached, distance = sums
+    roots = sources[small.root[sources]]
+    edges = np.bincount(batch.window, weights=small.out, minlength=batch.windows).astype(np.int64)
+    cost = (small.width + edges + 1)[batch.window[roots]]
+    room = np.cumsum(cost)
     cut = 0
-    while cut < len(sources):
+    while cut < len(roots):
         used = room[cut - 1] if cut else 0
         end = max(cut + 1, int(np.searchsorted(room, used + cells, side="right")))
-        _path_sums_block(batch, sources[cut:end], dependency, reached, distance)
+        _path_sums_block(batch, small, roots[cut:end], *sums)
         cut = end
-    return dependency, reached, distance
+    here = np.zeros(batch.n, dtype=np.int64)
+    here[sources] = 1
+    reached[small.leaf] = reached[small.leaf_of] + here[small.leaf_of]
+    distance[small.leaf] = distance[small.leaf_of] + reached[small.leaf]
+    return dependency, reached[small.sinks.first], distance[small.sinks.first]
 
 
-def _path_sums_block(batch, sources, dependency, reached, distance):
-    width = batch.node_size[sources]
-    first = batch.base[batch.window[sources]]
-    # Cell of (source s, node v) is shift[s] + v.
-    shift = np.concatenate(([0], np.cumsum(width)[:-1])) - first
+def _path_sums_block(batch, small, roots, dependency, reached, distance):
+    window = batch.window[roots]
+    width = small.width[window]
+    # Cell of (root r, column v) is shift[r] + v.
+    shift = np.cumsum(width) - width - small.base[window]
     total = int(width.sum())
-    cell_node = _ranges(first, width)
+    cell_column = _ranges(small.base[window], width)
+    cell_root = np.repeat(np.arange(len(roots)), width)
     depth = np.full(total, -1, dtype=np.int32)
     paths = np.zeros(total)
-    own = np.arange(len(sources))
-    here = shift + sources
+    inside = small.column[roots]
+    here = (shift + small.number[roots])[inside]
     depth[here] = 0
-    paths[here] = 1.0
-    front_source, front_node, front_cell = own, sources, here
-    levels, level = [], 0
+    # the first step goes along distinct pairs: one path each
+    fan = small.out[roots]
+    front_root = np.repeat(np.arange(len(roots)), fan)
+    front_column = small.target[_ranges(small.start[roots], fan)]
+    front_cell = shift[front_root] + front_column
+    depth[front_cell] = 1
+    paths[front_cell] = 1.0
+    levels, level = [], 1
     mark = np.zeros(total, dtype=np.int64)
     while len(front_cell):
-        fan = batch.out[front_node]
+        node = small.node[front_column]
+        fan = small.out[node]
         parent = np.repeat(np.arange(len(front_cell)), fan)
-        child_node = batch.target[_ranges(batch.start[front_node], fan)]
-        child_source = front_source[parent]
-        child = shift[child_source] + child_node
+        child_column = small.target[_ranges(small.start[node], fan)]
+        child_root = front_root[parent]
+        child = shift[child_root] + child_column
         fresh = depth[child] < 0
         parent, child = front_cell[parent[fresh]], child[fresh]
-        child_source, child_node = child_source[fresh], child_node[fresh]
+        child_root, child_column = child_root[fresh], child_column[fresh]
         if not len(child):
             break
         level += 1
@@ -81,17 +175,25 @@ def _path_sums_block(batch, sources, dependency, reached, distance):
         levels.append((parent, child))
         mark[child] = np.arange(len(child))
         single = mark[child] == np.arange(len(child))
-        front_source, front_node, front_cell = (
-            child_source[single], child_node[single], child[single])
-    credit = np.zeros(total)
+        front_root, front_column, front_cell = child_root[single], child_column[single], child[single]
+    far = depth > 0
+    leaves = small.leaves[small.node[cell_column]]
+    weight = small.weight[cell_column]
+    credit = np.where(far, leaves, 0).astype(float)
     for parent, child in reversed(levels):
-        np.add.at(credit, parent, paths[parent] * (1.0 + credit[child]) / paths[child])
+        np.add.at(credit, parent, paths[parent] * (weight[child] + credit[child]) / paths[child])
     credit[here] = 0.0
-    dependency += np.bincount(cell_node, weights=credit, minlength=batch.n)
-    far = depth > 0
-    reached += np.bincount(cell_node[far], minlength=batch.n)
-    distance += np.bincount(
-        cell_node[far], weights=depth[far], minlength=batch.n).astype(np.int64)
+    times, tails = small.root_times[roots], small.tails[roots]
+    both = (times + tails)[cell_root]
+    size = len(small.node)
+    dependency[small.node] += np.bincount(cell_column, weights=credit * both, minlength=size)
+    beyond = np.bincount(cell_root[far], weights=(weight + leaves)[far], minlength=len(roots)) + small.leaves[roots]
+    dependency[roots] += tails * beyond
+    reached[small.node] += np.bincount(cell_column[far], weights=both[far], minlength=size).astype(np.int64)
+    distance[small.node] += np.bincount(
+        cell_column[far], weights=(depth * both + tails[cell_root])[far], minlength=size).astype(np.int64)
+    reached[roots] += tails
+    distance[roots] += tails
 
 
 def pagerank(batch: Batch, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100):

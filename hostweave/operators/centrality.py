@@ -3,8 +3,9 @@
 Windows are routed by measured size. A window whose pair table is small enough
 for one task runs in ``mapInArrow``: whole windows are packed into numpy
 batches, and the source nodes of a costly window are spread over several tasks.
-A larger window runs as joins over all of its rows, a block of source nodes at
-a time. Both give the same values.
+A larger window runs as joins over all of its rows: one search with 64 source
+nodes in a row, and for betweenness a block of source nodes at a time. Both ways
+first fold leaves and twins of the graph away, exactly, and give the same values.
 """
 
 import functools
@@ -13,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.functions import kernels
 from hostweave.functions.durable import durable
@@ -190,64 +191,180 @@ def wide_pagerank(
     raise ArithmeticError(f"PageRank has not converged after {rounds} rounds")
 
 
-def wide_path_sums(node_rows: DataFrame, edge_rows: DataFrame, blocks: int) -> DataFrame:
-    """Dependencies, reach counts and distance sums by level-wise joins.
+def _twins(sides: DataFrame) -> DataFrame:
+    """(window, node_id, first): nodes of ``sides`` (window, node_id, other) with all the others of an earlier node.
 
-    ``blocks`` splits the source nodes by hash; only one block's (source, node)
-    rows exist at a time.
+    Equal sums of hashes only suggest a pair; it counts if every other of the node
+    is one of the first node's, of which there are as many.
     """
-    links = durable(edge_rows.select(GRAPH_KEY, "source", "target"))
-    roots = node_rows.select(GRAPH_KEY, F.col("node_id").alias("root"))
-    done = None
-    for block in range(blocks):
-        chosen = roots.filter(
-            F.pmod(F.xxhash64(GRAPH_KEY, "root"), F.lit(blocks)) == block)
-        part = _path_sums_by_level(chosen, links)
-        done = part if done is None else durable(done.unionByName(part).groupBy(*_NODE).agg(
-            F.sum("dependency").alias("dependency"), F.sum("reached").alias("reached"),
-            F.sum("distance").alias("distance")))
-    return done
-
-
-def _path_sums_by_level(roots: DataFrame, links: DataFrame) -> DataFrame:
-    key = [GRAPH_KEY, "root", "node_id"]
-    levels = [durable(roots.select(
-        GRAPH_KEY, "root", F.col("root").alias("node_id"), F.lit(1.0).alias("paths")))]
-    seen = levels[0].select(*key)
-    while True:
-        step = links.withColumnsRenamed({"source": "node_id", "target": "next"})
-        found = (
-            levels[-1].join(step, [GRAPH_KEY, "node_id"])
-            .groupBy(GRAPH_KEY, "root", F.col("next").alias("node_id"))
-            .agg(F.sum("paths").alias("paths"))
-            .join(seen, key, "left_anti"))
-        found = durable(found)
-        if found.isEmpty():
-            break
-        levels.append(found)
-        seen = durable(seen.unionByName(found.select(*key)))
-    credit = levels[-1].withColumn("credit", F.lit(0.0))
-    credited = [credit]
-    for level in reversed(levels[:-1]):
+    marked = sides.groupBy(*_NODE).agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("other")).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit("b"), "other")).alias("b"))
+    pairs = marked.withColumn("first", F.min("node_id").over(
+        Window.partitionBy(GRAPH_KEY, "k", "a", "b"))).filter("first <> node_id")
+    own = sides.withColumnRenamed("node_id", "first")
+    shared = sides.join(pairs, _NODE).join(own, [GRAPH_KEY, "first", "other"])
+    return shared.groupBy(*_NODE, "first", "k").agg(F.count(F.lit(1)).alias("n")).filter("n = k").select(*_NODE, "first")
+
+
+class _Reduced:
+    """Tables of the graph without what cannot lie on a path between others (as ``kernels.Reduced``).
+
+    ``links`` (source, target, weight and leaves of the target), ``roots`` (node_id,
+    times, tails, word, bit), ``leaf`` (node_id, of), ``sinks`` (node_id, first).
+    """
+
+    def __init__(self, edge_rows: DataFrame):
+        links = durable(edge_rows.select(GRAPH_KEY, "source", "target").filter("source <> target"))
+        out = links.groupBy(GRAPH_KEY, "source").agg(F.count(F.lit(1)).alias("out"))
+        into = links.groupBy(GRAPH_KEY, "target").agg(F.count(F.lit(1)).alias("into"))
+        of_target = out.withColumnsRenamed({"source": "target", "out": "target_out"})
+        of_source = into.withColumnsRenamed({"target": "source", "into": "source_into"})
+        tagged = durable(
+            links.join(out, [GRAPH_KEY, "source"]).join(into, [GRAPH_KEY, "target"])
+            .join(of_target, [GRAPH_KEY, "target"], "left").join(of_source, [GRAPH_KEY, "source"], "left")
+            .select(
+                GRAPH_KEY, "source", "target",
+                (F.col("target_out").isNull() & (F.col("into") == 1)).alias("leaf"),
+                (F.col("source_into").isNull() & (F.col("out") == 1)).alias("tail"),
+                (F.col("target_out").isNull() & (F.col("into") > 1)).alias("sink"),
+                (F.col("source_into").isNull() & (F.col("out") > 1)).alias("start")))
+        source, target = F.col("source").alias("node_id"), F.col("target").alias("node_id")
+        self.leaf = tagged.filter("leaf").select(GRAPH_KEY, target, F.col("source").alias("of"))
+        leaves = self.leaf.groupBy(GRAPH_KEY, F.col("of").alias("node_id")).agg(F.count(F.lit(1)).alias("leaves"))
+        tails = tagged.filter("tail AND NOT leaf").groupBy(GRAPH_KEY, target).agg(F.count(F.lit(1)).alias("tails"))
+        self.sinks = durable(_twins(tagged.filter("sink").select(GRAPH_KEY, target, F.col("source").alias("other"))))
+        starts = durable(_twins(tagged.filter("start").select(GRAPH_KEY, source, F.col("target").alias("other"))))
+
+        def weights(twins: DataFrame, name: str) -> DataFrame:
+            return twins.groupBy(GRAPH_KEY, F.col("first").alias("node_id")).agg((F.count(F.lit(1)) + 1).alias(name))
+
+        sink_weight = weights(self.sinks, "weight").join(leaves, _NODE, "full").withColumnRenamed("node_id", "target")
+        self.links = durable(
+            tagged.filter("NOT leaf AND NOT tail").select(GRAPH_KEY, "source", "target")
+            .join(self.sinks.select(GRAPH_KEY, F.col("node_id").alias("target")), [GRAPH_KEY, "target"], "left_anti")
+            .join(starts.select(GRAPH_KEY, F.col("node_id").alias("source")), [GRAPH_KEY, "source"], "left_anti")
+            .join(sink_weight, [GRAPH_KEY, "target"], "left").select(
+                GRAPH_KEY, "source", "target", F.coalesce("weight", F.lit(1)).alias("weight"),
+                F.coalesce("leaves", F.lit(0)).alias("leaves")))
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        rooted = (
+            self.links.select(GRAPH_KEY, source).union(leaves.select(*_NODE)).union(tails.select(*_NODE)).distinct()
+            .join(weights(starts, "times"), _NODE, "left").join(tails, _NODE, "left").join(leaves, _NODE, "left")
+            .select(*_NODE, F.coalesce("times", one).alias("times"), F.coalesce("tails", none).alias("tails"),
+                    F.coalesce("leaves", none).alias("own_leaves")))
+        # 64 roots of like weights share a word; a word belongs to one task's run of ids
+        serial = durable(rooted.repartitionByRange(GRAPH_KEY, "times", "tails", "node_id").sortWithinPartitions(
+            GRAPH_KEY, "times", "tails").withColumn("serial", F.monotonically_increasing_id()))
+        self.roots = serial.withColumns({
+            "word": F.shiftright("serial", 6), "bit": F.col("serial").bitwiseAND(63).cast("int")}).drop("serial")
+
+
+_WORD = [GRAPH_KEY, "word", "times", "tails"]
+
+
+def _bit() -> Column:
+    """The root's place in the masks of its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+
+
+def reach_masks(small: _Reduced) -> list[DataFrame]:
+    """Level by level, which roots of a word first reach a node: (window, word, weights, node_id, mask).
+
+    64 roots travel as one row; the masks of a node are merged by OR.
+    """
+    links = small.links.select(GRAPH_KEY, "source", F.col("target").alias("node_id"))
+    seen = small.roots.select(*_WORD, "node_id", _bit().alias("seen")).groupBy(*_WORD, "node_id").agg(
+        F.bit_or("seen").alias("seen"))
+    level = durable(small.roots.select(*_WORD, F.col("node_id").alias("source"), _bit().alias("mask")).join(
+        links, [GRAPH_KEY, "source"]).groupBy(*_WORD, "node_id").agg(F.bit_or("mask").alias("mask")))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        seen = durable(seen.unionByName(level.withColumnRenamed("mask", "seen")).groupBy(*_WORD, "node_id").agg(
+            F.bit_or("seen").alias("seen")))
+        found = level.withColumnRenamed("node_id", "source").join(links, [GRAPH_KEY, "source"]).groupBy(
+            *_WORD, "node_id").agg(F.bit_or("mask").alias("mask"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
+        level = durable(found.join(seen, [*_WORD, "node_id"], "left").select(
+            *_WORD, "node_id", fresh.alias("mask")).filter("mask <> 0"))
+    return levels
+
+
+def _distances(small: _Reduced, levels: list[DataFrame]) -> DataFrame:
+    """(window, node_id, reached, distance) of every node that something reaches."""
+    times, tails = F.col("times"), F.col("tails")
+    rows = [small.roots.filter("tails > 0").select(*_NODE, tails.alias("reached"), tails.alias("distance"))]
+    for depth, level in enumerate(levels, 1):
+        n = F.bit_count("mask").cast("bigint")
+        rows.append(level.select(
+            *_NODE, (n * (times + tails)).alias("reached"), (n * (times * depth + tails * (depth + 1))).alias("distance")))
+    core = durable(functools.reduce(DataFrame.unionByName, rows).groupBy(*_NODE).agg(
+        F.sum("reached").alias("reached"), F.sum("distance").alias("distance")))
+    none = F.lit(0).cast("bigint")
+    at_leaf = small.leaf.join(core.withColumnRenamed("node_id", "of"), [GRAPH_KEY, "of"], "left").select(
+        *_NODE, (F.coalesce("reached", none) + 1).alias("reached"),
+        (F.coalesce("distance", none) + F.coalesce("reached", none) + 1).alias("distance"))
+    at_twin = small.sinks.join(core.withColumnRenamed("node_id", "first"), [GRAPH_KEY, "first"]).select(
+        *_NODE, "reached", "distance")
+    return core.unionByName(at_leaf).unionByName(at_twin)
+
+
+def _dependencies(small: _Reduced, levels: list[DataFrame], roots: DataFrame) -> DataFrame:
+    """(window, node_id, dependency) summed over ``roots``; the masks tell which steps are shortest ones."""
+    cell = [*_WORD, "bit"]
+    links = small.links.withColumnRenamed("target", "node_id")
+    step = roots.select(*cell, F.col("node_id").alias("source")).join(links, [GRAPH_KEY, "source"])
+    fronts = [durable(step.select(*cell, "node_id", "weight", "leaves", F.lit(1.0).alias("paths")))]
+    for level in levels[1:]:
+        step = fronts[-1].select(*cell, F.col("node_id").alias("source"), "paths").join(links, [GRAPH_KEY, "source"])
+        found = step.groupBy(*cell, "node_id", "weight", "leaves").agg(F.sum("paths").alias("paths"))
+        fronts.append(durable(found.join(level, [*_WORD, "node_id"]).filter(
+            F.col("mask").bitwiseAND(_bit()) != 0).drop("mask")))
+    credited = [fronts[-1].withColumn("credit", F.col("leaves").cast("double"))]
+    for front in reversed(fronts[:-1]):
         below = credited[-1].select(
-            GRAPH_KEY, "root", F.col("node_id").alias("target"),
-            ((1.0 + F.col("credit")) / F.col("paths")).alias("per_path"))
-        back = (
-            below.join(links, [GRAPH_KEY, "target"])
-            .groupBy(GRAPH_KEY, "root", F.col("source").alias("node_id"))
-            .agg(F.sum("per_path").alias("per_path")))
-        credited.append(durable(level.join(back, key, "left").withColumn(
-            "credit", F.col("paths") * F.coalesce("per_path", F.lit(0.0)))))
-    out = None
-    for depth, rows in enumerate(reversed(credited)):
-        at = rows.select(
-            *_NODE, (F.col("credit") if depth else F.lit(0.0)).alias("dependency"),
-            F.lit(1 if depth else 0).cast("bigint").alias("reached"),
-            F.lit(depth).cast("bigint").alias("distance"))
-        out = at if out is None else out.unionByName(at)
-    return durable(out.groupBy(*_NODE).agg(
-        F.sum("dependency").alias("dependency"), F.sum("reached").alias("reached"),
-        F.sum("distance").alias("distance")))
+            *cell, "node_id", ((F.col("weight") + F.col("credit")) / F.col("paths")).alias("per_path"))
+        back = below.join(links.select(GRAPH_KEY, "source", "node_id"), [GRAPH_KEY, "node_id"]).groupBy(
+            *cell, F.col("source").alias("node_id")).agg(F.sum("per_path").alias("per_path"))
+        credited.append(durable(front.join(back, [*cell, "node_id"], "left").withColumn(
+            "credit", F.col("leaves") + F.col("paths") * F.coalesce("per_path", F.lit(0.0))).drop("per_path")))
+    rows = functools.reduce(DataFrame.unionByName, credited)
+    inner = rows.select(*_NODE, (F.col("credit") * (F.col("times") + F.col("tails"))).alias("dependency"))
+    beyond = rows.filter("tails > 0").groupBy(*cell).agg(F.sum(F.col("weight") + F.col("leaves")).alias("beyond"))
+    own = roots.filter("tails > 0").join(beyond, cell, "left").select(
+        *_NODE, (F.col("tails") * (F.coalesce("beyond", F.lit(0)) + F.col("own_leaves"))).cast("double").alias("dependency"))
+    return inner.unionByName(own).groupBy(*_NODE).agg(F.sum("dependency").alias("dependency"))
+
+
+def wide_path_sums(
+    node_rows: DataFrame, edge_rows: DataFrame, block_rows: int, measures: frozenset[str] = frozenset(_BY_PATHS),
+) -> DataFrame:
+    """Dependencies, reach counts and distance sums of every node, by joins.
+
+    The graph is reduced first. One search carries 64 roots in a row; it gives
+    reach and distances, and for betweenness it tells which (root, node) rows to
+    count paths on. Those rows exist for a block of words at a time, of about
+    ``block_rows`` rows.
+    """
+    small = _Reduced(edge_rows)
+    levels = reach_masks(small)
+    out = node_rows.select(*_NODE).join(_distances(small, levels), _NODE, "left")
+    if "betweenness" in measures:
+        cells = functools.reduce(DataFrame.unionByName, levels).agg(
+            F.sum(F.bit_count("mask").cast("bigint"))).first()[0] if levels else 0
+        blocks, done = max(1, -int(-cells // block_rows)), None
+        for block in range(blocks):
+            chosen = small.roots.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block)
+            part = durable(_dependencies(small, levels, chosen))
+            done = part if done is None else durable(done.unionByName(part).groupBy(*_NODE).agg(
+                F.sum("dependency").alias("dependency")))
+        out = out.join(done, _NODE, "left")
+    else:
+        out = out.withColumn("dependency", F.lit(0.0))
+    return durable(out.select(
+        *_NODE, F.coalesce("dependency", F.lit(0.0)).alias("dependency"),
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("reached", "distance")]))
 
 
 def _by_joins(pairs: DataFrame, block_rows: int, measures: frozenset[str]) -> DataFrame:
@@ -260,9 +377,7 @@ def _by_joins(pairs: DataFrame, block_rows: int, measures: frozenset[str]) -> Da
     counts = node_rows.groupBy(GRAPH_KEY).agg(F.count(F.lit(1)).alias("n"))
     out = node_rows.join(counts, GRAPH_KEY)
     if measures & _BY_PATHS:
-        cells = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-        out = out.join(
-            wide_path_sums(node_rows, edge_rows, max(1, -int(-cells // block_rows))), _NODE)
+        out = out.join(wide_path_sums(node_rows, edge_rows, block_rows, measures), _NODE)
     else:
         out = out.withColumns({
             "dependency": F.lit(0.0), "reached": F.lit(0).cast("bigint"), "distance": F.lit(0).cast("bigint")})

@@ -114,3 +114,72 @@ def test_wide_clustering(spark):
 def test_sizes(spark):
     assert [r.n_pairs for r in c.window_sizes(random_pairs(spark, 0, [(2, 0)])).collect()] == [2]
     assert rows(graph.undirected(links_of(random_pairs(spark, 0, [(2, 0)])))) == []
+
+
+def leafy_pairs(spark, seed):
+    """Windows of mostly sources, leaves and twins around a small core, as provenance graphs are."""
+    r = random.Random(seed)
+    data = []
+    for w in range(6):
+        core = [f"c{i}" for i in range(r.randint(1, 5))]
+        data += [(w, r.choice(core), r.choice(core)) for _ in range(r.randint(0, 8))]
+        data += [(w, f"s{i}", c) for i in range(r.randint(0, 8)) for c in r.sample(core, r.randint(1, min(2, len(core))))]
+        data += [(w, c, f"t{i}") for i in range(r.randint(0, 8)) for c in r.sample(core, r.randint(1, min(2, len(core))))]
+        data += [(w, "pair", "end"), (w, "a", "b"), (w, "b", "c"), (w, "alone", None), (w, "self", "self")]
+    return spark.createDataFrame(sorted(set(data), key=str), "w int, subject string, object string").select(
+        F.timestamp_add("HOUR", F.col("w"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("window_start"),
+        "subject", "object")
+
+
+@pytest.mark.parametrize("options", [{}, {"task_work": 100}, {"task_pairs": 0}, {"task_pairs": 0, "block_rows": 20}])
+def test_leaves_and_twins_are_folded_exactly(spark, options):
+    pairs = leafy_pairs(spark, 5)
+    data = [(r.window_start.hour, r.subject, r.object) for r in pairs.collect()]
+    got = as_dict(c.centrality(pairs, **options))
+    for w in range(6):
+        names = {v for x, a, b in data if x == w for v in (a, b) if v is not None}
+        for v, want in replay.centralities(sorted(names), [(a, b) for x, a, b in data if x == w and b is not None]).items():
+            assert got[w, v] == pytest.approx(want, abs=1e-9), (w, v, options)
+
+
+def test_kernel_against_plain_search():
+    """Path sums of many small graphs, whole and in slices."""
+    import numpy as np
+
+    r = random.Random(0)
+    for trial in range(300):
+        n, m, core = r.randint(1, 12), r.randint(0, 24), r.randint(1, 4)
+        links = sorted({(r.randrange(n), r.randrange(min(n, core))) if r.random() < .5 else (r.randrange(min(n, core)), r.randrange(n))
+                        for _ in range(m)})
+        want = replay.centralities(list(range(n)), links)
+        source, target = (np.array([x[i] for x in links], dtype=np.int64) for i in (0, 1))
+        batch = c.kernels.Batch(np.zeros(n, dtype=np.int64), source, target)
+        sums = [c.kernels.path_sums(batch, np.flatnonzero(np.arange(n) % 2 == i), r.choice([1, 50])) for i in (0, 1)]
+        dependency, reached, distance = (a + b for a, b in zip(*sums))
+        for v in range(n):
+            close = reached[v] / distance[v] * reached[v] / (n - 1) if distance[v] else 0.0
+            between = dependency[v] / ((n - 1) * (n - 2)) if n > 2 else 0.0
+            assert (close, between) == (pytest.approx(want[v][0]), pytest.approx(want[v][1])), (trial, v)
+
+
+def test_twins_need_equal_lists():
+    import numpy as np
+
+    start, degree = np.array([0, 2, 4, 6]), np.array([2, 2, 2, 1])
+    twins = c.kernels.Twins(np.arange(4), start, degree, np.array([5, 6, 5, 6, 5, 7, 5]), 8)
+    assert twins.first.tolist() == [0, 0, 2, 3, 4, 5, 6, 7] and twins.times[:4].tolist() == [2, 0, 1, 1]
+
+
+def test_levels_carry_64_roots_in_a_row(spark):
+    """A layered graph: every level has a row for each word and node, not for each root and node."""
+    data = [(f"r{i}", f"m{j}") for i in range(640) for j in range(2)] + [
+        (f"m{j}", f"x{k}") for j in range(2) for k in range(3)] + [(f"x{k}", f"y{k}{j}") for k in range(3) for j in range(2)] + [
+        (f"y{k}{j}", "z") for k in range(3) for j in range(2)] + [(f"r{i}", f"q{i % 7}{i}") for i in range(640)] + [
+        (f"q{i % 7}{i}", "m0") for i in range(640)]
+    edge_rows = spark.createDataFrame(data, "source string, target string").withColumn(
+        "window_start", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    small = c._Reduced(edge_rows)
+    levels = c.reach_masks(small)
+    reached = [level.agg(F.sum(F.bit_count("mask")), F.count(F.lit(1))).first() for level in levels]
+    for cells, n in reached[1:]:
+        assert n <= cells / 8, reached
