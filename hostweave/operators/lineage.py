@@ -1,12 +1,13 @@
 """Attack-interval queries, process lineage, connections and reachability."""
 
 import functools
-import itertools
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from hostweave.functions.durable import durable, new_path
+from hostweave.functions.hubs import dealt, hub_parts, repeated
 from hostweave.functions.ordered import latest_before
 from hostweave.functions.timefn import to_micros
 from hostweave.operators.reports import first_per_id
@@ -36,56 +37,102 @@ def subject_actions(events: DataFrame, subject: str | None = None) -> DataFrame:
         F.max("ts").alias("last_ts"))
 
 
+class _Jumps:
+    """Parents of processes as jumps of 1, 2, 4, ... generations.
+
+    Each table has a row per process that has such an ancestor, so the number of
+    tables is the logarithm of the longest chain. Records of one process that name
+    several parents count by the smallest. Parents that lead back to a process form
+    a cycle; its members are left out of the jumps and listed in ``around`` (uuid,
+    ancestor, depth) with all other members, nearest first.
+    """
+
+    def __init__(self, subjects: DataFrame):
+        parent = durable(subjects.filter("uuid <> parent_subject").groupBy("uuid").agg(
+            F.min("parent_subject").alias("ancestor")))
+        n = parent.count()
+        self.tables = self._doubled(parent, n)
+        rest = self.tables[-1]
+        self.around = parent.limit(0).withColumn("depth", F.lit(0).cast("bigint"))
+        if 2 ** (len(self.tables) - 1) >= n and not rest.isEmpty():
+            # as many generations as processes: only cycles go on, and all of their members are reached
+            members = durable(rest.select(F.col("ancestor").alias("uuid")).distinct())
+            self.around = self._cycles(parent.join(members, "uuid", "left_semi"))
+            self.tables = self._doubled(durable(parent.join(members, "uuid", "left_anti")), n)
+
+    @staticmethod
+    def _doubled(parent: DataFrame, n: int) -> list[DataFrame]:
+        tables = [parent]
+        while 2 ** (len(tables) - 1) < n and not tables[-1].isEmpty():
+            last = tables[-1]
+            tables.append(durable(last.withColumnRenamed("ancestor", "__mid").join(
+                last.select(F.col("uuid").alias("__mid"), "ancestor"), "__mid").select("uuid", "ancestor")))
+        return tables
+
+    @staticmethod
+    def _cycles(parent: DataFrame) -> DataFrame:
+        """Every member with every other one; cycles are told apart by their smallest member."""
+        least = durable(parent.withColumn("least", F.least("uuid", "ancestor")))
+        while True:
+            ahead = least.select(F.col("uuid").alias("ancestor"), F.col("ancestor").alias("__far"), F.col("least").alias("__least"))
+            step = durable(least.join(ahead, "ancestor").select(
+                "uuid", F.col("__far").alias("ancestor"), F.least("least", "__least").alias("least"),
+                (F.col("__least") < F.col("least")).alias("__new")))
+            least = step.drop("__new")
+            if step.filter("__new").isEmpty():
+                break
+        size = least.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
+        sized = least.join(size, "least").select("uuid", "size")
+        rows = durable(sized.select("uuid", F.col("uuid").alias("ancestor"), "size", F.lit(0).cast("bigint").alias("depth")))
+        jump, reach = durable(parent), 1
+        while True:
+            further = durable(rows.withColumnRenamed("ancestor", "__mid").join(
+                jump.select(F.col("uuid").alias("__mid"), "ancestor"), "__mid")
+                .withColumn("depth", F.col("depth") + reach).filter("depth < size").select(*rows.columns))
+            if further.isEmpty():
+                return rows.filter("depth > 0").drop("size")
+            rows = rows.unionByName(further)
+            jump, reach = durable(jump.withColumnRenamed("ancestor", "__mid").join(
+                jump.select(F.col("uuid").alias("__mid"), "ancestor"), "__mid").select("uuid", "ancestor")), reach * 2
+
+    def walked(self, starts: DataFrame, on: str, to: str) -> DataFrame:
+        """``starts`` (with ``node`` and ``depth``) and all that lies further along, by doubling what is known."""
+        rows = durable(starts)
+        for k, jump in enumerate(self.tables):
+            further = durable(rows.join(jump.select(F.col(on).alias("node"), F.col(to).alias("__to")), "node").select(
+                *[c for c in rows.columns if c not in ("node", "depth")], F.col("__to").alias("node"),
+                (F.col("depth") + 2 ** k).alias("depth")))
+            rows = rows.unionByName(further)
+        return rows
+
+
 def ancestry(subjects: DataFrame, starting: DataFrame | None = None) -> DataFrame:
     """(uuid, ancestor, depth) along ``parent_subject``.
 
     ``starting`` (a ``uuid`` column) limits the descendants. A chain ends at a
-    process without parent or when it would repeat itself, so it always ends.
+    process without parent or before it would repeat itself. Rounds grow with the
+    logarithm of the longest chain.
     """
-    parent = durable(subjects.filter("parent_subject IS NOT NULL").select(
-        "uuid", "parent_subject").distinct())
-    chosen = parent if starting is None else parent.join(
+    jumps = _Jumps(subjects)
+    chosen = subjects.select("uuid").distinct() if starting is None else subjects.select("uuid").distinct().join(
         starting.select("uuid"), "uuid", "left_semi")
-    front = durable(chosen.filter("uuid <> parent_subject").select(
-        "uuid", F.col("parent_subject").alias("ancestor"), F.lit(1).alias("depth"),
-        F.array("uuid", "parent_subject").alias("path")))
-    found = [front]
-    up = parent.select(F.col("uuid").alias("ancestor"), F.col("parent_subject").alias("next"))
-    while not front.isEmpty():
-        front = durable(
-            front.join(up, "ancestor").filter(~F.array_contains("path", F.col("next"))).select(
-                "uuid", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"),
-                F.concat("path", F.array("next")).alias("path")))
-        found.append(front)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.select("uuid", "ancestor", "depth")
+    up = jumps.walked(chosen.select(
+        "uuid", F.col("uuid").alias("node"), F.lit(0).cast("bigint").alias("depth")), "uuid", "ancestor")
+    round_trip = up.join(
+        jumps.around.select(F.col("uuid").alias("node"), "ancestor", F.col("depth").alias("__more")), "node")
+    return up.filter("depth > 0").select("uuid", F.col("node").alias("ancestor"), "depth").unionByName(
+        round_trip.select("uuid", "ancestor", (F.col("depth") + F.col("__more")).alias("depth"))).withColumn(
+        "depth", F.col("depth").cast("int"))
 
 
 def descent(subjects: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, uuid, depth) of everything started below ``roots`` (a ``uuid`` column)."""
-    below = subjects.filter("parent_subject IS NOT NULL").select(
-        F.col("uuid").alias("child"), F.col("parent_subject").alias("uuid")).distinct()
-    below = durable(below)
-    front = durable(roots.select(F.col("uuid").alias("root"), "uuid").distinct())
-    seen = front
-    levels, depth = [], 0
-    while True:
-        depth += 1
-        front = durable(
-            front.join(below, "uuid").select("root", F.col("child").alias("uuid")).distinct()
-            .join(seen, ["root", "uuid"], "left_anti"))
-        if front.isEmpty():
-            break
-        levels.append(front.withColumn("depth", F.lit(depth)))
-        seen = durable(seen.unionByName(front))
-    if not levels:
-        return front.withColumn("depth", F.lit(0))
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return out
+    """(root, uuid, depth) of everything started below ``roots`` (a ``uuid`` column); rounds as in ``ancestry``."""
+    jumps = _Jumps(subjects)
+    first = roots.select(F.col("uuid").alias("root"), F.col("uuid").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
+    members = jumps.around.select(F.col("ancestor").alias("root"), F.col("uuid").alias("node"), "depth").join(
+        first.select("root"), "root", "left_semi")
+    down = jumps.walked(first.unionByName(members), "ancestor", "uuid")
+    return down.filter("depth > 0").select("root", F.col("node").alias("uuid"), F.col("depth").cast("int").alias("depth"))
 
 
 def connections(events: DataFrame, flows: DataFrame) -> DataFrame:
@@ -120,40 +167,77 @@ def read_then_send(
         (lag / 1_000_000.0).alias("lag_s"))
 
 
-def forward_reach(events: DataFrame, start: str) -> DataFrame:
+class _SlicedLinks:
+    """Links in slices of time, each bucketed and sorted by node, so joins by node move no link.
+
+    A hub's links are dealt over parts. The slices are cut at quantiles of the time,
+    about ``rows`` links each.
+    """
+
+    def __init__(self, events: DataFrame, rows: int, hub_rows: int):
+        spark = events.sparkSession
+        links = events.filter("object IS NOT NULL AND subject <> object").select(
+            F.col("subject").alias("node"), F.col("object").alias("next"), to_micros("ts").alias("us"))
+        n = links.count()
+        count = max(1, min(self.MOST, -(-n // rows)))
+        cuts = links.select(F.percentile_approx(
+            "us", [i / count for i in range(1, count)], 100 * count)).first()[0] if count > 1 else []
+        cuts = sorted(set(cuts or []))
+        self.hubs = durable(hub_parts(links, ["node"], hub_rows))
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.name, self.slices = spark, f"links_{uuid.uuid4().hex}", range(len(cuts) + 1)
+        number = functools.reduce(
+            lambda a, b: a + b, [(F.col("us") >= cut).cast("int") for cut in cuts], F.lit(0))
+        dealt(links, self.hubs, ["node"], F.col("next")).withColumn("slice", number).repartition(
+            self.buckets, "node", "__part").write.partitionBy("slice").bucketBy(
+            self.buckets, "node", "__part").sortBy("node", "__part").option(
+            "path", new_path(spark, "links")).saveAsTable(self.name)
+
+    MOST = 1_000
+
+    def arrivals(self, front: DataFrame, number: int) -> DataFrame:
+        """(node, label): the earliest that the nodes of ``front`` pass on to others within a slice."""
+        here = repeated(front, self.hubs, ["node"])
+        return (
+            self.spark.table(self.name).filter(F.col("slice") == number).join(here, ["node", "__part"])
+            .filter("us >= label.us").groupBy(F.col("next").alias("node")).agg(
+                F.min(F.struct("us", (F.col("label.hops") + 1).alias("hops"))).alias("label")))
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def forward_reach(
+    events: DataFrame, start: str, slice_rows: int = 50_000_000, hub_rows: int = 1_000_000,
+) -> DataFrame:
     """(node, reached_us, hops): everything that information from ``start`` can have reached.
 
     An event passes it from subject to object if the subject had it by then.
-    ``reached_us`` is the earliest time; ``hops`` the rounds until it was known.
-    Every round lowers a node's time or ends the search.
+    ``reached_us`` is the earliest time, ``hops`` the events of a way that arrives
+    then, not always the shortest such way. Slices of time are done one after the
+    other, each until nothing in it changes; what a slice reached is final, so none
+    is read again later.
     """
+    links = _SlicedLinks(events, slice_rows, hub_rows)
     spark = events.sparkSession
-    path = new_path(spark, "links")
-    events.filter("object IS NOT NULL AND subject <> object").select(
-        F.col("subject").alias("node"), F.col("object").alias("next"), to_micros("ts").alias("us")
-    ).write.parquet(path)
-    links = spark.read.parquet(path)
-    front = durable(spark.range(1).select(
-        F.lit(start).alias("node"), F.lit(-(2 ** 62)).cast("bigint").alias("reached_us"),
-        F.lit(0).alias("hops")))
-    found = [front]  # improvements only; the last one of a node is its smallest time
-    for hop in itertools.count(1):
-        # the scan skips what happened before anything in the front was reached
-        earliest = front.agg(F.min("reached_us")).first()[0]
-        arrivals = (
-            links.filter(F.col("us") >= earliest).join(front, "node").filter("us >= reached_us")
-            .groupBy(F.col("next").alias("node")).agg(F.min("us").alias("at")))
-        known = functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(
-            F.min("reached_us").alias("reached_us"))
-        front = durable(
-            arrivals.join(known, "node", "left")
-            .filter("reached_us IS NULL OR at < reached_us")
-            .select("node", F.col("at").alias("reached_us"), F.lit(hop).alias("hops")))
-        if front.isEmpty():
-            return functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(
-                F.min("reached_us").alias("reached_us"), F.min_by("hops", "reached_us").alias("hops")
-            ).filter("hops > 0")
-        found.append(front)
+    known = durable(spark.range(1).select(F.lit(start).alias("node"), F.struct(
+        F.lit(-(2 ** 62)).cast("bigint").alias("us"), F.lit(0).alias("hops")).alias("label")))
+    for number in links.slices:
+        front, found = known, [known]
+        while True:
+            best = functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("label").alias("old"))
+            front = durable(
+                links.arrivals(front, number).join(best, "node", "left")
+                .filter("old IS NULL OR label < old").select("node", "label"))
+            if front.isEmpty():
+                break
+            found.append(front)
+        if len(found) > 1:
+            known = durable(functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(
+                F.min("label").alias("label")))
+    links.close()
+    return known.filter(F.col("node") != start).select(
+        "node", F.col("label.us").alias("reached_us"), F.col("label.hops").alias("hops"))
 
 
 def run_key_writes(

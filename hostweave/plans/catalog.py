@@ -1226,6 +1226,57 @@ def live_sequences(spark, folder):
         timefn.from_micros("last_us").alias("last_start"), "label")
 
 
+def _out_of_order(table: DataFrame, start: str, name: str, files: int = 4) -> DataFrame:
+    """A table as a stream of batches in rough order: every row up to two days early or late.
+
+    A last row of another key, long after the others, lets the watermark pass them all.
+    """
+    spark = table.sparkSession
+    path = new_path(spark, name)
+    jitter = F.pmod(F.xxhash64(*table.columns), F.lit(4 * view.DAY)) - 2 * view.DAY
+    placed = durable(table.withColumn("__at", timefn.to_micros(start) + jitter * 1_000_000))
+    cuts = placed.select(F.percentile("__at", [i / files for i in range(1, files)])).first()[0] or []
+    number = functools.reduce(lambda a, b: a + b, [(F.col("__at") > cut).cast("int") for cut in cuts], F.lit(0))
+    for i in range(files):
+        placed.filter(number == i).drop("__at").coalesce(1).write.parquet(f"{path}/b{i}")
+    times = [c for c, kind in table.dtypes if kind == "timestamp_ntz"]
+    last = [F.expr("timestamp_ntz'2100-01-01 00:00:00'").alias(c) if c in times else F.lit(None).cast(kind).alias(c)
+            for c, kind in table.dtypes]
+    spark.range(1).select(*last).fillna("end", ["host_id"]).fillna(0).write.parquet(f"{path}/b{files}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(path)
+
+
+def _host_stream(spark: SparkSession, folder: str) -> DataFrame:
+    host = F.concat(F.lit("h"), F.pmod(F.substring("subject", 2, 20).cast("bigint"), F.lit(8)))
+    return view.event_stream(spark, folder).withColumn("host_id", host)
+
+
+@query
+def live_ordered_sequences(spark, folder):
+    """Sequences of windows that arrive out of order."""
+    closed = live.run_to_end(live.live_window_counts(
+        _host_stream(spark, folder), view.HOUR, "2 hours", ["host_id"]), "closed-windows")
+    spans = windows.label_windows(closed, view.ATTACKS).select(
+        "host_id", F.col("window_start").alias("start"), F.col("window_start").alias("end"), "label")
+    with live.rocksdb_state(spark):
+        return live.run_to_end(live.ordered_runs(
+            _out_of_order(spans, "start", "shuffled-windows"), "host_id", "5 days"), "ordered-sequences").select(
+            F.col("key").alias("host_id"), timefn.from_micros("first_us").alias("first_start"),
+            timefn.from_micros("last_us").alias("last_start"), "label")
+
+
+@query
+def live_gaps(spark, folder):
+    """Silences of each host, from activity sessions that arrive out of order."""
+    sessions = live.run_to_end(live.live_sessions(
+        _host_stream(spark, folder), "20 minutes", "2 hours", "host_id"), "sessions")
+    with live.rocksdb_state(spark):
+        return live.run_to_end(live.live_gaps(
+            _out_of_order(sessions, "start", "shuffled-sessions"), "host_id", "5 days"), "gaps").select(
+            F.col("key").alias("host_id"), "gap_start", "gap_end", _round("gap_s").alias("gap_s"))
+
+
 @query
 def live_deduplicated(spark, folder):
     feed = view.event_stream(spark, folder).withColumn("uuid", F.concat(F.lit("e"), F.col("ordinal")))

@@ -804,6 +804,29 @@ _BODIES = {
                         FROM closedhour c JOIN prov ON date_trunc('hour', ts) = c.window_start))
             WINDOW w AS (PARTITION BY host_id ORDER BY window_start))
         WHERE last_start IS NOT NULL""",
+    "live_ordered_sequences": f"""
+        SELECT host_id, first_start, last_start, label FROM (
+            SELECT host_id, window_start AS first_start,
+                   lead(window_start, 2) OVER w AS last_start,
+                   CAST(greatest(l, lead(l) OVER w, lead(l, 2) OVER w) AS INTEGER) AS label
+            FROM (SELECT host_id, window_start, CASE WHEN {_ATTACK} THEN 1 ELSE 0 END AS l
+                  FROM (SELECT DISTINCT 'h' || CAST(substr(subject, 2) AS BIGINT) % 8 AS host_id,
+                               c.window_start, c.window_start + INTERVAL 1 HOUR AS window_end
+                        FROM closedhour c JOIN prov ON date_trunc('hour', ts) = c.window_start))
+            WINDOW w AS (PARTITION BY host_id ORDER BY window_start))
+        WHERE last_start IS NOT NULL""",
+    "live_gaps": """
+        SELECT host_id, gap_start, gap_end, round(epoch_us(gap_end - gap_start) / 1e6, 6) AS gap_s FROM (
+            SELECT host_id, lag(b) OVER w AS gap_start, a AS gap_end FROM (
+                SELECT host_id, min(ts) AS a, max(ts) AS b FROM (
+                    SELECT host_id, ts, sum(fresh) OVER (PARTITION BY host_id ORDER BY ts, ordinal) AS s FROM (
+                        SELECT 'h' || CAST(substr(subject, 2) AS BIGINT) % 8 AS host_id, ts, ordinal,
+                               CASE WHEN ts - lag(ts) OVER (PARTITION BY CAST(substr(subject, 2) AS BIGINT) % 8
+                                    ORDER BY ts, ordinal) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS fresh FROM prov))
+                GROUP BY host_id, s)
+            WHERE b + INTERVAL 20 MINUTE <= date_trunc('milliseconds', (SELECT max(ts) FROM prov)) - INTERVAL 2 HOUR
+            WINDOW w AS (PARTITION BY host_id ORDER BY a))
+        WHERE gap_start IS NOT NULL""",
     "live_deduplicated": "SELECT *, 'e' || ordinal AS uuid FROM prov",
 }
 

@@ -5,13 +5,16 @@ in a UTC session: ``event_time`` is then the naive value itself. Results leave
 in append mode, once a window can no longer change.
 """
 
+import contextlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hostweave.functions.durable import durable, new_path
+from hostweave.functions.timefn import from_micros, to_micros
 from hostweave.operators.features import node_features
 from hostweave.operators.graph import interactions
 from hostweave.operators.reports import events_per_minute
@@ -117,6 +120,124 @@ def live_sequences(windows: DataFrame, length: int = 3) -> DataFrame:
         "starts array<bigint>, labels array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _InOrder(StatefulProcessor):
+    """Rows of a key in the order of their time, however they arrive, and runs of ``length`` of them.
+
+    A row waits in ``pending`` until the watermark has passed its end; one timer, at
+    the earliest of them, wakes the key. Then it joins the last rows of the key, of
+    which ``length - 1`` are kept. A key that has been without rows for ``idle_us`` of
+    event time has no state any more.
+    """
+
+    def __init__(self, length: int, idle_us: int | None):
+        self.length, self.idle_us = length, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        row = "start_us bigint, end_us bigint, label int"
+        self.pending, self.recent = handle.getListState("pending", row), handle.getListState("recent", row)
+
+    def _timer(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [(int(a), int(b), int(label)) for chunk in rows for a, b, label in zip(
+            chunk["start_us"], chunk["end_us"], chunk["label"])]
+        self.pending.appendList(fresh)
+        self._timer(min(end for _, end, _ in fresh))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        spans: dict[int, tuple[int, int]] = {}
+        for start, end, label in self.pending.get():  # the same span may have come twice
+            old = spans.get(start, (end, label))
+            spans[start] = max(end, old[0]), max(label, old[1])
+        ready = sorted((a, b, label) for a, (b, label) in spans.items() if b < passed)
+        held = sorted((int(a), int(b), int(label)) for a, b, label in self.recent.get())
+        if not ready:
+            if held and self.idle_us is not None and held[-1][1] + self.idle_us < passed:
+                self.recent.clear()
+            return
+        rest = [(a, b, label) for a, (b, label) in spans.items() if b >= passed]
+        if rest:
+            self.pending.put(rest)
+            self._timer(min(end for _, end, _ in rest))
+        else:
+            self.pending.clear()
+        out = []
+        for row in ready:
+            if held and self.idle_us is not None and row[0] - held[-1][1] > self.idle_us:
+                held = []
+            held = [*held, row][-self.length:]
+            if len(held) == self.length:
+                out.append((key[0], *held[0][:2], *held[-1][:2], max(r[2] for r in held)))
+        held = held[-(self.length - 1):] if self.length > 1 else []
+        if held:
+            self.recent.put(held)
+            if self.idle_us is not None:
+                self._timer(held[-1][1] + self.idle_us)
+        if out:
+            yield pd.DataFrame(out, columns=RUN_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which timers and maps need."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+RUN_COLUMNS = ["key", "first_us", "first_end_us", "last_us", "last_end_us", "label"]
+
+
+def ordered_runs(
+    spans: DataFrame, key: str, delay: str, length: int = 3, idle_seconds: int | None = None,
+) -> DataFrame:
+    """Each run of ``length`` consecutive spans of a key, once nothing earlier can arrive.
+
+    ``spans`` has the key, ``start`` and ``end`` (naive times) and ``label``, in any
+    order within ``delay`` of the newest; later ones are dropped. Gives (key, first_us,
+    first_end_us, last_us, last_end_us, label), ends from the first and last span,
+    label the largest. With ``idle_seconds`` a key without spans for so long is
+    forgotten, and no run reaches over such a pause. Run it within ``rocksdb_state``.
+    """
+    zone = spans.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in _UTC:
+        raise ValueError(f"streams over naive times need a UTC session, not {zone}")
+    timed = spans.select(
+        F.col(key).alias("key"), to_micros("start").alias("start_us"), to_micros("end").alias("end_us"), "label",
+        F.col("end").cast("timestamp").alias("event_time")).withWatermark("event_time", delay)
+    idle = None if idle_seconds is None else idle_seconds * 1_000_000
+    return timed.groupBy("key").transformWithStateInPandas(
+        _InOrder(length, idle), "key string, first_us bigint, first_end_us bigint, last_us bigint, last_end_us bigint, label int",
+        "append", "EventTime")
+
+
+def live_sessions(events: DataFrame, gap: str, delay: str, by: str) -> DataFrame:
+    """Closed activity sessions: (by, start, end, n_events), parted by pauses of ``gap`` or more."""
+    return with_event_time(events, delay).groupBy(F.session_window("event_time", gap).alias("w"), by).agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n_events")).drop("w")
+
+
+def live_gaps(sessions: DataFrame, by: str, delay: str) -> DataFrame:
+    """Pauses between consecutive sessions of a key, as (key, gap_start, gap_end, gap_s)."""
+    pairs = ordered_runs(sessions.withColumn("label", F.lit(0)), by, delay, length=2)
+    return pairs.select(
+        "key", from_micros("first_end_us").alias("gap_start"), from_micros("last_us").alias("gap_end"),
+        ((F.col("last_us") - F.col("first_end_us")) / 1_000_000.0).alias("gap_s"))
+
+
 def run_to_end(stream: DataFrame, name: str, sink: Callable | None = None) -> DataFrame | None:
     """Drain an available-now stream into Parquet (or ``sink``) and return what was written."""
     spark = SparkSession.active()

@@ -104,3 +104,67 @@ def test_streams_need_a_utc_session(spark, log):
 
 def test_durable_cuts_lineage(log):
     assert "Scan ExistingRDD" in durable(log((0, "READ", "a", "x")))._jdf.queryExecution().toString()
+
+
+def spans_of(spark, items):
+    return spark.createDataFrame(
+        [(host, T0 + timedelta(seconds=s), T0 + timedelta(seconds=s), label) for host, s, label in items],
+        "host_id string, start timestamp_ntz, end timestamp_ntz, label int")
+
+
+def seconds_of(got):
+    base = int((T0 - T0.replace(year=1970, month=1, day=1, hour=0)).total_seconds()) * 1_000_000
+    return sorted((r.key, (r.first_us - base) / 1e6, (r.last_us - base) / 1e6, r.label) for r in got.collect())
+
+
+def test_runs_in_any_order_of_arrival(spark, tmp_path):
+    """Shuffled rows in four batches give the runs of the sorted table; repeated rows count once."""
+    import random
+
+    r = random.Random(6)
+    items = [(f"h{i % 3}", s, r.randint(0, 1)) for i in range(3) for s in r.sample(range(200), 30)]
+    items = list({(h, s): (h, s, l) for h, s, l in items}.values())
+    want = []
+    for host in {i[0] for i in items}:
+        own = sorted(i[1:] for i in items if i[0] == host)
+        want += [(host, own[k][0], own[k + 2][0], max(x[1] for x in own[k:k + 3])) for k in range(len(own) - 2)]
+    r.shuffle(items)
+    quarter = len(items) // 4 + 1
+    batches = [spans_of(spark, items[i:i + quarter]) for i in range(0, len(items), quarter)]
+    source = stream(spark, str(tmp_path), *batches, spans_of(spark, items[:5]), spans_of(spark, [("end", 9999, 0)]))
+    with live.rocksdb_state(spark):
+        got = live.run_to_end(live.ordered_runs(source, "host_id", "300 seconds"), "t")
+    assert seconds_of(got) == sorted(want)
+
+
+def test_late_rows_do_not_stop_the_stream(spark, tmp_path):
+    source = stream(spark, str(tmp_path), spans_of(spark, [("h", 0, 0), ("h", 50, 0)]), spans_of(spark, [("h", 100, 0)]),
+                    spans_of(spark, [("h", 10, 1)]), spans_of(spark, [("h", 999, 0)]), spans_of(spark, [("end", 9999, 0)]))
+    with live.rocksdb_state(spark):
+        got = live.run_to_end(live.ordered_runs(source, "host_id", "5 seconds", length=2), "t")
+    assert seconds_of(got) == [("h", 0, 50, 0), ("h", 50, 100, 0), ("h", 100, 999, 0)]
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    """No run reaches over a pause that is longer than a key is kept."""
+    batches = [[("h", 0, 0), ("g", 0, 0)], [("h", 10, 0)], [("x", 500, 0)], [("x", 900, 0)], [("h", 1000, 0), ("g", 1001, 0)],
+               [("h", 1010, 0)], [("end", 9999, 0)]]
+    source = stream(spark, str(tmp_path), *[spans_of(spark, b) for b in batches])
+    with live.rocksdb_state(spark):
+        got = live.run_to_end(live.ordered_runs(source, "host_id", "5 seconds", length=2, idle_seconds=100), "t")
+    assert seconds_of(got) == [("h", 0, 10, 0), ("h", 1000, 1010, 0)]
+
+
+def test_sessions_and_gaps(spark, log, tmp_path):
+    times = [0, 10, 30, 200, 210, 900, 2000]
+    events = log(*[(s, "READ", "a", "x") for s in times]).withColumn("host_id", F.lit("h"))
+    source = stream(spark, str(tmp_path / "in"), events.filter("ordinal < 3"), events.filter("ordinal >= 3"))
+    sessions = live.run_to_end(live.live_sessions(source, "60 seconds", "10 seconds", "host_id"), "s")
+    assert rows(sessions, "start", "end", "n_events") == [
+        (T0, T0 + timedelta(seconds=30), 3), (T0 + timedelta(seconds=200), T0 + timedelta(seconds=210), 2),
+        (T0 + timedelta(seconds=900), T0 + timedelta(seconds=900), 1)]
+    last = spark.createDataFrame([("end", T0 + timedelta(days=9), T0 + timedelta(days=9), 1)], sessions.schema)
+    again = stream(spark, str(tmp_path / "s"), sessions, last)
+    with live.rocksdb_state(spark):
+        gaps = live.run_to_end(live.live_gaps(again, "host_id", "10 seconds"), "g")
+    assert rows(gaps, "gap_s") == [(170.0,), (690.0,)]
