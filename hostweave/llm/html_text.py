@@ -14,15 +14,20 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?i)(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+# One token of markup. A quote counts only behind "=", as in browsers; every part is taken whole,
+# so a tag that never ends is read once, to the end of the page.
+_GAP, _VALUE = r"[\t\n\f\r ]", r"(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\t\n\f\r >\"'][^\t\n\f\r >]*+)"
+_ATTRIBUTE = rf"[^\t\n\f\r />][^\t\n\f\r />=]*+(?>{_GAP}*+={_GAP}*+{_VALUE}?+)?+"
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)"
+    rf"|<(/?)([A-Za-z][^\t\n\f\r />]*+)((?>[\t\n\f\r /]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_NAMES = re.compile(rf"(?i)(class|id|role){_GAP}*+={_GAP}*+({_VALUE})|{_ATTRIBUTE}")
 _PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -45,14 +50,14 @@ ENDS_SVG = frozenset(
 HTML_IN_SVG = frozenset("foreignobject desc title".split())
 
 BUCKETS = 1 << 12
-DEPTH = 32  # outermost and innermost open elements that describe a block
 LABELS = 2  # 0: boilerplate, 1: main text
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, frozenset[str]], ...]  # ancestors, outermost first: tag, words of class, id and role
+    context: tuple[int, ...]  # features of all its ancestors; empty where they are summed instead
+    score: tuple[float, float]  # the sums of their weights
     linked: int  # characters inside links
 
 
@@ -62,44 +67,98 @@ class _Open:
     names: frozenset[str]
 
 
-@dataclass
+@functools.cache
+def _bucket(name: str) -> int:
+    value = 1469598103934665603
+    for byte in name.encode():
+        value = (value ^ byte) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+    return (value ^ value >> 29) % BUCKETS
+
+
+@functools.lru_cache(maxsize=50_000)
+def _own_features(tag: str, names: frozenset[str]) -> tuple[int, ...]:
+    return tuple({_bucket("in:" + tag), *(_bucket("name:" + w) for w in names)})
+
+
 class _Builder:
-    stack: list[_Open] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    blocks: list[Block] = field(default_factory=list)
-    open: Counter = field(default_factory=Counter)  # elements on the stack by tag
+    """Open elements and finished blocks. What the ancestors add to a block is counted as they open
+    and close, at any depth; every tag knows where it is open, so nothing walks down the stack."""
+
+    def __init__(self, weights: list[list[float]] | None) -> None:
+        self.weights = weights
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements, by tag
+        self.boxes: list[_Open] = []  # open elements that are not inline
+        self.counts: dict[int, int] = {}  # features of those
+        self.sums = [0.0, 0.0]  # of their weights
+        self.parts: list[str] = []
+        self.linked = 0
+        self.blocks: list[Block] = []
 
     def start(self, tag: str, names: frozenset[str]) -> None:
-        self.stack.append(_Open(tag, names))
-        self.open[tag] += 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        element = _Open(tag, names)
+        self.stack.append(element)
+        if tag not in INLINE:
+            self.boxes.append(element)
+            for f in _own_features(tag, names):
+                n = self.counts.get(f, 0)
+                self.counts[f] = n + 1
+                if not n:
+                    self._add(f, 1)
+
+    def _add(self, feature: int, sign: int) -> None:
+        if self.weights:
+            a, b = self.weights[feature]
+            self.sums[0] += sign * a
+            self.sums[1] += sign * b
 
     def text(self, raw: str) -> None:
         if raw:
             value = html.unescape(raw) if "&" in raw else raw
             self.parts.append(value)
-            if self.open["a"]:
+            if self.places.get("a"):
                 self.linked += len(value)
 
+    def _nearest(self) -> set[int]:
+        """Features of the innermost box and of the place among articles, without those that are counted."""
+        # an article inside an article is mostly a comment or a teaser
+        found = {_bucket(f"articles:{min(2, len(self.places.get('article', ())))}")}
+        if self.boxes:
+            found.add(_bucket("own:" + self.boxes[-1].tag))
+            found.update(_bucket("ownname:" + w) for w in self.boxes[-1].names)
+        return {f for f in found if f not in self.counts}
+
     def flush(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
+        text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text:
-            near = self.stack if len(self.stack) <= 2 * DEPTH else self.stack[:DEPTH] + self.stack[-DEPTH:]
-            path = tuple((o.tag, o.names) for o in near if o.tag not in INLINE)
-            self.blocks.append(Block(text, path, self.linked))
+            near = self._nearest()
+            if self.weights:
+                self.blocks.append(Block(text, (), (
+                    self.sums[0] + sum(self.weights[f][0] for f in near),
+                    self.sums[1] + sum(self.weights[f][1] for f in near)), self.linked))
+            else:
+                self.blocks.append(Block(text, tuple(sorted(near | self.counts.keys())), (0.0, 0.0), self.linked))
         self.parts, self.linked = [], 0
 
     def close(self, tags: set[str], stop: frozenset[str]) -> None:
-        """Close the innermost element of ``tags`` and what is open inside it."""
-        if not any(self.open[t] for t in tags):
+        """Close the innermost element of ``tags``, unless one of ``stop`` is open inside it, and what it holds."""
+        at = -1
+        for t in tags:
+            if self.places.get(t):
+                at = max(at, self.places[t][-1])
+        if at < 0 or any(self.places[t][-1] > at for t in stop if self.places.get(t)):
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag in tags:
-                self.open.subtract(o.tag for o in self.stack[i:])
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in stop:
-                return
+        while len(self.stack) > at:
+            element = self.stack.pop()
+            self.places[element.tag].pop()
+            if element.tag not in INLINE:
+                self.boxes.pop()
+                for f in _own_features(element.tag, element.names):
+                    self.counts[f] -= 1
+                    if not self.counts[f]:
+                        del self.counts[f]
+                        self._add(f, -1)
 
 
 _SCOPE = frozenset("table td th button object caption ul ol dl".split())
@@ -117,7 +176,7 @@ def _after_svg(page: str, at: int) -> int:
         tag, opens = (m.group(2) or "").lower(), not m.group(1)
         if opens and tag in ENDS_SVG and not inner:
             return m.start()
-        if opens and (m.group(3) or "").rstrip().endswith("/"):
+        if opens and (m.group(3) or "").endswith("/"):
             continue
         if tag in HTML_IN_SVG:
             inner = max(0, inner + (1 if opens else -1))
@@ -129,24 +188,53 @@ def _after_svg(page: str, at: int) -> int:
     return last
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """Blocks of a page in order; markup that is not closed or nested well is taken as browsers do."""
-    b, at, size = _Builder(), 0, len(page)
-    while at < size:
-        lt = page.find("<", at)
-        if lt < 0:
-            b.text(page[at:])
-            break
-        m = _TOKEN.match(page, lt)
-        if not m:  # a lone "<"
-            b.text(page[at:lt + 1])
-            at = lt + 1
-            continue
-        b.text(page[at:lt])
+@functools.cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\t\n\f\r />])[^>]*+>", re.I)
+
+
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Where an element whose content is no markup ends; without an end tag, with the page."""
+    end = _end_tag(tag).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _after_template(page: str, at: int) -> int:
+    """Where a template ends whose content starts at ``at``, nested ones counted."""
+    depth = 1
+    while m := _next_token(page, at):
+        tag, at = (m.group(2) or "").lower(), m.end()
+        if tag == "template":
+            depth += -1 if m.group(1) else 1
+            if not depth:
+                return at
+        elif tag in RAW and tag != "svg" and not m.group(1):
+            at = _after_raw(page, tag, at)
+    return len(page)
+
+
+def _next_token(page: str, at: int) -> re.Match | None:
+    """The first token of markup from ``at`` on; a "<" that starts none is text."""
+    while (at := page.find("<", at)) >= 0:
+        if m := _TOKEN.match(page, at):
+            return m
+        at += 1
+    return None
+
+
+def leaf_blocks(page: str, weights: list[list[float]] | None = None) -> list[Block]:
+    """Blocks of a page in order; markup that is not closed or nested well is taken as browsers do.
+
+    With ``weights`` of the features, blocks have the sums of their ancestors' weights, which
+    takes the same memory however deep the page is, instead of the features themselves.
+    """
+    b, at = _Builder(weights), 0
+    while m := _next_token(page, at):
+        b.text(page[at:m.start()])
         at = m.end()
         if not m.group(2):
             continue
-        tag = m.group(2).lower()
+        tag, attributes = m.group(2).lower(), m.group(3)
         if tag == "br":
             b.parts.append("\n")
         elif m.group(1):
@@ -156,10 +244,9 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag in RAW:
             b.flush()
             if tag == "svg":
-                at = at if m.group(3).rstrip().endswith("/") else _after_svg(page, at)
+                at = at if attributes.endswith("/") else _after_svg(page, at)
             else:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+                at = _after_template(page, at) if tag == "template" else _after_raw(page, tag, at)
         else:
             if tag not in INLINE:
                 b.flush()
@@ -167,37 +254,24 @@ def leaf_blocks(page: str) -> list[Block]:
                     b.close({"p"}, _SCOPE)
                 if tag in CLOSES_SELF:
                     b.close(CLOSES_SELF[tag], _SCOPE - CLOSES_SELF[tag])
-            if tag not in VOID and not m.group(3).rstrip().endswith("/"):
-                words = frozenset(w for v in _NAMES.findall(m.group(3)) for w in _PART.findall(v.lower()))
+            if tag not in VOID and not attributes.endswith("/"):
+                words = _NO_SCOPE if not attributes else frozenset(w for name, v in _NAMES.findall(attributes) if name for w in _PART.findall(v.lower()))
                 b.start(tag, words)
+    b.text(page[at:])
     b.flush()
     return b.blocks
 
 
-@functools.cache
-def _bucket(name: str) -> int:
-    value = 1469598103934665603
-    for byte in name.encode():
-        value = (value ^ byte) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return (value ^ value >> 29) % BUCKETS
-
-
-@functools.lru_cache(maxsize=50_000)
-def _path_features(path: tuple) -> tuple[int, ...]:
-    found = {"in:" + tag for tag, _ in path} | {"name:" + w for _, names in path for w in names}
-    if path:
-        found.add("own:" + path[-1][0])
-        found |= {"ownname:" + w for w in path[-1][1]}
-    # an article inside an article is mostly a comment or a teaser
-    found.add(f"articles:{min(2, sum(t == 'article' for t, _ in path))}")
-    return tuple(sorted({_bucket(f) for f in found}))
+def _text_features(block: Block) -> list[int]:
+    text, size = block.text, len(block.text)
+    own = ["bias", f"size:{min(3, size.bit_length() // 3)}", f"linked:{min(4, 5 * block.linked // max(size, 1))}",
+           f"copyright:{'©' in text}"]
+    return list(map(_bucket, own))
 
 
 def features(block: Block) -> list[int]:
-    text, size = block.text, len(block.text)
-    own = ["bias", f"size:{min(3, size.bit_length() // 3)}", f"linked:{min(4, 5 * block.linked // max(size, 1))}",
-           f"copyright:{'©' in text[:20]}"]
-    return [*_path_features(block.path), *map(_bucket, own)]
+    """All features of a block that came with its context."""
+    return [*block.context, *_text_features(block)]
 
 
 class Field:
@@ -255,9 +329,12 @@ class Field:
 
     def decode(self, rows: list[list[int]]) -> list[int]:
         """The likeliest sequence of labels."""
-        if not rows:
+        return self.best(self._scores(rows).tolist()) if rows else []
+
+    def best(self, scores: list[list[float]]) -> list[int]:
+        """The same from the blocks' own scores."""
+        if not scores:
             return []
-        scores = self._scores(rows).tolist()
         (s00, s01), (s10, s11) = self.steps.tolist()
         a, b = scores[0]
         back = []
@@ -418,10 +495,14 @@ def trained(pages: int = 600, seed: int = 20) -> Field:
     return model
 
 
-def main_text(page: str, model: Field) -> str:
-    blocks = leaf_blocks(page)
-    labels = model.decode([features(b) for b in blocks])
-    return "\n".join(b.text for b, label in zip(blocks, labels) if label)
+def main_text(page: str, model: Field, weights: list[list[float]]) -> str:
+    """``weights`` are the model's, as a list."""
+    blocks = leaf_blocks(page, weights)
+    scores = []
+    for b in blocks:
+        own = [weights[f] for f in _text_features(b)]
+        scores.append([b.score[k] + sum(w[k] for w in own) for k in range(LABELS)])
+    return "\n".join(b.text for b, label in zip(blocks, model.best(scores)) if label)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -437,10 +518,11 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
+        weights = model.weights.tolist()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [main_text(p, model) if p else "" for p in part.column("html").to_pylist()]
+                texts = [main_text(p, model, weights) if p else "" for p in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())],

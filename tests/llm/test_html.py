@@ -35,6 +35,129 @@ def test_leaf_blocks_beside_svg(page, blocks):
     assert texts(page) == blocks
 
 
+@pytest.mark.parametrize("page, blocks", [
+    ("<p class=it's>Hello there</p><p>We don't stop here</p>", ["Hello there", "We don't stop here"]),
+    ("<p class=it's>Hello", ["Hello"]), ('<a href="x>y">z</a><p title=\'a>b\'>c', ["z", "c"]), ('<p x"y=1>q</p>', ["q"]),
+    ("<p class= >x", ["x"]), ("<p class=>x", ["x"]), ("<p =a='>'>x", ["x"]), ("<p a = b>x", ["x"]), ("<p/class=x/>y", ["y"]),
+    ("<template><template>x</template>leak</template>ok", ["ok"]), ("<template>x", []),
+    ("<template><script></template></script>y</template>z", ["z"]), ("<title>a</titles></title >b", ["b"]),
+    ("<!-->a<!--->b<!-- c --!>d", ["abd"]), ("a</>b</3 x>c", ["abc"]), ("a<3 b < c", ["a<3 b < c"]), ("x<p a='never closed", ["x"])])
+def test_attributes_and_templates(page, blocks):
+    assert texts(page) == blocks
+
+
+def plain_tags(page):
+    """Tags and texts of a page, character by character; no raw elements, comments or declarations."""
+    out, at, size, text = [], 0, len(page), ""
+    gap = "\t\n\f\r "
+    while at < size:
+        close = page[at + 1:at + 2] == "/"
+        first = page[at + 1 + close:at + 2 + close]
+        if page[at] != "<" or not (first.isascii() and first.isalpha()):
+            text, at = text + page[at], at + 1
+            continue
+        i, name = at + 1 + close, ""
+        while i < size and page[i] not in gap + "/>":
+            name, i = name + page[i], i + 1
+        attributes = []
+        while i < size and page[i] != ">":
+            if page[i] in gap + "/":
+                i += 1
+                continue
+            key = page[i]
+            i += 1
+            while i < size and page[i] not in gap + "/>=":
+                key, i = key + page[i], i + 1
+            k = i
+            while k < size and page[k] in gap:
+                k += 1
+            value = None
+            if k < size and page[k] == "=":
+                i = k + 1
+                while i < size and page[i] in gap:
+                    i += 1
+                value = ""
+                if i < size and page[i] in "\"'":
+                    end = page.find(page[i], i + 1)
+                    end = size if end < 0 else end
+                    value, i = page[i + 1:end], end + 1
+                else:
+                    while i < size and page[i] not in gap + ">":
+                        value, i = value + page[i], i + 1
+            attributes.append((key, value))
+        if text:
+            out.append(text)
+            text = ""
+        at = min(size, i + 1)
+        out.append((close, name, attributes))
+    return out + [text] if text else out
+
+
+def unquoted(value):
+    if value[:1] not in ("'", '"'):
+        return value
+    return value[1:-1] if len(value) > 1 and value[-1] == value[0] else value[1:]
+
+
+def test_tokens_against_a_plain_reader():
+    import random
+
+    r = random.Random(3)
+    parts = ["<", ">", "/", "=", "'", '"', " ", "\n", "a", "p", "class", "id=x", "<p ", "</p>", "<div class=", "=\"a b\"", "='c'", "z"]
+    for _ in range(20_000):
+        page = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        got, at, text = [], 0, ""
+        if re.search("</[^A-Za-z]|</$", page):
+            continue  # comments of another kind
+        while m := html_text._next_token(page, at):
+            text = text + page[at:m.start()]
+            if text:
+                got.append(text)
+            text, at = "", m.end()
+            got.append((bool(m.group(1)), m.group(2), [(n, unquoted(v)) for n, v in html_text._NAMES.findall(m.group(3)) if n]))
+        if page[at:]:
+            got.append(page[at:])
+        want = [x if isinstance(x, str) else (x[0], x[1], [
+            (k, v) for k, v in x[2] if k.lower() in ("class", "id", "role") and v]) for x in plain_tags(page)]
+        clean = [x if isinstance(x, str) else (x[0], x[1], [(k, v) for k, v in x[2] if v]) for x in got]
+        assert clean == want, page
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000 + '"', "<" * 10**6, "<p><button>" + "<div>" * 100_000, "<p class='" * 100_000, "<svg><svg></svg>" * 60_000,
+    "<template>" * 100_000, "".join(f"<div class=c{i}>x" for i in range(20_000)), "<!--" * 250_000, "<p a   " * 140_000,
+    "<table><p>" * 50_000 + "<li>" * 50_000, "<x a = " * 140_000])
+def test_long_malformed_pages(page):
+    """Work grows with the page's length: nothing is read again from every tag on."""
+    import time
+
+    weights = html_text.trained().weights.tolist()
+    start = time.process_time()
+    html_text.leaf_blocks(page, weights)
+    assert time.process_time() - start < 6
+
+
+def test_no_depth_is_forgotten():
+    model = html_text.trained()
+    weights = model.weights.tolist()
+    for depth in (10, 40, 200):
+        deep = "<div>" * depth + "<nav><ul><li><a href=/>Home and more</a></ul></nav>" + "<div>" * depth + "</div>" * 2 * depth
+        page = f"<body>{deep}<article><h1>Head</h1><p>First text of it.</article>"
+        assert html_text.main_text(page, model, weights) == "Head\nFirst text of it."
+        inside = "<body><nav>" + "<div>" * depth + "<p>Menu words here" + "</div>" * depth + "</nav><article><p>Text of it.</article>"
+        assert html_text.main_text(inside, model, weights) == "Text of it."
+
+
+def test_summed_weights_equal_listed_features():
+    model = html_text.trained()
+    weights = model.weights.tolist()
+    for page, _ in html_text.labelled_pages(40, seed=7):
+        listed, summed = html_text.leaf_blocks(page), html_text.leaf_blocks(page, weights)
+        assert [b.text for b in listed] == [b.text for b in summed]
+        for a, b in zip(listed, summed):
+            assert np.allclose(b.score, model.weights[list(a.context)].sum(axis=0))
+
+
 def test_marginals_and_viterbi_against_all_sequences():
     r = np.random.default_rng(0)
     model = html_text.Field()
