@@ -10,7 +10,8 @@ Every candidate is verified by exact containment in the document's shingles.
 
 A band is one hash function: it collides where item and window have the same
 smallest shingle. That shingle must lie in the window, so only windows around the
-items' smallest shingles need a signature; no other window can collide.
+items' smallest shingles need a signature; no other window can collide. Items of
+fewer words than a shingle are looked up as they are.
 """
 
 import functools
@@ -47,9 +48,17 @@ class ItemIndex:
         self.percent, self.k = percent, k
         self.sets = shingles.shingle_sets(texts, shingles.SPACE_AND_PUNCTUATION, k) if texts else []
         self.bands: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+        #: Items of fewer than k words, by their number and the hash of them all.
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        words, counts = shingles.word_hashes(texts, shingles.SPACE_AND_PUNCTUATION) if texts else ((), np.zeros(0, int))
+        ends = np.cumsum(counts)
         keys = []
         for i, own in enumerate(self.sets):
-            if len(own):
+            n = int(counts[i])
+            if 0 < n < k:
+                whole = shingles.shingle_hashes(words[ends[i] - n:ends[i]], counts[i:i + 1], n)[0]
+                self.short[n][int(whole[0])].append(i)
+            elif len(own):
                 least = signature(own)
                 keys.append(least)
                 size = max(0, math.ceil(math.log2(len(own))))
@@ -73,10 +82,11 @@ class ItemIndex:
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, shingles of the item, of these in the text)."""
+        words, counts = shingles.word_hashes(texts, shingles.SPACE_AND_PUNCTUATION)
+        yield from self._search_short(words, counts)
         if not len(self.keys):
             return
-        hashes, numbers = shingles.shingle_hashes(
-            *shingles.word_hashes(texts, shingles.SPACE_AND_PUNCTUATION), self.k)
+        hashes, numbers = shingles.shingle_hashes(words, counts, self.k)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[at] == hashes)
         first = np.cumsum(numbers) - numbers
@@ -90,6 +100,19 @@ class ItemIndex:
                     yield text, item, len(wanted), shared
 
 
+    def _search_short(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Items of n < k words are looked up among the runs of n words of every text."""
+        for n, items in self.short.items():
+            hashes, numbers = shingles.shingle_hashes(words, counts, n)
+            owner = np.repeat(np.arange(len(counts)), numbers)
+            wanted = np.array(sorted(items), dtype=_U)
+            at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+            hits = np.flatnonzero(wanted[at] == hashes)
+            for text, value in sorted(set(zip(owner[hits].tolist(), hashes[hits].tolist()))):
+                if counts[text] >= n:
+                    yield from ((text, item, 1, 1) for item in items[value])
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, percent: int = 75, k: int = 5,
     items_per_block: int = ITEMS_PER_BLOCK,
@@ -98,8 +121,8 @@ def contained_items(
 
     Words are runs of letters, digits and non-ASCII characters, A-Z as a-z; an
     item is in a document when at least ``percent`` of its distinct ``k``-word
-    shingles are. An item with fewer words has its whole sequence as its only
-    shingle, which only an equal document has; null, empty and wordless texts
+    shingles are. An item with fewer words is its only shingle, and in every document
+    that has all of its words one after the other; null, empty and wordless texts
     match nothing. Equal items are searched for once each, repeated documents
     give repeated rows, null ids are kept. The items are read in blocks of about
     ``items_per_block``, each against all documents; other columns are ignored.

@@ -20,7 +20,7 @@ WINDOW = 128  # bytes
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
 #: Bounds of the sample the network is fitted on: labelled documents by hash of their
 #: id, evenly over the languages, and windows of each, evenly over its text.
-TRAIN_DOCS, TRAIN_WINDOWS, LANGUAGES = 4000, 4, 200
+TRAIN_DOCS, TRAIN_WINDOWS = 4000, 4
 STEPS, BATCH, RATE = 700, 64, 0.01
 #: The class of windows without language, and its share of the steps where it is learned.
 NOISE, NOISE_SHARE = "\0", 0.5
@@ -153,21 +153,23 @@ def train(docs: DataFrame, noise: bool = False) -> Network | None:
     With ``noise`` it has a last class ``NOISE``, learned from the sample's windows
     with their bytes in random order.
 
-    The sample is bounded: at most ``TRAIN_DOCS`` documents, picked by hash, and
-    ``TRAIN_WINDOWS`` windows of each, of the ``LANGUAGES`` most frequent languages.
+    The sample is bounded: at most ``TRAIN_DOCS`` documents, picked by hash and evenly
+    over all languages (one of each where there are more languages than that), and
+    ``TRAIN_WINDOWS`` windows of each.
     Documents are ranked within a language; only those with small hashes, about
     four times as many as can be picked, go into a ranking.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
     labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and length(text) > 0")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
+    bound = max(TRAIN_DOCS, len(counts))
     last = F.create_map(*[F.lit(v) for r in counts for v in (
         r["lang"], -(1 << 63) + min((1 << 64) - 1, (4 * TRAIN_DOCS << 64) // r["count"]))])
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     picked = (labelled.select("doc_id", "lang").where(order <= last[F.col("lang")]).withColumn("place", place)
-              .where(F.col("place") <= TRAIN_DOCS).orderBy("place", "lang").limit(TRAIN_DOCS)
+              .where(F.col("place") <= TRAIN_DOCS).orderBy("place", "lang").limit(bound)
               .select("doc_id", F.col("lang").alias("picked")).distinct())
     texts = labelled.join(F.broadcast(picked), "doc_id").where("lang = picked")
 
@@ -186,7 +188,7 @@ def train(docs: DataFrame, noise: bool = False) -> Network | None:
 
     sample = texts.select("lang", "doc_id", "text").mapInArrow(
         cut, f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, at bigint, window binary").orderBy(
-        "doc_id", "at", "lang", "window").limit(TRAIN_DOCS * TRAIN_WINDOWS).collect()
+        "doc_id", "at", "lang", "window").limit(bound * TRAIN_WINDOWS).collect()
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})

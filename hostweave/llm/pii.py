@@ -35,7 +35,7 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,8}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9])")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(
-    r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)\s{0,4}[=:]\s{0,4}\"?([^\s\"]{8,})\"?")
+    r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)\s*+[=:]\s*+\"?([^\s\"]{8,})\"?")
 
 # Words that speak for a kind, in lower case.
 _SPEAKS = {

@@ -122,15 +122,23 @@ FROM sets LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"
 
 _ITEM_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),"
                r" '[0-9a-z\x{80}-\x{10FFFF}]+')")
+_SHORT_ITEMS = " UNION ALL ".join(f"""
+  SELECT doc_id, item_id, 1 AS n_item, 1 AS n_shared
+  FROM (SELECT doc_id, unnest(list_distinct([array_to_string(words[i:i + {k - 1}], ' ') FOR i IN range(1, len(words) - {k - 2})])) AS t
+        FROM texts WHERE len(words) >= {k})
+  JOIN (SELECT DISTINCT item_id, text, array_to_string(words, ' ') AS t FROM items WHERE len(words) = {k}) USING (t)"""
+    for k in range(1, 5))
 _DECONTAMINATION = f"""
 WITH items AS (
-  SELECT item_id, {_shingled(5)} AS own FROM (SELECT item_id, {_ITEM_WORDS} AS words FROM benchmark)),
+  SELECT item_id, text, words, {_shingled(5)} AS own
+  FROM (SELECT DISTINCT item_id, text, {_ITEM_WORDS} AS words FROM benchmark)),
 texts AS (
-  SELECT doc_id, {_shingled(5)} AS own FROM (SELECT doc_id, {_ITEM_WORDS} AS words FROM documents)),
-wanted AS (SELECT item_id, len(own) AS n_item, unnest(own) AS t FROM items),
-held AS (SELECT doc_id, unnest(own) AS t FROM texts)
+  SELECT doc_id, words, {_shingled(5)} AS own FROM (SELECT doc_id, {_ITEM_WORDS} AS words FROM documents)),
+wanted AS (SELECT item_id, len(own) AS n_item, unnest(own) AS t FROM items WHERE len(words) >= 5),
+held AS (SELECT doc_id, unnest(own) AS t FROM texts WHERE len(words) >= 5)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared
-FROM held JOIN wanted USING (t) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item"""
+FROM held JOIN wanted USING (t) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+UNION ALL {_SHORT_ITEMS}"""
 
 _PRICE = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
 _SHARE = f"1 + ({divergence.SCALE}::HUGEINT * ({{n}} + 2)) // ({{total}} + 2 * {{terms}})"

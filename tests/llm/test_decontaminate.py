@@ -6,19 +6,26 @@ from hostweave.llm import decontaminate
 from tests.llm.conftest import ODD
 
 
-def own(text):
-    w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+def words_of(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+
+
+def runs(words, k):
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)}
 
 
 def brute(rows, items, percent=75):
+    """An item of fewer than five words is one run of that many words."""
     found = []
     for doc_id, text, *_ in rows:
-        d = own(text)
+        words = words_of(text)
         for item_id, item in dict.fromkeys(items):
-            t = own(item)
-            if t and 100 * len(t & d) >= percent * len(t):
-                found.append((doc_id, item_id, len(t), len(t & d)))
+            wanted = words_of(item)
+            k = min(5, len(wanted))
+            if k:
+                t, d = runs(wanted, k), runs(words, k)
+                if 100 * len(t & d) >= percent * len(t):
+                    found.append((doc_id, item_id, len(t), len(t & d)))
     return Counter(found)
 
 
@@ -62,6 +69,17 @@ def test_odd_documents(documents, spark):
     check(documents, spark, ODD, [(1, "other text here"), (2, "word"), (3, "word word word word word word"), (4, "long " * 9)])
 
 
+def test_short_items_inside_texts(documents, spark):
+    rows = [(1, "The capital of France, Paris, is old."), (2, "Paris"), (3, "of france PARIS"), (4, "capital of Germany"), (5, None),
+            (6, "paris paris paris paris paris paris"), (7, "Was ist das"), (8, "日本 語 の 文 書 です"), (9, "parisian")]
+    items = [(1, "Capital of France: Paris"), (2, "paris"), (3, "of France"), (4, "ist das?"), (5, "日本 語 の"), (6, "paris paris"), (7, "!"),
+             (8, "capital of France Paris is old")]
+    check(documents, spark, rows, items)
+    check(documents, spark, rows, items, items_per_block=2)
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(r.doc_id for r in decontaminate.without_items(documents(*rows), table).collect()) == [4, 5, 9]
+
+
 def test_empty_tables(documents, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contained_items(documents(*ODD), none).collect() == []

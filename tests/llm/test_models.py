@@ -142,3 +142,11 @@ def test_held_out_accuracy(spark):
     assert (lang.lang == lang.lang_pred).mean() > 0.99
     quality = quality_model.scored(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert (quality.quality == quality.predicted).mean() > 0.97
+
+
+def test_every_language_is_learned(documents, monkeypatch):
+    """More languages than the sample has documents: one document of each."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 5)
+    rows = [(i, f"{chr(97 + i % 8) * 3} {chr(105 + i % 8) * 4} " * 30, f"l{i % 8}") for i in range(160)]
+    network = language_id.train(documents(*rows))
+    assert network.languages == [f"l{i}" for i in range(8)]
