@@ -125,7 +125,7 @@ _ITEM_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{
 _SHORT_ITEMS = " UNION ALL ".join(f"""
   SELECT doc_id, item_id, 1 AS n_item, 1 AS n_shared
   FROM (SELECT doc_id, unnest(list_distinct([array_to_string(words[i:i + {k - 1}], ' ') FOR i IN range(1, len(words) - {k - 2})])) AS t
-        FROM texts WHERE len(words) >= {k})
+        FROM (SELECT doc_id, words FROM texts WHERE len(words) >= {k} AND {k} IN (SELECT len(words) FROM items)))
   JOIN (SELECT DISTINCT item_id, text, array_to_string(words, ' ') AS t FROM items WHERE len(words) = {k}) USING (t)"""
     for k in range(1, 5))
 _DECONTAMINATION = f"""
