@@ -1,5 +1,7 @@
 """Reading tables and staging intermediate results on shared storage."""
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -45,3 +47,12 @@ def text_chunks(
             part = [b"" if t is None else t for t in texts.slice(start, end - start).to_pylist()]
             yield [batch.column(c).slice(start, end - start) for c in columns], part
             start = end
+
+
+def give_back() -> None:
+    """Hand memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)

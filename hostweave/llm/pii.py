@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hostweave.llm.common import text_chunks
+from hostweave.llm.common import give_back, text_chunks
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "local_phone", "secret")
@@ -235,8 +235,10 @@ def redact(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages of a pipeline held in this worker
         for batch in batches:
             texts = [t if t is None else redacted(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
