@@ -5,8 +5,13 @@ common words of a language. Both are compared, by Jensen-Shannon distance, with
 references summed over all documents of each language; the nearest language
 counts. The languages of ``COMMON_WORDS`` have fixed words. Every other language
 of the table takes its most frequent words from the table, and its documents are
-compared with its own reference as well. A short text says little about its distribution, so each comparison has
-a minimum length below which it passes.
+compared with its own reference as well.
+
+A short text says little about its distribution. Words drawn from a reference are at
+a distance from it whose square falls with their number, so the square of the largest
+distance allowed is a constant for what texts differ in plus a share of 1 / words. Where
+that would let any text of words pass, a text without one common word still fails. Below
+its minimum length a comparison passes.
 """
 
 from functools import reduce
@@ -29,9 +34,13 @@ CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": "0-9", "symbol": "#*
 
 MIN_WORDS = 50  # fewer fail the base rules
 MAX_REPEATED = 50  # percent of the words in repeated three-word windows
-#: Largest distances of an ordinary document and the lengths from which they are asked for.
-MAX_CLASS_DISTANCE, CLASS_MIN_CHARS = 0.33, 200
-MAX_WORD_DISTANCE, WORDS_MIN = 0.285, 100
+#: Square of the largest distances of an ordinary document: the first number plus the second / words.
+#: Set on labelled documents that are not held out, so that all good ones are well inside.
+CLASS_LIMIT, WORD_LIMIT = (0.04, 3.6), (0.0225, 6.5)
+#: Lengths from which the distances are asked for.
+CLASS_MIN_CHARS, WORDS_MIN = 200, 50
+#: Share of the distance of a text without common words that no text may exceed, if it is above the second number.
+BARE_SHARE, BARE_MIN = 0.98, 0.285
 
 
 def _let(value: Column, use) -> Column:
@@ -207,6 +216,15 @@ def judged(counts: DataFrame, known: list[tuple[str, list[float], list[float]]])
     own_shares = F.transform(F.concat("own_times", F.array(rest)), lambda n: F.when(
         F.col("n_words") > 0, n / F.col("n_words")).otherwise(0.0))
     literal = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    bare = nearest(
+        [js_distance(literal([0] * (len(w) - 1) + [1]), literal(w)) for _, _, w in known],
+        js_distance(F.transform("own_shares", lambda x, i: F.when(
+            i == F.size("own_shares") - 1, 1.0).otherwise(0.0)), F.col("own_shares")), "own_shares")
+
+    def limit(fixed: float, by_words: float) -> Column:
+        return F.sqrt(fixed + by_words / F.col("n_words"))
+
+    word_limit = F.least(limit(*WORD_LIMIT), F.greatest(BARE_SHARE * bare, F.lit(BARE_MIN)))
     return counts.withColumns({
         "class_distance": nearest(
             [js_distance(classes, literal(c)) for _, c, _ in known],
@@ -217,8 +235,8 @@ def judged(counts: DataFrame, known: list[tuple[str, list[float], list[float]]])
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
     }).withColumn("kept", ~F.col("base_failed") & ~(
-        ((F.col("word_chars") >= CLASS_MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE))
-        | ((F.col("n_words") >= WORDS_MIN) & (F.col("word_distance") > MAX_WORD_DISTANCE))))
+        ((F.col("word_chars") >= CLASS_MIN_CHARS) & (F.col("class_distance") > limit(*CLASS_LIMIT)))
+        | ((F.col("n_words") >= WORDS_MIN) & (F.col("word_distance") > word_limit))))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def _quality_rules() -> str:
         f"sum(t{i})::DOUBLE AS t{i}" for i in range(len(listed))])
     known = ", ".join(
         f"r_{name} AS (SELECT {sums} FROM counts WHERE lang = '{name}')" for name in rules.COMMON_WORDS)
-    by_class, by_word = [], []
+    by_class, by_word, bare = [], [], []
     for name, words in rules.COMMON_WORDS.items():
         chars = " + ".join(f"r_{name}.{c}" for c in classes)
         by_class.append(distance(
@@ -42,6 +42,13 @@ def _quality_rules() -> str:
         by_word.append(distance(
             [(f"(c.{o}::DOUBLE / c.n_words)", f"(r_{name}.{o} / r_{name}.n_words)") for o in own]
             + [(f"({rest('c')}::DOUBLE / c.n_words)", f"({rest('r_' + name)} / r_{name}.n_words)")], "c.n_words"))
+        bare.append(distance(
+            [("0::DOUBLE", f"(r_{name}.{o} / r_{name}.n_words)") for o in own]
+            + [("1::DOUBLE", f"({rest('r_' + name)} / r_{name}.n_words)")], "c.n_words"))
+
+    def limit(fixed: float, by_words: float) -> str:
+        return f"sqrt({fixed}::DOUBLE + {by_words}::DOUBLE / n_words)"
+
     times = ", ".join(f"len([x FOR x IN words IF x = {_quoted(w)}]) AS t{i}" for i, w in enumerate(listed))
     return rf"""
 WITH base AS (
@@ -70,12 +77,14 @@ counts AS (
 judged AS (
   SELECT c.*, coalesce(least({', '.join(by_class)}), 0) AS class_distance,
     coalesce(least({', '.join(by_word)}), 0) AS word_distance,
+    coalesce(least({', '.join(bare)}), 0) AS bare_distance,
     c.n_words < {rules.MIN_WORDS} OR 100 * c.n_repeat_words > {rules.MAX_REPEATED} * c.n_words AS base_failed
   FROM counts c, {', '.join(f'r_{n}' for n in rules.COMMON_WORDS)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed
-  AND NOT (word_chars >= {rules.CLASS_MIN_CHARS} AND class_distance > {rules.MAX_CLASS_DISTANCE})
-  AND NOT (n_words >= {rules.WORDS_MIN} AND word_distance > {rules.MAX_WORD_DISTANCE}) AS kept
+  AND NOT (word_chars >= {rules.CLASS_MIN_CHARS} AND class_distance > {limit(*rules.CLASS_LIMIT)})
+  AND NOT (n_words >= {rules.WORDS_MIN} AND word_distance > least(
+    {limit(*rules.WORD_LIMIT)}, greatest({rules.BARE_SHARE}::DOUBLE * bare_distance, {rules.BARE_MIN}::DOUBLE))) AS kept
 FROM judged"""
 
 

@@ -34,11 +34,31 @@ def test_odd_distributions_go(documents):
     good = [(i, " ".join(words[i % 7:] + [f"w{i}{j}x" for j in range(90)] + words[:i % 7])) for i in range(20)]
     table = (50, " | ".join(f"cell{'abcdefghij'[i % 10]}{i}" for i in range(150)))
     loud = (51, " ".join(f"WORD{'ABCDEFGHIJ'[i % 10]}{i}!!!***" for i in range(150)))
-    short = (52, " ".join(f"A{i}" for i in range(60)))
+    short = (52, " ".join(f"A{i}" for i in range(60)))  # too few characters, but not one common word
+    brief = [(60 + i, " ".join(words[i:] + words[:i] + [f"w{i}{j}x" for j in range(55 - len(words))])) for i in range(4)]
     verdict = {r.doc_id: r.kept for r in rules.quality_rules(documents(*good, table, loud)).collect()}
     assert all(verdict[i] for i, _ in good) and not verdict[50] and not verdict[51]
-    # under the minimum length nothing but the base rules decides
-    assert rules.quality_rules(documents(*good, short)).where("doc_id = 52").first().kept
+    verdict = {r.doc_id: (r.kept, r.base_failed) for r in rules.quality_rules(documents(*good, short, *brief)).collect()}
+    assert verdict[52] == (False, False)
+    assert all(verdict[i] == (True, False) for i, _ in brief)
+
+
+def test_limits_follow_the_length(documents):
+    """One mixture of words, near its reference when it is short, too far from it when it is long."""
+    r = random.Random(3)
+    common = rules.COMMON_WORDS["en"]
+
+    def text(n, share):
+        return " ".join(r.choice(common) if r.random() < share else
+                        "".join(r.choice("bcdfghklmnprst") for _ in range(r.randint(3, 9))) for _ in range(n))
+
+    usual = [(i, text(400, 0.4)) for i in range(60)]
+    thin = [(100 + i, text(60, 0.2)) for i in range(5)] + [(200 + i, text(3000, 0.06)) for i in range(5)]
+    got = {x.doc_id: x for x in rules.quality_rules(documents(*usual, *thin)).collect()}
+    assert all(got[i].kept for i, _ in usual) and all(got[100 + i].kept for i in range(5))
+    assert not any(got[200 + i].kept for i in range(5))
+    shortest, longest = (math.sqrt(rules.WORD_LIMIT[0] + rules.WORD_LIMIT[1] / n) for n in (60, 3000))
+    assert all(longest < got[i].word_distance < shortest for i in [*range(100, 105), *range(200, 205)])
 
 
 def test_languages_without_fixed_words(documents):
