@@ -8,6 +8,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.ordered import position_in_order
+from hostweave.operators.propagation import linear_score
 
 # Class weights of benign and malicious sequences.
 CLASS_WEIGHTS = {0: 0.3, 1: 0.7}
@@ -75,6 +76,19 @@ def score_sequences(model: PipelineModel, rows: DataFrame) -> DataFrame:
         "sequence_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
+def score_linear(
+    rows: DataFrame, weights: dict[str, float], bias: float = 0.0, cutoff: float = 0.5
+) -> DataFrame:
+    """Score sequences with given coefficients: the logistic function of the weighted columns.
+
+    For models whose coefficients were exported; a score above ``cutoff`` predicts 1. A missing
+    column value makes score and prediction null.
+    """
+    return rows.select(
+        "sequence_id", "label", (1 / (1 + F.exp(-linear_score(weights, bias)))).alias("score")).withColumn(
+        "prediction", (F.col("score") > cutoff).cast("int"))
+
+
 def evaluation(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision and recall of the positive class."""
     label, prediction = F.col("label"), F.col("prediction")

@@ -26,6 +26,10 @@ QUERIES: dict[str, Query] = {}
 WEIGHTS = {
     "node_type_flag": 0.4, "in_degree": 0.7, "out_degree": -0.2, "event_type_count": 0.3}
 BIAS, CUTOFF = 0.1, 0.75
+# Coefficients of a scorer of whole sequences: later steps count more.
+STEP_WEIGHTS = {
+    f"{name}_t{step}": round(weight * share, 4)
+    for step, share in enumerate((0.2, 0.3, 0.5)) for name, weight in WEIGHTS.items()}
 
 
 def query(function: Query) -> Query:
@@ -927,16 +931,28 @@ def sequence_classifier(spark, folder):
     return scoring.score_sequences(model, rows)
 
 
+@query
+def sequence_scores(spark, folder):
+    """Every sequence scored by given coefficients over its three steps."""
+    rows = propagation.step_matrix(_scored(spark, folder).members(), list(WEIGHTS))
+    return scoring.score_linear(rows, STEP_WEIGHTS, BIAS, 0.673).select(
+        "sequence_id", "label", _round("score").alias("score"), "prediction")
+
+
 @query
 def separable_classifier(spark, folder):
-    """Train on labels that a line separates: sequences that begin busier or quieter than the mean."""
+    """Learn from earlier sequences which later ones have a busier mean step than the earlier ones had."""
     rows = durable(propagation.step_matrix(_scored(spark, folder).members(), list(WEIGHTS)))
-    above = F.col("in_degree_t0") - rows.select(F.avg("in_degree_t0")).scalar()
-    marked = durable(rows.withColumn("label", (above > 0).cast("int")).filter(F.abs(above) > 0.01))
     features = [c for c in rows.columns if c not in ("sequence_id", "label")]
-    model = scoring.train_classifier(marked, features)
-    return scoring.score_sequences(model, marked).groupBy("label", "prediction").agg(
-        F.count(F.lit(1)).alias("n_rows"))
+    parts = durable(scoring.boundary_split(rows))
+    load = sum((F.col(f"{c}_t{step}") for step in range(3) for c in ("in_degree", "event_type_count")), F.lit(0.0))
+    usual = parts.filter("split = 'train'").select(F.avg(load)).scalar()
+    marked = durable(parts.withColumn("label", (load > usual).cast("int")))
+    model = scoring.train_classifier(marked.filter("split = 'train'"), features)
+    test = scoring.score_sequences(model, marked.filter("split = 'test'"))
+    return test.agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum("label").alias("n_busy"),
+        (F.avg((F.col("prediction") == F.col("label")).cast("double")) >= 0.9).alias("accurate"))
 
 
 @query

@@ -88,8 +88,9 @@ def _typed(
 
 def _cast(name: str, data_type: str) -> Column:
     if data_type == "INT":
-        # Whole numbers may be written as "53.0".
-        return F.col(name).try_cast("double").cast("int")
+        # Whole numbers may be written as "53.0"; any other fraction does not parse.
+        number = F.col(name).try_cast("double")
+        return F.when(number == F.rint(number), number.try_cast("int"))
     if data_type == "STRING":
         return F.col(name)
     return F.col(name).try_cast(data_type)

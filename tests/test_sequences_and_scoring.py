@@ -89,6 +89,16 @@ def test_classifier_separates_and_scores(spark, kind):
     assert row.n_rows == 200 and row.accuracy > 0.95 and row.recall > 0.95
 
 
+def test_given_coefficients(spark):
+    values = [(1, 0, 0.5, -2.0), (2, 1, 3.0, 1.0), (3, 1, None, 1.0)]
+    df = spark.createDataFrame(values, "sequence_id int, label int, a double, b double")
+    got = {r.sequence_id: r for r in scoring.score_linear(df, {"a": 1.5, "b": -0.25}, 0.1, 0.9).collect()}
+    for i, label, a, b in values[:2]:
+        score = 1 / (1 + math.exp(-(0.1 + 1.5 * a - 0.25 * b)))
+        assert got[i].score == pytest.approx(score) and (got[i].label, got[i].prediction) == (label, int(score > 0.9))
+    assert got[3].score is None and got[3].prediction is None
+
+
 def test_evaluation_and_weights(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 1)], "label int, prediction int")
     row = scoring.evaluation(df).first()

@@ -80,6 +80,15 @@ def test_subject_and_network_csv(spark, tmp_path):
         ("f1", "::", 53522, None, None, 17, None, "S"), ("f2", "::", 1, "10.0.0.1", 53, 17, None, "S")]
 
 
+@pytest.mark.parametrize("port", ["53.7", "3e9", "Infinity", "x"])
+def test_whole_numbers_only(spark, tmp_path, port):
+    path = write(tmp_path, "n.csv", (
+        "uuid,local_address,local_port,remote_address,remote_port,ip_protocol,file_descriptor,source\n"
+        f"f1,::,53522,10.0.0.1,{port},17,,S\n"))
+    with pytest.raises(Exception, match="remote_port is not a INT"):
+        tables.read_network(spark, path).collect()
+
+
 def test_registry_values(spark):
     text = ("{'size': -1, 'type': 'VALUE_TYPE_SRC', 'valueDataType': 'VALUE_DATA_TYPE_INT', 'isNull': False,"
             " 'name': '673', 'runtimeDataType': None, 'valueBytes': b'\\x00', 'provenance': None}")
