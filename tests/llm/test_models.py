@@ -150,3 +150,80 @@ def test_every_language_is_learned(documents, monkeypatch):
     rows = [(i, f"{chr(97 + i % 8) * 3} {chr(105 + i % 8) * 4} " * 30, f"l{i % 8}") for i in range(160)]
     network = language_id.train(documents(*rows))
     assert network.languages == [f"l{i}" for i in range(8)]
+
+
+def test_quality_gradients(monkeypatch):
+    """One step of training against differences of the loss."""
+    monkeypatch.setattr(quality_model, "EPOCHS", 1)
+    model = quality_model.Model.fresh()
+    for name in ("vectors", "output", "bias"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    (touched, weights), = quality_model.document_features([b"the green house the green house house by the water"])
+    weights = weights.astype(np.float64)
+
+    def loss():
+        p = quality_model._softmax(((weights @ model.vectors[touched]) @ model.output + model.bias)[None])
+        return -np.log(p[0, 0])
+
+    def slope(array, place):
+        old = array[place]
+        array[place] = old + 1e-6
+        up = loss()
+        array[place] = old - 1e-6
+        down = loss()
+        array[place] = old
+        return (up - down) / 2e-6
+
+    places = [(int(t), d) for t in touched[::7] for d in range(3)] + [(quality_model.AGAIN, 0), (quality_model.EQUAL, 1)]
+    rows = {t: np.array([slope(model.vectors, (t, d)) for d in range(quality_model.DIMENSIONS)]) for t, _ in places}
+    layer = np.array([[slope(model.output, (d, c)) for c in range(2)] for d in range(quality_model.DIMENSIONS)])
+    bias = np.array([slope(model.bias, (c,)) for c in range(2)])
+    before = {name: getattr(model, name).copy() for name in ("vectors", "output", "bias")}
+    model.train([(touched, weights)], [0])
+    rate = quality_model.RATE
+    assert np.allclose(before["bias"] - model.bias, rate * bias, atol=1e-7)
+    assert np.allclose(before["output"] - model.output, rate * layer, atol=1e-7)
+    for t, d in places:  # a row's step is scaled by the gradients it has seen
+        step = rate * rows[t] / np.sqrt(1e-8 + (rows[t] ** 2).sum())
+        assert np.allclose(before["vectors"][t] - model.vectors[t], step, atol=1e-5)
+    untouched = np.setdiff1d(np.arange(len(model.vectors)), touched)
+    assert (before["vectors"][untouched] == model.vectors[untouched]).all()
+
+
+def test_quality_scores_by_hand():
+    """Scores of whole texts against loops over words and n-grams."""
+    top, base = 2 ** 64, int(quality_model._BASE)
+
+    def spread(x):
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % top
+        return x ^ x >> 32
+
+    def vector(word, table):
+        marked = b"<" + word + b">"
+        found = [sum(spread(((b + 1) * base + i) % top) for i, b in enumerate(marked)) % top]
+        for n in quality_model.GRAMS:
+            for i in range(len(marked) - n + 1):
+                value = 0
+                for b in marked[i:i + n]:
+                    value = (value * base + b + 1) % top
+                found.append((value * base + n) % top)
+        return np.mean([table[spread(h) % quality_model.BUCKETS] for h in found], axis=0)
+
+    model = quality_model.Model.fresh()
+    texts = ["", "a", "a a a a", "the green house by the green house", "größe é 日本 größe é", "x" * 300 + " y",
+             " ".join(f"w{i % 37}" for i in range(500))]
+    got = model.scores([t.encode() for t in texts])
+    for text, score in zip(texts, got):
+        words = text.encode().split()
+        mean = np.mean([vector(w, model.vectors) for w in words], axis=0) if words else np.zeros(quality_model.DIMENSIONS)
+        pairs = list(zip(words, words[1:]))
+        if pairs:
+            mean = mean + (1 - len(set(pairs)) / len(pairs)) * model.vectors[quality_model.AGAIN]
+            mean = mean + sum(a == b for a, b in pairs) / len(pairs) * model.vectors[quality_model.EQUAL]
+        odds = np.exp(mean @ model.output + model.bias)
+        assert abs(odds[1] / odds.sum() - score) < 1e-5
+    rows = list(quality_model.document_features([t.encode() for t in texts]))  # what training sees is what scores
+    for (touched, weights), score in zip(rows, got):
+        mean = weights @ model.vectors[touched] if len(touched) else np.zeros(quality_model.DIMENSIONS)
+        assert abs(quality_model._softmax((mean @ model.output + model.bias)[None])[0, 1] - score) < 1e-5
