@@ -33,9 +33,11 @@ _DIGIT = re.compile(r"[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,8}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9])")
-_ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
+_YEARS = re.compile(r"(?:19|20)[0-9]{2}(?:[-/](?:19|20)[0-9]{2})+")
+_ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
+_BEARER = re.compile(r"(?i)(?<![a-z0-9])bearer\s++([A-Za-z0-9._~+/-]{16,}+=*)")
 _ASSIGNED = re.compile(
-    r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)\s*+[=:]\s*+\"?([^\s\"]{8,})\"?")
+    r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key)\s*+[=:]\s*+\"?([^\s\"]{8,})\"?")
 
 # Words that speak for a kind, in lower case.
 _SPEAKS = {
@@ -131,10 +133,10 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
                     break
         proposed += [("ssn", m.start(), m.end(), 0.4) for m in _SSN.finditer(text)]
         proposed += [("local_phone", m.start(), m.end(), 0.3) for m in _LOCAL_PHONE.finditer(text)
-                     if 7 <= sum(c.isdigit() for c in m.group()) <= 12]
+                     if 7 <= sum(c.isdigit() for c in m.group()) <= 12 and not _YEARS.fullmatch(m.group())]
         proposed += [("secret", m.start(), m.end(), 0.9) for m in _ACCESS_KEY.finditer(text)]
-    if "=" in text or ":" in text:
-        for m in _ASSIGNED.finditer(text):
+    for shape in [_ASSIGNED] * ("=" in text or ":" in text) + [_BEARER]:
+        for m in shape.finditer(text):
             value = m.group(1)
             mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value)
             proposed.append(("secret", m.start(1), m.end(1), 0.4 + 0.2 * (mixed == 2)))
@@ -147,7 +149,7 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         if at == 0 or used[at - 1][1] <= start:
             kept.append((kind, start, end, score))
             used.insert(at, (start, end))
-        elif kind == "secret":  # what other spans leave of it is still part of the secret
+        elif kind in ("iban", "secret"):  # what other spans leave of it is still part of it
             for a, b in _between(used, start, end):
                 if any(c.isalnum() for c in text[a:b]):
                     kept.append((kind, a, b, score))
