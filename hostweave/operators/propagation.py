@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions.durable import durable
+from hostweave.functions.hubs import dealt, hub_parts, repeated
 from hostweave.operators.graph import GRAPH_KEY
 from hostweave.schemas import GRAPH_EVENT_TYPES
 
@@ -21,20 +22,26 @@ def edge_type_counts(
 
 
 def neighbour_means(
-    node_values: DataFrame, edge_rows: DataFrame, columns: Sequence[str], hops: int = 1
+    node_values: DataFrame, edge_rows: DataFrame, columns: Sequence[str], hops: int = 1, hub_edges: int = 100_000
 ) -> DataFrame:
     """Mean of ``columns`` over in-neighbours, repeated ``hops`` times.
 
     Adds ``<column>_h<i>`` per hop beside the node's own values; a node without
-    in-neighbours gets 0.
+    in-neighbours gets 0. The out-edges of a node with more than ``hub_edges`` of
+    them are dealt over parts, each with a copy of the node's values; a node with
+    many in-edges is averaged from partial sums, as any grouping is.
     """
+    keys = [GRAPH_KEY, "source"]
+    links = edge_rows.select(*keys, "target")
+    hubs = durable(hub_parts(links, keys, hub_edges))
+    links = dealt(links, hubs, keys, F.col("target"))
     out = node_values.select(*_NODE, *columns)
     current = list(columns)
     for hop in range(1, hops + 1):
         fresh = [f"{c}_h{hop}" for c in columns]
-        source = out.select(GRAPH_KEY, F.col("node_id").alias("source"), *current)
+        source = repeated(out.select(GRAPH_KEY, F.col("node_id").alias("source"), *current), hubs, keys)
         means = (
-            edge_rows.select(GRAPH_KEY, "source", "target").join(source, [GRAPH_KEY, "source"])
+            links.join(source, [*keys, "__part"])
             .groupBy(GRAPH_KEY, F.col("target").alias("node_id"))
             .agg(*[F.avg(c).alias(n) for c, n in zip(current, fresh, strict=True)]))
         out = out.join(means, _NODE, "left").fillna(0.0, fresh)

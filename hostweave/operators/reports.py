@@ -100,6 +100,33 @@ def global_summary(events: DataFrame, subjects: DataFrame, network: DataFrame) -
         span.scalar().alias("time_span_s"))
 
 
+def distinct_sketches(rows: DataFrame, columns: Sequence[str], by: Column, lg_size: int = 12) -> DataFrame:
+    """Per value of ``by`` (a minute, a port): its rows, and for each column a sketch of its distinct values.
+
+    Sketches are at most 2 ** ``lg_size`` bytes, so a stored table of them answers for
+    any set of its rows what the distinct counts are, without the rows it came from.
+    Nulls are not counted.
+    """
+    return rows.groupBy(by.alias("slice")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.hll_sketch_agg(c, lg_size).alias(f"{c}_sketch") for c in columns])
+
+
+def sketched_counts(sketches: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows and estimated distinct values of the columns over all given sketches, per value of ``by``.
+
+    The standard error of a count is ``sketch_error`` of it; filter ``sketches`` for
+    a range. Without any sketch all counts are 0.
+    """
+    return sketches.groupBy(*by).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+        *[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")), F.lit(0)).alias(c) for c in columns])
+
+
+def sketch_error(lg_size: int = 12) -> float:
+    """Relative standard error of a distinct count from merged sketches."""
+    return 1.04 / 2 ** (lg_size / 2)
+
+
 def activity(events: DataFrame, seconds: int = 60) -> DataFrame:
     """Counts and first times per (minute, type): the one pass that several reports share."""
     return events.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "type").agg(

@@ -822,6 +822,49 @@ def address_counts(spark, folder):
     return reports.address_counts(view.network(spark, folder))
 
 
+def _beside(exact: DataFrame, estimated: DataFrame, columns: list[str]) -> DataFrame:
+    """(slices, name, n_exact, within_bound) of two tables of counts with one row per set of slices."""
+    def long(counts: DataFrame, value: str) -> DataFrame:
+        return counts.unpivot(["slices"], columns, "name", value)
+    bound = 4 * reports.sketch_error() * F.col("n_exact")
+    return long(exact, "n_exact").join(long(estimated.select("slices", *columns), "n_sketched"), ["slices", "name"]).select(
+        "slices", "name", "n_exact", (F.abs(F.col("n_sketched") - F.col("n_exact")) <= bound).alias("within_bound"))
+
+
+@query
+def sketched_activity(spark, folder):
+    """Distinct subjects, objects and types by day, from stored sketches of minutes."""
+    columns = ["subject", "object", "type"]
+    events = view.events(spark, folder)
+    path = new_path(spark, "sketches")
+    reports.distinct_sketches(events, columns, F.window("ts", "60 seconds")["start"]).write.parquet(path)
+    day = F.date_format("slice", "yyyy-MM-dd").alias("slices")
+    stored = spark.read.parquet(path).withColumn("slices", day)
+    exact = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("slices")).agg(
+        *[F.count_distinct(c).alias(c) for c in columns])
+    return _beside(exact, reports.sketched_counts(stored, columns, ["slices"]), columns)
+
+
+@query
+def sketched_addresses(spark, folder):
+    """Distinct addresses over all flows and over those of known remote ports, from sketches by port."""
+    columns = ["local_address", "remote_address"]
+    flows = view.network(spark, folder)
+    path = new_path(spark, "sketches")
+    reports.distinct_sketches(flows, columns, F.col("remote_port")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    ranges = {"all": F.lit(True), "known": F.col("port").isNotNull(), "low": F.col("port") < 500}
+
+    def over(rows: DataFrame, port: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [
+            count(rows.withColumn("port", F.col(port)).filter(inside)).withColumn("slices", F.lit(name))
+            for name, inside in ranges.items()])
+
+    return _beside(
+        over(flows, "remote_port", lambda rows: rows.agg(*[F.count_distinct(c).alias(c) for c in columns])),
+        over(stored, "slice", lambda rows: reports.sketched_counts(rows, columns)), columns)
+
+
 @query
 def top_remote_addresses(spark, folder):
     return reports.top_remotes(view.network(spark, folder), "remote_address", 10)
@@ -1293,6 +1336,49 @@ def live_gaps(spark, folder):
             F.col("key").alias("host_id"), "gap_start", "gap_end", _round("gap_s").alias("gap_s"))
 
 
+def _marked_records(spark: SparkSession, folder: str, steps: int = 4) -> DataFrame:
+    """The log as a stream of records of two hosts, in ``steps`` spans of time.
+
+    After each span but the last, host h0 tells how far it is; h1 does so once, ends
+    its session after the second span and is not heard of again.
+    """
+    host = F.concat(F.lit("h"), F.substring("subject", 2, 20).cast("bigint") % 2)
+    log = view.events(spark, folder).select(host.alias("host"), "ordinal", "type", timefn.to_micros("ts").alias("us"))
+    first, last = log.select(F.min("us"), F.max("us")).first()
+    first, last = first or 0, last or 0
+    cuts = [first + (last - first) * i // steps for i in range(steps)] + [last + 1]
+    path = new_path(spark, "marked-records")
+
+    def write(name: str, host: Column, kind: str, rows: DataFrame, datum: Column) -> None:
+        rows.select(F.to_json(F.struct(
+            F.lit(kind).alias("type"), host.alias("hostId"), F.lit(1).alias("sessionNumber"), datum.alias("datum")
+        )).alias("value")).write.text(f"{path}/{name}")
+
+    one = spark.range(1)
+    for i in range(steps):
+        span = log.filter((F.col("us") >= cuts[i]) & (F.col("us") < cuts[i + 1]) & ((F.col("host") == "h0") | F.lit(i < 2)))
+        write(f"events{i}", F.col("host"), "RECORD_EVENT", span, F.struct(
+            F.concat(F.lit("e"), "ordinal").alias("uuid"), "type", (F.col("us") * 1000).alias("timestampNanos")))
+        passed = F.struct(F.lit(cuts[i + 1] * 1000).alias("tsNanos"))
+        if i < steps - 1:
+            write(f"marker{i}", F.lit("h0"), "RECORD_TIME_MARKER", one, passed)
+        if i == 0:
+            write("other", F.lit("h1"), "RECORD_TIME_MARKER", one, passed)
+        if i == 1:
+            write("end", F.lit("h1"), "RECORD_END_MARKER", one, F.struct(F.lit(1).alias("sessionNumber")))
+    return spark.readStream.schema(cdm.ENVELOPE).option("maxFilesPerTrigger", 16).option(
+        "recursiveFileLookup", "true").json(path)
+
+
+@query
+def live_marker_windows(spark, folder):
+    """Windows that close by each host's markers, whatever the other host does."""
+    with live.rocksdb_state(spark):
+        counts = live.run_to_end(live.windows_by_markers(
+            _marked_records(spark, folder), view.HOUR, "UTC", parts=4), "marker-windows")
+    return counts.groupBy("host_id", "window_start", "window_end", "late").agg(F.sum("n_events").alias("n_events"))
+
+
 @query
 def live_deduplicated(spark, folder):
     feed = view.event_stream(spark, folder).withColumn("uuid", F.concat(F.lit("e"), F.col("ordinal")))

@@ -627,6 +627,17 @@ _BODIES = {
     "address_counts": """
         SELECT count(DISTINCT local_address) AS local_addresses,
                count(DISTINCT remote_address) AS remote_addresses FROM net""",
+    "sketched_activity": """
+        SELECT strftime(ts, '%Y-%m-%d') AS slices, name, count(DISTINCT v) AS n_exact, TRUE AS within_bound
+        FROM (SELECT ts, 'subject' AS name, subject AS v FROM prov
+              UNION ALL SELECT ts, 'object', object FROM prov UNION ALL SELECT ts, 'type', type FROM prov)
+        GROUP BY 1, 2""",
+    "sketched_addresses": """
+        SELECT slices, name, count(DISTINCT v) AS n_exact, TRUE AS within_bound
+        FROM (SELECT remote_port, 'local_address' AS name, local_address AS v FROM net
+              UNION ALL SELECT remote_port, 'remote_address', remote_address FROM net),
+             (SELECT unnest(['all', 'known', 'low']) AS slices)
+        WHERE slices = 'all' OR remote_port < CASE slices WHEN 'low' THEN 500 ELSE 100000 END GROUP BY 1, 2""",
     "top_remote_addresses": """
         SELECT remote_address, count(*) AS n_flows FROM net WHERE remote_address IS NOT NULL
         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
@@ -837,6 +848,14 @@ _BODIES = {
             WHERE b + INTERVAL 20 MINUTE <= date_trunc('milliseconds', (SELECT max(ts) FROM prov)) - INTERVAL 2 HOUR
             WINDOW w AS (PARTITION BY host_id ORDER BY a))
         WHERE gap_start IS NOT NULL""",
+    "live_marker_windows": """
+        SELECT host_id, window_start, window_start + INTERVAL 1 HOUR AS window_end, FALSE AS late, count(*) AS n_events
+        FROM (SELECT 'h' || CAST(substr(subject, 2) AS BIGINT) % 2 AS host_id, date_trunc('hour', ts) AS window_start,
+                     epoch_us(ts) AS us FROM prov),
+             (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) - epoch_us(min(ts)) AS d FROM prov)
+        WHERE CASE WHEN host_id = 'h0' THEN epoch_us(window_start) + 3600000000 <= a + (d * 3) // 4
+                   ELSE us < a + (d * 2) // 4 END
+        GROUP BY 1, 2""",
     "live_deduplicated": "SELECT *, 'e' || ordinal AS uuid FROM prov",
 }
 

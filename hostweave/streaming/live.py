@@ -6,18 +6,21 @@ in append mode, once a window can no longer change.
 """
 
 import contextlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hostweave.functions.durable import durable, new_path
-from hostweave.functions.timefn import from_micros, to_micros
+from hostweave.functions.ids import clean_id
+from hostweave.functions.timefn import floor_div, from_micros, nanos_to_local, to_micros
 from hostweave.operators.features import node_features
 from hostweave.operators.graph import interactions
 from hostweave.operators.reports import events_per_minute
+from hostweave.sources.cdm import RECORD_TYPES
 
 _UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
@@ -238,6 +241,92 @@ def live_gaps(sessions: DataFrame, by: str, delay: str) -> DataFrame:
         ((F.col("last_us") - F.col("first_end_us")) / 1_000_000.0).alias("gap_s"))
 
 
+class _ByMarkers(StatefulProcessor):
+    """Events per window of one session, each given out when the session's own markers have passed it.
+
+    ``passed`` is the time up to which the session is complete; ``open`` holds the
+    counts of the windows that end after it.
+    """
+
+    ENDED = 1 << 62  # later than any time in microseconds
+
+    def __init__(self, width_us: int):
+        self.width = width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passed = handle.getValueState("passed", "us bigint")
+        self.open = handle.getMapState("open", "start_us bigint", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh: Counter[int] = Counter()
+        before = now = self.passed.get()[0] if self.passed.exists() else -self.ENDED
+        for chunk in rows:
+            at, kind = chunk["at_us"], chunk["kind"]
+            starts = at[kind == "events"] // self.width * self.width
+            fresh.update({int(start): int(n) for start, n in starts.value_counts().items()})
+            if (kind == "end_markers").any():
+                now = self.ENDED
+            now = max([now, *at[kind == "time_markers"].tolist()])
+        out = [(start, n, True) for start, n in sorted(fresh.items()) if start + self.width <= before]
+        for start, n in fresh.items():
+            if start + self.width > before:
+                held = self.open.getValue((start,))[0] if self.open.containsKey((start,)) else 0
+                self.open.updateValue((start,), (held + n,))
+        if now > before:
+            self.passed.update((now,))
+            ready = sorted((k[0], v[0]) for k, v in self.open.iterator() if k[0] + self.width <= now)
+            for start, _ in ready:
+                self.open.removeKey((start,))
+            out += [(start, n, False) for start, n in ready]
+        if out:
+            frame = pd.DataFrame(out, columns=["start_us", "n_events", "late"])
+            frame.insert(0, "host_id", key[0])
+            frame.insert(1, "session_number", key[1])
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def windows_by_markers(records: DataFrame, seconds: int, zone: str = "America/New_York", parts: int = 1) -> DataFrame:
+    """Events per window of each session, closed by the session's own time and end markers.
+
+    ``records`` are envelopes as ``read_records`` gives them. A marker says that its
+    session has told all before its time, an end marker that nothing follows; other
+    sessions, silent ones too, do not matter, and there is no watermark. Gives
+    (host_id, session_number, window_start, window_end, n_events, late) with local
+    times. Events of a window that is closed already leave at once, as a row with
+    ``late``. Windows are cut in absolute time, so a change of the clock parts them.
+    With ``parts`` the events of every session are dealt over so many tasks, and a
+    window has up to so many rows, which add up. Events without a time are left out;
+    a missing session number counts as 0. A session that has ended leaves one number
+    per part in the state. Run it within ``rocksdb_state``.
+    """
+    kind = F.lit(None).cast("string")
+    for table in ("events", "time_markers", "end_markers"):
+        kind = F.when(F.col("type") == RECORD_TYPES[table], table).otherwise(kind)
+    nanos = F.coalesce(*[F.variant_get("datum", f"$.{name}", "bigint") for name in ("timestampNanos", "tsNanos")])
+    told = records.select(
+        F.coalesce(clean_id("hostId"), F.lit("")).alias("host_id"),
+        F.coalesce("sessionNumber", F.lit(0)).alias("session_number"), kind.alias("kind"),
+        floor_div(nanos, 1000).alias("at_us"), F.xxhash64(F.col("datum").cast("string")).alias("__hash")
+    ).filter((F.col("kind") == "end_markers") | F.col("at_us").isNotNull() & F.col("kind").isNotNull())
+    part = F.when(F.col("kind") == "events", F.array(F.pmod("__hash", F.lit(parts)).cast("int"))).otherwise(
+        F.sequence(F.lit(0), F.lit(parts - 1)))
+    counts = told.select(
+        "host_id", "session_number", F.explode(part).alias("part"), "kind", F.coalesce("at_us", F.lit(0)).alias("at_us")
+    ).groupBy("host_id", "session_number", "part").transformWithStateInPandas(
+        _ByMarkers(seconds * 1_000_000), "host_id string, session_number int, start_us bigint, n_events bigint, late boolean",
+        "append", "None")
+
+    def local(us: Column) -> Column:
+        return nanos_to_local(us * 1000, zone)
+
+    return counts.select(
+        "host_id", "session_number", local(F.col("start_us")).alias("window_start"),
+        local(F.col("start_us") + seconds * 1_000_000).alias("window_end"), "n_events", "late")
+
+
 def run_to_end(stream: DataFrame, name: str, sink: Callable | None = None) -> DataFrame | None:
     """Drain an available-now stream into Parquet (or ``sink``) and return what was written."""
     spark = SparkSession.active()

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from hostweave.operators import reports
 from tests.conftest import T0, rows
@@ -100,3 +101,23 @@ def test_top_types_over_time(log):
     events = log(*many((0, "READ", "a", 3), (60, "READ", "a", 1), (0, "OPEN", "a", 2), (0, "FORK", "a", 1)))
     assert rows(reports.top_types_over_time(events, 2)) == [
         (at(0), "EVENT_OPEN", 2), (at(0), "EVENT_READ", 3), (at(60), "EVENT_READ", 1)]
+
+
+def test_sketches_merge_over_any_range(spark):
+    values = spark.range(60_000).select(
+        (F.col("id") % 50).alias("port"), (F.col("id") * 7919 % 20_011).cast("string").alias("address"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 4).alias("few"))
+    sketches = reports.distinct_sketches(values, ["address", "few"], F.col("port"))
+    for ports in (50, 7):
+        some = values.filter(F.col("port") < ports)
+        exact = some.agg(F.count_distinct("address"), F.count_distinct("few"), F.count(F.lit(1))).first()
+        got = reports.sketched_counts(sketches.filter(F.col("slice") < ports), ["address", "few"]).first()
+        assert abs(got.address - exact[0]) <= 4 * reports.sketch_error() * exact[0]
+        assert (got.few, got.n_rows) == (exact[1], exact[2])
+
+
+def test_sketches_of_nothing(spark):
+    empty = reports.distinct_sketches(spark.range(0), ["id"], F.lit(1))
+    assert rows(reports.sketched_counts(empty, ["id"])) == [(0, 0)]
+    nulls = reports.distinct_sketches(spark.range(3).select(F.lit(None).cast("string").alias("v")), ["v"], F.lit(1))
+    assert rows(reports.sketched_counts(nulls, ["v"])) == [(3, 0)]

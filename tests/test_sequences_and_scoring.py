@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from hostweave.functions import hubs
 from hostweave.operators import propagation, scoring, sequences, story
 from hostweave.sources import explanations
 from tests.conftest import T0, rows
@@ -52,6 +53,26 @@ def test_neighbour_means(spark):
         ("a", 1.0, 8.0, 2.0), ("b", 3.0, 0.0, 0.0), ("c", 8.0, 2.0, 4.0)]
 
 
+def test_hubs_are_dealt_over_parts(spark):
+    """A star out of ``hub`` and one into ``sink``: no part holds much more than the limit."""
+    key = F.lit(T0).cast("timestamp_ntz")
+    leaf = F.concat(F.lit("x"), F.col("id"))
+    edges = spark.range(5_000).select(F.lit("hub").alias("source"), leaf.alias("target")).unionByName(
+        spark.range(5_000).select(leaf.alias("source"), F.lit("sink").alias("target"))).withColumn("window_start", key)
+    nodes = spark.range(5_000).select(leaf.alias("node_id"), F.col("id").cast("double").alias("v")).unionByName(
+        spark.createDataFrame([("hub", 3.0), ("sink", 7.0)], "node_id string, v double")).withColumn("window_start", key)
+    keys = ["window_start", "source"]
+    found = hubs.hub_parts(edges, keys, 100)
+    assert rows(found, "source", "__parts") == [("hub", 50)]
+    sizes = hubs.dealt(edges, found, keys, F.col("target")).filter("source = 'hub'").groupBy("__part").count()
+    assert sizes.count() == 50 and sizes.agg(F.max("count")).first()[0] < 200
+    plain = propagation.neighbour_means(nodes, edges, ["v"], hops=2)
+    split = propagation.neighbour_means(nodes, edges, ["v"], hops=2, hub_edges=100)
+    assert rows(plain) == rows(split)
+    ends = {r.node_id: (r.v_h1, r.v_h2) for r in split.filter("node_id in ('hub', 'sink', 'x7')").collect()}
+    assert ends == {"hub": (0.0, 0.0), "sink": (2499.5, 3.0), "x7": (3.0, 0.0)}
+
+
 def test_importance_equals_leaving_the_node_out(spark):
     values = [1.0, 5.0, 9.0]
     nodes = spark.createDataFrame(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hostweave.functions.durable import durable
 from hostweave.operators import graph, windows
 from hostweave.operators.features import node_features
+from hostweave.sources.cdm import ENVELOPE
 from hostweave.streaming import live
 from tests.conftest import T0, rows
 
@@ -168,3 +169,49 @@ def test_sessions_and_gaps(spark, log, tmp_path):
     with live.rocksdb_state(spark):
         gaps = live.run_to_end(live.live_gaps(again, "host_id", "10 seconds"), "g")
     assert rows(gaps, "gap_s") == [(170.0,), (690.0,)]
+
+
+def marked(spark, folder, *files):
+    """Each file holds (host, session, kind, second) and is read in its own micro-batch."""
+    for i, told in enumerate(files):
+        lines = []
+        for host, session, kind, second in told:
+            field = {"EVENT": "timestampNanos", "TIME_MARKER": "tsNanos"}.get(kind, "sessionNumber")
+            value = session if second is None else int(second * 1_000_000_000)
+            lines.append((f'{{"type":"RECORD_{kind}","hostId":"{host}","sessionNumber":{session},"datum":{{"{field}":{value}}}}}',))
+        spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{folder}/b{i}")
+    return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").json(folder)
+
+
+def marker_windows(spark, folder, *files, parts=1):
+    with live.rocksdb_state(spark):
+        got = live.run_to_end(live.windows_by_markers(marked(spark, folder, *files), 10, "UTC", parts), "t")
+    summed = got.groupBy("host_id", "session_number", "window_start", "late").agg(F.sum("n_events").alias("n"))
+    return rows(summed.withColumn("start", F.unix_timestamp(F.col("window_start").cast("timestamp"))),
+                "host_id", "session_number", "start", "late", "n")
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_markers_close_the_windows_of_their_own_session(spark, tmp_path, parts):
+    got = marker_windows(
+        spark, str(tmp_path),
+        [("a", 1, "EVENT", 1), ("a", 1, "EVENT", 9.999999), ("b", 1, "EVENT", 2), ("a", 1, "EVENT", 12)],
+        [("a", 1, "TIME_MARKER", 10), ("a", 1, "EVENT", 13), ("a", 2, "EVENT", 3)],
+        [("a", 1, "EVENT", 4), ("a", 1, "TIME_MARKER", 19.9)],          # late, and no further window has passed
+        [("a", 1, "EVENT", 25), ("a", 1, "END_MARKER", None)],
+        [("a", 1, "EVENT", 26), ("a", 2, "TIME_MARKER", 100), ("b", 1, "HOST", None)],
+        parts=parts)
+    assert got == [("a", 1, 0, False, 2), ("a", 1, 0, True, 1), ("a", 1, 10, False, 2), ("a", 1, 20, False, 1),
+                   ("a", 1, 20, True, 1), ("a", 2, 0, False, 1)]
+
+
+def test_an_earlier_marker_does_not_reopen_windows(spark, tmp_path):
+    got = marker_windows(
+        spark, str(tmp_path), [("a", 1, "EVENT", 1), ("a", 1, "TIME_MARKER", 30)],
+        [("a", 1, "TIME_MARKER", 5), ("a", 1, "EVENT", 2)], [("a", 1, "TIME_MARKER", 40)])
+    assert got == [("a", 1, 0, False, 1), ("a", 1, 0, True, 1)]
+
+
+def test_records_without_markers_give_nothing(spark, tmp_path):
+    assert marker_windows(spark, str(tmp_path), [("a", 1, "EVENT", 1)], [("a", 1, "EVENT", 900)]) == []
