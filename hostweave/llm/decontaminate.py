@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hostweave.llm import shingles
-from hostweave.llm.common import text_chunks
+from hostweave.llm.common import free_name, text_chunks
 
 #: Hash functions. At a containment of 0.75 the similarity with the best window is
 #: at least 0.176, so a pair is missed with a probability of (1 - 0.176)**48 < 1e-4.
@@ -168,10 +168,11 @@ def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, k: int =
     """The documents in which no item was found, each row by its own text.
 
     Rows are told apart by doc_id and a 64-bit hash of the text, so a null or
-    repeated doc_id takes no row without an item along.
+    repeated doc_id takes no row without an item along. All columns stay, whatever their names.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
+    own, own_hash = free_name(docs.columns, "__bad"), free_name(docs.columns, "__bad_hash")
     bad = _found(keyed, ["doc_id", "__hash"], items, percent, k).select(
-        F.col("doc_id").alias("__bad"), F.col("__hash").alias("__bad_hash")).distinct()
+        F.col("doc_id").alias(own), F.col("__hash").alias(own_hash)).distinct()
     return docs.join(
-        bad, F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__bad_hash")), "left_anti")
+        bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(own_hash)), "left_anti")

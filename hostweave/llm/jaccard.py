@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.llm import shingles
-from hostweave.llm.common import staged, text_chunks
+from hostweave.llm.common import free_name, staged, text_chunks
 from hostweave.llm.components import components
 
 #: Share of the hash range, in sixteenths, that the first count looks at.
@@ -285,16 +285,14 @@ def representatives(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     empty = own.where("key is null").select("doc_id", "text_hash").distinct()
     chosen = staged(sets.select("least.doc_id", "least.text_hash").distinct().withColumn("once", F.lit(True))
                     .union(empty.withColumn("once", F.lit(False))), "jaccard-chosen")
-    picked = chosen.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "once": "__once"})
-    rows = docs.withColumn("__text", F.xxhash64("text")).join(
-        picked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
-    return _once(rows).select(*docs.columns)
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """One row of each chosen (id, text); rows without words are all kept."""
-    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
-    return rows.withColumn("__place", place).where((F.col("__place") == 1) | ~F.col("__once"))
+    own, own_hash, once, text, place = (
+        free_name(docs.columns, stem) for stem in ("__id", "__hash", "__once", "__text", "__place"))
+    picked = chosen.withColumnsRenamed({"doc_id": own, "text_hash": own_hash, "once": once})
+    rows = docs.withColumn(text, F.xxhash64("text")).join(
+        picked.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(text) == F.col(own_hash)))
+    # one row of each chosen (id, text); rows without words are all kept
+    number = F.row_number().over(Window.partitionBy(own, own_hash).orderBy(F.lit(0)))
+    return rows.withColumn(place, number).where((F.col(place) == 1) | ~F.col(once)).select(*docs.columns)
 
 
 def _components(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from hostweave.llm.common import text_chunks
+from hostweave.llm.common import free_name, text_chunks
 
 WINDOW = 128  # bytes
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
@@ -259,10 +259,10 @@ def in_language(docs: DataFrame, most: float = MAX_NOISE) -> DataFrame:
     The class ``NOISE`` decides, by its mean probability over the windows and
     whatever the number of languages, so a text in several languages stays. A text
     shorter than a window is too short to tell and stays, and so does one labelled
-    with a language that was not learned. All columns stay.
+    with a language that was not learned. All columns stay, also ``__label`` and ``__score``.
     """
     network = train(docs.where(~held_out(4, 2)), noise=True)
     learned = F.coalesce(F.col("lang").isin(network.languages), F.lit(True)) if network else F.lit(True)
-    noise = (F.col("__label") == NOISE) & (F.col("__score") > most) & (F.octet_length("text") >= WINDOW) & learned
-    return predict(docs, network, "__label", "__score").where(
-        (F.col("__label") != "und") & ~noise).select(*docs.columns)
+    label, score = free_name(docs.columns, "__label"), free_name(docs.columns, "__score")
+    noise = (F.col(label) == NOISE) & (F.col(score) > most) & (F.octet_length("text") >= WINDOW) & learned
+    return predict(docs, network, label, score).where((F.col(label) != "und") & ~noise).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 Base kinds (email, ip, card, phone) are fixed patterns with fixed checks and are
 always kept. The method adds kinds whose patterns alone say little: bank account
-numbers (IBAN, mod 97), access keys, assigned secrets, and digit groups that only
+numbers (IBAN, mod 97), IPv6 addresses (read as the system reads them), access keys, assigned secrets, and digit groups that only
 words nearby make a phone number, a social security number or a card number. Each
 such span gets a score, from its pattern, its check and the words around it, and
 stays if the score reaches ``MIN_SCORE``.
@@ -10,6 +10,7 @@ stays if the score reaches ``MIN_SCORE``.
 
 import bisect
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from hostweave.llm.common import give_back, text_chunks
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn", "local_phone", "secret")
+ADDED = ("iban", "ssn", "local_phone", "secret", "ipv6")
 MIN_SCORE = 0.6
 #: Characters before and after a span whose words count as its context.
 CONTEXT = 40
@@ -31,6 +32,17 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Characters of a bank account number by country.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20}
+_LOWER_IBAN = re.compile(r"(?<![A-Za-z0-9])[a-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,8}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9])")
 _YEARS = re.compile(r"(?:19|20)[0-9]{2}(?:[-/](?:19|20)[0-9]{2})+")
@@ -44,6 +56,7 @@ _SPEAKS = {
     "iban": re.compile(r"\b(?:iban|bank|account|konto|cuenta|compte|bic|swift)\b"),
     "ssn": re.compile(r"\b(?:ssn|social|security|tax|id)\b"),
     "local_phone": re.compile(r"\b(?:phone|tel|telefon|telephone|teléfono|téléphone|call|mobile|fax|cell|handy)\b"),
+    "ipv6": re.compile(r"\b(?:ip|ipv6|address|host|server|client|adresse|dirección)\b"),
     "secret": re.compile(r"\b(?:key|token|secret|password|passwd|api|access|aws)\b"),
 }
 
@@ -62,6 +75,36 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def lower_accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers that begin in lower case.
+
+    Words look like their pattern, so the country must be known, its length met at
+    the end of a group, half of the characters after the country digits, and the check right.
+    """
+    for m in _LOWER_IBAN.finditer(text):
+        size = IBAN_SIZES.get(m.group()[:2].upper())
+        at = [i for i in range(m.start(), m.end()) if text[i] != " "]
+        if size is None or len(at) < size:
+            continue
+        code, end = "".join(text[i] for i in at[:size]), at[size - 1] + 1
+        whole = end == len(text) or not (text[end].isascii() and text[end].isalnum())
+        if whole and 2 * sum(c.isdigit() for c in code) >= size - 2 and mod97(code):
+            yield m.start(), end
+
+
+def hex_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """IPv6 addresses of three groups or more with a digit, so that ``a::b`` in program text is none."""
+    for m in _IPV6.finditer(text):
+        own = m.group()
+        if sum(map(bool, own.split(":"))) < 3 or not _DIGIT.search(own):
+            continue
+        try:
+            ipaddress.IPv6Address(own)
+        except ValueError:
+            continue
+        yield m.start(), m.end()
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of ``[local]+@[label]+(.label)+``, found from each @ in linear time."""
     end, at = 0, text.find("@")
@@ -131,6 +174,9 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
                     end = m.start() + len(" ".join(groups[:n]))
                     proposed.append(("iban", m.start(), end, 0.9))
                     break
+        proposed += [("iban", a, b, 0.9) for a, b in lower_accounts(text)]
+        if ":" in text:
+            proposed += [("ipv6", a, b, 0.7) for a, b in hex_addresses(text)]
         proposed += [("ssn", m.start(), m.end(), 0.4) for m in _SSN.finditer(text)]
         proposed += [("local_phone", m.start(), m.end(), 0.3) for m in _LOCAL_PHONE.finditer(text)
                      if 7 <= sum(c.isdigit() for c in m.group()) <= 12 and not _YEARS.fullmatch(m.group())]

@@ -126,3 +126,35 @@ def test_further_secrets_and_years():
     for plain in ("the bearer acknowledgements were sent", "the bearer of this", "2019-2020-2021 call mobile", "pwd= x"):
         assert pii.redacted(plain) == plain
     assert pii.redacted("call 030-1234-5678 mobile") == "call [LOCAL_PHONE] mobile"
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("to gb82 west 1234 5698 7654 32 today", ["gb82 west 1234 5698 7654 32"]), ("de89370400440532013000", ["de89370400440532013000"]),
+    ("de89370400440532013001", []), ("de893704004405320130001", []), ("xx89370400440532013000", []),
+    ("is14 people from here went away and so on", []), ("at61 1904 3002 3457 3201 and more", ["at61 1904 3002 3457 3201"])])
+def test_account_numbers_in_lower_case(text, spans):
+    assert [text[a:b] for kind, a, b, _ in pii.added_spans(text, pii.base_spans(text)) if kind == "iban"] == spans
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("from 2001:db8::ff00:42:8329.", ["2001:db8::ff00:42:8329"]), ("[fe80::1ff:fe23:4567:890a]", ["fe80::1ff:fe23:4567:890a"]),
+    ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"]),
+    ("at 12:30:45", []), ("00:1a:2b:3c:4d:5e", []), ("std::vector a::b ::1 1::2", []), ("1:2:3:4:5:6:7:8:9", []),
+    ("2001:db8::1::2:3", [])])
+def test_hexadecimal_addresses(text, spans):
+    assert [text[a:b] for kind, a, b, _ in pii.added_spans(text, pii.base_spans(text)) if kind == "ipv6"] == spans
+
+
+def test_lower_account_numbers_against_every_cut():
+    """All valid numbers of random ones are found, whatever the grouping, and nothing else."""
+    r = random.Random(5)
+    for _ in range(400):
+        country = r.choice(sorted(pii.IBAN_SIZES))
+        rest = "".join(r.choice("0123456789") for _ in range(pii.IBAN_SIZES[country] - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+        code = f"{country}{check:02d}{rest}".lower()
+        grouped = " ".join(code[i:i + 4] for i in range(0, len(code), 4))
+        for text in (code, grouped):
+            assert list(pii.lower_accounts(f"konto {text}, ja")) == [(6, 6 + len(text))]
+        wrong = code[:-1] + str((int(code[-1]) + 1) % 10)
+        assert list(pii.lower_accounts(wrong)) == []

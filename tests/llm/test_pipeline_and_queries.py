@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -79,3 +80,15 @@ def test_stages_on_an_empty_table(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 50
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    """Names that the stages give columns of their own, also in upper case, keep the caller's values."""
+    own = ["__label", "__score", "__id", "__hash", "__once", "__Text", "__place", "__bad", "__BAD_hash"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40)
+    docs = staged(docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in own]), "t")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns
+        kept = after.select("doc_id", *own).collect()
+        assert kept and all(r[c] == f"{c}{r['doc_id']}" for r in kept for c in own)
