@@ -64,10 +64,10 @@ class Reduced:
     number at it (``leaves``), a source with one successor a number at that
     (``tails``). Sinks with the same predecessors, and sources with the same
     successors, become one with a weight (``times``). Only nodes that something
-    reaches get a column in the search.
+    reaches get a column in the search. Weights of roots count the nodes in ``mine`` alone.
     """
 
-    def __init__(self, batch: Batch):
+    def __init__(self, batch: Batch, mine: np.ndarray):
         n = batch.n
         loop = batch.source == batch.target
         source, target = batch.source[~loop], batch.target[~loop]
@@ -76,7 +76,7 @@ class Reduced:
         tail_edge = (into[source] == 0) & (out[source] == 1) & ~leaf_edge
         self.leaf, self.leaf_of = target[leaf_edge], source[leaf_edge]
         self.leaves = np.bincount(self.leaf_of, minlength=n)
-        self.tails = np.bincount(target[tail_edge], minlength=n)
+        self.tails = np.bincount(target[tail_edge & mine[source]], minlength=n)
 
         def sides(key, other, degree):
             order = np.argsort(key * np.int64(n) + other, kind="stable")
@@ -100,8 +100,9 @@ class Reduced:
         self.width = np.bincount(windows, minlength=batch.windows)
         self.base = np.cumsum(self.width) - self.width
         self.weight = self.sinks.times[self.node]
-        self.root = (sources.first == own) & ((self.out > 0) | (self.tails > 0) | (self.leaves > 0))
-        self.root_times = sources.times
+        self.root_times = np.bincount(sources.first[mine], minlength=n)
+        self.root = (sources.first == own) & (
+            (self.tails > 0) | (self.root_times > 0) & ((self.out > 0) | (self.leaves > 0)))
 
 
 def _swap(sides, degree):
@@ -113,12 +114,16 @@ def path_sums(batch: Batch, sources: np.ndarray, cells: int = 4_000_000):
     """Per node: pair dependencies, number of sources reaching it, sum of their distances.
 
     Sums over ``sources`` only; a source that stands for its twins and tails counts
-    for all of them. All sources together, in any split, give the whole graph's sums.
+    for all of them that are among ``sources``. All sources together, in any split, give
+    the whole graph's sums; a part may lack the links of other parts' sources that
+    nothing reaches.
     """
-    small = Reduced(batch)
+    mine = np.zeros(batch.n, dtype=bool)
+    mine[sources] = True
+    small = Reduced(batch, mine)
     sums = (np.zeros(batch.n), np.zeros(batch.n, dtype=np.int64), np.zeros(batch.n, dtype=np.int64))
     dependency, reached, distance = sums
-    roots = sources[small.root[sources]]
+    roots = np.flatnonzero(small.root)
     edges = np.bincount(batch.window, weights=small.out, minlength=batch.windows).astype(np.int64)
     cost = (small.width + edges + 1)[batch.window[roots]]
     room = np.cumsum(cost)
@@ -128,9 +133,7 @@ def path_sums(batch: Batch, sources: np.ndarray, cells: int = 4_000_000):
         end = max(cut + 1, int(np.searchsorted(room, used + cells, side="right")))
         _path_sums_block(batch, small, roots[cut:end], *sums)
         cut = end
-    here = np.zeros(batch.n, dtype=np.int64)
-    here[sources] = 1
-    reached[small.leaf] = reached[small.leaf_of] + here[small.leaf_of]
+    reached[small.leaf] = reached[small.leaf_of] + mine[small.leaf_of]
     distance[small.leaf] = distance[small.leaf_of] + reached[small.leaf]
     return dependency, reached[small.sinks.first], distance[small.sinks.first]
 

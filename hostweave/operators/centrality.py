@@ -1,11 +1,13 @@
 """Closeness, betweenness, PageRank and clustering of every node.
 
-Windows are routed by measured size. A window whose pair table is small enough
-for one task runs in ``mapInArrow``: whole windows are packed into numpy
-batches, and the source nodes of a costly window are spread over several tasks.
-A larger window runs as joins over all of its rows: one search with 64 source
-nodes in a row, and for betweenness a block of source nodes at a time. Both ways
-first fold leaves and twins of the graph away, exactly, and give the same values.
+Windows are routed by measured size. Small windows run in ``mapInArrow``: whole
+windows are packed into numpy batches. Paths of a costlier window are cut by
+source nodes: what nothing reaches can only start a path, so its links go to one
+task each, and only the core, the links of all other nodes, is in every task. A
+core beyond a task is searched by joins with 64 source nodes in a row, for
+betweenness a block of rows at a time. PageRank and clustering are never cut by
+source nodes; beyond a task they run as joins. Both ways first fold leaves and
+twins of the graph away, exactly, and give the same values.
 """
 
 import functools
@@ -26,6 +28,8 @@ TASK_PAIRS = 200_000
 TASK_WORK = 200_000_000
 # Pair rows gathered into one numpy batch.
 BATCH_PAIRS = 50_000
+# Links of reduced graphs that a join may broadcast.
+NEAR_LINKS = 50_000
 
 MEASURES = ("closeness", "betweenness", "pagerank", "cluster_coeff")
 _BY_PATHS = {"closeness", "betweenness"}
@@ -44,7 +48,7 @@ def window_sizes(pairs: DataFrame) -> DataFrame:
 
 
 def _measure(rows: pd.DataFrame, measures: frozenset[str]) -> pd.DataFrame:
-    """Partial measures of the windows in ``rows`` (complete windows, sorted); others are 0."""
+    """Partial measures of the windows in ``rows`` (complete windows or parts, sorted); others are 0."""
     starts = rows["window_start"].to_numpy()
     part = rows["slice"].to_numpy()
     opens = np.ones(len(rows), dtype=bool)
@@ -59,25 +63,17 @@ def _measure(rows: pd.DataFrame, measures: frozenset[str]) -> pd.DataFrame:
     source = inverse[: len(rows)][has_target]
     target = inverse[len(rows):]
     batch = kernels.Batch(node_window, source, target)
-    first = np.flatnonzero(opens)
-    part = part[first]
-    parts = rows["slices"].to_numpy()[first]
-    local = np.arange(batch.n) - batch.base[batch.window]
-    mine = np.flatnonzero(local % parts[batch.window] == part[batch.window])
+    mine = np.unique(source[rows["root"].to_numpy()[has_target]])
     nothing = np.zeros(batch.n)
     dependency, reached, distance = kernels.path_sums(batch, mine) if measures & _BY_PATHS else (
         nothing, nothing.astype("int64"), nothing.astype("int64"))
-    # Measures that are not sums over source nodes come from the first slice alone.
-    lead = part[batch.window] == 0
     return pd.DataFrame({
-        "window_start": starts[first][batch.window],
+        "window_start": starts[np.flatnonzero(opens)][batch.window],
         "node_id": np.asarray(labels)[node % len(labels)],
         "n": batch.node_size.astype("int64"),
         "dependency": dependency, "reached": reached, "distance": distance,
-        "pagerank": np.where(lead, kernels.pagerank(batch), 0.0)
-        if lead.any() and "pagerank" in measures else 0.0,
-        "cluster_coeff": np.where(lead, kernels.clustering(batch), 0.0)
-        if lead.any() and "cluster_coeff" in measures else 0.0})
+        "pagerank": kernels.pagerank(batch) if "pagerank" in measures else 0.0,
+        "cluster_coeff": kernels.clustering(batch) if "cluster_coeff" in measures else 0.0})
 
 
 def _measure_partition(
@@ -116,16 +112,18 @@ _ARROW = pa.schema([
     ("pagerank", pa.float64()), ("cluster_coeff", pa.float64())])
 
 
-def _in_tasks(pairs: DataFrame, measures: frozenset[str]) -> DataFrame:
-    """``pairs`` carries ``slices``, the number of tasks each window is spread over."""
-    spread = pairs.select(GRAPH_KEY, "subject", "object", "slices").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+def _in_tasks(parts: DataFrame, measures: frozenset[str]) -> DataFrame:
+    """``parts`` are pairs with the ``slice`` of the window they belong to and whether the subject is a ``root`` there."""
     return (
-        spread.repartition(GRAPH_KEY, "slice")
+        parts.select(GRAPH_KEY, "subject", "object", "slice", "root").repartition(GRAPH_KEY, "slice")
         .sortWithinPartitions(GRAPH_KEY, "slice")
         .mapInArrow(functools.partial(_measure_partition, measures), _PARTIAL_SCHEMA))
 
 
+def _whole(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"slice": F.lit(0), "root": F.lit(True)})
+
+
 # --- windows of any size --------------------------------------------------
 
 
@@ -157,37 +155,52 @@ def wide_clustering(edge_rows: DataFrame) -> DataFrame:
 
 def wide_pagerank(
     node_rows: DataFrame, edge_rows: DataFrame,
-    damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, check_every: int = 5,
+    damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, check_every: int = 2,
 ) -> DataFrame:
-    """PageRank of all windows together by repeated joins; finished windows are left alone."""
-    counts = node_rows.groupBy(GRAPH_KEY).agg(F.count(F.lit(1)).alias("n"))
-    links = durable(edge_rows.select(GRAPH_KEY, "source", "target"))
-    out = links.groupBy(GRAPH_KEY, F.col("source").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("out"))
+    """PageRank of all windows together by repeated joins; finished windows are left alone.
+
+    Nodes without incoming links have one common rank in their window, so one row
+    stands for them all, and rounds go over the other nodes and their links only.
+    """
+    links = edge_rows.select(GRAPH_KEY, "source", "target")
+    out = links.groupBy(GRAPH_KEY, F.col("source").alias("node_id")).agg(F.count(F.lit(1)).alias("out"))
+    fed = links.select(GRAPH_KEY, F.col("target").alias("node_id"), F.lit(True).alias("fed")).distinct()
+    nodes = durable(node_rows.select(*_NODE).join(out, _NODE, "left").join(fed, _NODE, "left").select(
+        *_NODE, "out", F.coalesce("fed", F.lit(False)).alias("fed")))
+    counts = nodes.groupBy(GRAPH_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("fed")).alias("times"),
+        F.count_if(~F.col("fed") & F.col("out").isNull()).alias("ends"))
+    own, unfed = F.concat(F.lit("n"), F.col("node_id")), F.lit("unfed")
+    once = F.lit(1).cast("bigint")
     state = durable(
-        node_rows.select(*_NODE).join(counts, GRAPH_KEY).join(out, _NODE, "left")
-        .withColumns({"rank": 1.0 / F.col("n"), "active": F.lit(True)}))
-    for turn in range(1, rounds + 1):
-        share = state.filter("out IS NOT NULL AND active").select(
-            GRAPH_KEY, F.col("node_id").alias("source"), (F.col("rank") / F.col("out")).alias("share"))
-        spread = links.join(share, [GRAPH_KEY, "source"]).groupBy(
-            GRAPH_KEY, F.col("target").alias("node_id")).agg(F.sum("share").alias("spread"))
-        loose = state.filter("out IS NULL AND active").groupBy(GRAPH_KEY).agg(
-            F.sum("rank").alias("loose"))
-        moved = (
-            state.join(spread, _NODE, "left").join(loose, GRAPH_KEY, "left")
-            .withColumn("fresh", F.when(F.col("active"), damping * (
-                F.coalesce("spread", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
-                + (1 - damping) / F.col("n")).otherwise(F.col("rank"))))
-        # Read twice below, so cut here: the plan would double with every round.
-        moved = durable(moved.select(*_NODE, "n", "out", "rank", "fresh", "active"))
-        change = moved.groupBy(GRAPH_KEY).agg(
-            F.sum(F.abs(F.col("fresh") - F.col("rank"))).alias("change"))
-        state = moved.join(change, GRAPH_KEY).select(
-            *_NODE, "n", "out", F.col("fresh").alias("rank"),
-            (F.col("active") & (F.col("change") >= F.col("n") * tolerance)).alias("active"))
-        if (turn % check_every == 0 or turn == rounds) and state.filter("active").isEmpty():
-            return state.select(*_NODE, F.col("rank").alias("pagerank"))
+        nodes.filter("fed").join(counts.select(GRAPH_KEY, "n"), GRAPH_KEY).select(
+            GRAPH_KEY, own.alias("key"), "n", once.alias("times"),
+            F.col("out").isNull().cast("bigint").alias("ends"))
+        .unionByName(counts.select(GRAPH_KEY, unfed.alias("key"), "n", "times", "ends"))
+        .withColumns({"rank": F.lit(None).cast("double"), "fresh": 1.0 / F.col("n"), "active": F.lit(True)}))
+    sources = nodes.filter("out IS NOT NULL").select(
+        GRAPH_KEY, F.col("node_id").alias("source"),
+        F.when(F.col("fed"), own).otherwise(unfed).alias("from"), (1.0 / F.col("out")).alias("part"))
+    links = durable(links.join(sources, [GRAPH_KEY, "source"]).groupBy(
+        GRAPH_KEY, "from", F.concat(F.lit("n"), F.col("target")).alias("key")).agg(F.sum("part").alias("part")))
+    for turn in range(rounds + 1):
+        sums = state.groupBy(GRAPH_KEY).agg(
+            F.sum(F.col("times") * F.abs(F.col("fresh") - F.col("rank"))).alias("change"),
+            F.sum(F.col("fresh") * F.col("ends")).alias("loose"))
+        moves = F.col("active") & F.coalesce(F.col("change") >= F.col("n") * tolerance, F.lit(True))
+        if turn and (turn % check_every == 0 or turn == rounds) and state.join(sums, GRAPH_KEY).filter(moves).isEmpty():
+            common = state.filter(F.col("key") == unfed).select(GRAPH_KEY, F.col("fresh").alias("pagerank"))
+            alone = state.select(GRAPH_KEY, "key", F.col("fresh").alias("pagerank"))
+            return nodes.filter("NOT fed").join(common, GRAPH_KEY).select(*_NODE, "pagerank").unionByName(
+                nodes.filter("fed").withColumn("key", own).join(alone, [GRAPH_KEY, "key"]).select(*_NODE, "pagerank"))
+        share = state.filter("active").select(GRAPH_KEY, F.col("key").alias("from"), "fresh")
+        spread = links.join(share, [GRAPH_KEY, "from"]).groupBy(GRAPH_KEY, "key").agg(
+            F.sum(F.col("fresh") * F.col("part")).alias("spread"))
+        moved = damping * (F.coalesce("spread", F.lit(0.0)) + F.col("loose") / F.col("n")) + (1 - damping) / F.col("n")
+        state = durable(
+            state.join(spread, [GRAPH_KEY, "key"], "left").join(sums, GRAPH_KEY).withColumn("active", moves).select(
+                GRAPH_KEY, "key", "n", "times", "ends", F.col("fresh").alias("rank"),
+                F.when(F.col("active"), moved).otherwise(F.col("fresh")).alias("fresh"), "active"))
     raise ArithmeticError(f"PageRank has not converged after {rounds} rounds")
 
 
@@ -210,8 +223,8 @@ def _twins(sides: DataFrame) -> DataFrame:
 class _Reduced:
     """Tables of the graph without what cannot lie on a path between others (as ``kernels.Reduced``).
 
-    ``links`` (source, target, weight and leaves of the target), ``roots`` (node_id,
-    times, tails, word, bit), ``leaf`` (node_id, of), ``sinks`` (node_id, first).
+    ``links`` (source, target, weight and leaves of the target; broadcast if they are few),
+    ``roots`` (node_id, times, tails, word, bit), ``leaf`` (node_id, of), ``sinks`` (node_id, first).
     """
 
     def __init__(self, edge_rows: DataFrame):
@@ -258,6 +271,12 @@ class _Reduced:
             GRAPH_KEY, "times", "tails").withColumn("serial", F.monotonically_increasing_id()))
         self.roots = serial.withColumns({
             "word": F.shiftright("serial", 6), "bit": F.col("serial").bitwiseAND(63).cast("int")}).drop("serial")
+        self.near = self.links.count() <= NEAR_LINKS
+
+    def steps(self, *columns: Column | str) -> DataFrame:
+        """Columns of the links, to be joined with rows at their ends."""
+        links = self.links.select(GRAPH_KEY, *columns)
+        return F.broadcast(links) if self.near else links
 
 
 _WORD = [GRAPH_KEY, "word", "times", "tails"]
@@ -273,22 +292,27 @@ def reach_masks(small: _Reduced) -> list[DataFrame]:
 
     64 roots travel as one row; the masks of a node are merged by OR.
     """
-    links = small.links.select(GRAPH_KEY, "source", F.col("target").alias("node_id"))
-    seen = small.roots.select(*_WORD, "node_id", _bit().alias("seen")).groupBy(*_WORD, "node_id").agg(
-        F.bit_or("seen").alias("seen"))
-    level = durable(small.roots.select(*_WORD, F.col("node_id").alias("source"), _bit().alias("mask")).join(
-        links, [GRAPH_KEY, "source"]).groupBy(*_WORD, "node_id").agg(F.bit_or("mask").alias("mask")))
+    links = small.steps("source", F.col("target").alias("node_id"))
+    none = F.lit(0).cast("bigint")
+
+    def next_level(level: DataFrame, seen: DataFrame) -> DataFrame:
+        found = level.select(*_WORD, F.col("node_id").alias("source"), "mask").join(links, [GRAPH_KEY, "source"]).select(
+            *_WORD, "node_id", none.alias("seen"), "mask")
+        merged = found.unionByName(seen).groupBy(*_WORD, "node_id").agg(
+            F.bit_or("seen").alias("seen"), F.bit_or("mask").alias("mask"))
+        return durable(merged.withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.col("seen")))))
+
+    roots = small.roots.select(*_WORD, "node_id", _bit().alias("mask")).groupBy(*_WORD, "node_id").agg(
+        F.bit_or("mask").alias("mask"))
+    state = next_level(roots, roots.select(*_WORD, "node_id", F.col("mask").alias("seen"), none.alias("mask")))
     levels = []
-    while not level.isEmpty():
+    while True:
+        level = state.filter("mask <> 0").select(*_WORD, "node_id", "mask")
+        if level.isEmpty():
+            return levels
         levels.append(level)
-        seen = durable(seen.unionByName(level.withColumnRenamed("mask", "seen")).groupBy(*_WORD, "node_id").agg(
-            F.bit_or("seen").alias("seen")))
-        found = level.withColumnRenamed("node_id", "source").join(links, [GRAPH_KEY, "source"]).groupBy(
-            *_WORD, "node_id").agg(F.bit_or("mask").alias("mask"))
-        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
-        level = durable(found.join(seen, [*_WORD, "node_id"], "left").select(
-            *_WORD, "node_id", fresh.alias("mask")).filter("mask <> 0"))
-    return levels
+        state = next_level(level, state.select(
+            *_WORD, "node_id", F.col("seen").bitwiseOR(F.col("mask")).alias("seen"), none.alias("mask")))
 
 
 def _distances(small: _Reduced, levels: list[DataFrame]) -> DataFrame:
@@ -310,46 +334,78 @@ def _distances(small: _Reduced, levels: list[DataFrame]) -> DataFrame:
     return core.unionByName(at_leaf).unionByName(at_twin)
 
 
+#: Roots of a word, each with its place in the arrays of the word's rows.
+_LANES = range(64)
+
+
+def _lane_sums(column: str, name: str) -> Column:
+    """Arrays of a group summed place by place."""
+    return F.array(*[F.sum(F.get(F.col(column), F.lit(i))) for i in _LANES]).alias(name)
+
+
 def _dependencies(small: _Reduced, levels: list[DataFrame], roots: DataFrame) -> DataFrame:
-    """(window, node_id, dependency) summed over ``roots``; the masks tell which steps are shortest ones."""
-    cell = [*_WORD, "bit"]
-    links = small.links.withColumnRenamed("target", "node_id")
-    step = roots.select(*cell, F.col("node_id").alias("source")).join(links, [GRAPH_KEY, "source"])
-    fronts = [durable(step.select(*cell, "node_id", "weight", "leaves", F.lit(1.0).alias("paths")))]
+    """(window, node_id, dependency) summed over ``roots``; the masks tell which steps are shortest ones.
+
+    Like the masks, path counts and credits of a word's 64 roots travel as one row.
+    """
+    links = small.steps("source", F.col("target").alias("node_id"), "weight", "leaves")
+    none = F.lit(0.0)
+
+    def reached(mask: Column, at: Column) -> Column:
+        return F.call_function("shiftright", mask, at).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    lanes = F.array(*[F.lit(i) for i in _LANES])
+    step = roots.select(*_WORD, "bit", F.col("node_id").alias("source")).join(links, [GRAPH_KEY, "source"])
+    first = step.groupBy(*_WORD, "node_id", "weight", "leaves").agg(F.bit_or(_bit()).alias("mask"))
+    fronts = [durable(first.select(
+        *_WORD, "node_id", "weight", "leaves",
+        F.transform(lanes, lambda i: reached(F.col("mask"), i).cast("double")).alias("paths")))]
     for level in levels[1:]:
-        step = fronts[-1].select(*cell, F.col("node_id").alias("source"), "paths").join(links, [GRAPH_KEY, "source"])
-        found = step.groupBy(*cell, "node_id", "weight", "leaves").agg(F.sum("paths").alias("paths"))
-        fronts.append(durable(found.join(level, [*_WORD, "node_id"]).filter(
-            F.col("mask").bitwiseAND(_bit()) != 0).drop("mask")))
-    credited = [fronts[-1].withColumn("credit", F.col("leaves").cast("double"))]
+        step = fronts[-1].select(*_WORD, F.col("node_id").alias("source"), "paths").join(links, [GRAPH_KEY, "source"])
+        found = step.groupBy(*_WORD, "node_id", "weight", "leaves").agg(_lane_sums("paths", "paths"))
+        fronts.append(durable(found.join(level, [*_WORD, "node_id"]).select(
+            *_WORD, "node_id", "weight", "leaves", F.transform("paths", lambda p, i: F.when(
+                reached(F.col("mask"), i), p).otherwise(none)).alias("paths"))))
+
+    def credit(per_path: Column | None) -> Column:
+        own = F.col("leaves").cast("double")
+        if per_path is None:
+            return F.transform("paths", lambda p: F.when(p > 0, own).otherwise(none))
+        return F.zip_with("paths", per_path, lambda p, c: F.when(
+            p > 0, own + p * F.coalesce(c, none)).otherwise(none))
+
+    credited = [fronts[-1].withColumn("credit", credit(None))]
     for front in reversed(fronts[:-1]):
-        below = credited[-1].select(
-            *cell, "node_id", ((F.col("weight") + F.col("credit")) / F.col("paths")).alias("per_path"))
-        back = below.join(links.select(GRAPH_KEY, "source", "node_id"), [GRAPH_KEY, "node_id"]).groupBy(
-            *cell, F.col("source").alias("node_id")).agg(F.sum("per_path").alias("per_path"))
-        credited.append(durable(front.join(back, [*cell, "node_id"], "left").withColumn(
-            "credit", F.col("leaves") + F.col("paths") * F.coalesce("per_path", F.lit(0.0))).drop("per_path")))
+        below = credited[-1].select(*_WORD, "node_id", F.zip_with("paths", "credit", lambda p, c: F.when(
+            p > 0, (F.col("weight") + c) / p).otherwise(none)).alias("per_path"))
+        back = below.join(
+            small.steps("source", F.col("target").alias("node_id")), [GRAPH_KEY, "node_id"]).groupBy(
+            *_WORD, F.col("source").alias("node_id")).agg(_lane_sums("per_path", "per_path"))
+        credited.append(durable(front.join(back, [*_WORD, "node_id"], "left").withColumn(
+            "credit", credit(F.coalesce("per_path", F.array()))).drop("per_path")))
     rows = functools.reduce(DataFrame.unionByName, credited)
-    inner = rows.select(*_NODE, (F.col("credit") * (F.col("times") + F.col("tails"))).alias("dependency"))
-    beyond = rows.filter("tails > 0").groupBy(*cell).agg(F.sum(F.col("weight") + F.col("leaves")).alias("beyond"))
-    own = roots.filter("tails > 0").join(beyond, cell, "left").select(
-        *_NODE, (F.col("tails") * (F.coalesce("beyond", F.lit(0)) + F.col("own_leaves"))).cast("double").alias("dependency"))
+    inner = rows.select(*_NODE, (F.aggregate("credit", none, lambda a, x: a + x) * (
+        F.col("times") + F.col("tails"))).alias("dependency"))
+    reach = rows.filter("tails > 0").withColumn("beyond", F.transform("paths", lambda p: F.when(
+        p > 0, (F.col("weight") + F.col("leaves")).cast("double")).otherwise(none)))
+    beyond = reach.groupBy(*_WORD).agg(_lane_sums("beyond", "beyond"))
+    own = roots.filter("tails > 0").join(beyond, _WORD, "left").select(
+        *_NODE, (F.col("tails") * (F.coalesce(F.get("beyond", F.col("bit")), none) + F.col("own_leaves"))).alias("dependency"))
     return inner.unionByName(own).groupBy(*_NODE).agg(F.sum("dependency").alias("dependency"))
 
 
 def wide_path_sums(
-    node_rows: DataFrame, edge_rows: DataFrame, block_rows: int, measures: frozenset[str] = frozenset(_BY_PATHS),
+    edge_rows: DataFrame, block_rows: int, measures: frozenset[str] = frozenset(_BY_PATHS),
 ) -> DataFrame:
-    """Dependencies, reach counts and distance sums of every node, by joins.
+    """Dependencies, reach counts and distance sums of nodes by joins; nodes without any may be missing.
 
     The graph is reduced first. One search carries 64 roots in a row; it gives
-    reach and distances, and for betweenness it tells which (root, node) rows to
-    count paths on. Those rows exist for a block of words at a time, of about
-    ``block_rows`` rows.
+    reach and distances, and for betweenness it tells where to count paths, which
+    is done for a block of words at a time, of about ``block_rows`` pairs of root and node.
     """
     small = _Reduced(edge_rows)
     levels = reach_masks(small)
-    out = node_rows.select(*_NODE).join(_distances(small, levels), _NODE, "left")
+    out = _distances(small, levels)
     if "betweenness" in measures:
         cells = functools.reduce(DataFrame.unionByName, levels).agg(
             F.sum(F.bit_count("mask").cast("bigint"))).first()[0] if levels else 0
@@ -359,28 +415,79 @@ def wide_path_sums(
             part = durable(_dependencies(small, levels, chosen))
             done = part if done is None else durable(done.unionByName(part).groupBy(*_NODE).agg(
                 F.sum("dependency").alias("dependency")))
-        out = out.join(done, _NODE, "left")
+        out = out.join(done, _NODE, "full")
     else:
         out = out.withColumn("dependency", F.lit(0.0))
-    return durable(out.select(
+    return _sums(out.select(
         *_NODE, F.coalesce("dependency", F.lit(0.0)).alias("dependency"),
         *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("reached", "distance")]))
 
 
-def _by_joins(pairs: DataFrame, block_rows: int, measures: frozenset[str]) -> DataFrame:
-    pairs = durable(pairs.select(GRAPH_KEY, "subject", "object"))
+def _sums(path_rows: DataFrame) -> DataFrame:
+    """Path sums as partial measures."""
+    return path_rows.select(
+        *_NODE, F.lit(0).cast("bigint").alias("n"), "dependency", "reached", "distance",
+        F.lit(0.0).alias("pagerank"), F.lit(0.0).alias("cluster_coeff"))
+
+
+def _paths(
+    pairs: DataFrame, core_pairs: int, task_work: int, block_rows: int, measures: frozenset[str],
+) -> DataFrame:
+    """Partial path sums of windows that are more than one task's work.
+
+    A start, a node that nothing reaches, is on no path between others. So a task
+    can have its share of the starts and the core, the links of all other nodes.
+    Links from starts to nodes outside the core are whole paths, and only counted.
+    """
+    links = pairs.filter("subject <> object").select(GRAPH_KEY, "subject", "object")
+    fed = links.select(GRAPH_KEY, F.col("object").alias("subject"), F.lit(True).alias("fed")).distinct()
+    tagged = durable(links.join(fed, [GRAPH_KEY, "subject"], "left").withColumn("fed", F.col("fed").isNotNull()))
+    core = tagged.filter("fed")
+    ends = core.select(GRAPH_KEY, F.explode(F.array("subject", "object")).alias("object")).distinct()
+    starts = durable(tagged.filter("NOT fed").join(
+        ends.withColumn("inner", F.lit(True)), [GRAPH_KEY, "object"], "left").select(
+        GRAPH_KEY, "subject", "object", F.col("inner").isNotNull().alias("inner")))
+    outer = starts.filter("NOT inner").groupBy(GRAPH_KEY, F.col("object").alias("node_id")).agg(
+        F.count(F.lit(1)).alias("reached"))
+    partial = _sums(outer.withColumns({"dependency": F.lit(0.0), "distance": F.col("reached")}))
+
+    starts = starts.filter("inner").drop("inner")
+    n_core = core.groupBy(GRAPH_KEY).agg(F.count(F.lit(1)).alias("n_core"))
+    n_starts = starts.groupBy(GRAPH_KEY).agg(F.count(F.lit(1)).alias("n_starts"))
+    work = (F.col("n_core") + F.col("n_starts")) * F.col("n_core")
+    sizes = durable(n_core.join(n_starts, GRAPH_KEY, "left").fillna(0, ["n_starts"]).select(
+        GRAPH_KEY, "n_core", F.greatest(
+            F.ceil(work / F.lit(task_work)), F.ceil(F.col("n_starts") / F.lit(max(core_pairs, 1))),
+            F.lit(1)).cast("int").alias("slices")))
+    fits, beyond = (sizes.filter(F.col("n_core") <= core_pairs), sizes.filter(F.col("n_core") > core_pairs))
+    if not fits.isEmpty():
+        turn = F.pmod(F.xxhash64("subject"), F.col("slices")).cast("int")
+        spread = core.join(fits, GRAPH_KEY).withColumn(
+            "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("root", F.col("slice") == turn)
+        dealt = starts.join(fits, GRAPH_KEY).withColumns({"slice": turn, "root": F.lit(True)})
+        columns = [GRAPH_KEY, "subject", "object", "slice", "root"]
+        # A part knows only its own nodes; how many the window has comes with the other measures.
+        partial = partial.unionByName(_in_tasks(
+            spread.select(*columns).unionByName(dealt.select(*columns)), measures & _BY_PATHS
+        ).withColumn("n", F.lit(0).cast("bigint")))
+    if not beyond.isEmpty():
+        kept = core.select(GRAPH_KEY, "subject", "object").unionByName(starts).join(
+            beyond.select(GRAPH_KEY), GRAPH_KEY, "left_semi")
+        partial = partial.unionByName(wide_path_sums(
+            kept.withColumnsRenamed({"subject": "source", "object": "target"}), block_rows, measures))
+    return partial
+
+
+def _by_joins(pairs: DataFrame, measures: frozenset[str]) -> DataFrame:
+    """All nodes with those of the measures that are not sums over paths."""
     edge_rows = pairs.filter("object IS NOT NULL").select(
         GRAPH_KEY, F.col("subject").alias("source"), F.col("object").alias("target"))
     node_rows = durable(pairs.select(
         GRAPH_KEY, F.explode(F.array("subject", "object")).alias("node_id"),
     ).filter("node_id IS NOT NULL").distinct())
     counts = node_rows.groupBy(GRAPH_KEY).agg(F.count(F.lit(1)).alias("n"))
-    out = node_rows.join(counts, GRAPH_KEY)
-    if measures & _BY_PATHS:
-        out = out.join(wide_path_sums(node_rows, edge_rows, block_rows, measures), _NODE)
-    else:
-        out = out.withColumns({
-            "dependency": F.lit(0.0), "reached": F.lit(0).cast("bigint"), "distance": F.lit(0).cast("bigint")})
+    out = node_rows.join(counts, GRAPH_KEY).withColumns({
+        "dependency": F.lit(0.0), "reached": F.lit(0).cast("bigint"), "distance": F.lit(0).cast("bigint")})
     if "pagerank" in measures:
         out = out.join(wide_pagerank(node_rows, edge_rows), _NODE)
     else:
@@ -398,31 +505,37 @@ def _by_joins(pairs: DataFrame, block_rows: int, measures: frozenset[str]) -> Da
 
 def centrality(
     pairs: DataFrame, task_pairs: int = TASK_PAIRS, task_work: int = TASK_WORK,
-    block_rows: int = 2_000_000_000, measures: Sequence[str] = MEASURES,
+    block_rows: int = 2_000_000_000, measures: Sequence[str] = MEASURES, core_pairs: int = TASK_PAIRS,
 ) -> DataFrame:
     """The chosen ``measures`` for every node of every window in ``pairs``.
 
     ``pairs`` is read more than once, so pass a materialised table. Closeness
     uses incoming distances scaled by the reachable share; betweenness is
-    directed and normalised, without end points.
+    directed and normalised, without end points. ``task_pairs`` bounds the windows that
+    a task may hold, ``core_pairs`` the cores of those cut by source nodes.
     """
     wanted = frozenset(measures)
     if not wanted <= set(MEASURES):
         raise ValueError(f"unknown measures: {sorted(wanted - set(MEASURES))}")
     sizes = window_sizes(pairs)
-    largest = sizes.agg(F.max("n_pairs")).first()[0] or 0
     # A window of p pairs has at most 2p nodes, hence the work bound 2·p·p.
-    if 2 * largest * largest <= task_work and largest <= task_pairs:
-        partial = _in_tasks(pairs.withColumn("slices", F.lit(1)), wanted)
+    p = F.col("n_pairs")
+    small, middle = (2 * p * p <= task_work) & (p <= task_pairs), (2 * p * p > task_work) & (p <= task_pairs)
+    n_small, n_middle, n_large = sizes.agg(
+        F.count_if(small), F.count_if(middle), F.count_if(p > task_pairs)).first()
+    if not n_middle and not n_large:
+        partial = _in_tasks(_whole(pairs), wanted)
     else:
-        sized = pairs.join(sizes, GRAPH_KEY)
-        work = 2 * F.col("n_pairs") * F.col("n_pairs")
-        slices = F.ceil(work / F.lit(task_work)).cast("int")
-        partial = _in_tasks(
-            sized.filter(F.col("n_pairs") <= task_pairs).withColumn("slices", slices), wanted)
-        if largest > task_pairs:
-            partial = partial.unionByName(
-                _by_joins(sized.filter(F.col("n_pairs") > task_pairs), block_rows, wanted))
+        sized = durable(pairs.select(GRAPH_KEY, "subject", "object").join(sizes, GRAPH_KEY))
+        others = wanted - _BY_PATHS
+        parts = [_in_tasks(_whole(sized.filter(small)), wanted)] if n_small else []
+        if n_middle:
+            parts.append(_in_tasks(_whole(sized.filter(middle)), others))
+        if n_large:
+            parts.append(_by_joins(sized.filter(p > task_pairs), others))
+        if wanted & _BY_PATHS:
+            parts.append(_paths(sized.filter(~small), core_pairs, task_work, block_rows, wanted))
+        partial = functools.reduce(DataFrame.unionByName, parts)
     n, r = F.col("n"), F.col("reached")
     return partial.groupBy(*_NODE).agg(
         F.max("n").alias("n"), F.sum("dependency").alias("dependency"),

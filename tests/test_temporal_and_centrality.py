@@ -183,3 +183,70 @@ def test_levels_carry_64_roots_in_a_row(spark):
     reached = [level.agg(F.sum(F.bit_count("mask")), F.count(F.lit(1))).first() for level in levels]
     for cells, n in reached[1:]:
         assert n <= cells / 8, reached
+
+
+@pytest.mark.parametrize("options", [
+    {"task_pairs": 0, "core_pairs": 0},                     # cores by joins too
+    {"task_pairs": 0, "core_pairs": 0, "block_rows": 20},
+    {"task_pairs": 0, "task_work": 60}, {"task_work": 60}])  # starts and core nodes spread over many tasks
+def test_cut_windows_match_brute_force(spark, options):
+    """Starts in several parts: leaves, tails and twins of one part are not those of the window."""
+    random.seed(11)
+    data = [(0, f"s{i}", f"c{t}") for i in range(12) for t in random.sample(range(5), 1 + i % 3)]
+    data += [(0, f"c{a}", f"c{b}") for a, b in [(0, 1), (1, 2), (2, 0), (1, 3), (3, 3)]]
+    data += [(0, f"c{a}", f"t{b}") for a in (0, 1, 3) for b in (0, 1)] + [(0, "c2", "leaf"), (0, "s0", "t0")]
+    data += [(0, f"s{i}", f"only{i % 2}") for i in range(4)] + [(0, "alone", None), (0, "self", "self")]
+    data += [(1, f"s{i}", f"o{i % 2}") for i in range(9)] + [(2, "s", "s"), (2, "z", None)]
+    data = sorted(set(data), key=str)
+    pairs = spark.createDataFrame(data, "w int, subject string, object string").select(
+        F.timestamp_add("HOUR", F.col("w"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("window_start"),
+        "subject", "object")
+    got = as_dict(c.centrality(pairs, **options))
+    for w in range(3):
+        names = sorted({v for x, a, b in data if x == w for v in (a, b) if v is not None})
+        for v, want in replay.centralities(names, [(a, b) for x, a, b in data if x == w and b is not None]).items():
+            assert got.pop((w, v)) == pytest.approx(want, abs=1e-9), (w, v, options)
+    assert not got
+
+
+def test_costly_windows_are_not_copied(spark, monkeypatch):
+    """Links of starts are in one task each; PageRank and clustering have every window once."""
+    data = [(f"s{i}", f"c{(i + j) % 4}") for i in range(60) for j in range(2)] + [(f"c{i}", f"c{(i + 1) % 4}") for i in range(4)]
+    pairs = spark.createDataFrame(data, "subject string, object string").withColumn(
+        "window_start", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    taken, whole = [], c._in_tasks
+
+    def counted(parts, measures):
+        taken.append((parts.count(), parts.select("slice").distinct().count(), measures))
+        return whole(parts, measures)
+
+    monkeypatch.setattr(c, "_in_tasks", counted)
+    assert c.centrality(pairs, task_work=100).count() == 64
+    (n, slices, light), (cut, parts, paths) = taken
+    assert (n, slices, light) == (124, 1, {"pagerank", "cluster_coeff"})
+    assert parts > 1 and cut <= 120 + 4 * 5 and paths == {"closeness", "betweenness"}
+    for measure in ("pagerank", "cluster_coeff"):
+        taken.clear()
+        assert c.centrality(pairs, task_work=100, measures=[measure]).count() == 64
+        assert taken == [(124, 1, {measure})]
+
+
+def test_pagerank_rounds_leave_sources_out(spark, monkeypatch):
+    """One row stands for all nodes without incoming links."""
+    data = [(f"s{i}", f"c{i % 3}") for i in range(90)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("c0", "t")]
+    pairs = spark.createDataFrame(data, "subject string, object string").withColumn(
+        "window_start", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    sizes, cut = [], c.durable
+
+    def counted(df):
+        out = cut(df)
+        if "fresh" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(c, "durable", counted)
+    got = as_dict(c.centrality(pairs, task_pairs=0, measures=list(c.MEASURES)))
+    want = replay.centralities(sorted({v for p in data for v in p}), data)
+    for v, values in want.items():
+        assert got[0, v] == pytest.approx(values, abs=1e-9), v
+    assert set(sizes) == {5}
