@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from hostweave.functions.durable import durable, new_path
+from hostweave.functions.durable import new_path
 from hostweave.functions.ids import clean_id
 from hostweave.functions.timefn import floor_div, from_micros, nanos_to_local, to_micros
 from hostweave.operators.features import node_features
@@ -81,9 +81,16 @@ def feature_writer(folder: str, **options) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes all node features of the closed windows.
 
     The batch number names the output partition, so a repeated batch overwrites itself.
+    Pairs are staged and read again by the session that made the writer: in the stream's own
+    session plans are not adaptive, and a batch that closes windows without new events passes
+    for empty, so every join would broadcast. One writer serves one stream.
     """
+    spark = SparkSession.active()
+    path = new_path(spark, "closed-pairs")
+
     def write(pairs: DataFrame, batch_id: int) -> None:
-        closed = durable(pairs)  # the stateful batch must not run once for each reader
+        pairs.write.mode("overwrite").parquet(path)  # the stateful batch must not run once for each reader
+        closed = spark.read.schema(pairs.schema).parquet(path)
         if closed.isEmpty():
             return
         node_features(closed, **{"cut": False, **options}).write.mode("overwrite").parquet(

@@ -64,6 +64,28 @@ def test_features_equal_the_batch_result(spark, log, tmp_path):
     assert rows(spark.read.parquet(out), *columns) == rows(batch, *columns)
 
 
+def test_closed_windows_are_planned_by_their_size(spark, log, tmp_path, monkeypatch):
+    """The batch that closes a window may read no events; joins over its pairs are not planned as over nothing."""
+    plans = []
+
+    def features(pairs, **options):
+        joined = pairs.join(pairs.select("window_start", "subject").distinct(), ["window_start", "subject"])
+        plans.append(joined._jdf.queryExecution().executedPlan().toString())
+        return node_features(pairs, **options)
+
+    monkeypatch.setattr(live, "node_features", features)
+    events = [(0.0001 * i, "READ", f"s{i}", f"o{i % 70}") for i in range(3000)] + [(60, "READ", "z", "z")]
+    source = stream(spark, str(tmp_path / "in"), log(*events))
+    out, before = str(tmp_path / "out"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")  # 3,000 subjects are more
+    try:
+        live.run_to_end(live.closed_interactions(source, 1, "2 seconds"), "t", live.feature_writer(out))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and "Broadcast" not in plans[0] and "AdaptiveSparkPlan" in plans[0]
+    assert spark.read.parquet(out).count() == 3070
+
+
 def test_sequences_per_host_across_batches(spark, tmp_path):
     def closed(*items):
         return spark.createDataFrame(
